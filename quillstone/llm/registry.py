@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import license_scan, mixing
+from quillstone.llm import license_scan, mixing, near_dedup
 
+MODULES = (license_scan, mixing, near_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    m.NAME: m.query for m in (license_scan, mixing)
+    m.NAME: m.query for m in MODULES
 }
-ORACLES: dict[str, str] = {m.NAME: m.ORACLE for m in (license_scan, mixing) if m.ORACLE}
+ORACLES: dict[str, str] = {m.NAME: m.ORACLE for m in MODULES if m.ORACLE}
