@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import license_scan, mixing, near_dedup
+from quillstone.llm import license_scan, mixing, near_dedup, order_minhash
 
-MODULES = (license_scan, mixing, near_dedup)
+MODULES = (order_minhash, license_scan, near_dedup, mixing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     m.NAME: m.query for m in MODULES
 }
