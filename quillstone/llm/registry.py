@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import language_id, license_scan, mixing, near_dedup, order_minhash, private_data
+from quillstone.llm import language_id, license_scan, mixing, near_dedup, order_minhash, private_data, top_k
 
-MODULES = (order_minhash, license_scan, near_dedup, mixing, language_id, private_data)
+MODULES = (order_minhash, license_scan, near_dedup, mixing, language_id, private_data, top_k)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     m.NAME: m.query for m in MODULES
 }
