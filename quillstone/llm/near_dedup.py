@@ -31,14 +31,15 @@ from quillstone.llm.storage import stash
 NAME = "op4_minhash_near_dedup"
 SHINGLE = 5
 BANDS, ROWS = 45, 5
-BITS, SIGNED = 4, 128
+BITS, SIGNED = 4, 224
 #: Percent of the union that two linked sets share.
 SIMILARITY = 75
 #: Pairs whose estimate is below this are not confirmed. The estimate of a pair at
-#: 0.75 has a standard deviation of 0.04, so this lies over six of them below.
-LEAST_ESTIMATE = 0.5
-#: Leader rounds before members of different components are paired outright.
-LEADER_ROUNDS = 3
+#: 0.75 has a standard deviation of 0.03, so this lies over five of them below.
+LEAST_ESTIMATE = 0.58
+#: Members of different components are compared outright once these comparisons are at most
+#: so many a member; until then, for LEADER_ROUNDS at most, they meet further leaders.
+COMPARED, LEADER_ROUNDS = 64, 4
 
 _MULTIPLIERS = (K.mix(np.arange(1, BANDS * ROWS + 1, dtype=K.U) * K.U(0x9E37)) >> K.U(32)).astype(np.uint32) | np.uint32(1)
 _PLACE = K.mix(np.arange(101, 101 + SHINGLE, dtype=K.U)) | K.U(1)
@@ -147,6 +148,11 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         .filter((100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE))
         .select("a", "b", "na", "nb")
     )
+    return verify(hopeful, sets)
+
+
+def verify(hopeful: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, and their sizes na, nb) that share enough of their full sets."""
     both = hopeful.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.filter(100 * shared >= SIMILARITY * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct()
@@ -171,7 +177,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    placed = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    placed = nodes.select("node", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1").drop("n")
     members = stash(placed.join(shared, "band"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node").withColumnRenamed("doc_id", "rep")
@@ -184,22 +190,26 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = stash(confirm(pairs, nodes, sets), "links")
     parts = stash(components(links), "components")
     for turn in range(1, LEADER_ROUNDS + 1):
-        now = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("band", "node", "n_shingles", "component")
+        now = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("band", "node", "component")
         tally = now.groupBy("band", "component").agg(F.count("*").alias("c"))
         split = tally.groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).filter("k > 1")
         left, most = split.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
         if not left:
             break
-        last = turn == LEADER_ROUNDS or left <= 4 * most
+        last = turn == LEADER_ROUNDS or left <= COMPARED * most
         open_ = now.join(split.select("band"), "band")
         if last:
-            x, y = open_.toDF("band", "a", "na", "ca"), open_.toDF("band", "b", "nb", "cb")
+            # estimates are compared within the join, so only hopeful pairs leave it
+            full = open_.join(nodes.select("node", "n_shingles", "signature"), "node").select("band", "node", "n_shingles", "component", "signature")
+            x, y = full.toDF("band", "a", "na", "ca", "sa"), full.toDF("band", "b", "nb", "cb", "sb")
             fit = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
-            pairs = x.join(y, "band").filter(fit).select("a", "b").distinct()
+            near = x.join(y, (x.band == y.band) & fit & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE))
+            found = verify(near.select("a", "b", "na", "nb").distinct(), sets)
         else:
             lead = open_.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("l"))
             pairs = open_.join(lead, "band").filter("l.component <> component").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
-        found = stash(confirm(pairs, nodes, sets), "links")
+            found = confirm(pairs, nodes, sets)
+        found = stash(found, "links")
         if not found.isEmpty():
             links = links.union(found)
             parts = stash(components(links), "components")
