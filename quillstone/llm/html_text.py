@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import boosting
 from quillstone.llm import kernels as K
+from quillstone.llm.storage import bounded
 
 NAME = "op8_html_text"
 ORACLE = None
@@ -352,7 +353,7 @@ def extract(pages: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    return own.mapInArrow(apply, "page_id bigint, url string, text string, n_chars bigint")
+    return bounded(own).mapInArrow(apply, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillstone.llm import kernels as K
-from quillstone.llm.storage import stash
+from quillstone.llm.storage import bounded, stash
 
 NAME = "op10_language_id"
 ORACLE = None
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     last = label.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o")).first()[0]
     if last is None:
         return {"langs": [], "tables": []}
-    counts = label.filter(order <= last).select("text", "lang").mapInArrow(_count, "size int, gram string, lang string, n bigint")
+    counts = bounded(label.filter(order <= last).select("text", "lang")).mapInArrow(_count, "size int, gram string, lang string, n bigint")
     per = stash(counts.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")), "grams")
     totals = per.groupBy("size", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))
     kept = totals.filter((F.col("all") >= LEAST_COUNT) | (F.col("size") == 1)).select("size", "gram", "by").toArrow()
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             langs, scores = scorer.batch(piece.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs), pa.array(scores, pa.float64())], [*piece.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return bounded(docs).mapInArrow(apply, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
 from quillstone.llm.components import components
-from quillstone.llm.storage import stash
+from quillstone.llm.storage import bounded, stash
 
 NAME = "op4_minhash_near_dedup"
 SHINGLE = 5
@@ -168,7 +168,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     were confirmed, a spanning part of all links. A null or text without
     words has an empty set, digest "" and no class.
     """
-    docs = docs.select("doc_id", "text")
+    docs = bounded(docs.select("doc_id", "text"))
     rows = stash(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(_fingerprint, FINGERPRINT), "shingled")
     value = F.any_value
     nodes = stash(

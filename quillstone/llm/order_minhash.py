@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
+from quillstone.llm.storage import bounded
 
 NAME = "op1_order_minhash"
 ORACLE = None
@@ -192,7 +193,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = ranges(docs, parts).repartitionByRange(parts, "part")
-    return dealt.sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(_walk, OUT)
+    return bounded(dealt).sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(_walk, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

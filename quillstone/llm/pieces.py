@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from quillstone.llm import kernels as K
+from quillstone.llm.storage import bounded
 
 NAME = "op9_sentencepiece_dropout"
 ORACLE = None
@@ -304,7 +305,7 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
             columns = [piece.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(good)], [*[f.name for f in kept], "ids", "lossless"])
 
-    return docs.mapInArrow(apply, StructType([*kept, StructField("ids", ArrayType(IntegerType())), StructField("lossless", BooleanType())]))
+    return bounded(docs).mapInArrow(apply, StructType([*kept, StructField("ids", ArrayType(IntegerType())), StructField("lossless", BooleanType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.storage import stash
+from quillstone.llm.storage import bounded, stash
 
 NAME = "op7_private_data"
 ORACLE = None
@@ -158,7 +158,7 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     row_no, and count as one context.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = stash(docs.mapInArrow(_find, FOUND).withColumn("row_no", F.monotonically_increasing_id()), "private")
+    rows = stash(bounded(docs).mapInArrow(_find, FOUND).withColumn("row_no", F.monotonically_increasing_id()), "private")
     near = rows.filter(F.size("near") > 0).select("row_no", F.explode("near").alias("o")).select("row_no", "o.*")
     pairs = stash(
         near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
@@ -235,7 +235,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in new], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return joined.mapInArrow(apply, kinds)
+    return bounded(joined).mapInArrow(apply, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

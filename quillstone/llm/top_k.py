@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.llm.storage import bounded
+
 NAME = "op5_top_k_search"
 K_BEST, EVERY, SCALE = 5, 50, 256
 #: Vectors of a shard and queries of a block: bound a task's memory.
@@ -137,7 +139,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K_BEST) -> DataFrame:
     asked = clean(queries).dropDuplicates(["vec_id"])
     # blocks of the stated query set visit every slot that holds shards
     blocks = asked.mapInArrow(_pack(BLOCK_ROWS), BLOCKS).select("dim", F.col("ids").alias("query_ids"), F.col("data").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    found = shards.join(blocks, ["dim", "slot"]).select("dim", "ids", "data", "query_ids", "query").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    found = bounded(shards).join(blocks, ["dim", "slot"]).select("dim", "ids", "data", "query_ids", "query").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
