@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import html_text, language_id, license_scan, mixing, near_dedup, order_minhash, pieces, private_data, top_k
+from quillstone.llm import html_text, language_id, license_scan, mixing, near_dedup, order_minhash, pieces, private_data, substrings, top_k
 
-MODULES = (order_minhash, license_scan, near_dedup, mixing, language_id, private_data, top_k, html_text, pieces)
+MODULES = (order_minhash, license_scan, near_dedup, mixing, language_id, private_data, top_k, html_text, pieces, substrings)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     m.NAME: m.query for m in MODULES
 }
