@@ -1,5 +1,71 @@
-"""placeholder"""
+"""From raw documents to training pieces: the stages of the corpus pipeline.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.llm import language_id, mixing, near_dedup, pieces, private_data
+from quillstone.llm.storage import stash
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document whose best language is less likely than this is rejected.
+LEAST_LANGUAGE_SCORE = 0.5
+#: No SQL expresses the stages; each is tested against a plain version.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is recognised; a missing ``lang`` becomes the recognised one."""
+    found = language_id.identify(docs.select(*COLUMNS), language_id.fit(docs))
+    sure = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near-duplicates; of repeated rows, one.
+
+    Rows without a doc_id cannot be told apart: they stay together where one of them does.
+    """
+    docs = docs.select(*COLUMNS)
+    kept = near_dedup.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(kept, docs.doc_id.eqNullSafe(kept["_id"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "text"])
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalises personal data, and the terms that disclose it, in every text."""
+    return private_data.sanitise(docs.select(*COLUMNS))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources approach their target weights, in random order."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces: doc_id, lang, source, n_chars, ids, lossless."""
+    return pieces.encode(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("language identification", languages),
+    ("MinHash near-duplicates", near_duplicates),
+    ("personal data", private),
+    ("mixing sources", mixture),
+    ("SentencePiece encoding", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder for the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stash(docs, "stage-" + name.replace(" ", "-"))
+    return docs
