@@ -40,6 +40,8 @@ LEAST_ESTIMATE = 0.58
 #: Members of different components are compared outright once these comparisons are at most
 #: so many a member; until then, for LEADER_ROUNDS at most, they meet further leaders.
 COMPARED, LEADER_ROUNDS = 64, 4
+#: Leaders, the likeliest by their estimates, with which a node is confirmed at first.
+BEST = 2
 
 _MULTIPLIERS = (K.mix(np.arange(1, BANDS * ROWS + 1, dtype=K.U) * K.U(0x9E37)) >> K.U(32)).astype(np.uint32) | np.uint32(1)
 _PLACE = K.mix(np.arange(101, 101 + SHINGLE, dtype=K.U)) | K.U(1)
@@ -140,20 +142,20 @@ def estimate(a: Column, b: Column) -> Column:
     return (1.0 - apart / F.lit(float(SIGNED)) - chance) / (1.0 - chance)
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar enough, with their set sizes na, nb and the estimate ``near``."""
     own = nodes.select("node", "n_shingles", "signature")
-    hopeful = (
+    return (
         pairs.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b")
-        .filter((100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE))
-        .select("a", "b", "na", "nb")
+        .withColumn("near", estimate(F.col("sa"), F.col("sb")))
+        .filter((100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & (F.col("near") >= LEAST_ESTIMATE))
+        .select("a", "b", "na", "nb", "near")
     )
-    return verify(hopeful, sets)
 
 
-def verify(hopeful: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, and their sizes na, nb) that share enough of their full sets."""
-    both = hopeful.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.filter(100 * shared >= SIMILARITY * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct()
 
@@ -178,7 +180,8 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "nodes",
     )
     placed = nodes.select("node", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1").drop("n")
+    lead = F.min_by("node", F.xxhash64("node", "band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("n"), lead.alias("leader"), F.min("node").alias("lowest")).filter("n > 1").drop("n")
     members = stash(placed.join(shared, "band"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node").withColumnRenamed("doc_id", "rep")
     texts = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -186,8 +189,15 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep)).select("node", "digest", "text").mapInArrow(_full_sets, "node bigint, hashes array<bigint>"),
         "sets",
     )
-    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = stash(confirm(pairs, nodes, sets), "links")
+    pairs = members.select(F.explode(F.array("leader", "lowest")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    # of its leaders (one or two a band) a node is confirmed with the likeliest, and with the lowest likely one
+    likely = hopeful(pairs, nodes).groupBy("b").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("near", "a", "na", "nb")), asc=False), 1, BEST).alias("best"),
+        F.min(F.when(F.col("near") * 100 >= SIMILARITY, F.struct("a", "near", "na", "nb"))).alias("low"),
+    )
+    low = F.when(F.col("low").isNull(), F.col("best")).otherwise(F.array_append("best", F.struct("low.near", "low.a", "low.na", "low.nb")))
+    likely = likely.select("b", F.explode(low).alias("l")).select("l.a", "b", "l.na", "l.nb").distinct()
+    links = stash(verify(likely, sets), "links")
     parts = stash(components(links), "components")
     for turn in range(1, LEADER_ROUNDS + 1):
         now = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("band", "node", "component")
@@ -208,7 +218,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         else:
             lead = open_.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("l"))
             pairs = open_.join(lead, "band").filter("l.component <> component").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
-            found = confirm(pairs, nodes, sets)
+            found = verify(hopeful(pairs, nodes), sets)
         found = stash(found, "links")
         if not found.isEmpty():
             links = links.union(found)
