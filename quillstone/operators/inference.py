@@ -8,7 +8,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from quillstone.operators.entropy import LEAST_TYPES, entropy_of
 
@@ -133,7 +132,6 @@ def upper_gamma(a: float, x: float) -> float:
     return scale * h
 
 
-@pandas_udf("double")
 def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
     """The chance of a larger statistic; a value for each section."""
     return pd.Series([None if pd.isna(v) or pd.isna(k) else upper_gamma(k / 2, v / 2) for v, k in zip(x, df, strict=True)], dtype="float64")
@@ -142,5 +140,5 @@ def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
 def significance(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """``chi_square`` with p-values and the verdict at a level divided by the number of known sections, tested or not."""
     n = tests.agg(F.greatest(F.count("*"), F.lit(1)).alias("k"))
-    p = chi_square_p(F.col("chi_square"), F.col("df").cast("double"))
+    p = F.pandas_udf(chi_square_p, "double")(F.col("chi_square"), F.col("df").cast("double"))
     return tests.withColumn("p", p).crossJoin(F.broadcast(n)).withColumn("significant", F.col("p") < alpha / F.col("k")).withColumn("p_value", F.round("p", 6)).drop("p", "k")  # one row

@@ -5,6 +5,469 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.functions import tokens as T
+from quillstone.operators import entropy, graph, inference, lookup, markov, ngrams, positional, rules, slots
+from quillstone.plans import sql
+from quillstone.sources import lines as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function of (lines, spark, sf_dir) under its name; the lines are those of ``documents``, some marked doubtful."""
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(L.document_lines(table(spark, sf_dir, "documents"), marked=True), spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw_vocabulary(lines: DataFrame) -> DataFrame:
+    return L.vocabulary(L.token_rows(lines))
+
+
+def clean_vocabulary(lines: DataFrame) -> DataFrame:
+    return L.vocabulary(L.token_rows(lines, clean=True))
+
+
+def folio_lines(lines: DataFrame) -> DataFrame:
+    """Lines with folio names made of document numbers, and the sections these stand for."""
+    n = F.col("folio").cast("bigint")
+    folio = F.concat(F.lit("f"), (n % 120 + 1).cast("string"), F.when(n % 2 == 0, "r").otherwise("v"))
+    return lines.withColumn("folio", folio).withColumn("section", T.classify_folio(F.col("folio")))
+
+
+# -- lines ----------------------------------------------------------------------
+
+@query(sql.L + "SELECT count(*) AS record_count, count(DISTINCT folio) AS folio_count, sum(len(tokens))::BIGINT AS token_count, count(*) FILTER (WHERE has_uncertainty) AS uncertainty_line_count FROM lines")
+def corpus_metadata(lines, spark, sf_dir):
+    return lines.agg(F.count("*").alias("record_count"), F.countDistinct("folio").alias("folio_count"), F.sum(F.size("tokens")).alias("token_count"), F.count_if("has_uncertainty").alias("uncertainty_line_count"))
+
+
+@query(sql.T + "SELECT count(DISTINCT token) AS unique_types, (SELECT round(100.0 * count(*) FILTER (WHERE has_uncertainty) / greatest(count(*), 1), 4) FROM lines) AS percent_uncertain FROM clean")
+def corpus_summary(lines, spark, sf_dir):
+    types = L.token_rows(lines, clean=True).agg(F.countDistinct("token").alias("unique_types"))
+    share = lines.agg(F.round(100.0 * F.count_if("has_uncertainty") / F.greatest(F.count("*"), F.lit(1)), 4).alias("percent_uncertain"))
+    return rules.one_row(spark, types, share)
+
+
+@query(sql.TAGGED)
+def parse_tagged_lines(lines, spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("n", "body"))
+    tag = F.concat(F.lit("<f"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"), F.lit("."), F.col("n").cast("string"), F.lit(";"), F.col("source"), F.lit("> "))
+    raw = rows.select(F.col("doc_id").cast("string").alias("file"), "n", F.when(F.col("n") % 3 != 0, F.concat(tag, "body")).otherwise(F.col("body")).alias("raw"))
+    return L.parse_tagged(raw).select("file", "n", "folio", "section", "line", "transcriber", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(sql.D + "SELECT doc_id::VARCHAR AS file, n, n::VARCHAR AS line, len(t) AS n_tokens FROM (SELECT *, list_filter(string_split_regex(trim(raw), '\\s+'), lambda x: x <> '') AS t FROM raw_lines WHERE trim(raw) <> '' AND NOT starts_with(trim(raw), '#')) WHERE len(t) > 0")
+def parse_plain_lines(lines, spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    return L.parse_plain(rows).select("file", "n", "line", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query(sql.D + """, k AS (SELECT *, row_number() OVER (ORDER BY line_ord) AS i FROM raw_lines WHERE trim(raw) <> '' QUALIFY i <= 5001)
+SELECT line_ord, 'auto_folio_' || i AS folio, i::VARCHAR AS line, substr(trim(raw), 1, 2000) AS raw_line, array_to_string(list_slice(list_filter(string_split_regex(raw, '\\s+'), lambda x: x <> ''), 1, 200), ' ') AS tokens FROM k""")
+def auto_convert_lines(lines, spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    made = L.auto_convert(rows.select((F.col("doc_id") * L.LINES_PER_DOCUMENT + F.col("n")).alias("line_ord"), "raw"))
+    return made.select("line_ord", "folio", "line", "raw_line", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(sql.T + "SELECT line_ord, pos, token FROM clean")
+def tokens_flat(lines, spark, sf_dir):
+    return L.token_rows(lines, clean=True).select("line_ord", "pos", "token")
+
+
+@query(sql.L + "SELECT line_ord, folio, len(tokens) AS n_tokens FROM lines WHERE NOT has_uncertainty")
+def certain_lines(lines, spark, sf_dir):
+    return lines.filter("NOT has_uncertainty").select("line_ord", "folio", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query(sql.L + "SELECT folio, section, count(*) AS n_lines, sum(len(tokens))::BIGINT AS n_tokens FROM lines WHERE section = 'de' GROUP BY ALL")
+def lines_of_section(lines, spark, sf_dir):
+    return lines.filter(F.col("section") == "de").groupBy("folio", "section").agg(F.count("*").alias("n_lines"), F.sum(F.size("tokens")).alias("n_tokens"))
+
+
+@query(sql.L + "SELECT DISTINCT folio FROM lines")
+def folios_distinct(lines, spark, sf_dir):
+    return lines.select("folio").distinct().orderBy("folio")
+
+
+@query(sql.L + "SELECT section, count(*) AS n_lines, count(DISTINCT folio) AS n_folios FROM lines GROUP BY 1")
+def records_by_section(lines, spark, sf_dir):
+    return lines.groupBy("section").agg(F.count("*").alias("n_lines"), F.countDistinct("folio").alias("n_folios"))
+
+
+@query("SELECT conv_id::VARCHAR AS folio, count(*) AS n_lines, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n_tokens FROM conversations WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) > 0 GROUP BY 1")
+def conversation_sizes(lines, spark, sf_dir):
+    return L.conversation_lines(table(spark, sf_dir, "conversations")).groupBy("folio").agg(F.count("*").alias("n_lines"), F.sum(F.size("tokens")).alias("n_tokens"))
+
+
+# -- tokens -----------------------------------------------------------------------
+
+@query(sql.V + "SELECT token, n, lower(token) AS lowered, regexp_replace(token, '[{}]', '', 'g') AS stripped, regexp_replace(lower(token), '[{}!?]', '', 'g') AS normalised, regexp_matches(token, '[{}!?]') AS uncertain FROM raw_v")
+def normalize_tokens(lines, spark, sf_dir):
+    t = F.col("token")
+    return raw_vocabulary(lines).select("token", "n", T.normalise(t).alias("lowered"), T.strip_uncertainty(t).alias("stripped"), T.normalise(t, strip_uncertain=True).alias("normalised"), T.has_uncertainty(t).alias("uncertain"))
+
+
+@query(sql.L + "SELECT line_ord, len(t) AS n_kept, len(tokens) - len(t) AS n_dropped FROM (SELECT *, list_filter(list_transform(tokens, lambda x: regexp_replace(lower(x), '[{}!?]', '', 'g')), lambda x: x <> '') AS t FROM lines)")
+def normalize_sequences(lines, spark, sf_dir):
+    kept = F.size(T.normalise_sequence(F.col("tokens"), strip_uncertain=True))
+    return lines.select("line_ord", kept.cast("bigint").alias("n_kept"), (F.size("tokens") - kept).cast("bigint").alias("n_dropped"))
+
+
+@query(sql.V + f"SELECT token, array_to_string(regexp_extract_all(token, '{sql.UNIT}'), ' ') AS units, len(regexp_extract_all(regexp_replace(token, '[{{}}]', '', 'g'), '{sql.UNIT}')) AS n_units FROM raw_v")
+def unit_segmentation(lines, spark, sf_dir):
+    return raw_vocabulary(lines).select("token", F.array_join(T.units(F.col("token")), " ").alias("units"), T.token_length(F.col("token")).cast("bigint").alias("n_units"))
+
+
+@query(sql.V + f"SELECT len(regexp_extract_all(token, '{sql.UNIT}')) AS length, sum(n)::BIGINT AS n FROM clean_v GROUP BY 1")
+def unit_length_hist(lines, spark, sf_dir):
+    return clean_vocabulary(lines).groupBy(T.token_length(F.col("token")).cast("bigint").alias("length")).agg(F.sum("n").alias("n"))
+
+
+@query(sql.V + f", x AS (SELECT len(regexp_extract_all(token, '{sql.UNIT}')) AS l, n FROM clean_v) SELECT round(sum(l * n) / sum(n), 6) AS mean, round(sqrt(greatest(sum(l * l * n) / sum(n) - (sum(l * n) / sum(n)) ** 2, 0)), 6) AS std, min(l) AS low, max(l) AS high FROM x")
+def unit_length_stats(lines, spark, sf_dir):
+    x = clean_vocabulary(lines).select(T.token_length(F.col("token")).cast("bigint").alias("l"), "n")
+    mean = F.sum(F.col("l") * F.col("n")) / F.sum("n")
+    square = F.sum(F.col("l") * F.col("l") * F.col("n")) / F.sum("n")
+    return x.agg(F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), 6).alias("std"), F.min("l").alias("low"), F.max("l").alias("high"))
+
+
+@query(sql.V + f"SELECT token, n FROM raw_v WHERE len(list_intersect(regexp_extract_all(regexp_replace(lower(token), '[{{}}]', '', 'g'), '{sql.UNIT}'), ['k', 't', 'p', 'f'])) > 0")
+def gallows_tokens(lines, spark, sf_dir):
+    return raw_vocabulary(lines).filter(T.is_gallows(F.col("token"))).select("token", "n")
+
+
+@query(sql.S + "SELECT folio, section, count(*) AS n_lines FROM folio_lines GROUP BY ALL")
+def classify_folio(lines, spark, sf_dir):
+    return folio_lines(lines).groupBy("folio", "section").agg(F.count("*").alias("n_lines"))
+
+
+@query("SELECT p_partkey, upper(regexp_replace(lower(p_name), '[aeiou]', '', 'g')) AS skeleton FROM part")
+def consonant_skeleton(lines, spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.skeleton(F.col("p_name")).alias("skeleton"))
+
+
+@query(sql.V + "SELECT token, n, round(100.0 * n / (SELECT sum(n) FROM clean_v), 6) AS percent FROM clean_v ORDER BY n DESC, first LIMIT 20")
+def top_tokens(lines, spark, sf_dir):
+    v = clean_vocabulary(lines)
+    total = v.agg(F.sum("n").alias("t"))
+    return v.orderBy(F.desc("n"), "first").limit(20).crossJoin(F.broadcast(total)).select("token", "n", F.round(100.0 * F.col("n") / F.col("t"), 6).alias("percent"))  # one row
+
+
+# -- entropy ------------------------------------------------------------------------
+
+def by_section(lines: DataFrame) -> DataFrame:
+    return L.token_rows(lines, clean=True).groupBy("section", "token").agg(F.count("*").alias("n"))
+
+
+@query(sql.T + f", s AS (SELECT section, token, count(*) AS n FROM clean GROUP BY ALL) SELECT section, round({sql.H}, 6) AS entropy FROM s GROUP BY 1")
+def unigram_entropy_by_section(lines, spark, sf_dir):
+    return by_section(lines).groupBy("section").agg(F.round(entropy.entropy_of(), 6).alias("entropy"))
+
+
+@query(sql.T + f", s AS (SELECT section, token, count(*) AS n FROM clean GROUP BY ALL) SELECT section, sum(n)::BIGINT AS n_tokens, count(*) AS n_types, round(count(*) / sum(n), 6) AS type_token_ratio, round({sql.H}, 6) AS entropy, round({sql.H} / {sql.HMAX}, 6) AS normalised, round(1 - {sql.H} / {sql.HMAX}, 6) AS redundancy FROM s GROUP BY 1")
+def analyse_tokens(lines, spark, sf_dir):
+    return entropy.analyse(by_section(lines), ["section"])
+
+
+@query(sql.CONDITIONAL)
+def conditional_entropy(lines, spark, sf_dir):
+    pairs = entropy.flat_pairs(lines, T.clean_tokens(F.col("tokens")))
+    return entropy.conditional_entropy(pairs, clean_vocabulary(lines)).select(F.round("conditional_entropy", 6).alias("conditional_entropy"))
+
+
+@query(sql.CHARACTERS)
+def char_entropy(lines, spark, sf_dir):
+    v = clean_vocabulary(lines)
+    # empty tokens hold no characters, so neighbours are taken without them
+    pairs = entropy.flat_pairs(lines, F.filter(T.clean_tokens(F.col("tokens")), lambda t: t != ""))
+    chars = entropy.character_counts(v)
+    joint = entropy.conditional_entropy(entropy.character_pairs(v, pairs), chars)
+    own = chars.agg(F.round(entropy.entropy_of(), 6).alias("entropy"), F.sum("n").alias("n_characters"), F.count("*").alias("n_unique"))
+    return rules.one_row(spark, own, joint.select(F.round("conditional_entropy", 6).alias("conditional_entropy")))
+
+
+@query(sql.V + "SELECT c AS character, sum(n)::BIGINT AS n FROM (SELECT n, unnest(regexp_extract_all(token, '(?s).')) AS c FROM clean_v) GROUP BY 1")
+def char_frequencies(lines, spark, sf_dir):
+    return entropy.character_counts(clean_vocabulary(lines)).select(F.col("token").alias("character"), "n")
+
+
+@query(sql.ZIPF)
+def zipf_fit(lines, spark, sf_dir):
+    return entropy.zipf_fit(clean_vocabulary(lines))
+
+
+@query(sql.V + ", r AS (SELECT n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM clean_v), f AS (SELECT -regr_slope(ln(n), ln(rank)) AS a, max(n) AS top FROM r) SELECT rank, n, round(top * pow(rank, -a), 4) AS fitted FROM r, f WHERE rank <= 50")
+def zipf_rank_freq(lines, spark, sf_dir):
+    r = entropy.ranked(clean_vocabulary(lines))
+    fit = r.agg((-F.regr_slope(F.log("n"), F.log("rank"))).alias("a"), F.max("n").alias("top"))
+    return r.filter("rank <= 50").crossJoin(F.broadcast(fit)).select("rank", "n", F.round(F.col("top") * F.pow("rank", -F.col("a")), 4).alias("fitted"))  # one row
+
+
+@query()
+def random_baseline(lines, spark, sf_dir):
+    v = clean_vocabulary(lines)
+    sums = v.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.char_length("token")).alias("c")).first()
+    made = entropy.random_tokens(spark, entropy.character_counts(v), (sums["c"] or 0) / max(sums["n"] or 0, 1), sums["n"] or 0)
+    return rules.one_row(spark, made.agg(entropy.entropy_of().alias("baseline_entropy")), v.agg(entropy.entropy_of().alias("entropy"))).withColumn("delta_bits", F.round(F.col("baseline_entropy") - F.col("entropy"), 4))
+
+
+# -- places --------------------------------------------------------------------------
+
+@query(sql.T + sql.edge("pos = 0"))
+def positional_rates(lines, spark, sf_dir):
+    return positional.edge_rates(L.token_rows(lines))
+
+
+@query(sql.T + sql.edge("pos = size - 1"))
+def line_final_rates(lines, spark, sf_dir):
+    return positional.edge_rates(L.token_rows(lines), final=True)
+
+
+@query(sql.T + "SELECT * FROM (" + sql.edge("pos = 0") + ") WHERE rate >= 0.4 AND total >= 10")
+def high_bias_tokens(lines, spark, sf_dir):
+    return positional.biased(positional.edge_rates(L.token_rows(lines)))
+
+
+@query(sql.S + ", g AS (SELECT section, token, count(*) AS n, min(place) AS first FROM folio_tokens GROUP BY 1, 2) SELECT section, rank, token, n FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, first)::INTEGER AS rank FROM g) WHERE rank <= 20")
+def section_profiles(lines, spark, sf_dir):
+    return positional.section_profiles(L.token_rows(folio_lines(lines)))
+
+
+@query(sql.T + ", g AS (SELECT pos, token, count(*) AS n, min(place) AS first FROM raw WHERE pos < 5 GROUP BY 1, 2) SELECT (pos + 1)::INTEGER AS place, rank, token, n FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, first)::INTEGER AS rank FROM g) WHERE rank <= 10")
+def word_position_profiles(lines, spark, sf_dir):
+    return positional.word_position_profiles(L.token_rows(lines))
+
+
+@query(sql.V + "SELECT p::INTEGER AS place, c AS character, sum(n)::BIGINT AS n FROM (SELECT n, unnest(regexp_extract_all(token, '(?s).')) AS c, generate_subscripts(regexp_extract_all(token, '(?s).'), 1) AS p FROM raw_v) WHERE p <= 8 GROUP BY ALL")
+def char_position_profiles(lines, spark, sf_dir):
+    return positional.character_position_profiles(raw_vocabulary(lines))
+
+
+@query(sql.T + f", a AS ({sql.edge('pos = 0', 20)}), b AS ({sql.edge('pos = size - 1', 20)}) SELECT round(count(*) FILTER (WHERE k = 2) / greatest(count(*), 1), 6) AS jaccard FROM (SELECT token, count(*) AS k FROM (SELECT token FROM a UNION ALL SELECT token FROM b) GROUP BY 1)")
+def jaccard_initial_final(lines, spark, sf_dir):
+    return positional.jaccard_of_edges(L.token_rows(lines))
+
+
+# -- neighbours ------------------------------------------------------------------------
+
+@query(sql.grams(2) + "SELECT array_to_string(gram, ' ') AS gram, n FROM grams ORDER BY n DESC, first LIMIT 30")
+def bigrams_top(lines, spark, sf_dir):
+    return ngrams.most_common(ngrams.counted(lines, 2))
+
+
+@query(sql.grams(3) + "SELECT array_to_string(gram, ' ') AS gram, n FROM grams ORDER BY n DESC, first LIMIT 30")
+def trigrams_top(lines, spark, sf_dir):
+    return ngrams.most_common(ngrams.counted(lines, 3))
+
+
+@query(sql.grams(2) + f"SELECT round({sql.H}, 6) AS bigram_entropy FROM grams")
+def bigram_entropy(lines, spark, sf_dir):
+    return ngrams.pair_entropy(ngrams.counted(lines, 2))
+
+
+@query(sql.pmi("DESC", "first", "> 0"))
+def pmi_top(lines, spark, sf_dir):
+    return ngrams.strongest(ngrams.mutual_information(ngrams.counted(lines, 2), raw_vocabulary(lines)))
+
+
+@query(sql.pmi("", "first DESC", "< 0"))
+def pmi_low(lines, spark, sf_dir):
+    return ngrams.strongest(ngrams.mutual_information(ngrams.counted(lines, 2), raw_vocabulary(lines)), low=True)
+
+
+@query(sql.T + "SELECT (SELECT count(*) FROM raw) AS n_tokens, (SELECT sum(greatest(len(tokens) - 1, 0)) FROM lines)::BIGINT AS n_bigrams, (SELECT sum(greatest(len(tokens) - 2, 0)) FROM lines)::BIGINT AS n_trigrams, (SELECT count(DISTINCT token) FROM raw) AS n_types")
+def adjacency_totals(lines, spark, sf_dir):
+    return ngrams.totals(lines, raw_vocabulary(lines))
+
+
+@query(sql.markov("SELECT \"order\", perplexity FROM result"))
+def markov_perplexity(lines, spark, sf_dir):
+    return markov.analysis(lines, orders=2).select("order", "perplexity")
+
+
+@query(sql.markov("SELECT \"order\", round((lag(perplexity) OVER (ORDER BY \"order\") - perplexity) / lag(perplexity) OVER (ORDER BY \"order\"), 6) AS reduction, n_contexts FROM result JOIN contexts USING (\"order\")"))
+def markov_reductions(lines, spark, sf_dir):
+    return markov.analysis(lines, orders=2).select("order", "reduction", "n_contexts")
+
+
+@query(sql.markov("SELECT \"order\", n_tokens, n_unknown FROM result"))
+def markov_oov(lines, spark, sf_dir):
+    return markov.analysis(lines, orders=2).select("order", "n_tokens", "n_unknown")
+
+
+@query(sql.EVENTS)
+def event_transitions(lines, spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", "event_type").alias("e"))
+    per = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x.event_type).alias("tokens"))
+    return markov.transitions(per, 1).filter("order = 1").select("context", "token", "n")
+
+
+# -- slots ---------------------------------------------------------------------------------
+
+def checked(lines: DataFrame) -> DataFrame:
+    return slots.validated(raw_vocabulary(lines))
+
+
+@query(sql.SLOTS + "SELECT token, n, is_valid, array_to_string(matched, ',') AS matched_slots, category AS failure_category, confidence FROM checked")
+def slot_validation(lines, spark, sf_dir):
+    return checked(lines).select("token", "n", "is_valid", F.array_join("matched_slots", ",").alias("matched_slots"), "failure_category", "confidence")
+
+
+@query(sql.SLOTS + "SELECT sum(n)::BIGINT AS n_tokens, sum(n * is_valid::INT)::BIGINT AS n_valid, round(sum(n * is_valid::INT) / sum(n), 6) AS coverage, sum(n * is_valid::INT) / sum(n) >= 0.7 AS supported, sum(n * (marks OR token = '')::INT)::BIGINT AS n_uncertain FROM checked")
+def slot_coverage(lines, spark, sf_dir):
+    return slots.coverage(checked(lines))
+
+
+@query(sql.SLOTS + ", s AS (SELECT section, token, count(*) AS n FROM folio_tokens GROUP BY ALL) SELECT section, sum(s.n)::BIGINT AS n_tokens, round(sum(s.n * is_valid::INT) / sum(s.n), 6) AS coverage FROM s JOIN checked USING (token) GROUP BY 1")
+def slot_coverage_by_section(lines, spark, sf_dir):
+    v = L.token_rows(folio_lines(lines)).groupBy("section", "token").agg(F.count("*").alias("n"))
+    return slots.coverage(slots.validated(v), ["section"]).select("section", "n_tokens", "coverage")
+
+
+@query(sql.SLOTS + "SELECT slot, sum(n)::BIGINT AS n FROM (SELECT n, unnest(matched) AS slot FROM checked WHERE is_valid) GROUP BY 1")
+def slot_usage(lines, spark, sf_dir):
+    return slots.usage(checked(lines))
+
+
+@query(sql.SLOTS + "SELECT category AS failure_category, sum(n)::BIGINT AS n, round(sum(n) / (SELECT sum(n) FROM checked WHERE NOT is_valid), 6) AS share FROM checked WHERE NOT is_valid GROUP BY 1")
+def slot_failures(lines, spark, sf_dir):
+    return slots.failures(checked(lines))
+
+
+@query(sql.SLOTS + "SELECT token, n, category AS failure_category FROM checked WHERE NOT is_valid ORDER BY n DESC, first LIMIT 30")
+def invalid_top(lines, spark, sf_dir):
+    return slots.most_invalid(checked(lines))
+
+
+# -- inference --------------------------------------------------------------------------------
+
+KNOWN = [name for name, _, _ in T.SECTIONS]
+
+
+@query(sql.CHI)
+def chi_square_sections(lines, spark, sf_dir):
+    return inference.chi_square(L.token_rows(folio_lines(lines), clean=True), KNOWN)
+
+
+@query()
+def chi_square_p(lines, spark, sf_dir):
+    return inference.significance(inference.chi_square(L.token_rows(folio_lines(lines), clean=True), KNOWN))
+
+
+@query()
+def bootstrap_entropy_ci(lines, spark, sf_dir):
+    return inference.bootstrap(lines.select("line_ord", "tokens"), inference.entropy_statistic, resamples=20)
+
+
+@query()
+def bootstrap_zipf_ci(lines, spark, sf_dir):
+    return inference.bootstrap(lines.select("line_ord", "tokens"), inference.zipf_statistic, resamples=20, seed=43)
+
+
+@query()
+def permutation_bias(lines, spark, sf_dir):
+    rows = L.token_rows(lines)
+    best = [r["token"] for r in positional.edge_rates(rows, k=5).filter("total >= 10").collect()]
+    tests = [inference.permutation_test(rows, t, 200, 142 + i) for i, t in enumerate(best)]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out.union(t)
+    return out
+
+
+# -- graphs and look-ups ------------------------------------------------------------------------
+
+LEAST_EDGE = 12
+
+
+def frequent_edges(lines: DataFrame) -> DataFrame:
+    """Words that often stand next to each other."""
+    pairs = ngrams.counted(lines, 2).filter(F.col("n") >= LEAST_EDGE)
+    return pairs.select(F.col("gram")[0].alias("src"), F.col("gram")[1].alias("dst"))
+
+
+@query(sql.edges(LEAST_EDGE) + ", k AS (SELECT count(*) AS n_nodes FROM (SELECT a FROM u UNION SELECT b FROM u)), m AS (SELECT count(*) AS n_edges FROM u) SELECT n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 3)::DOUBLE AS density FROM k, m")
+def graph_metrics(lines, spark, sf_dir):
+    return graph.metrics(frequent_edges(lines))
+
+
+@query(sql.components(LEAST_EDGE))
+def connected_components(lines, spark, sf_dir):
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+    return graph.components(frequent_edges(lines).checkpoint())
+
+
+@query(sql.grams(2) + ", t AS (SELECT * FROM grams ORDER BY n DESC, first LIMIT 30) SELECT gram[1] AS src, gram[2] AS dst, t.n AS weight, round(t.n / 100.0, 4)::DOUBLE AS width, (c.n * 0.5)::DOUBLE AS node_size FROM t JOIN clean_v c ON c.token = gram[1]")
+def transition_graph(lines, spark, sf_dir):
+    best = ngrams.counted(lines, 2).orderBy(F.desc("n"), "first").limit(30).select(F.col("gram")[0].alias("src"), F.col("gram")[1].alias("dst"), F.col("n").alias("weight"))
+    sizes = clean_vocabulary(lines).select(F.col("token").alias("src"), (F.col("n") * 0.5).cast("double").alias("node_size"))
+    return best.join(sizes, "src").select("src", "dst", "weight", F.round(F.col("weight") / 100.0, 4).alias("width"), "node_size")
+
+
+@query("SELECT c_custkey, lower(trim(c_mktsegment)) AS key, n_name AS meaning FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def lookup_join(lines, spark, sf_dir):
+    dim = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("meaning"))
+    return table(spark, sf_dir, "customer").join(dim, "c_nationkey").select("c_custkey", F.lower(F.trim("c_mktsegment")).alias("key"), "meaning")
+
+
+@query("""WITH k(key_order, key, answer) AS (SELECT n_nationkey, lower(n_name), 'nation ' || n_nationkey FROM nation), q AS (SELECT o_orderkey AS id, lower(o_orderpriority || ' ' || n_name) AS low FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT id, arg_min(key, key_order) AS key, arg_min(answer, key_order) AS answer FROM q LEFT JOIN k ON contains(low, key) GROUP BY id""")
+def keyword_dispatch(lines, spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    key = nation.select(F.col("n_nationkey").alias("key_order"), F.lower("n_name").alias("key"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("answer"))
+    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name")
+    asked = table(spark, sf_dir, "orders").join(customer, "o_custkey").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "n_name").alias("query"))
+    return lookup.dispatch(asked, key)
+
+
+@query()
+def fuzzy_match(lines, spark, sf_dir):
+    words = raw_vocabulary(lines).select(F.col("token").alias("word"))
+    asked = table(spark, sf_dir, "region").select(F.col("r_name").alias("query"))
+    return lookup.fuzzy(asked, words)
+
+
+# -- rules ---------------------------------------------------------------------------------------
+
+def measurements(lines: DataFrame, spark: SparkSession) -> DataFrame:
+    """One row of what the rules need and SQL can check; see ``sql.MEASURED``."""
+    rows, raw, clean = L.token_rows(lines), raw_vocabulary(lines), clean_vocabulary(lines)
+    good = slots.validated(clean)
+    used = slots.usage(good).agg(F.max(F.when(F.col("slot") == "core", F.col("n"))).alias("core_usage"), F.max("n").alias("most_usage"))
+    pp = markov.analysis(lines, orders=1).agg(*[F.max(F.when(F.col("order") == k, F.col("perplexity"))).alias(f"perplexity_{k}") for k in (0, 1)])
+    return rules.one_row(
+        spark, slots.coverage(good).select("coverage"), slots.failures(good).agg(F.max("share").alias("worst_failure")), used, clean.agg(F.round(entropy.entropy_of(), 6).alias("entropy")),
+        entropy.conditional_entropy(entropy.flat_pairs(lines, T.clean_tokens(F.col("tokens"))), clean).select(F.round("conditional_entropy", 6).alias("conditional_entropy")),
+        entropy.zipf_fit(clean).select("alpha", "r_squared"), positional.biased(positional.edge_rates(rows), 0.5).agg(F.count("*").alias("n_biased")), positional.jaccard_of_edges(rows), pp,
+    ).withColumn("perplexity_saved", F.round(F.try_divide(F.col("perplexity_0") - F.col("perplexity_1"), F.col("perplexity_0")), 6))
+
+
+@query(sql.rule_verdicts())
+def rule_verdicts(lines, spark, sf_dir):
+    return rules.evaluate(measurements(lines, spark), [r for r in rules.RULES if r[0] not in ("F2.1", "F6.1")])
+
+
+@query()
+def overall_verdict(lines, spark, sf_dir):
+    base = QUERIES["random_baseline"](spark, sf_dir).select("baseline_entropy")
+    tested = QUERIES["chi_square_p"](spark, sf_dir).agg(F.count_if("significant").alias("n_significant"))
+    return rules.overall(rules.evaluate(rules.one_row(spark, measurements(lines, spark), base, tested)))
