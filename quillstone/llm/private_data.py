@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillstone.llm import kernels as K
 from quillstone.llm.storage import bounded, stash
@@ -216,7 +217,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     # the terms of a document, found again by its id; a repeated id tells texts apart by their key
     by_id = own.groupBy("_id").agg(F.collect_list(F.struct("_text", "extra")).alias("_extra"))
     joined = docs.join(by_id, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
-    kinds = docs.schema
+    kinds = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.slices(batches, "text", 1 << 22):
