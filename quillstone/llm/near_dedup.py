@@ -40,6 +40,9 @@ LEAST_ESTIMATE = 0.58
 #: Members of different components are compared outright once these comparisons are at most
 #: so many a member; until then, for LEADER_ROUNDS at most, they meet further leaders.
 COMPARED, LEADER_ROUNDS = 64, 4
+#: Buckets of more members than this are compared block by block, in blocks of at most so
+#: many members and shingles.
+LARGE, BLOCK_NODES, BLOCK_SHINGLES = 48, 256, 500_000
 #: Leaders, the likeliest by their estimates, with which a node is confirmed at first.
 BEST = 2
 
@@ -160,6 +163,50 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * shared >= SIMILARITY * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct()
 
 
+def _compare(table: pa.Table) -> pa.Table:
+    """Links between different components among the nodes of two blocks: one for each two components that any pair links.
+
+    Sizes of intersections are products of the nodes' incidence with the
+    shingles that at least two of them have, a stretch of shingles at a time.
+    """
+    table = table.combine_chunks()
+    node, component, size = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    lists = table.column("hashes").combine_chunks()
+    row = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
+    _, token, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[token]
+    row, token = row[keep], (np.cumsum(shared) - 1)[token[keep]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    both = np.zeros((len(node), len(node)), np.float32)
+    for a in range(0, int(shared.sum()), 4096):
+        part = slice(*np.searchsorted(token, [a, a + 4096]))
+        x = np.zeros((len(node), 4096), np.float32)
+        x[row[part], token[part] - a] = 1
+        both += x @ x.T
+    linked = 100 * both >= SIMILARITY * (size[:, None] + size[None, :] - both)
+    _, c = np.unique(component, return_inverse=True)
+    i, j = np.nonzero(linked & (c[:, None] < c[None, :]))
+    _, one = np.unique(c[i] * (len(node) + 1) + c[j], return_index=True)
+    return pa.table({"a": pa.array(node[i[one]], pa.int64()), "b": pa.array(node[j[one]], pa.int64())})
+
+
+def blockwise(members: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components within large buckets: ``members`` (band, node, component, n_shingles), ``large`` (band, blocks).
+
+    Every two blocks of a bucket meet in one group, whose size is bounded; no
+    pair is written unless it links two components.
+    """
+    other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: k != F.col("i"))
+    met = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q")))).otherwise(
+        F.transform(other, lambda k: F.struct(F.least(k, F.col("i")).alias("p"), F.greatest(k, F.col("i")).alias("q")))
+    )
+    dealt = members.join(large, "band").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("band", "node", "component", "n_shingles", F.explode(met).alias("m"))
+    full = dealt.select("band", "m.p", "m.q", "node", "component", "n_shingles").join(sets, "node")
+    return full.groupBy("band", "p", "q").applyInArrow(_compare, "a bigint, b bigint").distinct()
+
+
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links) of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -211,10 +258,13 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if last:
             # estimates are compared within the join, so only hopeful pairs leave it
             full = open_.join(nodes.select("node", "n_shingles", "signature"), "node").select("band", "node", "n_shingles", "component", "signature")
-            x, y = full.toDF("band", "a", "na", "ca", "sa"), full.toDF("band", "b", "nb", "cb", "sb")
+            load = full.groupBy("band").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("t")).filter(F.col("m") > LARGE)
+            large = stash(load.select("band", F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("t") / BLOCK_SHINGLES)).alias("blocks")), "large-buckets")
+            few = full.join(large, "band", "left_anti")
+            x, y = few.toDF("band", "a", "na", "ca", "sa"), few.toDF("band", "b", "nb", "cb", "sb")
             fit = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
             near = x.join(y, (x.band == y.band) & fit & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE))
-            found = verify(near.select("a", "b", "na", "nb").distinct(), sets)
+            found = verify(near.select("a", "b", "na", "nb").distinct(), sets).union(blockwise(full.drop("signature"), large, sets))
         else:
             lead = open_.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("l"))
             pairs = open_.join(lead, "band").filter("l.component <> component").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()

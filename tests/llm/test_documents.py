@@ -49,10 +49,11 @@ def test_near_dedup(documents):
     assert found == plain_groups(pairs(documents))
 
 
-@pytest.mark.parametrize("compared", [64, 0])
-def test_near_dedup_of_a_family(spark, monkeypatch, compared):
+@pytest.mark.parametrize("compared,large,block", [(64, 1000, 256), (64, 4, 256), (64, 4, 7), (0, 48, 256)])
+def test_near_dedup_of_a_family(spark, monkeypatch, compared, large, block):
     """Many edited copies of one text, of which by no means all are linked with each other."""
-    monkeypatch.setattr(near_dedup, "COMPARED", compared)
+    for name, value in (("COMPARED", compared), ("LARGE", large), ("BLOCK_NODES", block)):
+        monkeypatch.setattr(near_dedup, name, value)
     draw = np.random.default_rng(5)
     words = prose(11, 120).split()
     rows = []
