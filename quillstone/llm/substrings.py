@@ -292,7 +292,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     docs = bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     found = stash(docs.mapInArrow(_anchors, ANCHORS), "anchors")
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # written, so that both sides of the join are dealt out plainly and a very common gram's rows can be split
+    twice = stash(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated-grams")
     open_ = stash(found.join(twice, "key"), "repeated-anchors")
     kinds = open_.groupBy("key", "stretch").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "mark", "first", "starts")).alias("one"))
     kinds = stash(kinds.join(kinds.groupBy("key").agg(F.count("*").alias("d")), "key"), "stretches")
