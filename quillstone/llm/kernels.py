@@ -35,7 +35,7 @@ BYTES = mix(np.arange(1, 257, dtype=U))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0..n."""
     if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         for k, base in enumerate((BASE, BASE_INVERSE)):
             full = np.full(size, base, U)
             full[0] = 1
@@ -66,6 +66,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    # a worker outlives its task and would hold on to what Arrow no longer needs
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

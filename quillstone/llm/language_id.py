@@ -30,7 +30,7 @@ LEAST_COUNT = 2
 LONGEST = 5
 SMOOTHING, PENALTY = 0.5, 1.0
 #: Scored words that a task remembers before it starts over.
-MEMORY = 200_000
+MEMORY = 50_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for piece in K.slices(batches, "text", 1 << 22):
+        for piece in K.slices(batches, "text"):
             langs, scores = scorer.batch(piece.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs), pa.array(scores, pa.float64())], [*piece.schema.names, "lang_pred", "score"])
 

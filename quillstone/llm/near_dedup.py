@@ -32,6 +32,8 @@ NAME = "op4_minhash_near_dedup"
 SHINGLE = 5
 BANDS, ROWS = 45, 5
 BITS, SIGNED = 4, 224
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 19
 #: Percent of the union that two linked sets share.
 SIMILARITY = 75
 #: Pairs whose estimate is below this are not confirmed. The estimate of a pair at
@@ -107,7 +109,7 @@ def _lists(rows: np.ndarray, width: int) -> pa.Array:
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in K.slices(batches, "text"):
+    for piece in K.slices(batches, "text", SLICE):
         sets = shingle_sets(piece.column("text"))
         full = [s for s in sets if len(s)]
         m = np.zeros((len(sets), BANDS * ROWS), np.uint32)
@@ -123,7 +125,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in K.slices(batches, "text"):
+    for piece in K.slices(batches, "text", SLICE):
         sets = shingle_sets(piece.column("text"))
         keep = [k for k, (s, d) in enumerate(zip(sets, piece.column("digest").to_pylist(), strict=True)) if len(s) and xxhash.xxh3_128_hexdigest(s.tobytes()) == d]
         if keep:
