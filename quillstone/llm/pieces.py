@@ -163,9 +163,9 @@ class Encoder:
         end = start + 1
         sym = symbols
 
-        def rank(i: np.ndarray) -> np.ndarray:
-            """Of the pairs that begin at elements i: rank, then place."""
-            out = np.full(len(i), NO_RANK, np.int64)
+        def rank(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of the pairs that begin at elements i: rank and place in one number, and the piece they make."""
+            out, made = np.full(len(i), NO_RANK, np.int64), np.zeros(len(i), np.int64)
             ok = i + 1 < len(sym)
             ok[ok] = seg[i[ok]] == seg[i[ok] + 1]
             i2 = i[ok]
@@ -174,12 +174,12 @@ class Encoder:
             if self.drops:
                 g = i2[good]
                 good[good] = ~self._skipped(keys[seg[g]], start[g], start[g + 1], end[g + 1])
-            value = np.full(len(i2), NO_RANK, np.int64)
-            value[good] = (self.m["ranks"][found[good]] << 20) + start[i2[good]]
-            out[ok] = value
-            return out
+            at, found = np.flatnonzero(ok)[good], found[good]
+            out[at] = (self.m["ranks"][found] << 20) + start[i2[good]]
+            made[at] = self.m["merged"][found]
+            return out, made
 
-        ranks = rank(np.arange(len(sym)))
+        ranks, into = rank(np.arange(len(sym)))
         while len(sym):
             first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
             best = np.minimum.reduceat(ranks, first)
@@ -191,19 +191,20 @@ class Encoder:
                 done_seg.append(seg[shut])
                 done_start.append(start[shut])
                 done_sym.append(sym[shut])
-                sym, seg, start, end, ranks, best, per = sym[is_open], seg[is_open], start[is_open], end[is_open], ranks[is_open], best[open_], per[open_]
+                sym, seg, start, end, ranks, into, best, per = sym[is_open], seg[is_open], start[is_open], end[is_open], ranks[is_open], into[is_open], best[open_], per[open_]
                 if not len(sym):
                     break
             at = np.flatnonzero(ranks == np.repeat(best, per))  # one in each segment, as a place occurs once
-            found = self._find(sym[at], sym[at + 1])
-            sym[at] = self.m["merged"][found]
+            sym[at] = into[at]
             end[at] = end[at + 1]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             moved = at - np.arange(len(at))
-            sym, seg, start, end, ranks = sym[keep], seg[keep], start[keep], end[keep], ranks[keep]
-            changed = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
-            ranks[changed] = rank(changed)
+            sym, seg, start, end, ranks, into = sym[keep], seg[keep], start[keep], end[keep], ranks[keep], into[keep]
+            touched = np.zeros(len(sym), bool)
+            touched[moved] = touched[np.maximum(moved - 1, 0)] = True
+            changed = np.flatnonzero(touched)
+            ranks[changed], into[changed] = rank(changed)
         seg, start, sym = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_seg, done_start, done_sym))
         order = np.lexsort((start, seg))
         return sym[order], np.bincount(seg, minlength=len(sizes))
