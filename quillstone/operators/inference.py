@@ -19,27 +19,39 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 12) / F.lit(float(1 << 52))
 
 
-def resampled(lines: DataFrame, resamples: int, seed: int = 42) -> DataFrame:
-    """(rep, line_ord, weight): how often each line is in each resample.
+#: Resamples whose counts one pass over the tokens sums side by side.
+BESIDE = 32
 
-    Weights are Poisson variates of mean 1, the limit of drawing n of n lines
-    with replacement, so that lines need no numbers and nothing is joined.
+
+def poisson_weight(seed: int, rep: int) -> Column:
+    """How often a resample has a line: a Poisson variate of mean 1.
+
+    This is the limit of drawing n of n lines with replacement; lines need no
+    numbers for it and nothing is joined.
     """
-    u = draw(seed, F.col("rep"), F.col("line_ord"))
-    cuts, p, run = [], math.exp(-1), 0.0
+    u = draw(seed, F.lit(rep), F.col("line_ord"))
+    weight, p, run = F.lit(0), math.exp(-1), 0.0
     for k in range(12):
         run += p
-        cuts.append(run)
+        weight = weight + (u > run).cast("int")
         p /= k + 1
-    weight = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < u))
-    reps = lines.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    return reps.withColumn("weight", weight).filter("weight > 0")
+    return weight
 
 
 def replicated_counts(lines: DataFrame, resamples: int, seed: int = 42) -> DataFrame:
-    """(rep, token, n) of each resample. Tokens are counted by line first, so a line's tokens are exploded once a type."""
-    rows = resampled(lines, resamples, seed).select("rep", "weight", F.explode(F.transform("tokens", lambda t: F.regexp_replace(t, "[{}]", ""))).alias("token"))
-    return rows.groupBy("rep", "token").agg(F.sum("weight").alias("n"))
+    """(rep, token, n) of each resample.
+
+    A token row carries its line's weights in BESIDE resamples, and these are
+    summed as columns, so the tokens are dealt out once for all of them.
+    """
+    out = None
+    for start in range(0, resamples, BESIDE):
+        reps = range(start, min(start + BESIDE, resamples))
+        rows = lines.select(F.array(*[poisson_weight(seed, r) for r in reps]).alias("w"), F.explode(F.transform("tokens", lambda t: F.regexp_replace(t, "[{}]", ""))).alias("token"))
+        sums = rows.groupBy("token").agg(*[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(len(reps))])
+        part = sums.select("token", F.posexplode(F.array(*[f"w{k}" for k in range(len(reps))])).alias("k", "n")).filter("n > 0").select((F.col("k") + start).alias("rep"), "token", "n")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def entropy_statistic(counts: DataFrame) -> DataFrame:
