@@ -23,19 +23,25 @@ def draw(seed: int, *parts: Column) -> Column:
 BESIDE = 32
 
 
-def poisson_weight(seed: int, rep: int) -> Column:
-    """How often a resample has a line: a Poisson variate of mean 1.
+def poisson_weights(seed: int, reps: range) -> Column:
+    """How often each of some resamples has a line: Poisson variates of mean 1.
 
     This is the limit of drawing n of n lines with replacement; lines need no
     numbers for it and nothing is joined.
     """
-    u = draw(seed, F.lit(rep), F.col("line_ord"))
-    weight, p, run = F.lit(0), math.exp(-1), 0.0
+    cuts, p, run = [], math.exp(-1), 0.0
     for k in range(12):
         run += p
-        weight = weight + (u > run).cast("int")
+        cuts.append(run)
         p /= k + 1
-    return weight
+
+    def weight(u: Column) -> Column:
+        out = F.lit(0)
+        for c in cuts:
+            out = out + (u > c).cast("int")
+        return out
+
+    return F.transform(F.transform(F.sequence(F.lit(reps[0]), F.lit(reps[-1])), lambda r: draw(seed, r, F.col("line_ord"))), weight)
 
 
 def replicated_counts(lines: DataFrame, resamples: int, seed: int = 42) -> DataFrame:
@@ -47,7 +53,7 @@ def replicated_counts(lines: DataFrame, resamples: int, seed: int = 42) -> DataF
     out = None
     for start in range(0, resamples, BESIDE):
         reps = range(start, min(start + BESIDE, resamples))
-        rows = lines.select(F.array(*[poisson_weight(seed, r) for r in reps]).alias("w"), F.explode(F.transform("tokens", lambda t: F.regexp_replace(t, "[{}]", ""))).alias("token"))
+        rows = lines.select(poisson_weights(seed, reps).alias("w"), F.explode(F.transform("tokens", lambda t: F.regexp_replace(t, "[{}]", ""))).alias("token"))
         sums = rows.groupBy("token").agg(*[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(len(reps))])
         part = sums.select("token", F.posexplode(F.array(*[f"w{k}" for k in range(len(reps))])).alias("k", "n")).filter("n > 0").select((F.col("k") + start).alias("rep"), "token", "n")
         out = part if out is None else out.union(part)
