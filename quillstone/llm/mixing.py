@@ -4,7 +4,8 @@ Each source has a mean repetition rate: its share of the wanted rows over the
 rows it has. Each document's number of copies is a Poisson variate with that
 mean, found by inverting the distribution at a uniform number hashed from the
 seed and the document's key, so that the draw does not depend on how the rows
-are partitioned. Copies are exploded and shuffled globally by another hash.
+are partitioned. A large mean is drawn as a sum of Poisson variates of equal
+smaller means, each with a hash of its own. Copies are exploded and shuffled globally by another hash.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ NAME = "op6_poisson_mixing"
 SEED = "mix-1"
 #: Weight of a source: its rows to this power. 1 keeps the shares, 0 makes them equal.
 TEMPERATURE = 0.5
-#: The largest number of copies that the inversion tells apart; at a mean of 64
-#: the probability beyond it is below 1e-20, and larger means are refused.
+#: The largest number of copies that one inversion tells apart; at a mean of 64
+#: the probability beyond it is below 1e-20, and larger means are drawn in parts.
 MOST_COPIES, MOST_MEAN = 160, 64.0
 #: A table of sources with at most so many rows (a name and a rate each) is broadcast.
 BROADCAST_SOURCES = 20_000
@@ -51,14 +52,21 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, rows: int | None =
 
 
 def copies(rate: Column, u: Column) -> Column:
-    """The Poisson quantile of ``u``: how many of the cumulative probabilities it exceeds."""
+    """The Poisson quantile of ``u`` at a mean up to ``MOST_MEAN``: how many of the cumulative probabilities it exceeds."""
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.when(u > F.exp(-rate), 1).otherwise(0).alias("n"))
 
     def step(s, k):
         p = s.p * rate / k.cast("double")
         return F.struct(p.alias("p"), (s.c + p).alias("c"), (s.n + F.when(u > s.c + p, 1).otherwise(0)).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.least(F.ceil(rate * 2).cast("int") + 32, F.lit(MOST_COPIES))), start, step, lambda s: s.n)
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(rate * 2).cast("int") + 32), start, step, lambda s: s.n)
+
+
+def drawn(rate: Column, seed: str, key: Column) -> Column:
+    """A Poisson variate of any mean: at a mean above ``MOST_MEAN`` the sum of variates of equal parts of it, each part with a draw of its own."""
+    parts = F.ceil(rate / MOST_MEAN)
+    draws = F.transform(F.sequence(F.lit(1).cast("bigint"), parts), lambda k: uniform(seed, key, k))
+    return F.when(parts <= 1, copies(rate, uniform(seed, key))).otherwise(F.aggregate(draws, F.lit(0), lambda n, u: n + copies(rate / parts, u)))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, rows: int | None = None, seed: str = SEED, key: str = "doc_id") -> DataFrame:
@@ -67,15 +75,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, rows: int | None = No
     The order is that of ``shuffle_key``, by range over the partitions and
     sorted within each. A null source is the source "" and keeps its null; a
     null key draws as "". Repeated rows draw the same number. Columns of
-    ``docs`` named like the added ones are replaced. Raises where a mean
-    exceeds ``MOST_MEAN``. An empty table gives an empty one.
+    ``docs`` named like the added ones are replaced. An empty table gives an
+    empty one.
     """
     spark = docs.sparkSession
     docs = docs.drop("copy_no", "shuffle_key", "_source", "_rate", "_salt")
     table = rates(docs, weights, rows)
-    n, most = table.agg(F.count("*"), F.max("rate")).first()
-    if most is not None and most > MOST_MEAN:
-        raise ValueError(f"a source would be repeated {most:.3g} times on average; at most {MOST_MEAN:g} are supported")
+    n = table.count()
     small = table.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     left = docs.withColumn("_source", F.coalesce("source", F.lit("")))
     if n <= BROADCAST_SOURCES:
@@ -83,8 +89,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, rows: int | None = No
     else:  # salted, as one source may hold a third of all rows
         left = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
         joined = left.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["_source", "_salt"])
-    drawn = joined.withColumn("_n", copies(F.col("_rate"), uniform(seed, F.col(key)))).filter("_n > 0")
-    many = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    repeated = joined.withColumn("_n", drawn(F.col("_rate"), seed, F.col(key))).filter("_n > 0")
+    many = repeated.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     many = many.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy_no").cast("string"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the keys are uniform, so hashing their leading digits deals rows out evenly without a sampling pass

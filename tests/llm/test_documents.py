@@ -297,6 +297,18 @@ def test_mixing(documents):
     assert {r.source for r in mixing.mix(documents, weights, rows=200).collect()} == {"s1"}
 
 
+def test_mixing_small_sources(spark):
+    """Sources so small that their rows are repeated more often than one inversion can tell."""
+    sizes = {"big": 20_000, "one": 1, **{f"few{k}": 4 for k in range(50)}}
+    rows = [(s, k) for s, n in sizes.items() for k in range(n)]
+    docs = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "doc_id bigint, source string")
+    rate = {r.source: r.rate for r in mixing.rates(docs).collect()}
+    got = {r.source: r["count"] for r in mixing.mix(docs).groupBy("source").count().collect()}
+    assert rate["one"] > mixing.MOST_MEAN > rate["few0"] and all(abs(got[s] - n * rate[s]) < 6 * (n * rate[s]) ** 0.5 for s, n in sizes.items())
+    few = np.array([r.n for r in docs.select(mixing.drawn(F.lit(500.0), "x", F.col("doc_id")).alias("n")).collect()])
+    assert abs(few.mean() - 500) < 1 and abs(few.var() / 500 - 1) < 0.05
+
+
 def test_license_scan(documents):
     import duckdb
 
