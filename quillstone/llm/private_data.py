@@ -6,7 +6,8 @@ and again, and seldom elsewhere, tell who is meant even when the value itself
 is gone: from co-occurrence over the whole corpus, a term's pointwise mutual
 information with the entity is set against the information content of the
 entity. Terms that disclose at least the share ``DISCLOSURE`` of it, in at
-least ``SUPPORT`` different contexts, are marked as well.
+least ``SUPPORT`` different contexts, are marked as well, wherever they stand
+in a document that holds the entity.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from quillstone.llm.storage import bounded, stash
 NAME = "op7_private_data"
 ORACLE = None
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity, on its line, that count as its context.
+#: Words on each side of an entity, across line ends, that count as its context.
 WINDOW = 8
 #: The share of an entity's information content from which a term discloses it, and in how many different contexts.
 DISCLOSURE, SUPPORT = 0.9, 3
@@ -87,28 +88,32 @@ def _key(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
+def _entity(text: str, a: int, kind: int, b: int) -> int:
+    value = text[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", text[a:b])
+    return _key(f"{kind}:{value}")
+
+
 def contexts(text: str, found: list[tuple[int, int, int]]) -> list[dict]:
-    """The words near each entity: its key, the word's key and place, and the key of the context's words."""
+    """The words near each entity: its key, the word's key, and the key of the context's words."""
     out = []
     covered = [(a, b) for a, _, b in found]
     for a, kind, b in found:
-        value = text[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", text[a:b])
-        low = text.rfind("\n", 0, a) + 1
-        high = text.find("\n", b)
-        high = len(text) if high < 0 else high
         # WINDOW words of up to 64 characters each are looked for on either side
-        low, high = max(low, a - 64 * WINDOW), min(high, b + 64 * WINDOW)
+        low, high = max(0, a - 64 * WINDOW), min(len(text), b + 64 * WINDOW)
         near = [*[m for m in _TERM.finditer(text, low, a)][-WINDOW:], *[m for m in _TERM.finditer(text, b, high)][:WINDOW]]
         near = [m for m in near if not any(m.start() < y and m.end() > x for x, y in covered)]
         context = _key(" ".join(m.group().lower() for m in near))
-        out += [{"entity": _key(f"{kind}:{value}"), "term": _key(m.group().lower()), "start": m.start(), "end": m.end(), "context": context} for m in near]
+        entity = _entity(text, a, kind, b)
+        out += [{"entity": entity, "term": _key(m.group().lower()), "context": context} for m in near]
     return out
 
 
-_OCCURRENCE = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())])
+_OCCURRENCE = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 FOUND = (
     "doc_id bigint, text_key bigint, n_chars bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
-    "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:bigint,term:bigint,start:int,end:int,context:bigint>>"
+    "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:bigint,term:bigint,context:bigint>>, "
+    "entities array<bigint>, held string"  # the text only of rows with an entity
 )
 
 
@@ -126,13 +131,33 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece.column("doc_id"), pa.array([_key(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
                 *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)],
                 pa.array([hashlib.sha256(written(f).encode()).hexdigest() for f in found]),
-                pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in f] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
+                pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in f] for f in found], _SPANS),
                 pa.array([contexts(t, f) if f else [] for t, f in zip(texts, found, strict=True)], pa.list_(_OCCURRENCE)),
+                pa.array([sorted({_entity(t, *s) for s in f}) for t, f in zip(texts, found, strict=True)], pa.list_(pa.int64())),
+                pa.array([t if f else None for t, f in zip(texts, found, strict=True)], pa.string()),
             ],
-            ["doc_id", "text_key", "n_chars", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
+            ["doc_id", "text_key", "n_chars", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "entities", "held"],
         )
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each row's terms in its whole text, but for those inside base matches."""
+    for piece in K.slices(batches, "held"):
+        keys: dict[str, int] = {}
+        out = []
+        for text, base, terms in zip(piece.column("held").to_pylist(), piece.column("base").to_pylist(), piece.column("terms").to_pylist(), strict=True):
+            wanted, own = set(terms), []
+            for m in _TERM.finditer(text):
+                word = m.group().lower()
+                key = keys.get(word)
+                if key is None:
+                    key = keys[word] = _key(word)
+                if key in wanted and not any(m.start() < s["end"] and m.end() > s["start"] for s in base):
+                    own.append({"start": m.start(), "kind": len(KINDS) - 1, "end": m.end()})
+            out.append(own)
+        yield pa.RecordBatch.from_arrays([piece.column("row_no"), pa.array(out, _SPANS)], ["row_no", "extra"])
+
+
 def _counter(wanted: bytes):
     """A function that counts, for each slice of texts, the words whose key may be wanted, and all words (as key null)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +197,17 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     table[slots] = 1
     words = stash(docs.select("text").mapInArrow(_counter(np.packbits(table).tobytes()), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "word-counts")
     total = words.filter("term IS NULL").agg(F.max("n")).first()[0] or 1
-    entity = near.groupBy("row_no", "entity").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count("*").alias("ne"))
+    holders = rows.select("row_no", F.explode("entities").alias("entity"))
+    entity = holders.groupBy("entity").agg(F.count("*").alias("ne"))
     content = -F.log2(F.col("ne") / F.lit(float(total)))
     shared = F.log2(F.col("n") * F.lit(float(total)) / (F.col("ne") * F.col("nt")))
     telling = (
         pairs.join(entity, "entity").join(words.filter("term IS NOT NULL").select("term", F.col("n").alias("nt")), "term")
         .filter(shared >= disclosure * content).select("entity", "term")
     )
-    extra = (
-        near.join(telling, ["entity", "term"]).groupBy("row_no")
-        .agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end"))).alias("extra"))
-    )
-    return rows, extra
+    terms = holders.join(telling, "entity").groupBy("row_no").agg(F.collect_set("term").alias("terms"))
+    extra = bounded(rows.select("row_no", "base", "held").join(terms, "row_no")).mapInArrow(_mark, "row_no bigint, extra array<struct<start:int,kind:int,end:int>>")
+    return rows, extra.filter(F.size("extra") > 0)
 
 
 def private_spans(docs: DataFrame) -> DataFrame:

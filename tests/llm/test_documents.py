@@ -216,6 +216,20 @@ def test_private_spans_and_terms(spark):
     assert new[0].n_chars == len(new[0].text) and len(new) == len({i for i, _ in rows})
 
 
+def test_private_terms_of_whole_documents(spark):
+    """A disclosing term goes from every place of a document that holds the entity, also where it stands on another line."""
+    mail = "jane@corp.example.com"
+    rows = [(k, f"Wombat {prose(40 + k, 400)}\nfrom Zebrafish\n{mail}\n{w}\n{prose(70 + k, 400)} {['', 'zebrafish'][k < 2]} again") for k, w in enumerate(["monday", "tuesday", "friday", "sunday"])]
+    rows += [(10, f"zebrafish {prose(9, 80)}\n{'0 ' * 400}\n{mail}\n{'0 ' * 400}"), (11, prose(5, 100)), (12, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    new = {r.doc_id: r.text for r in private_data.sanitise(docs).collect()}
+    assert all("zebrafish" not in new[k].lower() and "Wombat" in new[k] for k in range(4))
+    assert new[10].startswith("[TERM] ") and mail not in new[10] and new[11] == rows[5][1] and new[12] is None
+    spans = {r.doc_id: r.spans for r in private_data.private_spans(docs).collect()}
+    marked = [rows[0][1][slice(*map(int, s.split(":")[1:]))].lower() for s in spans[0].split(",") if s.startswith("term")]
+    assert marked.count("zebrafish") == 2
+
+
 # -- language ------------------------------------------------------------------------------
 
 def test_language_id(spark):
