@@ -41,6 +41,8 @@ TEMPLATES = (
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Blocks are lines, cut further after a full stop, mark or semicolon before white space.
 BLOCK = r"\n|[.!?;](?=[ \t\r\n])"
+#: Sentences, which go on over line ends up to a blank line; those of several lines are blocks as well, for notices that are wrapped.
+SENTENCE = r"\n[ \t\r]*\n|[.!?;](?=[ \t\r\n])"
 
 
 def split_words(text: Column) -> Column:
@@ -75,8 +77,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
 
     rows: row_no, doc_id, n_words, hits (array of start and label of each
     place of a base phrase). matches: row_no, block_no, template, label,
-    containment of each block that has the required share of a template; of
-    several templates of one block, those with most words in common. A null
+    containment of each block that has the required share of a template, but
+    for a template whose words are all among those of another that has more
+    in common with the block. Blocks are numbered lines first, then sentences
+    of several lines. A null
     or empty text has no words and no blocks; repeated rows stay apart by
     row_no; lower-casing follows Unicode, which changes none of the words
     that templates or phrases consist of.
@@ -113,7 +117,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
     blocks = (
         rows.filter("low IS NOT NULL")
-        .select("row_no", F.posexplode(F.split("low", BLOCK)).alias("block_no", "block"))
+        .select("row_no", F.posexplode(F.concat(F.split("low", BLOCK), F.filter(F.split("low", SENTENCE), lambda x: F.trim(x, F.lit(" \t\r\n")).contains("\n")))).alias("block_no", "block"))
         .select("row_no", "block_no", F.array_intersect(split_words(F.col("block")), F.array(*map(F.lit, vocabulary))).alias("b"))
         .filter(F.size("b") > 0)
         .withColumn("b", F.transform(F.array_sort(F.transform("b", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda s: s.w))
@@ -128,10 +132,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
         .groupBy("row_no", "block_no", "template", "label")
         .agg(F.max("overlap").alias("overlap"), F.max("size").alias("size"))
     )
-    best = found.groupBy("row_no", "block_no").agg(F.max("overlap").alias("most"))
+    # at most one row for each two templates given: the first's words are among the second's
+    within = [(i, j) for i, _, a in sets for j, _, b in sets if set(a) < set(b)]
+    wider = spark.createDataFrame(within, "template int, other int")
+    better = found.select("row_no", "block_no", F.col("template").alias("other"), F.col("overlap").alias("more")).join(F.broadcast(wider), "other")
     matches = (
-        found.join(best, ["row_no", "block_no"])
-        .filter("overlap = most")
+        found.join(better, (found.row_no == better.row_no) & (found.block_no == better.block_no) & (found.template == better.template) & (found.overlap < better.more), "left_anti")
         .select("row_no", "block_no", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
     )
     return rows.select("row_no", "doc_id", "n_words", "hits"), matches

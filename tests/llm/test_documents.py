@@ -336,6 +336,16 @@ def test_license_scan(documents):
     assert any(r.labels == "cc-by-nc,mit" and r.base_labels == "mit" for r in found)
 
 
+def test_license_scan_of_wrapped_and_joint_notices(spark):
+    wrapped = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files"
+    rows = [
+        (1, wrapped), (2, wrapped.replace("\n", "\n\n")), (3, "All rights reserved, licensed under CC BY 4.0"), (4, "Licensed under CC BY-NC 4.0"),
+        (5, "Licensed under CC BY 4.0\nLicensed under CC BY-NC 4.0"),
+    ]
+    found = license_scan.digest(*license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+    assert {r.doc_id: r.labels for r in found} == {1: "mit", 2: "", 3: "cc-by,reserved", 4: "cc-by-nc", 5: "cc-by,cc-by-nc"}
+
+
 # -- every operator on an empty table, and the pipeline --------------------------------------------
 
 def test_empty_tables(none):
