@@ -6,7 +6,7 @@ before it kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import language_id, mixing, near_dedup, pieces, private_data
@@ -48,8 +48,18 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces: doc_id, lang, source, n_chars, ids, lossless."""
-    return pieces.encode(docs.select(*COLUMNS))
+    """The documents as pieces: doc_id, lang, source, n_chars, ids, lossless.
+
+    Equal rows are numbered, so that each copy draws its own dropout, and dealt
+    out in random order again, as numbering brings them together.
+    """
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
+    numbered = docs.select(*COLUMNS, F.row_number().over(same).alias("copy"))
+    made = pieces.encode(numbered, key=("doc_id", "copy"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.xxhash64(F.lit(mixing.SEED), "doc_id", "copy")
+    dealt = made.withColumn("_order", order).repartitionById(parts, F.pmod("_order", F.lit(parts)).cast("int")).sortWithinPartitions("_order")
+    return dealt.drop("copy", "_order")
 
 
 STAGES = [

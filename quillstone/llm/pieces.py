@@ -4,12 +4,13 @@ The vocabulary is that of a public byte-pair model; its path is a parameter.
 Text is cut before runs of spaces, which no piece crosses, and each segment is
 merged by an agenda: the candidate of the best score, the leftmost of equals,
 is merged next. A candidate is skipped where a hash keyed by the seed, the
-segment and the candidate's place falls under the dropout rate, so that a
-seed gives the same pieces wherever and however often a row is encoded. At
-rate 0 the pieces are the model's own.
+row, the segment and its number, and the candidate's place falls under the
+dropout rate, so that a seed gives the same pieces wherever a row is encoded.
+At rate 0 the pieces are the model's own.
 
-Agendas of many segments run in step, as numpy arrays; equal segments with the
-same key are merged once a slice. Long segments have an agenda of their own.
+Agendas of many segments run in step, as numpy arrays. Equal segments of a
+slice share an agenda only where all its candidates are skipped or kept alike
+for each of them. Long segments have an agenda of their own.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ NAME = "op9_sentencepiece_dropout"
 ORACLE = None
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 7
-#: Ways in which a segment can be cut under one seed; a document's segments choose among them by hash.
-VARIANTS = 16
 #: Segments of more symbols than this have an agenda of their own.
 LONG = 48
 NO_RANK = np.int64(1) << 40
@@ -156,9 +155,10 @@ class Encoder:
             x = after[x]
         return out
 
-    def _merge(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of segments laid end to end, and their number in each."""
+    def _merge(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, drops: bool) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """The pieces of segments laid end to end, their number in each, and with dropout all candidates: segment, start, middle, end."""
         seg, start = K.runs(sizes)
+        seen: list[tuple] = []
         done_seg, done_start, done_sym = [], [], []
         end = start + 1
         sym = symbols
@@ -173,6 +173,8 @@ class Encoder:
             good = found >= 0
             if self.drops:
                 g = i2[good]
+                seen.append((seg[g], start[g], start[g + 1], end[g + 1]))
+            if drops:
                 good[good] = ~self._skipped(keys[seg[g]], start[g], start[g + 1], end[g + 1])
             at, found = np.flatnonzero(ok)[good], found[good]
             out[at] = (self.m["ranks"][found] << 20) + start[i2[good]]
@@ -207,7 +209,66 @@ class Encoder:
             ranks[changed], into[changed] = rank(changed)
         seg, start, sym = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_seg, done_start, done_sym))
         order = np.lexsort((start, seg))
-        return sym[order], np.bincount(seg, minlength=len(sizes))
+        return sym[order], np.bincount(seg, minlength=len(sizes)), tuple(np.concatenate(x) for x in zip(*seen, strict=True)) if seen else ()
+
+    def _cut(self, sym: np.ndarray, first: np.ndarray, sizes: np.ndarray, keys: np.ndarray, drops: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """The pieces of segments that begin at ``first``, where those of each start, their number, and the candidates of short ones."""
+        long_ = sizes > LONG
+        short = np.where(long_, 0, sizes)
+        group, place = K.runs(short)
+        ids, counts, seen = self._merge(sym[first[group] + place], short, keys, drops)
+        starts = np.cumsum(counts) - counts
+        if long_.any() and (drops or not self.drops):
+            more = {k: np.array(self._long(sym[first[k] : first[k] + sizes[k]].tolist(), keys[k]), np.int64) for k in np.flatnonzero(long_).tolist()}
+            at = len(ids)
+            for k, v in more.items():
+                starts[k], counts[k] = at, len(v)
+                at += len(v)
+            ids = np.concatenate([ids, *more.values()])
+        return ids, starts, counts, seen
+
+    def _dropped(self, sym: np.ndarray, first: np.ndarray, sizes: np.ndarray, content: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of some segments, and where those of each segment start and their number.
+
+        At first equal segments are merged once, without dropout. Those of them
+        that skip some candidate are merged once for each set of skipped ones,
+        by the key of one; those that differ from it later on, by their own.
+        """
+        todo, sign = np.arange(len(first)), content
+        pool, starts, counts, at = [], np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), 0
+        for turn in range(3):
+            if not len(todo):
+                break
+            if turn < 2:
+                _, one, inverse = np.unique(sign, return_index=True, return_inverse=True)
+            else:
+                one = inverse = np.arange(len(todo))
+            chosen = todo[one]
+            ids, s, c, seen = self._cut(sym, first[chosen], sizes[chosen], key[chosen], turn > 0)
+            pool.append(ids)
+            starts[todo], counts[todo] = s[inverse] + at, c[inverse]
+            at += len(ids)
+            if turn == 2:
+                break
+            other, mark = np.zeros(len(todo), bool), np.zeros(len(todo), K.U)
+            if seen:
+                order = np.argsort(seen[0], kind="stable")
+                of, begin, middle, end = (x[order] for x in seen)
+                per = np.bincount(of, minlength=len(chosen))
+                expected = self._skipped(key[chosen][of], begin, middle, end) if turn else np.zeros(len(of), bool)
+                group, place = K.runs(per[inverse])
+                x = (np.cumsum(per) - per)[inverse][group] + place
+                skipped = self._skipped(key[todo][group], begin[x], middle[x], end[x])
+                other[group[skipped != expected[x]]] = True
+                with np.errstate(over="ignore"):
+                    np.add.at(mark, group[skipped], K.mix((begin[x] << 40 | middle[x] << 20 | end[x])[skipped].astype(K.U)))
+            is_long = sizes[todo] > LONG
+            if turn == 0:
+                other |= is_long
+            with np.errstate(over="ignore"):
+                sign = np.where(is_long, key[todo], content[todo] + K.mix(mark))[other]
+            todo = todo[other]
+        return np.concatenate(pool), starts, counts
 
     def encode(self, texts: list[str], row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts laid end to end, and their number in each. An empty text has none."""
@@ -234,24 +295,16 @@ class Encoder:
             content = K.mix((prefix[first + sizes] - prefix[first]) * down[first] + sizes.astype(K.U))
             key = content + K.U(self.seed) * K.BASE
             if self.drops:
-                key += K.mix(row_keys[lengths > 0][doc] + ordinal.astype(K.U) + K.U(self.seed)) % K.U(VARIANTS)
+                key += K.mix(row_keys[lengths > 0][doc] + ordinal.astype(K.U) + K.U(self.seed))
             key = K.mix(key)
-        _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-        long_ = sizes[one] > LONG
-        group, place = K.runs(np.where(long_, 0, sizes[one]))
-        ids, counts = self._merge(sym[first[one][group] + place], np.where(long_, 0, sizes[one]), key[one])
-        starts = np.cumsum(counts) - counts
-        if long_.any():
-            more = {k: np.array(self._long(sym[first[one[k]] : first[one[k]] + sizes[one[k]]].tolist(), key[one[k]]), np.int64) for k in np.flatnonzero(long_).tolist()}
-            extra = np.concatenate(list(more.values()))
-            at = len(ids)
-            for k, v in more.items():
-                starts[k], counts[k] = at, len(v)
-                at += len(v)
-            ids = np.concatenate([ids, extra])
-        per = counts[inverse]
+        if self.drops:
+            ids, starts, per = self._dropped(sym, first, sizes, content, key)
+        else:
+            _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+            ids, starts, counts, _ = self._cut(sym, first[one], sizes[one], key[one], False)
+            starts, per = starts[inverse], counts[inverse]
         group, place = K.runs(per)
-        out = ids[starts[inverse][group] + place]
+        out = ids[starts[group] + place]
         sizes_of = np.zeros(len(texts), np.int64)
         if (out < 0).any():
             out, per = self._as_bytes(out, per)

@@ -277,6 +277,18 @@ def test_dropout_is_lossless_varied_and_the_same_by_either_agenda(texts, monkeyp
     assert np.array_equal(encode(0.3, 7)[0], ids)
 
 
+def test_dropout_is_drawn_for_each_occurrence(monkeypatch):
+    """A frequent word is cut in more than 16 ways, as often as by agendas of its own."""
+    own = ["understanding internationalisation"] * 3000
+    keys = np.array([pieces.row_key(7, (k,)) for k in range(len(own))], np.uint64)
+    encode = lambda some: pieces.Encoder(pieces.load(), 0.1, 7).encode(own[:some], keys[:some])
+    ids, counts = encode(3000)
+    ends = np.append(0, np.cumsum(counts))
+    assert len({tuple(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)}) > 16 * 16
+    monkeypatch.setattr(pieces, "LONG", 1)
+    assert np.array_equal(encode(300)[0], ids[: ends[300]])
+
+
 def test_encode_documents(documents, texts):
     rows = pieces.encode(documents).collect()
     assert len(rows) == len(texts) + 3 and all(r.lossless for r in rows) and {r.score for r in rows} == {"clash"}
@@ -375,6 +387,14 @@ def test_pipeline(spark, documents, tmp_path):
     assert {r.doc_id for r in kept.collect()} == expected and kept.filter("doc_id = 66").count() == 1
 
 
+def test_copies_draw_their_own_dropout(spark):
+    row = (1, prose(3, 200), "en", "s1", 1)
+    docs = spark.createDataFrame([row] * 4 + [(2, *row[1:])], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    made = [corpus_pipeline.encoded(spark, docs.repartition(n), "").collect() for n in (1, 3)]
+    ids = [sorted((r.doc_id, tuple(r.ids)) for r in rows) for rows in made]
+    assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == 5 and all(r.lossless for r in made[0])
+
+
 def test_registry():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
     assert numbers == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
