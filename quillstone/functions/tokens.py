@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Symbol groups that count as one unit, for segmenting in general and for the slot grammar.
+#: White space of any kind, as a class that Java's and RE2's patterns both read.
+WHITE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Symbol groups that count as one unit, for segmenting in general and for the slot grammar; the slots; the sections.
 UNITS = ("aiiin", "aiin", "ain", "cth", "ckh", "cph", "cfh", "eee", "iii", "ch", "sh", "ee", "ii", "ol", "or", "al", "ar")
 SLOT_UNITS = ("cth", "ckh", "cph", "cfh", "eee", "iii", "ch", "sh", "ee", "ii", "ol", "or", "al", "ar")
 GALLOWS = ("k", "t", "p", "f")
@@ -23,11 +25,16 @@ SECTIONS = (("herbal", 1, 66), ("astronomical", 67, 67), ("cosmological", 68, 73
 
 def tokenise(text: Column) -> Column:
     """Full stops and hyphens separate like white space; other marks stay."""
-    return F.filter(F.split(F.translate(text, ".-", "  "), r"\s+"), lambda t: t != "")
+    return plain_tokens(F.translate(text, ".-", "  "))
 
 
 def plain_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.filter(F.split(text, f"{WHITE}+"), lambda t: t != "")
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
 
 def strip_uncertainty(token: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.draws import drawn
 from quillstone.operators.order import with_next
 
 #: Fewer types than this have no rank-frequency fit.
@@ -64,8 +69,6 @@ def ranked(vocabulary: DataFrame) -> DataFrame:
     The table of distinct frequencies is small (at most about the square root
     of twice the number of tokens); its ranks are exploded in pieces.
     """
-    from pyspark.sql import Window
-
     sizes = vocabulary.groupBy("n").agg(F.count("*").alias("types"))
     start = F.sum("types").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     pieces = sizes.withColumn("start", F.coalesce(start, F.lit(0))).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("types") - 1) / RANKS))))
@@ -85,27 +88,29 @@ def zipf_fit(vocabulary: DataFrame) -> DataFrame:
     )
 
 
+#: The spread of random tokens' lengths.
+SPREAD = 1.5
+
+
 def random_tokens(spark, characters: DataFrame, length: float, n: int, seed: int = 42) -> DataFrame:
     """(token, n) of ``n`` random tokens: lengths about ``length``, characters by their frequency.
 
-    Each number is drawn by hashing the seed and its place, so the tokens do
-    not depend on partitioning. ``characters`` is an alphabet and is collected.
+    Each number is drawn from the seed and its place, so the tokens do not
+    depend on partitioning. ``characters`` is an alphabet and is collected.
     """
     rows = characters.orderBy(F.desc("n"), "token").collect()
-    total, sums, run = sum(r["n"] for r in rows), [], 0
-    for r in rows:
-        run += r["n"]
-        sums.append(run / total)
-    letters, cuts = F.array(*[F.lit(r["token"]) for r in rows]), F.array(*map(F.lit, sums))
-
-    def u(*parts):
-        return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 12) / F.lit(float(1 << 52)))
-
-    normal = F.sqrt(-2 * F.log(F.greatest(u(F.col("id"), F.lit(1)), F.lit(1e-300)))) * F.cos(2 * 3.141592653589793 * u(F.col("id"), F.lit(2)))
-    size = F.greatest(F.lit(1), (F.lit(length) + 1.5 * normal).cast("int"))
-
-    def draw(i):
-        x = u(F.col("id"), i + 10)
-        return F.element_at(letters, F.least(F.size(F.filter(cuts, lambda c: c <= x)) + 1, F.lit(len(rows))))
-
-    return spark.range(n).select(F.array_join(F.transform(F.sequence(F.lit(1), size), draw), "").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ends = np.cumsum([r["n"] for r in rows])
+    points = np.array([ord(r["token"]) for r in rows], np.uint32)
+
+    def make(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            radius = np.sqrt(-2 * np.log(np.maximum(drawn(seed, ids, 1), 1e-300)))
+            sizes = np.maximum(1, np.trunc(length + SPREAD * (radius * np.cos(2 * math.pi * drawn(seed, ids, 2)))).astype(np.int64))
+            stops = np.cumsum(sizes)
+            place = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - sizes, sizes)
+            x = np.floor(drawn(seed, np.repeat(ids, sizes), place + 11) * int(ends[-1])).astype(np.int64)
+            text = points[np.searchsorted(ends, x, "right")].tobytes().decode("utf-32-le")
+            yield pa.RecordBatch.from_arrays([pa.array([text[b - k : b] for b, k in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.string())], ["token"])
+
+    return spark.range(n if rows else 0).mapInArrow(make, "token string").groupBy("token").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.sources.shared import stored
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b) with a < b, once each."""
@@ -19,23 +21,56 @@ def metrics(edges: DataFrame) -> DataFrame:
     return both.withColumn("density", F.round(F.coalesce(density, F.lit(0.0)), 3))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each is connected with.
+#: Neighbours of a node that are worked through together, on average; nodes with more are split.
+GROUP = 128
+#: There are at most so many nodes that are split, so that their table can be broadcast.
+HUBS = 100_000
+
+
+def _grouped(links: DataFrame) -> DataFrame:
+    """(u, s, v): the links with each node's neighbours dealt into groups, one unless the node is a hub."""
+    bar = max(GROUP, -(-links.count() // HUBS))  # at most links / bar nodes have more neighbours
+    hubs = links.groupBy("u").agg(F.count("*").alias("degree")).filter(F.col("degree") > bar).select("u", F.ceil(F.col("degree") / F.lit(float(bar))).alias("groups"))
+    dealt = links.join(F.broadcast(hubs), "u", "left")
+    return dealt.select("u", F.coalesce(F.pmod(F.xxhash64("v"), F.col("groups")), F.lit(0).cast("bigint")).alias("s"), "v")
+
+
+def _smallest(grouped: DataFrame) -> DataFrame:
+    """(u, s, m): the smallest neighbour of each node, for each of its groups; found from the groups' own smallest."""
+    own = grouped.groupBy("u", "s").agg(F.min("v").alias("m"))
+    return own.select("u", "s").join(own.groupBy("u").agg(F.min("m").alias("m")), "u")
 
-    Labels take the smallest of their neighbours', and then their label's
-    label, until none changes. Each round is cut off by a reliable checkpoint.
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b) that has a link: the smallest node it is connected with.
+
+    Large and small stars in turn: each round replaces a node's neighbours by
+    links to the smallest of them; the number of rounds grows with the
+    logarithm of a component's diameter. A node with many neighbours is worked
+    through in groups of them, so that no task gets all the links of a hub. Every round is written to the shared
+    folder, so no plan grows with the rounds. Loops and repeated edges make no
+    difference.
     """
-    own = undirected(edges)
-    both = own.union(own.select("b", "a")).toDF("node", "next").checkpoint()
-    labels = both.select("node").distinct().withColumn("component", F.col("node")).checkpoint()
+    links = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     while True:
-        near = both.join(labels.toDF("next", "c"), "next").groupBy("node").agg(F.min("c").alias("c"))
-        lower = labels.join(near, "node").select("node", F.least("component", "c").alias("component"))
-        hop = lower.select(F.col("node").alias("component"), F.col("component").alias("c"))
-        new = lower.join(hop, "component").select("node", F.least("component", "c").alias("component")).checkpoint()
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
+        both = stored(_grouped(links.union(links.select("v", "u"))), "edge-groups")
+        large = stored(both.join(_smallest(both), ["u", "s"]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges")
+        near = stored(_grouped(large), "edge-groups")
+        low = _smallest(near)
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        links = stored(near.join(low, ["u", "s"]).select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u > v").distinct(), "edges")
+        # done when every child has one parent, and no parent is a child
+        ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child")))
+        tied = links.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.sum("child").alias("c"), F.min("child").alias("p"))
+        if tied.filter("c > 1 OR (c = 1 AND p = 0)").isEmpty():
+            break
+    roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each is connected with."""
+    return stars(undirected(edges))
 
 
 def sizes(parts: DataFrame) -> DataFrame:

@@ -3,110 +3,253 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.entropy import LEAST_TYPES, entropy_of
+from quillstone.functions import tokens as T
+from quillstone.operators.draws import drawn, poisson_weights
+from quillstone.operators.entropy import LEAST_TYPES, entropy_of, zipf_fit
 
 LEAST_TOKENS, LEAST_SHARED, LEAST_EXPECTED = 30, 5, 0.5
+#: The rule engine's own test: tokens of a section at least, and the expectation that a cell must exceed.
+RULE_TOKENS, RULE_EXPECTED = 50, 0.0
+
+# -- bootstrap -------------------------------------------------------------------------
+
+#: Occurrences of a token in one batch from which they are summed before they are dealt out.
+HEAVY = 256
+#: Rows times resamples that are weighted at once.
+CELLS = 4_000_000
+
+
+def _weighted(seed: int, resamples: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens with their line's key; for tokens that a batch has many of, the sums of their weights instead."""
+        for batch in batches:
+            lists = batch.column("t")
+            keys = np.repeat(batch.column("line_ord").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            words = lists.flatten().dictionary_encode()
+            codes, names = words.indices.to_numpy(), words.dictionary
+            heavy = np.flatnonzero(np.bincount(codes, minlength=len(names)) >= HEAVY)
+            rest = ~np.isin(codes, heavy)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(codes[rest])), pa.array(keys[rest]), pa.nulls(int(rest.sum()), pa.binary())], ["token", "key", "sums"])
+            for code in heavy.tolist():
+                sums = _summed(seed, resamples, keys[codes == code])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array([code])), pa.array([None], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["token", "key", "sums"])
+
+    return split
+
+
+def _summed(seed: int, resamples: int, keys: np.ndarray) -> np.ndarray:
+    out, step = np.zeros(resamples, np.int64), max(1, CELLS // resamples)
+    for a in range(0, len(keys), step):
+        out += poisson_weights(seed, keys[a : a + step], resamples).sum(axis=0, dtype=np.int64)
+    return out
 
 
-def draw(seed: int, *parts: Column) -> Column:
-    """A number from 0 up to 1 that depends on the seed and the parts alone, not on partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 12) / F.lit(float(1 << 52))
+def _gathered(seed: int, resamples: int, reduce: Callable[[np.ndarray], pa.RecordBatch]):
+    """A function over rows sorted by token that hands ``reduce`` blocks of counts, a row for each token."""
+    step = max(1, CELLS // resamples)
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros((1, resamples), np.int64)  # the token at the end of what has been read
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                token, key = piece.column("token"), piece.column("key")
+                weights = poisson_weights(seed, key.fill_null(0).to_numpy(), resamples).astype(np.int64)
+                for k in np.flatnonzero(key.is_null().to_numpy(zero_copy_only=False)).tolist():
+                    weights[k] = np.frombuffer(piece.column("sums")[k].as_py(), np.int64)
+                names = token.to_pylist()
+                first = np.flatnonzero([a != b for a, b in zip(names, [None, *names[:-1]], strict=True)])
+                counts = np.add.reduceat(weights, first, axis=0)
+                if names[0] == last:
+                    counts[0] += held[0]
+                elif last is not None:
+                    counts = np.concatenate([held, counts])
+                last, held = names[-1], counts[-1:]
+                if len(counts) > 1:
+                    yield reduce(counts[:-1])
+        if last is not None:
+            yield reduce(held)
 
-#: Resamples whose counts one pass over the tokens sums side by side.
-BESIDE = 32
+    return gather
 
 
-def poisson_weights(seed: int, reps: range) -> Column:
-    """How often each of some resamples has a line: Poisson variates of mean 1.
+def _entropy_parts(counts: np.ndarray) -> pa.RecordBatch:
+    logs = np.log2(np.maximum(counts, 1)) * counts
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(counts.shape[1])), pa.array(counts.sum(axis=0)), pa.array(logs.sum(axis=0))], ["rep", "n", "nlogn"])
 
-    This is the limit of drawing n of n lines with replacement; lines need no
-    numbers for it and nothing is joined.
-    """
-    cuts, p, run = [], math.exp(-1), 0.0
-    for k in range(12):
-        run += p
-        cuts.append(run)
-        p /= k + 1
 
-    def weight(u: Column) -> Column:
-        out = F.lit(0)
-        for c in cuts:
-            out = out + (u > c).cast("int")
-        return out
+def _entropies(parts: DataFrame) -> DataFrame:
+    sums = parts.groupBy("rep").agg(F.sum("n").alias("n"), F.sum("nlogn").alias("s")).filter("n > 0")
+    return sums.select("rep", F.greatest(F.lit(0.0), F.log2("n") - F.col("s") / F.col("n")).alias("value"))
 
-    return F.transform(F.transform(F.sequence(F.lit(reps[0]), F.lit(reps[-1])), lambda r: draw(seed, r, F.col("line_ord"))), weight)
 
+def _frequencies(counts: np.ndarray) -> pa.RecordBatch:
+    """How many tokens have each frequency, resample by resample."""
+    rep = np.broadcast_to(np.arange(counts.shape[1]), counts.shape)[counts > 0]
+    pairs, types = np.unique(np.stack([rep, counts[counts > 0]], axis=1), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(types)], ["rep", "n", "types"])
 
-def replicated_counts(lines: DataFrame, resamples: int, seed: int = 42) -> DataFrame:
-    """(rep, token, n) of each resample.
 
-    A token row carries its line's weights in BESIDE resamples, and these are
-    summed as columns, so the tokens are dealt out once for all of them.
-    """
-    out = None
-    for start in range(0, resamples, BESIDE):
-        reps = range(start, min(start + BESIDE, resamples))
-        rows = lines.select(poisson_weights(seed, reps).alias("w"), F.explode(F.transform("tokens", lambda t: F.regexp_replace(t, "[{}]", ""))).alias("token"))
-        sums = rows.groupBy("token").agg(*[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(len(reps))])
-        part = sums.select("token", F.posexplode(F.array(*[f"w{k}" for k in range(len(reps))])).alias("k", "n")).filter("n > 0").select((F.col("k") + start).alias("rep"), "token", "n")
-        out = part if out is None else out.union(part)
-    return out
+@cache
+def _log_tables(size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    logs = np.log(np.arange(1, size + 1))
+    return np.concatenate([[0.0], np.cumsum(logs)]), np.concatenate([[0.0], np.cumsum(logs * logs)])
+
+
+def log_sums(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of log k and of its square for k from 1 to each n: tables, and beyond them the Euler-Maclaurin formula."""
+    one, two = _log_tables()
+    top = len(one) - 1
+    inside = np.minimum(n, top)
+
+    def tail(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = np.log(x)
+        return x * g - x + g / 2 + 1 / (12 * x), x * g * g - 2 * x * g + 2 * x + g * g / 2 + g / (6 * x)
+
+    far, edge = tail(np.maximum(n, top).astype(float)), tail(np.array([float(top)]))
+    return one[inside] + far[0] - edge[0], two[inside] + far[1] - edge[1]
+
+
+def _log_square_sums(start: pd.Series, end: pd.Series) -> pd.DataFrame:
+    a, b = (log_sums(s.to_numpy(np.int64)) for s in (start, end))
+    return pd.DataFrame({"x": b[0] - a[0], "xx": b[1] - a[1]})
+
+
+def _slopes(parts: DataFrame) -> DataFrame:
+    """Least squares of log frequency on log rank; equal frequencies have neighbouring ranks, so they go in as sums over these."""
+    sizes = parts.groupBy("rep", "n").agg(F.sum("types").alias("types"))
+    w = Window.partitionBy("rep").orderBy(F.desc("n"))  # a row for each distinct frequency
+    placed = sizes.withColumn("start", F.coalesce(F.sum("types").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = placed.withColumn("s", F.pandas_udf(_log_square_sums, "x double, xx double")("start", F.col("start") + F.col("types"))).withColumn("y", F.log("n"))
+    fit = sums.groupBy("rep").agg(
+        F.sum("types").alias("v"), F.sum("s.x").alias("x"), F.sum("s.xx").alias("xx"), F.sum(F.col("types") * F.col("y")).alias("y"), F.sum(F.col("s.x") * F.col("y")).alias("xy"),
+    )
+    slope = (F.col("v") * F.col("xy") - F.col("x") * F.col("y")) / (F.col("v") * F.col("xx") - F.col("x") * F.col("x"))
+    return fit.select("rep", F.when(F.col("v") >= LEAST_TYPES, -slope).alias("value"))
 
 
-def entropy_statistic(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("rep").agg(entropy_of().alias("value"))
+@dataclass(frozen=True)
+class Statistic:
+    """What is resampled: its value for a vocabulary, the parts that a block of counts gives, and the values they add up to."""
 
+    point: Callable[[DataFrame], DataFrame]
+    parts: Callable[[np.ndarray], pa.RecordBatch]
+    schema: str
+    values: Callable[[DataFrame], DataFrame]
 
-def zipf_statistic(counts: DataFrame) -> DataFrame:
-    """The slope of log frequency on log rank; equal frequencies share their ranks' mean logarithm by a window over each resample's distinct frequencies."""
-    from pyspark.sql import Window
 
-    sizes = counts.groupBy("rep", "n").agg(F.count("*").alias("types"))
-    w = Window.partitionBy("rep").orderBy(F.desc("n"))
-    start = F.coalesce(F.sum("types").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = sizes.withColumn("start", start).select("rep", "n", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("types"))).alias("rank"))
-    fit = ranks.groupBy("rep").agg(F.count("*").alias("v"), F.regr_slope(F.log("n"), F.log("rank")).alias("s"))
-    return fit.select("rep", F.when(F.col("v") >= LEAST_TYPES, -F.col("s")).alias("value"))
+ENTROPY = Statistic(lambda v: v.agg(entropy_of().alias("point")), _entropy_parts, "rep bigint, n bigint, nlogn double", _entropies)
+ZIPF = Statistic(lambda v: zipf_fit(v).select(F.col("alpha").alias("point")), _frequencies, "rep bigint, n bigint, types bigint", _slopes)
 
 
 def interval(values: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """(low, high): percentiles of a statistic (rep, value), interpolated linearly."""
+    """(low, high, resamples): percentiles of a statistic (rep, value), interpolated linearly."""
     tail = (1 - confidence) / 2
     q = F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail)))
-    return values.agg(q.alias("q"), F.count("value").alias("resamples")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "resamples")
+    return values.agg(q.alias("q"), F.count("value").alias("resamples")).select(F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"), "resamples")
 
 
-def bootstrap(lines: DataFrame, statistic: Callable[[DataFrame], DataFrame], resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """The interval of ``statistic``, a function from (rep, token, n) to (rep, value)."""
-    return interval(statistic(replicated_counts(lines, resamples, seed)), confidence)
+def bootstrap(lines: DataFrame, statistic: Statistic, resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(point, low, high, resamples) of a statistic of the tokens of ``lines`` (line_ord, tokens), lines being resampled.
+
+    Tokens are dealt out once. Where they arrive, a token's counts in all
+    resamples are sums of its lines' weights; only what a statistic needs of
+    them leaves the task.
+    """
+    clean = lines.select("line_ord", T.clean_tokens(F.col("tokens")).alias("t")).filter(F.size("t") > 0)
+    rows = clean.mapInArrow(_weighted(seed, resamples), "token string, key bigint, sums binary")
+    parts = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_gathered(seed, resamples, statistic.parts), statistic.schema)
+    vocabulary = clean.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return statistic.point(vocabulary).select(F.round("point", 6).alias("point")).crossJoin(interval(statistic.values(parts), confidence))  # one row each
+
+
+def bootstrap_initial_rate(lines: DataFrame, token: str, resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(point, low, high, resamples) of the share of a token's occurrences that open a line; 0 in a resample without it."""
+    has = F.size(F.filter("t", lambda t: t == token))
+    own = lines.select("line_ord", T.clean_tokens(F.col("tokens")).alias("t")).select("line_ord", has.alias("k"), (F.get("t", F.lit(0)) == token).cast("int").alias("first")).filter("k > 0")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, k, first = (batch.column(c).to_numpy() for c in ("line_ord", "k", "first"))
+            total, initial = np.zeros(resamples, np.int64), np.zeros(resamples, np.int64)
+            step = max(1, CELLS // resamples)
+            for a in range(0, len(key), step):
+                w = poisson_weights(seed, key[a : a + step], resamples).astype(np.int64)
+                total += k[a : a + step] @ w
+                initial += first[a : a + step] @ w
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total), pa.array(initial)], ["rep", "total", "initial"])
+
+    parts = own.mapInArrow(sums, "rep bigint, total bigint, initial bigint")
+    every = lines.sparkSession.range(resamples).withColumnRenamed("id", "rep").join(parts.groupBy("rep").agg(F.sum("total").alias("total"), F.sum("initial").alias("initial")), "rep", "left")
+    values = every.select("rep", F.coalesce(F.try_divide("initial", "total"), F.lit(0.0)).alias("value"))
+    point = own.agg(F.round(F.coalesce(F.try_divide(F.sum("first"), F.sum("k")), F.lit(0.0)), 6).alias("point"))
+    return point.crossJoin(interval(values, confidence))  # one row each
+
+
+# -- permutations ----------------------------------------------------------------------------
+
+def binomial_quantiles(m: int, p: float, u: np.ndarray) -> np.ndarray:
+    """How many of the cumulative probabilities of a binomial variate each number exceeds."""
+    if p >= 1:
+        return np.full(len(u), m)
+    mean, spread = m * p, math.sqrt(m * p * (1 - p))
+    low, high = max(0, int(mean - 12 * spread - 30)), min(m, int(mean + 12 * spread + 30))
+    j = np.arange(low, high + 1)
+    whole = math.lgamma(m + 1)
+    logs = np.array([whole - math.lgamma(k + 1) - math.lgamma(m - k + 1) for k in j.tolist()]) + j * math.log(p) + (m - j) * math.log1p(-p)
+    sums = np.cumsum(np.exp(logs))
+    return low + np.searchsorted(sums, u, "left")
+
+
+TESTED = "token string, observed_rate double, total bigint, observed bigint, null_mean double, null_std double, p_value double, significant boolean"
+
+
+def permutation_tests(rows: DataFrame, tokens: list[str], permutations: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Whether each token opens lines more often than by chance; the k-th token of the list draws by ``seed + k``.
+
+    When the tokens of a line are shuffled, the chance that a given one comes
+    first is its share of the line, independently of other lines. Lines with
+    equal shares are alike, so each permutation draws one binomial number for
+    all lines of the same length that have the token equally often. What a
+    task gets of a token is a row for each such length and number. A token
+    that the corpus lacks has no row.
+    """
+    seeds = {t: seed + k for k, t in enumerate(tokens)}
+    own = rows.filter(F.col("token").isin(tokens)).groupBy("token", "line_ord").agg(F.count("*").alias("k"), F.first("size").alias("size"), F.max((F.col("pos") == 0).cast("int")).alias("first"))
+    alike = own.groupBy("token", "k", "size").agg(F.count("*").alias("m"), F.sum("first").alias("first"))
+
+    def test(g: pd.DataFrame) -> pd.DataFrame:
+        token = g["token"].iloc[0]
+        x, reps = np.zeros(permutations, np.int64), np.arange(permutations)
+        for k, size, m in g[["k", "size", "m"]].itertuples(index=False):
+            x += binomial_quantiles(int(m), k / size, drawn(seeds[token], reps, int(k), int(size)))
+        total, observed = int((g["k"] * g["m"]).sum()), int(g["first"].sum())
+        rates, p = x / total, float(np.mean(x >= observed))
+        return pd.DataFrame([(token, round(observed / total, 4), total, observed, round(rates.mean(), 4), round(rates.std(), 4), round(p, 4), p < alpha)], columns=[c.split()[0] for c in TESTED.split(", ")])
+
+    return alike.groupBy("token").applyInPandas(test, TESTED)
 
 
 def permutation_test(rows: DataFrame, token: str, permutations: int = 1000, seed: int = 42) -> DataFrame:
-    """Whether a token opens lines more often than it would by chance.
+    """``permutation_tests`` of one token; one that the corpus lacks is an error."""
+    if rows.filter(F.col("token") == token).isEmpty():
+        raise ValueError(f"the corpus has no token {token!r}")
+    return permutation_tests(rows, [token], permutations, seed)
 
-    When the tokens of a line are shuffled, the chance that this one comes
-    first is its share of the line, independently of other lines. So each
-    permutation is a number drawn for each line that has the token.
-    """
-    own = rows.filter(F.col("token") == token).groupBy("line_ord").agg(F.count("*").alias("k"), F.first("size").alias("size"), F.max((F.col("pos") == 0).cast("int")).alias("first"))
-    seen = own.agg(F.sum("k").alias("total"), F.sum("first").alias("observed"))
-    reps = own.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    null = reps.groupBy("rep").agg(F.sum((draw(seed, F.col("rep"), F.col("line_ord")) < F.col("k") / F.col("size")).cast("int")).alias("x")).crossJoin(F.broadcast(seen))  # one row
-    rate = F.col("x") / F.col("total")
-    return null.agg(
-        F.lit(token).alias("token"), F.round(F.max("observed") / F.max("total"), 4).alias("observed_rate"), F.round(F.avg(rate), 4).alias("null_mean"),
-        F.round(F.stddev_pop(rate), 4).alias("null_std"), F.round(F.avg((F.col("x") >= F.col("observed")).cast("double")), 6).alias("p_value"),
-    )
 
+# -- chi-square ------------------------------------------------------------------------------
 
-def chi_square(rows: DataFrame, known: list[str], least_tokens: int = LEAST_TOKENS, least_expected: float = LEAST_EXPECTED) -> DataFrame:
+def chi_square(rows: DataFrame, known: list[str], least_tokens: int = LEAST_TOKENS, least_expected: float = LEAST_EXPECTED, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(section, n_tokens, n_types, chi_square, df, status) of each known section against the whole corpus."""
     own = rows.groupBy("section", "token").agg(F.count("*").alias("n"))
     whole = own.groupBy("token").agg(F.sum("n").alias("c"))
@@ -117,7 +260,7 @@ def chi_square(rows: DataFrame, known: list[str], least_tokens: int = LEAST_TOKE
     expected = F.col("n_tokens") * F.col("c") / F.col("t")
     cell = F.when(expected > least_expected, F.pow(F.col("n") - expected, F.lit(2.0)) / expected).otherwise(0.0)
     out = joined.groupBy("section", "n_tokens", "n_types").agg(F.sum(cell).alias("x"))
-    status = F.when(F.col("n_tokens") < least_tokens, "INSUFFICIENT_DATA").when(F.col("n_types") < LEAST_SHARED, "INSUFFICIENT_OVERLAP").otherwise("TESTED")
+    status = F.when(F.col("n_tokens") < least_tokens, "INSUFFICIENT_DATA").when(F.col("n_types") < least_shared, "INSUFFICIENT_OVERLAP").otherwise("TESTED")
     return out.withColumn("status", status).select(
         "section", "n_tokens", "n_types", F.when(F.col("status") == "TESTED", F.round("x", 4)).alias("chi_square"), F.when(F.col("status") == "TESTED", F.col("n_types") - 1).alias("df"), "status",
     )
@@ -151,12 +294,37 @@ def upper_gamma(a: float, x: float) -> float:
 
 
 def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    """The chance of a larger statistic; a value for each section."""
-    return pd.Series([None if pd.isna(v) or pd.isna(k) else upper_gamma(k / 2, v / 2) for v, k in zip(x, df, strict=True)], dtype="float64")
+    """The chance of a larger statistic, a value for each section; null without degrees of freedom."""
+    return pd.Series([None if pd.isna(v) or pd.isna(k) or k <= 0 else upper_gamma(k / 2, v / 2) for v, k in zip(x, df, strict=True)], dtype="float64")
+
+
+def _with_p(tests: DataFrame) -> DataFrame:
+    return tests.withColumn("p", F.pandas_udf(chi_square_p, "double")(F.col("chi_square"), F.col("df").cast("double")))
 
 
 def significance(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """``chi_square`` with p-values and the verdict at a level divided by the number of known sections, tested or not."""
     n = tests.agg(F.greatest(F.count("*"), F.lit(1)).alias("k"))
-    p = F.pandas_udf(chi_square_p, "double")(F.col("chi_square"), F.col("df").cast("double"))
-    return tests.withColumn("p", p).crossJoin(F.broadcast(n)).withColumn("significant", F.col("p") < alpha / F.col("k")).withColumn("p_value", F.round("p", 6)).drop("p", "k")  # one row
+    judged = _with_p(tests).crossJoin(F.broadcast(n))  # one row
+    return judged.withColumn("significant", F.col("p") < alpha / F.col("k")).withColumn("p_value", F.round("p", 6)).drop("p", "k")
+
+
+def rule_significance(rows: DataFrame, known: list[str], alpha: float = 0.05) -> DataFrame:
+    """(n_significant): the rule engine's own count of sections that differ from the corpus.
+
+    It asks more tokens of a section than the full test, counts every cell,
+    compares p-values that are rounded already, and divides the level by the
+    number of sections with data.
+    """
+    judged = _with_p(chi_square(rows, known, RULE_TOKENS, RULE_EXPECTED, least_shared=0))
+    p = F.coalesce(F.round("p", 6), F.lit(1.0))
+    sums = judged.select(p.alias("p")).agg(F.count("*").alias("k"), F.collect_list("p").alias("ps"))  # a number for each section
+    return sums.select(F.size(F.filter("ps", lambda p: p < alpha / F.greatest(F.col("k"), F.lit(1)))).cast("bigint").alias("n_significant"))
+
+
+def analysis(lines: DataFrame, rows: DataFrame, sections: DataFrame, known: list[str], initial: list[str], resamples: int = 500, seed: int = 42) -> dict[str, DataFrame]:
+    """The whole significance run: both intervals, the sections, and the permutation tests of the tokens given."""
+    return {
+        "entropy": bootstrap(lines, ENTROPY, resamples, seed=seed), "zipf_alpha": bootstrap(lines, ZIPF, resamples, seed=seed + 1),
+        "sections": significance(chi_square(sections, known)), "permutations": permutation_tests(rows, initial, resamples, seed + 100),
+    }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+#: A table of keywords with at most so many rows is sent to every task.
+BROADCAST_KEYWORDS = 10_000
 
 
 def exact(queries: DataFrame, table: DataFrame, key: str = "key") -> DataFrame:
@@ -15,39 +18,61 @@ def exact(queries: DataFrame, table: DataFrame, key: str = "key") -> DataFrame:
     return queries.withColumn(key, F.lower(F.trim("query"))).join(table, key)
 
 
+def letters_of(word: Column) -> Column:
+    """The characters of a word with the number of each."""
+    chars = F.filter(F.split(word, ""), lambda c: c != "")
+    return F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda d: d == c)).alias("n")))
+
+
+def at_most(a: Column, b: Column) -> Column:
+    """An upper bound of the similarity by matching blocks: twice the characters in common, whatever their order, over all characters."""
+    in_b = lambda x: F.coalesce(F.get(F.filter(b.letters, lambda y: y.c == x.c), F.lit(0)).n, F.lit(0))
+    shared = F.aggregate(a.letters, F.lit(0), lambda s, x: s + F.least(x.n, in_b(x)))
+    return F.try_divide(2.0 * shared, a.size + b.size)
+
+
+@F.pandas_udf(DoubleType())
+def similarity(first: pd.Series, second: pd.Series) -> pd.Series:
+    """The ratio of matching blocks of two words, which depends on their order."""
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(first, second, strict=True)])
+
+
 def fuzzy(queries: DataFrame, words: DataFrame, k: int = 5, cutoff: float = 0.3) -> DataFrame:
     """(query, rank, word, similarity): the k words most like each query by matching blocks.
 
     Words are ranked with the query as second sequence; the similarity given
-    has it first. Ties go to the larger word. The queries are those of a
-    caller and are sent to every block of words; each block keeps its best k.
+    has it first. Ties go to the larger word. Every word is set against the
+    queries of a caller, first by an upper bound from lengths and characters,
+    which Spark computes; matching blocks are looked for only in pairs whose
+    bound reaches ``cutoff``. Spark sends the queries to the words' partitions
+    where they are few enough, and else pairs partitions.
     """
-    asked = [r[0] for r in queries.select(F.lower(F.trim("query")).alias("query")).distinct().collect()]
-
-    def best(batches):
-        for batch in batches:
-            out = []
-            for q in asked:
-                m = SequenceMatcher()
-                m.set_seq2(q)
-                scored = []
-                for w in batch["word"]:
-                    m.set_seq1(w)
-                    if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and (s := m.ratio()) >= cutoff:
-                        scored.append((s, w))
-                out += [(q, s, w) for s, w in heapq.nlargest(k, scored)]
-            yield pd.DataFrame(out, columns=["query", "score", "word"])
-
-    from pyspark.sql import Window
-
-    found = words.select("word").distinct().mapInPandas(best, "query string, score double, word string")
+    described = lambda c: F.struct(F.char_length(c).alias("size"), letters_of(F.col(c)).alias("letters"))
+    asked = queries.select(F.lower(F.trim("query")).alias("query")).distinct().withColumn("q", described("query"))
+    own = words.select("word").filter("word IS NOT NULL").distinct().withColumn("w", described("word"))
+    least = F.try_divide(2.0 * F.least(F.col("w.size"), F.col("q.size")), F.col("w.size") + F.col("q.size")) >= cutoff
+    pairs = own.crossJoin(asked).filter(least).filter(at_most(F.col("w"), F.col("q")) >= cutoff).select("query", "word")
+    scored = pairs.withColumn("score", similarity("word", "query")).filter(F.col("score") >= cutoff)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word")))
-    shown = F.pandas_udf(lambda q, w: pd.Series([round(SequenceMatcher(None, a, b).ratio(), 3) for a, b in zip(q, w, strict=True)]), "double")
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "word", shown("query", "word").alias("similarity"))
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.select("query", "rank", "word", F.round(similarity("query", "word"), 3).alias("similarity"))
 
 
 def dispatch(queries: DataFrame, keywords: DataFrame) -> DataFrame:
-    """The answer of the first keyword (by key_order) that each query contains, or null. ``keywords`` is a small table of the caller's."""
-    q = queries.withColumn("low", F.lower("query"))
-    hits = q.join(F.broadcast(keywords), F.expr("instr(low, key) > 0"), "left")
-    return hits.groupBy("id").agg(F.min_by("key", "key_order").alias("key"), F.min_by("answer", "key_order").alias("answer"))
+    """``queries`` (id, query) with the key and answer of the first keyword (by key_order) that each contains, or null.
+
+    Repeated ids stay apart. A small table of keywords is one array that every
+    query is searched with; a larger one is joined, each query being numbered.
+    """
+    low = F.lower("query")
+    entry = F.struct("key_order", "key", "answer")
+    if keywords.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS:
+        table = keywords.filter("key IS NOT NULL").agg(F.array_sort(F.collect_list(entry)).alias("_keys"))
+        hit = F.get(F.filter("_keys", lambda k: low.contains(k.key)), F.lit(0))
+        found = queries.crossJoin(F.broadcast(table)).withColumn("_hit", hit)  # one row
+    else:
+        numbered = queries.withColumn("_row", F.monotonically_increasing_id()).withColumn("_low", low)
+        hits = numbered.join(keywords, F.col("_low").contains(F.col("key")), "left")
+        best = F.min(F.when(F.col("key").isNotNull(), entry))
+        found = hits.groupBy("_row").agg(F.any_value("id").alias("id"), best.alias("_hit"))
+    return found.select("id", F.col("_hit.key").alias("key"), F.col("_hit.answer").alias("answer"))

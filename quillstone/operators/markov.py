@@ -1,4 +1,4 @@
-"""Markov models of several orders, trained and tested in one pass over their n-grams."""
+"""Markov models of several orders, trained and tested on counts from one pass over the lines."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.tokens import MARK
 from quillstone.operators.order import smallest_by_hash
+from quillstone.sources.shared import stored
 
 #: Fewer lines than this are tested on the lines they were trained on.
 LEAST_LINES = 10
@@ -17,8 +18,8 @@ def split_lines(lines: DataFrame, share: float = 0.2, seed: int = 42) -> Column:
     return smallest_by_hash(lines, "line_ord", share, seed)
 
 
-def transitions(lines: DataFrame, orders: int) -> DataFrame:
-    """(order, context, token, n): what follows each context of 0 to ``orders`` tokens, within lines."""
+def occurrences(orders: int) -> Column:
+    """(order, context, token) of every place of a line, for contexts of 0 to ``orders`` tokens."""
     def of(k: int) -> Column:
         made = F.transform(
             F.sequence(F.lit(1), F.greatest(F.size("tokens") - k, F.lit(1))),
@@ -26,38 +27,66 @@ def transitions(lines: DataFrame, orders: int) -> DataFrame:
         )
         return F.when(F.size("tokens") > k, made).otherwise(F.array().cast("array<struct<order:int,context:string,token:string>>"))
 
-    rows = lines.select(F.explode(F.concat(*map(of, range(orders + 1)))).alias("t"))
-    return rows.groupBy("t.order", "t.context", "t.token").agg(F.count("*").alias("n"))
+    return F.concat(*map(of, range(orders + 1)))
+
+
+def transitions(lines: DataFrame, orders: int) -> DataFrame:
+    """(order, context, token, n): what follows each context of 0 to ``orders`` tokens, within lines."""
+    return lines.select(F.explode(occurrences(orders)).alias("t")).groupBy("t.order", "t.context", "t.token").agg(F.count("*").alias("n"))
+
 
+def counted(lines: DataFrame, held: Column, orders: int) -> DataFrame:
+    """(order, context, token, c, n): how often each transition is in training lines (c) and in held-out lines (n), in one pass."""
+    rows = lines.select(held.alias("held"), F.explode(occurrences(orders)).alias("t"))
+    return rows.groupBy("t.order", "t.context", "t.token").agg(F.count_if(~F.col("held")).alias("c"), F.count_if("held").alias("n"))
 
-def evaluate(train: DataFrame, test: DataFrame, orders: int = 4, smoothing: float = 1.0) -> DataFrame:
-    """(order, perplexity, n_tokens, n_unknown) of ``test`` under models of ``train``; additive smoothing over the vocabulary."""
-    seen = transitions(train, orders)
-    vocabulary = seen.filter("order = 0").select("token").distinct()
-    context = seen.groupBy("order", "context").agg(F.sum("n").alias("total"))
+
+def evaluate(counts: DataFrame, smoothing: float = 1.0, in_sample: bool = False) -> DataFrame:
+    """A row for each order of ``counted``: perplexities of training and held-out lines, and the sizes behind them.
+
+    Additive smoothing over the training vocabulary. ``in_sample`` takes the
+    training counts for those of the held-out lines.
+    """
+    asked = F.col("c") if in_sample else F.col("n")
+    counts = counts.withColumn("n", asked)
+    context = counts.groupBy("order", "context").agg(F.sum("c").alias("total"))
+    vocabulary = counts.filter("order = 0 AND c > 0").select("token", F.lit(1).alias("known"))
     size = vocabulary.agg(F.greatest(F.count("*"), F.lit(1)).alias("v"))
-    asked = transitions(test, orders)
+    # order 0 has one context, whose total is a number and not a join's hot key
+    whole = context.filter("order = 0").agg(F.max("total").alias("whole"))
     joined = (
-        asked.join(seen.withColumnRenamed("n", "c"), ["order", "context", "token"], "left").join(context, ["order", "context"], "left")
-        .join(vocabulary.withColumn("known", F.lit(1)), "token", "left").crossJoin(F.broadcast(size))  # one row
+        counts.join(context.filter("order > 0"), ["order", "context"], "left").join(vocabulary, "token", "left").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(whole))  # one row each
+        .withColumn("total", F.when(F.col("order") == 0, F.col("whole")).otherwise(F.col("total")))
     )
     s = F.lit(float(smoothing))
-    p = F.log2((F.coalesce("c", F.lit(0)) + s) / (F.coalesce("total", F.lit(0)) + s * F.col("v")))
-    return joined.groupBy("order").agg(
-        F.round(F.pow(F.lit(2.0), -F.sum(F.col("n") * p) / F.sum("n")), 4).alias("perplexity"), F.sum("n").alias("n_tokens"),
-        F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("n_unknown"),
+    p = F.log2((F.col("c") + s) / (F.coalesce("total", F.lit(0)) + s * F.col("v")))
+    perplexity = lambda n: F.round(F.pow(F.lit(2.0), -F.try_divide(F.sum(F.col(n) * p), F.sum(n))), 4)
+    sums = joined.groupBy("order").agg(
+        perplexity("c").alias("train_perplexity"), perplexity("n").alias("perplexity"), F.sum("c").alias("n_train_tokens"), F.sum("n").alias("n_tokens"),
+        F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("n_unknown"), F.max("v").alias("vocab_size"),
     )
+    contexts = context.filter("total > 0").groupBy("order").agg(F.count("*").alias("n_contexts"))
+    return sums.join(F.broadcast(contexts), "order", "left").withColumn("n_contexts", F.coalesce("n_contexts", F.lit(0).cast("bigint")))  # a row for each order
 
 
 def analysis(lines: DataFrame, orders: int = 4, smoothing: float = 1.0, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """``evaluate`` on held-out lines, the number of contexts, and the share of perplexity that each order saves."""
-    if share > 0 and lines.count() >= LEAST_LINES:
-        held = split_lines(lines, share, seed)
-        train, test = lines.filter(~held), lines.filter(held)
-    else:
-        train = test = lines
-    contexts = transitions(train, orders).groupBy("order").agg(F.countDistinct("context").alias("n_contexts"))
-    before = F.lag("perplexity").over(Window.orderBy("order"))  # a row for each order
-    saved = F.round(F.try_divide(before - F.col("perplexity"), before), 6)
-    out = evaluate(train, test, orders, smoothing).join(F.broadcast(contexts), "order")
-    return out.select("order", "perplexity", "n_tokens", "n_unknown", "n_contexts", saved.alias("reduction"))
+    """``evaluate`` for orders 0 to ``orders``, and the share of perplexity that each saves over the one before.
+
+    ``honest`` is false where there are too few lines to hold some out, or
+    none are to be: then the held-out perplexity is one of the training lines.
+    """
+    honest = share > 0 and lines.count() >= LEAST_LINES
+    held = split_lines(lines, share, seed) if honest else F.lit(False)
+    by_order = Window.orderBy("order")  # a row for each order
+    saved = lambda c: F.round(F.coalesce(F.try_divide(F.lag(c).over(by_order) - F.col(c), F.lag(c).over(by_order)), F.when(F.col("order") > 0, 0.0)), 6)
+    out = evaluate(stored(counted(lines, held, orders), "transitions"), smoothing, not honest)
+    return out.select(
+        "order", "train_perplexity", "perplexity", "n_train_tokens", "n_tokens", "n_unknown", "vocab_size", "n_contexts", saved("train_perplexity").alias("train_reduction"),
+        saved("perplexity").alias("reduction"), F.lit(honest).alias("honest"),
+    )
+
+
+def optimal(results: DataFrame) -> DataFrame:
+    """(by_train, by_test): the orders with the smallest finite perplexities, the first of equals."""
+    best = lambda c: F.min(F.when(F.col(c).isNotNull() & (F.abs(c) < float("inf")), F.struct(c, "order"))).order
+    return results.agg(best("train_perplexity").alias("by_train"), best("perplexity").alias("by_test"))

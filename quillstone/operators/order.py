@@ -6,6 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _below(bounds: Column, steps: int, key: Column, inclusive: bool) -> Column:
+    """How many of the sorted ``bounds`` are below ``key`` (or not above it), by binary search."""
+    def step(s, _):
+        mid = F.floor((s.lo + s.hi) / 2).cast("int")
+        at = F.get(bounds, mid)
+        up = (s.lo < s.hi) & ((at <= key) if inclusive else (at < key))
+        return F.struct(F.when(up, mid + 1).otherwise(s.lo).alias("lo"), F.when((s.lo < s.hi) & ~up, mid).otherwise(s.hi).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), start, step, lambda s: s.lo)
+
+
+def numbered_ranges(df: DataFrame, key: str, parts: int, tie: Column | None = None) -> DataFrame:
+    """Adds ``_part``: the number, from 0 to below ``parts``, of the range of ``key`` (a number without nulls) that a row is in.
+
+    The ranges hold about as many rows each; approximate bounds only decide
+    where they are cut. Rows of one key share a range, unless ``tie``, a
+    number from 0 up to 1 that orders them, lets a frequent key have several.
+    The bounds are a table of one row, so the plan does not grow with them.
+    """
+    bounds = sorted(int(b) for b in df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.2 / parts)) if parts > 1 else []
+    if not bounds:
+        return df.withColumn("_part", F.lit(0))
+    if tie is None:
+        bounds = sorted(set(bounds))
+    table = df.sparkSession.createDataFrame([(bounds,)], "_bounds array<bigint>")
+    with_bounds = df.crossJoin(F.broadcast(table))  # one row
+    steps = len(bounds).bit_length()
+    part = _below(F.col("_bounds"), steps, F.col(key), True)
+    if tie is not None:
+        low = _below(F.col("_bounds"), steps, F.col(key), False)
+        part = F.least(part, low + F.floor(tie * (part - low + 1)).cast("int"))
+    return with_bounds.withColumn("_part", part).drop("_bounds")
+
+
 def with_next(df: DataFrame, key: str, value: str, parts: int | None = None) -> DataFrame:
     """Adds ``following``: ``value`` of the next row by ``key`` (a number, unique), null at the last.
 
@@ -13,9 +48,7 @@ def with_next(df: DataFrame, key: str, value: str, parts: int | None = None) ->
     and a table with a row for each range gives what comes after its last row.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(b) for b in df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)}) if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col(key) >= b)) if bounds else F.lit(0)
-    cut = df.withColumn("_part", part)
+    cut = numbered_ranges(df, key, parts)
     heads = cut.groupBy("_part").agg(F.min_by(value, key).alias("_head"))
     # a row for each range
     ahead = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_ahead"))

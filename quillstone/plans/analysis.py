@@ -1,8 +1,4 @@
-"""The full analysis of one corpus: measurements by tier, rules, and reports.
-
-Everything large stays in DataFrames; what reaches the driver are the bounded
-tables that a report shows.
-"""
+"""The full analysis of one corpus: measurements by tier, rules, reports, and the plan made before it."""
 
 from __future__ import annotations
 
@@ -14,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import tokens as T
-from quillstone.operators import entropy, inference, markov, ngrams, positional, rules, slots
+from quillstone.operators import inference, positional, rules, slots
+from quillstone.plans import reports
+from quillstone.plans.reports import rows_of
 from quillstone.sources import lines as L
 
 #: The share of doubtful lines above which a warning is given.
@@ -26,71 +24,61 @@ LIMITATIONS = (
 )
 
 
-def rows_of(df: DataFrame) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.collect()]
+def rule_measurements(lines: DataFrame, entropy: dict, models: list[dict], covered: dict) -> dict:
+    """What the rules ask of the reports, and what they measure by themselves."""
+    rows = L.token_rows(lines)
+    pp = {m["order"]: m["perplexity"] for m in models}
+    sections = L.token_rows(reports.sectioned(lines), clean=True)
+    return {
+        "coverage": covered["coverage"], "worst_failure": max((f["share"] for f in covered["failures"]), default=None),
+        "core_usage": covered["usage"].get("core"), "most_usage": max(covered["usage"].values(), default=None),
+        "entropy": entropy["entropy"]["entropy"], "baseline_entropy": entropy["baseline"]["entropy"], "conditional_entropy": entropy["entropy"]["conditional_entropy"],
+        "alpha": entropy["zipf"]["alpha"] or 0.0, "r_squared": entropy["zipf"]["r_squared"] or 0.0,
+        "n_biased": positional.biased(positional.edge_rates(rows), 0.5).count(), "jaccard": positional.jaccard_of_edges(rows).first()[0],
+        "perplexity_0": pp.get(0), "perplexity_1": pp.get(1), "perplexity_saved": (pp[0] - pp[1]) / pp[0] if pp.get(0) and pp.get(1) else None,
+        "n_significant": inference.rule_significance(sections, reports.KNOWN).first()[0],
+    }
+
 
+def judged(spark, measured: dict) -> dict:
+    """The verdict of each rule, the counts that lead to the overall one, and a sentence on it."""
+    table = spark.createDataFrame([tuple(None if v is None else float(v) for v in measured.values())], ", ".join(f"{k} double" for k in measured))
+    verdicts = rules.evaluate(table)
+    overall = rows_of(rules.overall(verdicts))[0]
+    failed = [f"{v['rule']} ({v['severity'].lower()})" for v in rows_of(verdicts) if v["verdict"] == "FAIL"]
+    summary = f"{overall['verdict']}: of {len(rules.RULES)} rules, {len(failed)} fail{': ' + ', '.join(failed) if failed else ''}; {overall['inconclusive']} are inconclusive."
+    return {"rules": rows_of(verdicts), "overall": overall, "summary": summary}
 
-def analyse(lines: DataFrame, metadata: dict[str, str], seed: int = 42, resamples: int = 500, orders: int = 4) -> dict:
+
+def analyse(
+    lines: DataFrame, given: dict[str, str], seed: int = 42, resamples: int = 500, orders: int = 4, share: float = 0.2, run_id: str | None = None, significance: bool = True
+) -> dict:
     """The manifest of a run over ``lines`` (canonical columns): verified results, hypotheses, warnings, limitations."""
     lines = lines.persist()
-    spark, warnings = lines.sparkSession, []
-    rows = L.token_rows(lines)
-    raw, clean = L.vocabulary(rows).persist(), L.vocabulary(L.token_rows(lines, clean=True)).persist()
-    counts = lines.agg(F.count("*").alias("record_count"), F.countDistinct("folio").alias("folio_count"), F.sum(F.size("tokens")).alias("token_count"), F.count_if("has_uncertainty").alias("uncertainty_line_count")).first().asDict()
+    counts, warnings = reports.metadata(lines), []
     if not counts["record_count"]:
         raise ValueError("the corpus has no lines")
-    if metadata.get("transcription_version", "unknown") == "unknown":
+    if given.get("transcription_version", "unknown") == "unknown":
         warnings.append("The version of the transcription is not known.")
     if counts["uncertainty_line_count"] > DOUBTFUL * counts["record_count"]:
         warnings.append(f"{counts['uncertainty_line_count'] / counts['record_count']:.1%} of the lines are doubtful.")
-    tokens = T.clean_tokens(F.col("tokens"))
-    one = entropy.analyse(clean).first().asDict()
-    conditional = entropy.conditional_entropy(entropy.flat_pairs(lines, tokens), clean).first()[0]
-    zipf = entropy.zipf_fit(clean).first().asDict()
-    characters = entropy.character_counts(clean)
-    sums = clean.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.char_length("token")).alias("c")).first()
-    baseline = entropy.random_tokens(spark, characters, sums["c"] / sums["n"], sums["n"], seed).agg(entropy.entropy_of()).first()[0]
-    initial, final = positional.edge_rates(rows).persist(), positional.edge_rates(rows, final=True)
-    pairs = ngrams.counted(lines, 2)
-    models = rows_of(markov.analysis(lines, orders=orders, seed=seed).orderBy("order"))
-    checked = slots.validated(clean).persist()
-    cover = slots.coverage(checked).first().asDict()
-    if not cover["supported"]:
+    entropy, covered, models = reports.entropy_report(lines, seed=seed), reports.slots_report(lines), reports.markov_report(lines, orders, share=share, seed=seed)
+    if not covered["supported"]:
         warnings.append("The slot grammar covers too few tokens to be supported.")
-    sections = lines.withColumn("section", T.classify_folio(F.col("folio")))
-    tested = inference.significance(inference.chi_square(L.token_rows(sections, clean=True), [s for s, _, _ in T.SECTIONS])).persist()
-    only = lines.select("line_ord", "tokens")
-    intervals = {
-        "entropy": rows_of(inference.bootstrap(only, inference.entropy_statistic, resamples, seed=seed))[0],
-        "zipf_alpha": rows_of(inference.bootstrap(only, inference.zipf_statistic, resamples, seed=seed + 1))[0],
-    }
-    common = [r["token"] for r in initial.limit(5).filter("total >= 10").collect()]
-    permutations = [rows_of(inference.permutation_test(rows, t, resamples, seed + 100 + k))[0] for k, t in enumerate(common)]
-    usage = {r["slot"]: r["n"] for r in slots.usage(checked).collect()}
-    worst = slots.failures(checked).agg(F.max("share")).first()[0]
-    pp = {m["order"]: m["perplexity"] for m in models}
-    measured = {
-        "coverage": cover["coverage"], "worst_failure": worst, "core_usage": usage.get("core"), "most_usage": max(usage.values(), default=None), "entropy": one["entropy"],
-        "baseline_entropy": baseline, "conditional_entropy": conditional, "alpha": zipf["alpha"] or 0.0, "r_squared": zipf["r_squared"] or 0.0,
-        "n_biased": positional.biased(initial, 0.5).count(), "jaccard": positional.jaccard_of_edges(rows).first()[0], "perplexity_0": pp.get(0), "perplexity_1": pp.get(1),
-        "perplexity_saved": (pp[0] - pp[1]) / pp[0] if pp.get(0) and pp.get(1) else None, "n_significant": tested.filter("significant").count(),
-    }
-    table = spark.createDataFrame([tuple(None if v is None else float(v) for v in measured.values())], ", ".join(f"{k} double" for k in measured))
-    verdicts = rules.evaluate(table)
+    if models["split"]["warning"]:
+        warnings.append(models["split"]["warning"])
+    measured = rule_measurements(lines, entropy, models["markov"], covered)
     out = {
-        "run_id": uuid.uuid4().hex[:12], "created_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), "corpus_metadata": {**metadata, **counts},
+        "run_id": run_id or uuid.uuid4().hex[:12], "created_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), "corpus_metadata": {**given, **counts},
         "verified_results": {
-            "entropy": {**one, "conditional_entropy": round(conditional, 6)}, "baseline": {"entropy": round(baseline, 6), "delta_bits": round(baseline - one["entropy"], 4)}, "zipf": zipf,
-            "characters": rows_of(characters.orderBy(F.desc("n"), "token").limit(50)),
-            "positional": {"initial": rows_of(positional.biased(initial))[:10], "final": rows_of(positional.biased(final))[:10]},
-            "adjacency": {**ngrams.totals(lines, raw).first().asDict(), **ngrams.pair_entropy(pairs).first().asDict(), "bigrams": rows_of(ngrams.most_common(pairs))}, "markov": models,
-            "significance": {"intervals": intervals, "sections": rows_of(tested.orderBy("section")), "permutations": permutations},
+            "entropy": entropy["entropy"], "characters": entropy["characters"], "zipf": entropy["zipf"], "baseline": entropy["baseline"],
+            "positional": reports.positional_report(lines), "adjacency": reports.adjacency_report(lines), "markov": models,
+            "significance": reports.significance_report(lines, resamples, seed) if significance else {},
         },
-        "hypothesis_results": {"slots": {**cover, "usage": usage, "failures": rows_of(slots.failures(checked))}, "rules": rows_of(verdicts), "overall": rows_of(rules.overall(verdicts))[0]},
+        "hypothesis_results": {"slots": covered, **judged(lines.sparkSession, measured)},
         "warnings": warnings, "limitations": list(LIMITATIONS),
     }
-    for df in (lines, raw, clean, initial, checked, tested):
-        df.unpersist()
+    lines.unpersist()
     return out
 
 
@@ -108,12 +96,17 @@ def markdown(run: dict) -> str:
         return [f"### {title}", "", *[f"- {k.replace('_', ' ')}: {x}" for k, x in d.items() if not isinstance(x, dict | list)], ""] if d else []
 
     out = [f"# Corpus analysis {run.get('run_id', '')}", "", f"Made {run.get('created_at', 'at an unknown time')}.", "", "## Measurements", "", *facts("Corpus", m)]
-    for name in ("entropy", "baseline", "zipf", "adjacency"):
+    for name in ("entropy", "characters", "baseline", "zipf", "adjacency"):
         out += facts(name.capitalize(), v.get(name, {}))
-    for edge, rows in v.get("positional", {}).items():
-        out += table(f"Tokens bound to line {edge} place", rows)
-    out += table("Markov models", v.get("markov", [])) + table("Sections against the corpus", v.get("significance", {}).get("sections", []))
+    for edge, rows in v.get("positional", {}).get("biased", {}).items():
+        out += table(f"Tokens bound to the {edge.replace('_', '-')} place", rows)
+    out += table("Pairs of most mutual information", v.get("adjacency", {}).get("pmi_top", []))
+    models, tests = v.get("markov", {}), v.get("significance", {})
+    out += table("Markov models", models.get("markov", [])) + facts("Best order", models)
+    out += table("Intervals", [{"statistic": k, **x} for k, x in tests.get("intervals", {}).items()])
+    out += table("Sections against the corpus", tests.get("sections", [])) + table("Line-initial tokens against chance", tests.get("permutations", []))
     out += ["## Hypotheses", "", *facts("Slot grammar", h.get("slots", {})), *table("Rules", h.get("rules", [])), *facts("Verdict", h.get("overall", {}))]
+    out += [h["summary"], ""] if "summary" in h else []
     for name in ("warnings", "limitations"):
         out += [f"## {name.capitalize()}", "", *([f"- {w}" for w in run.get(name, [])] or ["- none"]), ""]
     return "\n".join(out)
@@ -126,8 +119,25 @@ def preregistration(corpus_version: str) -> dict:
     except (OSError, subprocess.SubprocessError):
         commit = None
     tests = [{"rule": i, "severity": s, "measurement": m, "passes_if": c} for i, s, m, c in rules.RULES]
+    plan = [
+        {"step": "ingest", "reads": "the transcription's files", "records": "the version, which must be that of corpus_to_be_tested"},
+        {"step": "entropy, positional, adjacency", "reads": "the ingested corpus", "tokens": "without braces for entropies, as they stand for places and neighbours"},
+        {"step": "markov", "orders": [0, 1, 2, 3, 4], "smoothing": 1.0, "test_fraction": 0.2, "seed": 42},
+        {"step": "slots", "tokens": "without marks of doubt", "supported_from": slots.SUPPORTED},
+        {"step": "significance", "resamples": 1000, "seed": 42, "correction": "the level divided by the number of known sections"},
+        {"step": "rules", "reads": "the measurements above", "gives": "a verdict for each rule and one overall"},
+        {"step": "report", "gives": "every result, whether it speaks for or against the hypothesis"},
+    ]
     return {
-        "created_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), "git_commit": commit, "corpus_to_be_tested": corpus_version, "primary_test": tests[0], "secondary_tests": tests[1:],
+        "created_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), "git_commit": commit, "corpus_to_be_tested": corpus_version,
+        "hypothesis": f"Tokens follow a small grammar of slots: it is refuted where fewer than {slots.SUPPORTED:.0%} of a corpus's tokens are valid under it.",
+        "primary_test": tests[0], "secondary_tests": tests[1:],
         "slots": [{"name": n, "permitted": sorted(p), "optional": o, "max_repeat": k} for n, p, o, k in T.SLOTS],
-        "analysis_plan": ["ingest", "entropy", "positional", "adjacency", "markov", "slots", "significance", "rules"], "exclusions": ["lines without tokens"],
+        "analysis_plan": plan,
+        "exclusions": [
+            "Lines without tokens are left out.",
+            "Tokens that hold nothing but marks of doubt count as invalid, and as doubtful.",
+            "No folio, section or token is left out because of how a test came out.",
+        ],
+        "deviations": [],
     }

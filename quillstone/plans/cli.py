@@ -10,68 +10,74 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions import tokens as T
-from quillstone.operators import entropy, inference, markov, ngrams, positional, rules, slots
-from quillstone.plans import analysis
+from quillstone.plans import analysis, reports
 from quillstone.sources import lines as L
 from quillstone.sources import sinks
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    return L.read_corpus(spark, path)
+    """An ingested corpus: a folder of Parquet files, or one JSON document."""
+    return L.read_corpus(spark, path) if path.endswith(".json") else spark.read.parquet(path)
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Writes Parquet from the executors, or one JSON document where the output's name says so."""
     if Path(a.input).is_dir():
         rows = L.parse_tagged(L.read_files(spark, a.input))
     else:
-        rows = L.parse_plain(spark.read.format("binaryFile").load(a.input).select(F.col("path").alias("file"), F.posexplode(F.split(L.decoded(F.col("content")), "\r\n|\n|\r")).alias("n", "raw")))
+        raw = spark.read.format("binaryFile").load(a.input)
+        rows = L.parse_plain(raw.select(F.col("path").alias("file"), F.posexplode(F.split(L.decoded(F.col("content")), "\r\n|\n|\r")).alias("n", "raw")))
     if a.skip_uncertain:
         rows = rows.filter("NOT has_uncertainty")
-    # one number for file and line, in order of both
-    rows = rows.withColumn("line_ord", F.struct("file", "n"))
-    sinks.write_corpus(rows, a.output, {"transcription_version": a.version})
-
-
-def report(rows: DataFrame, a: argparse.Namespace, name: str) -> None:
-    sinks.write_report({name: analysis.rows_of(rows)}, a.output)
+    if a.output.endswith(".json"):
+        # one number for file and line, in order of both
+        sinks.write_corpus(rows.withColumn("line_ord", F.struct("file", "n")), a.output, {"transcription_version": a.version})
+    else:
+        sinks.write_lines(rows, a.output, a.version)
 
 
 def run_entropy(spark, a):
-    lines = corpus(spark, a.corpus)
-    clean = L.vocabulary(L.token_rows(lines, clean=True))
-    conditional = entropy.conditional_entropy(entropy.flat_pairs(lines, T.clean_tokens(F.col("tokens"))), clean)
-    report(rules.one_row(spark, entropy.analyse(clean), conditional, entropy.zipf_fit(clean).drop("n_types")), a, "entropy")
+    sinks.write_report(reports.entropy_report(corpus(spark, a.corpus), a.label, a.clean), a.output)
 
 
 def run_positional(spark, a):
-    report(positional.edge_rates(L.token_rows(corpus(spark, a.corpus))), a, "line_initial")
+    sinks.write_report(reports.positional_report(corpus(spark, a.corpus), a.top_n), a.output)
 
 
 def run_adjacency(spark, a):
-    report(ngrams.most_common(ngrams.counted(corpus(spark, a.corpus), 2)), a, "bigrams")
+    sinks.write_report(reports.adjacency_report(corpus(spark, a.corpus), a.top_n, a.min_pmi_count), a.output)
 
 
 def run_markov(spark, a):
-    report(markov.analysis(corpus(spark, a.corpus), a.orders, a.smoothing, a.test_fraction, a.seed).orderBy("order"), a, "markov")
+    sinks.write_report(reports.markov_report(corpus(spark, a.corpus), a.orders, a.smoothing, a.test_fraction, a.seed), a.output)
 
 
 def run_slots(spark, a):
-    report(slots.coverage(slots.validated(L.vocabulary(L.token_rows(corpus(spark, a.corpus), clean=True)))), a, "slots")
+    lines = corpus(spark, a.corpus)
+    sinks.write_report(reports.slots_report(lines, a.clean), a.output)
+    if a.tokens:
+        from quillstone.operators import slots
+
+        checked = slots.validated(L.vocabulary(L.token_rows(lines, clean=a.clean))).drop("first")
+        sinks.write_table(checked, a.tokens)
 
 
 def run_significance(spark, a):
-    rows = L.token_rows(corpus(spark, a.corpus).withColumn("section", T.classify_folio(F.col("folio"))), clean=True)
-    report(inference.significance(inference.chi_square(rows, [s for s, _, _ in T.SECTIONS])), a, "sections")
+    sinks.write_report(reports.significance_report(corpus(spark, a.corpus), a.resamples, a.seed), a.output)
 
 
 def run_falsify(spark, a):
-    run = analysis.analyse(corpus(spark, a.corpus), {}, resamples=a.resamples, orders=2)
-    sinks.write_report(run["hypothesis_results"], a.output)
+    lines = corpus(spark, a.corpus).persist()
+    entropy, covered = reports.entropy_report(lines), reports.slots_report(lines)
+    models = reports.markov_report(lines, 2)["markov"]
+    measured = analysis.rule_measurements(lines, entropy, models, covered)
+    sinks.write_report({"measurements": measured, **analysis.judged(spark, measured)}, a.output)
+    lines.unpersist()
 
 
 def run_pipeline(spark, a):
-    run = analysis.analyse(corpus(spark, a.corpus), {"transcription_version": a.version}, a.seed, a.resamples)
+    given = {"transcription_version": a.version}
+    run = analysis.analyse(corpus(spark, a.corpus), given, a.seed, a.resamples, share=a.test_fraction, run_id=a.run_id, significance=not a.skip_significance)
     folder = Path(a.output)
     sinks.write_report(run, str(folder / f"run_{run['run_id']}.json"))
     (folder / f"run_{run['run_id']}.md").write_text(analysis.markdown(run), encoding="utf-8")
@@ -104,12 +110,16 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--" + k.replace("_", "-"), type=kind, default=default) if kind is not bool else p.add_argument("--" + k.replace("_", "-"), action="store_true")
         p.set_defaults(run_command=f)
 
+    seed, resamples, share = (int, 42), (int, 500), (float, 0.2)
     command("ingest", ingest, "input", version=(str, "unknown"), skip_uncertain=(bool, False))
-    for name, f in (("entropy", run_entropy), ("positional", run_positional), ("adjacency", run_adjacency), ("slots", run_slots), ("significance", run_significance)):
-        command(name, f, "corpus")
-    command("markov", run_markov, "corpus", orders=(int, 4), smoothing=(float, 1.0), test_fraction=(float, 0.2), seed=(int, 42))
-    command("falsify", run_falsify, "corpus", resamples=(int, 500))
-    command("pipeline", run_pipeline, "corpus", version=(str, "unknown"), seed=(int, 42), resamples=(int, 500))
+    command("entropy", run_entropy, "corpus", label=(str, "corpus"), clean=(bool, False))
+    command("positional", run_positional, "corpus", top_n=(int, 30))
+    command("adjacency", run_adjacency, "corpus", top_n=(int, 30), min_pmi_count=(int, 5))
+    command("slots", run_slots, "corpus", clean=(bool, False), tokens=(str, None))
+    command("significance", run_significance, "corpus", resamples=resamples, seed=seed)
+    command("markov", run_markov, "corpus", orders=(int, 4), smoothing=(float, 1.0), test_fraction=share, seed=seed)
+    command("falsify", run_falsify, "corpus")
+    command("pipeline", run_pipeline, "corpus", version=(str, "unknown"), seed=seed, resamples=resamples, test_fraction=share, run_id=(str, None), skip_significance=(bool, False))
     command("report", run_report, "run")
     command("preregister", run_preregister, version=(str, "unknown"))
     return top

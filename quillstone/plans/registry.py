@@ -49,6 +49,12 @@ def folio_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("folio", folio).withColumn("section", T.classify_folio(F.col("folio")))
 
 
+def event_lines(events: DataFrame) -> DataFrame:
+    """A line for each user: the types of their events in the order of time and number."""
+    e = events.select("user_id", F.struct("ts", "event_id", "event_type").alias("e"))
+    return e.groupBy(F.col("user_id").alias("line_ord")).agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x.event_type).alias("tokens"))
+
+
 # -- lines ----------------------------------------------------------------------
 
 @query(sql.L + "SELECT count(*) AS record_count, count(DISTINCT folio) AS folio_count, sum(len(tokens))::BIGINT AS token_count, count(*) FILTER (WHERE has_uncertainty) AS uncertainty_line_count FROM lines")
@@ -65,20 +71,24 @@ def corpus_summary(lines, spark, sf_dir):
 
 @query(sql.TAGGED)
 def parse_tagged_lines(lines, spark, sf_dir):
+    """Lines of which two in three are tagged, some begin with a tab and a no-break space, and some are comments behind a tab."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("n", "body"))
-    tag = F.concat(F.lit("<f"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"), F.lit("."), F.col("n").cast("string"), F.lit(";"), F.col("source"), F.lit("> "))
-    raw = rows.select(F.col("doc_id").cast("string").alias("file"), "n", F.when(F.col("n") % 3 != 0, F.concat(tag, "body")).otherwise(F.col("body")).alias("raw"))
-    return L.parse_tagged(raw).select("file", "n", "folio", "section", "line", "transcriber", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    doc, n = F.col("doc_id").cast("string"), F.col("n").cast("string")
+    tag = F.concat(F.lit("<f"), doc, F.lit("."), F.col("lang"), F.lit("."), n, F.lit(";"), F.col("source"), F.lit("> "))
+    space = F.when(F.col("n") % 5 == 4, "\t\u00a0").otherwise("")
+    line = F.concat(space, F.when(F.col("n") % 3 != 0, tag).otherwise(""), "body")
+    raw = rows.select(doc.alias("file"), "n", F.when(F.col("n") % 11 == 10, F.concat(F.lit("\t# "), "body")).otherwise(line).alias("raw"))
+    parsed = L.parse_tagged(raw)
+    return parsed.select("file", "n", "folio", "section", "line", "transcriber", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
-@query(sql.D + "SELECT doc_id::VARCHAR AS file, n, n::VARCHAR AS line, len(t) AS n_tokens FROM (SELECT *, list_filter(string_split_regex(trim(raw), '\\s+'), lambda x: x <> '') AS t FROM raw_lines WHERE trim(raw) <> '' AND NOT starts_with(trim(raw), '#')) WHERE len(t) > 0")
+@query(sql.PLAIN)
 def parse_plain_lines(lines, spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "raw"))
     return L.parse_plain(rows).select("file", "n", "line", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
-@query(sql.D + """, k AS (SELECT *, row_number() OVER (ORDER BY line_ord) AS i FROM raw_lines WHERE trim(raw) <> '' QUALIFY i <= 5001)
-SELECT line_ord, 'auto_folio_' || i AS folio, i::VARCHAR AS line, substr(trim(raw), 1, 2000) AS raw_line, array_to_string(list_slice(list_filter(string_split_regex(raw, '\\s+'), lambda x: x <> ''), 1, 200), ' ') AS tokens FROM k""")
+@query(sql.CONVERTED)
 def auto_convert_lines(lines, spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
     made = L.auto_convert(rows.select((F.col("doc_id") * L.LINES_PER_DOCUMENT + F.col("n")).alias("line_ord"), "raw"))
@@ -110,7 +120,7 @@ def records_by_section(lines, spark, sf_dir):
     return lines.groupBy("section").agg(F.count("*").alias("n_lines"), F.countDistinct("folio").alias("n_folios"))
 
 
-@query("SELECT conv_id::VARCHAR AS folio, count(*) AS n_lines, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n_tokens FROM conversations WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) > 0 GROUP BY 1")
+@query(sql.TURNS)
 def conversation_sizes(lines, spark, sf_dir):
     return L.conversation_lines(table(spark, sf_dir, "conversations")).groupBy("folio").agg(F.count("*").alias("n_lines"), F.sum(F.size("tokens")).alias("n_tokens"))
 
@@ -212,19 +222,25 @@ def zipf_fit(lines, spark, sf_dir):
     return entropy.zipf_fit(clean_vocabulary(lines))
 
 
-@query(sql.V + ", r AS (SELECT n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM clean_v), f AS (SELECT -regr_slope(ln(n), ln(rank)) AS a, max(n) AS top FROM r) SELECT rank, n, round(top * pow(rank, -a), 4) AS fitted FROM r, f WHERE rank <= 50")
+@query(sql.RANKED)
 def zipf_rank_freq(lines, spark, sf_dir):
     r = entropy.ranked(clean_vocabulary(lines))
     fit = r.agg((-F.regr_slope(F.log("n"), F.log("rank"))).alias("a"), F.max("n").alias("top"))
     return r.filter("rank <= 50").crossJoin(F.broadcast(fit)).select("rank", "n", F.round(F.col("top") * F.pow("rank", -F.col("a")), 4).alias("fitted"))  # one row
 
 
-@query()
+def baseline(spark: SparkSession, vocabulary: DataFrame) -> DataFrame:
+    """(token, n) of as many random tokens as the corpus has, of about its mean length, from its characters."""
+    sums = vocabulary.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.char_length("token")).alias("c")).first()
+    return entropy.random_tokens(spark, entropy.character_counts(vocabulary), (sums["c"] or 0) / max(sums["n"] or 0, 1), sums["n"] or 0)
+
+
+@query(sql.BASELINE)
 def random_baseline(lines, spark, sf_dir):
     v = clean_vocabulary(lines)
-    sums = v.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.char_length("token")).alias("c")).first()
-    made = entropy.random_tokens(spark, entropy.character_counts(v), (sums["c"] or 0) / max(sums["n"] or 0, 1), sums["n"] or 0)
-    return rules.one_row(spark, made.agg(entropy.entropy_of().alias("baseline_entropy")), v.agg(entropy.entropy_of().alias("entropy"))).withColumn("delta_bits", F.round(F.col("baseline_entropy") - F.col("entropy"), 4))
+    made = baseline(spark, v).agg(F.round(entropy.entropy_of(), 6).alias("baseline_entropy"))
+    both = rules.one_row(spark, made, v.agg(F.round(entropy.entropy_of(), 6).alias("entropy")))
+    return both.withColumn("delta_bits", F.round(F.col("baseline_entropy") - F.col("entropy"), 4))
 
 
 # -- places --------------------------------------------------------------------------
@@ -286,9 +302,12 @@ def pmi_top(lines, spark, sf_dir):
     return ngrams.strongest(ngrams.mutual_information(ngrams.counted(lines, 2), raw_vocabulary(lines)))
 
 
-@query(sql.pmi("", "first DESC", "< 0"))
+@query(sql.PMI_LOW)
 def pmi_low(lines, spark, sf_dir):
-    return ngrams.strongest(ngrams.mutual_information(ngrams.counted(lines, 2), raw_vocabulary(lines)), low=True)
+    """Over the users' sequences of events, where some pairs are rarer than by chance."""
+    own = event_lines(table(spark, sf_dir, "events"))
+    words = own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return ngrams.strongest(ngrams.mutual_information(ngrams.counted(own, 2), words), low=True)
 
 
 @query(sql.T + "SELECT (SELECT count(*) FROM raw) AS n_tokens, (SELECT sum(greatest(len(tokens) - 1, 0)) FROM lines)::BIGINT AS n_bigrams, (SELECT sum(greatest(len(tokens) - 2, 0)) FROM lines)::BIGINT AS n_trigrams, (SELECT count(DISTINCT token) FROM raw) AS n_types")
@@ -296,26 +315,37 @@ def adjacency_totals(lines, spark, sf_dir):
     return ngrams.totals(lines, raw_vocabulary(lines))
 
 
-@query(sql.markov("SELECT \"order\", perplexity FROM result"))
+@query(sql.markov('SELECT "order", perplexity FROM result'))
 def markov_perplexity(lines, spark, sf_dir):
-    return markov.analysis(lines, orders=2).select("order", "perplexity")
+    return markov.analysis(lines).select("order", "perplexity")
 
 
-@query(sql.markov("SELECT \"order\", round((lag(perplexity) OVER (ORDER BY \"order\") - perplexity) / lag(perplexity) OVER (ORDER BY \"order\"), 6) AS reduction, n_contexts FROM result JOIN contexts USING (\"order\")"))
+@query(sql.markov("""SELECT "order", round((lag(perplexity) OVER (ORDER BY "order") - perplexity) / lag(perplexity) OVER (ORDER BY "order"), 6) AS reduction, n_contexts
+FROM result JOIN contexts USING ("order")"""))
 def markov_reductions(lines, spark, sf_dir):
-    return markov.analysis(lines, orders=2).select("order", "reduction", "n_contexts")
+    return markov.analysis(lines).select("order", "reduction", "n_contexts")
 
 
-@query(sql.markov("SELECT \"order\", n_tokens, n_unknown FROM result"))
+@query(sql.markov('SELECT "order", n_tokens, n_unknown FROM result'))
 def markov_oov(lines, spark, sf_dir):
-    return markov.analysis(lines, orders=2).select("order", "n_tokens", "n_unknown")
+    return markov.analysis(lines).select("order", "n_tokens", "n_unknown")
+
+
+@query(sql.markov("""SELECT "order", train_perplexity, n_train_tokens, vocab_size, round((lag(train_perplexity) OVER (ORDER BY "order") - train_perplexity) / lag(train_perplexity) OVER (ORDER BY "order"), 6) AS train_reduction,
+true AS honest FROM trained"""))
+def markov_training(lines, spark, sf_dir):
+    return markov.analysis(lines).select("order", "train_perplexity", "n_train_tokens", "vocab_size", "train_reduction", "honest")
+
+
+@query(sql.markov("""SELECT (SELECT arg_min("order", (train_perplexity, "order")) FROM trained) AS by_train, (SELECT arg_min("order", (perplexity, "order")) FROM result) AS by_test"""))
+def markov_optimal_order(lines, spark, sf_dir):
+    return markov.optimal(markov.analysis(lines))
 
 
 @query(sql.EVENTS)
 def event_transitions(lines, spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", "event_type").alias("e"))
-    per = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x.event_type).alias("tokens"))
-    return markov.transitions(per, 1).filter("order = 1").select("context", "token", "n")
+    own = event_lines(table(spark, sf_dir, "events"))
+    return markov.transitions(own, 1).filter("order = 1").select("context", "token", "n")
 
 
 # -- slots ---------------------------------------------------------------------------------
@@ -329,30 +359,30 @@ def slot_validation(lines, spark, sf_dir):
     return checked(lines).select("token", "n", "is_valid", F.array_join("matched_slots", ",").alias("matched_slots"), "failure_category", "confidence")
 
 
-@query(sql.SLOTS + "SELECT sum(n)::BIGINT AS n_tokens, sum(n * is_valid::INT)::BIGINT AS n_valid, round(sum(n * is_valid::INT) / sum(n), 6) AS coverage, sum(n * is_valid::INT) / sum(n) >= 0.7 AS supported, sum(n * (marks OR token = '')::INT)::BIGINT AS n_uncertain FROM checked")
+@query(sql.CLEAN_SLOTS + "SELECT sum(n)::BIGINT AS n_tokens, sum(n * is_valid::INT)::BIGINT AS n_valid, round(sum(n * is_valid::INT) / sum(n), 6) AS coverage, sum(n * is_valid::INT) / sum(n) >= 0.7 AS supported, sum(n * (marks OR token = '')::INT)::BIGINT AS n_uncertain FROM checked")
 def slot_coverage(lines, spark, sf_dir):
-    return slots.coverage(checked(lines))
+    return slots.coverage(slots.validated(clean_vocabulary(lines)))
 
 
-@query(sql.SLOTS + ", s AS (SELECT section, token, count(*) AS n FROM folio_tokens GROUP BY ALL) SELECT section, sum(s.n)::BIGINT AS n_tokens, round(sum(s.n * is_valid::INT) / sum(s.n), 6) AS coverage FROM s JOIN checked USING (token) GROUP BY 1")
+@query(sql.CLEAN_SLOTS + ", s AS (SELECT section, regexp_replace(token, '[{}]', '', 'g') AS token, count(*) AS n FROM folio_tokens GROUP BY ALL) SELECT section, sum(s.n)::BIGINT AS n_tokens, round(sum(s.n * is_valid::INT) / sum(s.n), 6) AS coverage FROM s JOIN checked USING (token) GROUP BY 1")
 def slot_coverage_by_section(lines, spark, sf_dir):
-    v = L.token_rows(folio_lines(lines)).groupBy("section", "token").agg(F.count("*").alias("n"))
+    v = L.token_rows(folio_lines(lines), clean=True).groupBy("section", "token").agg(F.count("*").alias("n"))
     return slots.coverage(slots.validated(v), ["section"]).select("section", "n_tokens", "coverage")
 
 
-@query(sql.SLOTS + "SELECT slot, sum(n)::BIGINT AS n FROM (SELECT n, unnest(matched) AS slot FROM checked WHERE is_valid) GROUP BY 1")
+@query(sql.CLEAN_SLOTS + "SELECT slot, sum(n)::BIGINT AS n FROM (SELECT n, unnest(matched) AS slot FROM checked WHERE is_valid) GROUP BY 1")
 def slot_usage(lines, spark, sf_dir):
-    return slots.usage(checked(lines))
+    return slots.usage(slots.validated(clean_vocabulary(lines)))
 
 
-@query(sql.SLOTS + "SELECT category AS failure_category, sum(n)::BIGINT AS n, round(sum(n) / (SELECT sum(n) FROM checked WHERE NOT is_valid), 6) AS share FROM checked WHERE NOT is_valid GROUP BY 1")
+@query(sql.CLEAN_SLOTS + "SELECT category AS failure_category, sum(n)::BIGINT AS n, round(sum(n) / (SELECT sum(n) FROM checked WHERE NOT is_valid), 6) AS share FROM checked WHERE NOT is_valid GROUP BY 1")
 def slot_failures(lines, spark, sf_dir):
-    return slots.failures(checked(lines))
+    return slots.failures(slots.validated(clean_vocabulary(lines)))
 
 
-@query(sql.SLOTS + "SELECT token, n, category AS failure_category FROM checked WHERE NOT is_valid ORDER BY n DESC, first LIMIT 30")
+@query(sql.CLEAN_SLOTS + "SELECT token, n, category AS failure_category FROM checked WHERE NOT is_valid ORDER BY n DESC, first LIMIT 30")
 def invalid_top(lines, spark, sf_dir):
-    return slots.most_invalid(checked(lines))
+    return slots.most_invalid(slots.validated(clean_vocabulary(lines)))
 
 
 # -- inference --------------------------------------------------------------------------------
@@ -365,55 +395,43 @@ def chi_square_sections(lines, spark, sf_dir):
     return inference.chi_square(L.token_rows(folio_lines(lines), clean=True), KNOWN)
 
 
-@query()
+@query(sql.CHI_P)
 def chi_square_p(lines, spark, sf_dir):
     return inference.significance(inference.chi_square(L.token_rows(folio_lines(lines), clean=True), KNOWN))
 
 
 @query()
 def bootstrap_entropy_ci(lines, spark, sf_dir):
-    return inference.bootstrap(lines.select("line_ord", "tokens"), inference.entropy_statistic, resamples=20)
+    return inference.bootstrap(lines, inference.ENTROPY)
 
 
 @query()
 def bootstrap_zipf_ci(lines, spark, sf_dir):
-    return inference.bootstrap(lines.select("line_ord", "tokens"), inference.zipf_statistic, resamples=20, seed=43)
+    return inference.bootstrap(lines, inference.ZIPF, seed=43)
 
 
-@query()
+@query(sql.PERMUTED)
 def permutation_bias(lines, spark, sf_dir):
-    rows = L.token_rows(lines)
-    best = [r["token"] for r in positional.edge_rates(rows, k=5).filter("total >= 10").collect()]
-    tests = [inference.permutation_test(rows, t, 200, 142 + i) for i, t in enumerate(best)]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out.union(t)
-    return out
+    best = [r["token"] for r in positional.edge_rates(L.token_rows(lines), k=5).filter("total >= 10").collect()]  # five at most
+    return inference.permutation_tests(L.token_rows(lines, clean=True), best, 1000, 142)
 
 
 # -- graphs and look-ups ------------------------------------------------------------------------
 
-LEAST_EDGE = 12
-
+def neighbours(lines: DataFrame) -> DataFrame:
+    """(src, dst): every two words that stand next to each other."""
+    return ngrams.counted(lines, 2).select(F.col("gram")[0].alias("src"), F.col("gram")[1].alias("dst"))
 
-def frequent_edges(lines: DataFrame) -> DataFrame:
-    """Words that often stand next to each other."""
-    pairs = ngrams.counted(lines, 2).filter(F.col("n") >= LEAST_EDGE)
-    return pairs.select(F.col("gram")[0].alias("src"), F.col("gram")[1].alias("dst"))
 
-
-@query(sql.edges(LEAST_EDGE) + ", k AS (SELECT count(*) AS n_nodes FROM (SELECT a FROM u UNION SELECT b FROM u)), m AS (SELECT count(*) AS n_edges FROM u) SELECT n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 3)::DOUBLE AS density FROM k, m")
+@query(sql.EDGES + """, k AS (SELECT count(*) AS n_nodes FROM (SELECT a FROM u UNION SELECT b FROM u)), m AS (SELECT count(*) AS n_edges FROM u)
+SELECT n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 3)::DOUBLE AS density FROM k, m""")
 def graph_metrics(lines, spark, sf_dir):
-    return graph.metrics(frequent_edges(lines))
+    return graph.metrics(neighbours(lines))
 
 
-@query(sql.components(LEAST_EDGE))
+@query(sql.COMPONENTS)
 def connected_components(lines, spark, sf_dir):
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
-    return graph.components(frequent_edges(lines).checkpoint())
+    return graph.components(neighbours(lines))
 
 
 @query(sql.grams(2) + ", t AS (SELECT * FROM grams ORDER BY n DESC, first LIMIT 30) SELECT gram[1] AS src, gram[2] AS dst, t.n AS weight, round(t.n / 100.0, 4)::DOUBLE AS width, (c.n * 0.5)::DOUBLE AS node_size FROM t JOIN clean_v c ON c.token = gram[1]")
@@ -423,10 +441,14 @@ def transition_graph(lines, spark, sf_dir):
     return best.join(sizes, "src").select("src", "dst", "weight", F.round(F.col("weight") / 100.0, 4).alias("width"), "node_size")
 
 
-@query("SELECT c_custkey, lower(trim(c_mktsegment)) AS key, n_name AS meaning FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("""SELECT c_custkey, lower(trim(q)) AS key, n_regionkey AS meaning FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN ' no such key' ELSE '  ' || upper(n_name) || ' ' END AS q FROM customer JOIN nation ON c_nationkey = n_nationkey)
+JOIN nation ON lower(n_name) = lower(trim(q))""")
 def lookup_join(lines, spark, sf_dir):
-    dim = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("meaning"))
-    return table(spark, sf_dir, "customer").join(dim, "c_nationkey").select("c_custkey", F.lower(F.trim("c_mktsegment")).alias("key"), "meaning")
+    nation = table(spark, sf_dir, "nation")
+    named = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = named.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, " no such key").otherwise(F.concat(F.lit("  "), F.upper("n_name"), F.lit(" "))).alias("query"))
+    entries = nation.select(F.lower("n_name").alias("key"), F.col("n_regionkey").alias("meaning"))
+    return lookup.exact(asked, entries).select("c_custkey", "key", "meaning")
 
 
 @query("""WITH k(key_order, key, answer) AS (SELECT n_nationkey, lower(n_name), 'nation ' || n_nationkey FROM nation), q AS (SELECT o_orderkey AS id, lower(o_orderpriority || ' ' || n_name) AS low FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
@@ -449,25 +471,35 @@ def fuzzy_match(lines, spark, sf_dir):
 # -- rules ---------------------------------------------------------------------------------------
 
 def measurements(lines: DataFrame, spark: SparkSession) -> DataFrame:
-    """One row of what the rules need and SQL can check; see ``sql.MEASURED``."""
+    """One row of what the rules need."""
     rows, raw, clean = L.token_rows(lines), raw_vocabulary(lines), clean_vocabulary(lines)
     good = slots.validated(clean)
     used = slots.usage(good).agg(F.max(F.when(F.col("slot") == "core", F.col("n"))).alias("core_usage"), F.max("n").alias("most_usage"))
-    pp = markov.analysis(lines, orders=1).agg(*[F.max(F.when(F.col("order") == k, F.col("perplexity"))).alias(f"perplexity_{k}") for k in (0, 1)])
-    return rules.one_row(
-        spark, slots.coverage(good).select("coverage"), slots.failures(good).agg(F.max("share").alias("worst_failure")), used, clean.agg(F.round(entropy.entropy_of(), 6).alias("entropy")),
-        entropy.conditional_entropy(entropy.flat_pairs(lines, T.clean_tokens(F.col("tokens"))), clean).select(F.round("conditional_entropy", 6).alias("conditional_entropy")),
-        entropy.zipf_fit(clean).select("alpha", "r_squared"), positional.biased(positional.edge_rates(rows), 0.5).agg(F.count("*").alias("n_biased")), positional.jaccard_of_edges(rows), pp,
-    ).withColumn("perplexity_saved", F.round(F.try_divide(F.col("perplexity_0") - F.col("perplexity_1"), F.col("perplexity_0")), 6))
+    perplexity = [F.max(F.when(F.col("order") == k, F.col("perplexity"))).alias(f"perplexity_{k}") for k in (0, 1)]
+    conditional = entropy.conditional_entropy(entropy.flat_pairs(lines, T.clean_tokens(F.col("tokens"))), clean)
+    one = rules.one_row(
+        spark,
+        slots.coverage(good).select("coverage"),
+        slots.failures(good).agg(F.max("share").alias("worst_failure")),
+        used,
+        clean.agg(F.round(entropy.entropy_of(), 6).alias("entropy")),
+        baseline(spark, clean).agg(F.round(entropy.entropy_of(), 6).alias("baseline_entropy")),
+        conditional.select(F.round("conditional_entropy", 6).alias("conditional_entropy")),
+        entropy.zipf_fit(clean).select("alpha", "r_squared"),
+        positional.biased(positional.edge_rates(rows), 0.5).agg(F.count("*").alias("n_biased")),
+        positional.jaccard_of_edges(rows),
+        markov.analysis(lines, orders=1).agg(*perplexity),
+        inference.rule_significance(L.token_rows(folio_lines(lines), clean=True), KNOWN),
+    )
+    saved = F.try_divide(F.col("perplexity_0") - F.col("perplexity_1"), F.col("perplexity_0"))
+    return one.withColumn("perplexity_saved", F.round(saved, 6))
 
 
 @query(sql.rule_verdicts())
 def rule_verdicts(lines, spark, sf_dir):
-    return rules.evaluate(measurements(lines, spark), [r for r in rules.RULES if r[0] not in ("F2.1", "F6.1")])
+    return rules.evaluate(measurements(lines, spark))
 
 
-@query()
+@query(sql.overall_verdict())
 def overall_verdict(lines, spark, sf_dir):
-    base = QUERIES["random_baseline"](spark, sf_dir).select("baseline_entropy")
-    tested = QUERIES["chi_square_p"](spark, sf_dir).agg(F.count_if("significant").alias("n_significant"))
-    return rules.overall(rules.evaluate(rules.one_row(spark, measurements(lines, spark), base, tested)))
+    return rules.overall(rules.evaluate(measurements(lines, spark)))

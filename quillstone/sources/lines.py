@@ -12,9 +12,27 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import tokens as T
 
-#: Lines of one document are numbered below this.
+#: Lines of one document are numbered below this; beyond it, and for keys above 9.2e12, callers number lines themselves.
 LINES_PER_DOCUMENT = 1_000_000
-TAG = r"^<([^.]+)\.([^.]+)\.([^;>]+)(?:;([^>]*))?>"
+OPEN, CLOSE, AUTHOR = "<", ">", ";"
+
+
+def tag_of(line: Column) -> tuple[Column, Column]:
+    """(tag, body) of a line.
+
+    A tag in angle brackets at the line's start names folio, section and line,
+    parted by the first two points, and after a semicolon the transcriber, who
+    may be left out; no other field is empty. The tag is null on a line that
+    does not begin with one; the body is what follows it.
+    """
+    fields = F.split(F.substring(line, 2, 1 << 30), r"\.", 3)
+    rest = F.get(fields, F.lit(2))
+    last = F.substring_index(rest, CLOSE, 1)
+    number = F.substring_index(last, AUTHOR, 1)
+    author = F.nullif(F.substring(last, F.char_length(number) + 2, F.lit(1 << 30)), F.lit(""))
+    found = line.startswith(OPEN) & (F.size(fields) == 3) & rest.contains(CLOSE) & (fields[0] != "") & (F.get(fields, F.lit(1)) != "") & (number != "")
+    tag = F.struct(fields[0].alias("folio"), F.get(fields, F.lit(1)).alias("section"), number.alias("line"), F.coalesce(author, F.lit("unknown")).alias("transcriber"))
+    return F.when(found, tag), F.when(found, F.substring(rest, F.char_length(last) + 2, F.lit(1 << 30))).otherwise(line)
 
 
 def canonical(df: DataFrame, tokens: Column) -> DataFrame:
@@ -43,6 +61,25 @@ def conversation_lines(turns: DataFrame) -> DataFrame:
     return canonical(rows, T.plain_tokens(F.col("raw_line")))
 
 
+#: Lines of a file that one window looks back over.
+STRETCH = 1 << 16
+
+
+def with_last(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the last ``value`` that is not null among a line's file's lines (file, n) up to it.
+
+    A file is looked at in stretches of lines; a table with a row for each
+    stretch gives what went before it.
+    """
+    cut = rows.withColumn("_stretch", F.floor(F.col("n") / STRETCH))
+    ends = cut.groupBy("file", "_stretch").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("n"))).alias("_end"))
+    earlier = Window.partitionBy("file").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("file", "_stretch", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy("file", "_stretch").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    seen = cut.withColumn("_seen", F.last(value, ignorenulls=True).over(inside)).join(before, ["file", "_stretch"])
+    return seen.withColumn(name, F.coalesce("_seen", "_before")).drop("_stretch", "_seen", "_before")
+
+
 def parse_tagged(raw: DataFrame) -> DataFrame:
     """Tagged lines (file, n, raw) with inherited tags.
 
@@ -50,17 +87,13 @@ def parse_tagged(raw: DataFrame) -> DataFrame:
     tag of its file, as a whole, even one that stood on a line without tokens;
     before the first tag the fields are unknown.
     """
-    text = F.trim("raw")
+    text = T.trimmed(F.col("raw"))
     rows = raw.select("file", "n", text.alias("raw_line")).filter((F.col("raw_line") != "") & ~F.col("raw_line").startswith("#"))
-    part = [F.regexp_extract("raw_line", TAG, k) for k in (1, 2, 3, 4)]
-    found = F.struct(part[0].alias("folio"), part[1].alias("section"), part[2].alias("line"), F.when(part[3] == "", "unknown").otherwise(part[3]).alias("transcriber"))
-    rows = rows.withColumn("own", F.when(F.col("raw_line").rlike(TAG), found))
-    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("tag", F.last("own", ignorenulls=True).over(before))
+    own, body = tag_of(F.col("raw_line"))
+    rows = with_last(rows.withColumn("own", own).withColumn("body", body), "own", "tag")
     field = lambda k, default: F.coalesce(F.col(f"tag.{k}"), F.lit(default)).alias(k)
     rows = rows.select(
-        "file", "n", field("folio", "unknown"), field("section", "unknown"), field("line", "0"), field("transcriber", "unknown"), "raw_line",
-        F.regexp_replace("raw_line", TAG, "").alias("body"),
+        "file", "n", field("folio", "unknown"), field("section", "unknown"), field("line", "0"), field("transcriber", "unknown"), "raw_line", "body",
     )
     return canonical(rows, T.tokenise(F.col("body"))).drop("body")
 
@@ -81,7 +114,7 @@ def read_files(spark: SparkSession, directory: str) -> DataFrame:
 
 def parse_plain(raw: DataFrame) -> DataFrame:
     """Plain lines (file, n, raw): one record for each line that is neither blank nor a comment, numbered over all lines."""
-    rows = raw.select("file", "n", F.trim("raw").alias("raw_line")).filter((F.col("raw_line") != "") & ~F.col("raw_line").startswith("#"))
+    rows = raw.select("file", "n", T.trimmed(F.col("raw")).alias("raw_line")).filter((F.col("raw_line") != "") & ~F.col("raw_line").startswith("#"))
     unknown = F.lit("unknown")
     rows = rows.select("file", "n", unknown.alias("folio"), unknown.alias("section"), F.col("n").cast("string").alias("line"), unknown.alias("transcriber"), "raw_line")
     return canonical(rows, T.plain_tokens(F.col("raw_line")))
@@ -93,11 +126,11 @@ def auto_convert(lines: DataFrame, records: int = 5001, tokens: int = 200, chars
     The limits belong to the converter. Lines are numbered by a window over
     what is left after the limit.
     """
-    full = lines.filter(F.trim("raw") != "").orderBy("line_ord").limit(records)
+    full = lines.filter(T.trimmed(F.col("raw")) != "").orderBy("line_ord").limit(records)
     number = F.row_number().over(Window.orderBy("line_ord"))
     return full.select(
         "line_ord", F.concat(F.lit("auto_folio_"), number.cast("string")).alias("folio"), F.lit("P").alias("section"), number.cast("string").alias("line"),
-        F.substring(F.trim("raw"), 1, chars).alias("raw_line"), F.slice(T.plain_tokens(F.col("raw")), 1, tokens).alias("tokens"),
+        F.substring(T.trimmed(F.col("raw")), 1, chars).alias("raw_line"), F.slice(T.plain_tokens(F.col("raw")), 1, tokens).alias("tokens"),
     )
 
 
@@ -110,11 +143,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_line(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file's cells as one line (line_ord, raw), row by row; an empty cell reads "nan"."""
+    """A CSV file's cells (line_ord, raw), a row of the file to a line; an empty cell reads "nan".
+
+    The cells of all lines, in order and joined by blanks, are the text that
+    the converter takes for one line.
+    """
     table = spark.read.csv(path, header=True)
     cells = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("nan")) for c in table.columns])
-    ordered = table.select(F.monotonically_increasing_id().alias("n"), cells.alias("c")).agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("rows"))
-    return ordered.select(F.lit(0).cast("bigint").alias("line_ord"), F.array_join(F.transform("rows", lambda r: r.c), " ").alias("raw"))
+    return table.select(F.monotonically_increasing_id().alias("line_ord"), cells.alias("raw"))
 
 
 def token_rows(lines: DataFrame, clean: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,19 @@ def write_corpus(lines: DataFrame, path: str, metadata: dict[str, str]) -> None:
         out.write("\n]}\n")
 
 
+def write_lines(rows: DataFrame, path: str, version: str = "unknown") -> None:
+    """Parsed lines (file, n and the canonical columns) as Parquet, written by the executors, with ``line_ord`` in order of file and line.
+
+    A file's number is its place among the files' names, of which the driver
+    sees a count; lines are numbered below 2**32 in each file.
+    """
+    files = rows.select("file").distinct()
+    number = F.row_number().over(Window.orderBy("file")) - 1  # a row for each file
+    ranked = rows.join(files.withColumn("_file", number.cast("bigint")), "file")
+    own = ranked.withColumn("line_ord", F.shiftleft("_file", 32) + F.col("n")).drop("_file", "file", "n").withColumn("transcription_version", F.lit(version))
+    own.write.mode("overwrite").parquet(path)
+
+
 def finite(value):
     """``value`` with non-finite numbers, which JSON lacks, as null."""
     if isinstance(value, dict):

@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillstone.functions import tokens as T
-from quillstone.operators import entropy, graph, inference, lookup, markov, ngrams, order, positional, rules, slots
-from quillstone.plans import analysis, cli
+from quillstone.operators import draws, entropy, graph, inference, lookup, markov, ngrams, order, positional, rules, slots
+from quillstone.plans import analysis, cli, reports
 from quillstone.sources import lines as L
 from quillstone.sources import sinks
 from quillstone.streaming import counts
@@ -91,9 +92,34 @@ def test_tagged_files(spark, tmp_path):
         ("f1r", "P", "1", "H", ["aa", "bb", "{c}"], True), ("f1r", "P", "1", "H", ["more", "words"], False), ("f1r", "P", "2", "unknown", ["carried", "on"], False),
         ("unknown", "unknown", "0", "unknown", ["first", "café"], False), ("f2r", "L", "1", "C", ["zz"], False),
     ]
+    odd = ["\t# note", " \u00a0<f3v.P.1.b;X;Y> aa\u2003bb", "<f4r.P.>x", "<f5r.P.2;>cc", "<.P.2>dd", "<f6r>.L.3>ee", "\u3000", "tail"]
     (tmp_path / "c").mkdir()
+    (tmp_path / "c/odd.txt").write_text("\n".join(odd))
+    got = [tuple(r) for r in L.parse_tagged(L.read_files(spark, str(tmp_path / "c"))).orderBy("n").select("folio", "section", "line", "transcriber", "tokens").collect()]
+    assert got == [
+        ("f3v", "P", "1.b", "X;Y", ["aa", "bb"]), ("f3v", "P", "1.b", "X;Y", ["<f4r", "P", ">x"]), ("f5r", "P", "2", "unknown", ["cc"]), ("f5r", "P", "2", "unknown", ["<", "P", "2>dd"]),
+        ("f6r>", "L", "3", "unknown", ["ee"]), ("f6r>", "L", "3", "unknown", ["tail"]),
+    ]
+    (tmp_path / "d").mkdir()
     with pytest.raises(FileNotFoundError):
-        L.read_files(spark, str(tmp_path / "c"))
+        L.read_files(spark, str(tmp_path / "d"))
+
+
+def test_tags_reach_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(L, "STRETCH", 3)
+    raw = [("a", n, f"<f{n}r.P.1> t{n}" if n in (2, 10) else f"t{n}") for n in range(20)] + [("b", n, "x") for n in range(7)]
+    got = {(r.file, r.n): r.folio for r in L.parse_tagged(spark.createDataFrame(raw, "file string, n int, raw string")).collect()}
+    assert got == {("a", n): "unknown" if n < 2 else "f2r" if n < 10 else "f10r" for n in range(20)} | {("b", n): "unknown" for n in range(7)}
+
+
+def test_other_sources(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\nx y,1\n,2\n")
+    lines = L.auto_convert(L.read_csv_line(spark, str(tmp_path / "t.csv")))
+    assert [(r.line, r.tokens) for r in lines.orderBy("line_ord").collect()] == [("1", ["x", "y", "1"]), ("2", ["nan", "2"])]
+    plain = spark.createDataFrame([("f", 0, "\t# no"), ("f", 1, "  a-b\u00a0c "), ("f", 2, "\u2003")], "file string, n int, raw string")
+    assert [(r.n, r.line, r.tokens) for r in L.parse_plain(plain).collect()] == [(1, "1", ["a-b", "c"])]
+    sinks.write_table(plain.limit(1), str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).columns == ["file", "n", "raw"]
 
 
 def test_entropy_and_fit(spark, rows, lines):
@@ -130,27 +156,65 @@ def test_places_and_neighbours(rows, lines):
         assert r.pmi == pytest.approx(math.log2(kept[r.w1, r.w2] / sum(kept.values()) / (total[r.w1] * total[r.w2] / n**2)))
 
 
+def plain_markov(train, test, k):
+    seen, context = Counter(), Counter()
+    vocabulary = {t for r in train for t in r}
+    for r in train:
+        for i in range(k, len(r)):
+            seen[(*r[i - k : i], r[i])] += 1
+            context[tuple(r[i - k : i])] += 1
+    logs = [math.log2((seen[(*r[i - k : i], r[i])] + 1) / (context[tuple(r[i - k : i])] + len(vocabulary))) for r in test for i in range(k, len(r))]
+    unknown = sum(r[i] not in vocabulary for r in test for i in range(k, len(r)))
+    return 2 ** -np.mean(logs), len(logs), unknown, len(context)
+
+
 def test_markov(lines, rows):
     held = markov.split_lines(lines)
     test = {r.line_ord for r in lines.filter(held).collect()}
     assert len(test) == 24 and test == {r.line_ord for r in lines.repartition(7).filter(held).collect()}
-    train = [r for k, r in enumerate(rows) if k not in test]
-    vocabulary = {t for r in train for t in r}
-    for k in (0, 1, 2):
-        seen, context = Counter(), Counter()
-        for r in train:
-            for i in range(k, len(r)):
-                seen[(*r[i - k : i], r[i])] += 1
-                context[tuple(r[i - k : i])] += 1
-        logs = [math.log2((seen[(*r[i - k : i], r[i])] + 1) / (context[tuple(r[i - k : i])] + len(vocabulary))) for j, r in enumerate(rows) if j in test for i in range(k, len(r))]
-        got = markov.analysis(lines, orders=2).filter(f"order = {k}").first()
-        assert got.perplexity == pytest.approx(2 ** -np.mean(logs), abs=1e-3) and got.n_tokens == len(logs)
+    train, asked = [r for k, r in enumerate(rows) if k not in test], [r for k, r in enumerate(rows) if k in test]
+    found = markov.analysis(lines)
+    got = {r.order: r for r in found.collect()}
+    for k in range(5):
+        pp, n, unknown, contexts = plain_markov(train, asked, k)
+        own, n_own, _, _ = plain_markov(train, train, k)
+        r = got[k]
+        assert (r.n_tokens, r.n_unknown, r.n_contexts, r.n_train_tokens, r.honest) == (n, unknown, contexts, n_own, True)
+        assert r.perplexity == pytest.approx(pp, abs=1e-3) and r.train_perplexity == pytest.approx(own, abs=1e-3)
+        if k:
+            assert r.reduction == pytest.approx((got[k - 1].perplexity - r.perplexity) / got[k - 1].perplexity, abs=1e-6)
+    best = markov.optimal(found).first()
+    assert best.by_test == min(range(5), key=lambda k: got[k].perplexity) and best.by_train == min(range(5), key=lambda k: got[k].train_perplexity)
+    few = markov.analysis(lines.filter("line_ord < 9"), orders=1).collect()
+    assert all(not r.honest and r.perplexity == r.train_perplexity and r.n_tokens == r.n_train_tokens for r in few)
+    assert reports.markov_report(lines.filter("line_ord < 9"), 1)["split"]["warning"]
 
 
 def test_order_helpers(spark):
     frame = spark.createDataFrame([(3 * k, f"v{k}") for k in range(100)], "k bigint, v string").repartition(6)
     got = {r.k: r.following for r in order.with_next(frame, "k", "v", 7).collect()}
     assert got == {3 * k: f"v{k + 1}" if k < 99 else None for k in range(100)}
+    same = spark.createDataFrame([(7, k / 300) for k in range(300)] + [(k, 0.5) for k in range(8, 40)], "k bigint, t double")
+    dealt = order.numbered_ranges(same, "k", 10, F.col("t")).collect()
+    by = sorted(dealt, key=lambda r: (r.k, r.t))
+    assert [r._part for r in by] == sorted(r._part for r in by) and len({r._part for r in by if r.k == 7}) > 5 and max(r._part for r in by) < 10
+
+
+def test_draws_agree(spark):
+    import duckdb
+
+    keys = [(k, k * k * 12345 - 7) for k in range(300)]
+    mine = draws.drawn(42, np.array([a for a, _ in keys]), np.array([b for _, b in keys]), 3)
+    sparks = [r[0] for r in spark.createDataFrame(keys, "a bigint, b bigint").select(draws.draw(42, F.col("a"), F.col("b"), F.lit(3))).collect()]
+    table = ", ".join(f"({a}, {b})" for a, b in keys)
+    sqls = [r[0] for r in duckdb.sql(f"SELECT {draws.draw_sql(42, 'a', 'b', '3')} FROM (VALUES {table}) t(a, b)").fetchall()]
+    assert mine.tolist() == sparks == sqls and abs(mine.mean() - 0.5) < 0.06
+    many = draws.drawn(1, np.repeat(np.arange(200), 200), np.tile(np.arange(200), 200))
+    assert np.abs(np.histogram(many, 20)[0] - 2000).max() < 250
+    weights = draws.poisson_weights(42, np.arange(4000), 200)
+    share = np.bincount(weights.ravel(), minlength=6)[:6] / weights.size
+    assert np.abs(share - [math.exp(-1) / math.factorial(k) for k in range(6)]).max() < 0.003
+    assert np.abs(np.corrcoef(weights[:, :40].T) - np.eye(40)).max() < 0.08 and np.abs(np.corrcoef(weights[:40]) - np.eye(40)).max() < 0.3
 
 
 def test_slots_over_a_corpus(spark, rows, lines):
@@ -163,18 +227,87 @@ def test_slots_over_a_corpus(spark, rows, lines):
     assert slots.coverage(checked.limit(0)).first().coverage == 0
 
 
-def test_inference(spark, rows, lines):
-    only = lines.select("line_ord", "tokens")
-    a = inference.bootstrap(only, inference.entropy_statistic, 200).first()
-    b = inference.bootstrap(only.repartition(6), inference.entropy_statistic, 200).first()
-    true = entropy.analyse(L.vocabulary(L.token_rows(lines, clean=True))).first().entropy
-    assert tuple(a) == pytest.approx(tuple(b)) and a.low - 0.1 < true < a.high + 0.1 and a.low < a.high
-    p = inference.permutation_test(L.token_rows(lines), "ol", 300).first()
-    draw, shares = random.Random(4), [(r.count("ol"), len(r)) for r in rows if "ol" in r]
-    expected = np.mean([sum(draw.random() < k / n for k, n in shares) for _ in range(2000)]) / sum(k for k, _ in shares)
-    assert p.null_mean == pytest.approx(expected, abs=0.02) and 0 <= p.p_value <= 1
+def test_bootstrap_by_definition(spark, rows, lines, monkeypatch):
+    """Every resample's vocabulary, from the same weights, in plain counters."""
+    clean = [[t.replace("{", "").replace("}", "") for t in r] for r in rows]
+    for heavy, cells in ((256, 4_000_000), (3, 100)):
+        monkeypatch.setattr(inference, "HEAVY", heavy)
+        monkeypatch.setattr(inference, "CELLS", cells)
+        weights = draws.poisson_weights(9, np.arange(len(rows)), 50).astype(int)
+        entropies, slopes, rates = [], [], []
+        for rep in range(50):
+            c = Counter()
+            for w, r in zip(weights[:, rep].tolist(), clean, strict=True):
+                for t in r:
+                    c[t] += w
+            n = np.array([x for x in c.values() if x], float)
+            entropies.append(-np.sum(n / n.sum() * np.log2(n / n.sum())))
+            slopes.append(-np.polyfit(np.log(np.arange(1, len(n) + 1)), np.log(np.sort(n)[::-1]), 1)[0])
+            total = sum(w * r.count("ol") for w, r in zip(weights[:, rep].tolist(), clean, strict=True))
+            rates.append(sum(w * (r[0] == "ol") for w, r in zip(weights[:, rep].tolist(), clean, strict=True)) / total)
+        for values, found in ((entropies, inference.bootstrap(lines, inference.ENTROPY, 50, seed=9)), (slopes, inference.bootstrap(lines, inference.ZIPF, 50, seed=9)), (rates, inference.bootstrap_initial_rate(lines, "ol", 50, seed=9))):
+            one = found.first()
+            assert (one.low, one.high) == pytest.approx(tuple(np.percentile(values, [2.5, 97.5])), abs=2e-6) and one.resamples == 50
+    assert inference.bootstrap(lines, inference.ENTROPY, 50).first().point == entropy.analyse(L.vocabulary(L.token_rows(lines, clean=True))).first().entropy
+    assert tuple(inference.bootstrap(lines, inference.ENTROPY, 40).first()) == tuple(inference.bootstrap(lines.repartition(7), inference.ENTROPY, 40).first())
+
+
+def test_sums_of_logarithms(monkeypatch):
+    n = np.array([0, 1, 5, 999, 1000, 1001, 50_000])
+    tables = inference._log_tables(1000)
+    monkeypatch.setattr(inference, "_log_tables", lambda: tables)
+    logs = np.log(np.arange(1, 50_001))
+    one, two = inference.log_sums(n)
+    assert one == pytest.approx([logs[:k].sum() for k in n], rel=1e-9) and two == pytest.approx([(logs[:k] ** 2).sum() for k in n], rel=1e-8)
+
+
+def test_permutations(spark, rows, lines):
+    own = L.token_rows(lines, clean=True)
+    p = inference.permutation_test(own, "ol", 2000).first()
+    clean = [[t.replace("{", "").replace("}", "") for t in r] for r in rows]
+    draw, shares = random.Random(4), [(r.count("ol"), len(r)) for r in clean if "ol" in r]
+    sums = [sum(draw.random() < k / n for k, n in shares) for _ in range(4000)]
+    total, observed = sum(k for k, _ in shares), sum(r[0] == "ol" for r in clean)
+    assert (p.total, p.observed, p.observed_rate) == (total, observed, round(observed / total, 4))
+    assert p.null_mean == pytest.approx(np.mean(sums) / total, abs=0.01) and p.null_std == pytest.approx(np.std(sums) / total, abs=0.006)
+    assert p.p_value == pytest.approx(np.mean(np.array(sums) >= observed), abs=0.05)
+    with pytest.raises(ValueError, match="no token"):
+        inference.permutation_test(own, "absent")
+    assert inference.permutation_tests(own, [], 10).collect() == []
+    u = np.random.default_rng(1).random(4000)
+    for m, q in ((1, 0.5), (40, 0.1), (10**6, 0.3)):
+        x = inference.binomial_quantiles(m, q, u)
+        assert abs(x.mean() - m * q) < 4 * math.sqrt(m * q * (1 - q) / 4000) and 0 <= x.min() and x.max() <= m
+    assert inference.binomial_quantiles(7, 1.0, u).tolist() == [7] * 4000
+
+
+def test_chi_square(spark):
     assert inference.upper_gamma(1.0, 2.0) == pytest.approx(math.exp(-2)) and inference.upper_gamma(0.5, 0.5) == pytest.approx(math.erfc(math.sqrt(0.5)))
-    assert inference.upper_gamma(50.0, 30.0) == pytest.approx(0.9990, abs=2e-3)
+    # tabulated values of the distribution: the statistic that is exceeded with a probability of 0.05 and 0.01
+    for df, five, one in ((1, 3.841, 6.635), (4, 9.488, 13.277), (10, 18.307, 23.209), (30, 43.773, 50.892), (100, 124.342, 135.807)):
+        assert inference.upper_gamma(df / 2, five / 2) == pytest.approx(0.05, abs=1e-4) and inference.upper_gamma(df / 2, one / 2) == pytest.approx(0.01, abs=1e-4)
+    draw = np.random.default_rng(7)
+    counts = {"herbal": [30, 20, 10, 5, 3], "recipes": [5, 25, 18, 2, 2], "biological": [8, 6, 4, 3, 2], "unknown": [9, 9, 9, 9, 9], "cosmological": [60, 0, 0, 0, 0]}
+    rows = [(s, f"t{k}") for s, ns in counts.items() for k, n in enumerate(ns) for _ in range(n)]
+    draw.shuffle(rows)
+    frame = spark.createDataFrame([tuple(map(str, r)) for r in rows], "section string, token string")
+    total, columns = sum(map(sum, counts.values())), np.sum(list(counts.values()), axis=0)
+
+    def statistic(s, least):
+        n = np.array(counts[s])
+        e = n.sum() * columns / total
+        return sum((a - b) ** 2 / b for a, b in zip(n, e, strict=True) if a and b > least)
+
+    known = ["herbal", "recipes", "biological", "cosmological", "absent"]
+    got = {r.section: r for r in inference.significance(inference.chi_square(frame, known)).collect()}
+    assert got["herbal"].chi_square == pytest.approx(statistic("herbal", 0.5), abs=1e-4) and got["herbal"].df == 4
+    assert got["biological"].status == "INSUFFICIENT_DATA" and got["cosmological"].status == "INSUFFICIENT_OVERLAP" and got["cosmological"].significant is None
+    bar, n = 0.05 / 4, 0
+    for s in known[:4]:
+        df = sum(x > 0 for x in counts[s]) - 1
+        p = inference.upper_gamma(df / 2, statistic(s, 0) / 2) if sum(counts[s]) >= 50 and df > 0 else 1.0
+        n += round(p, 6) < bar
+    assert inference.rule_significance(frame, known).first().n_significant == n >= 1
 
 
 def test_graph_and_lookups(spark):
@@ -185,12 +318,47 @@ def test_graph_and_lookups(spark):
     words = spark.createDataFrame([("apple",), ("apply",), ("maple",), ("zebra",)], "word string")
     got = [(r.word, r.rank) for r in lookup.fuzzy(spark.createDataFrame([(" Appl ",)], "query string"), words, 2).orderBy("rank").collect()]
     assert got == [("apply", 1), ("apple", 2)]
+    from difflib import SequenceMatcher
+
+    draw = random.Random(6)
+    some = sorted({"".join(draw.choice("abcde") for _ in range(draw.randrange(1, 9))) for _ in range(300)})
+    for q in ("abcab", "e", "dcbaedcb"):
+        scored = sorted(((SequenceMatcher(None, w, q).ratio(), w) for w in some), reverse=True)
+        want = [(w, round(SequenceMatcher(None, q, w).ratio(), 3)) for s, w in scored if s >= 0.3][:5]
+        frame = spark.createDataFrame([(w,) for w in some], "word string")
+        found = lookup.fuzzy(spark.createDataFrame([(q,)], "query string"), frame).orderBy("rank").collect()
+        assert [(r.word, r.similarity) for r in found] == want
     keys = spark.createDataFrame([(1, "slot", "A"), (0, "graph", "B")], "key_order int, key string, answer string")
     asked = spark.createDataFrame([(1, "The GRAPH of slots"), (2, "nothing"), (3, "slot")], "id int, query string")
     assert {r.id: r.answer for r in lookup.dispatch(asked, keys).collect()} == {1: "B", 2: None, 3: "A"}
+    twice = asked.union(asked.select("id", F.lit("slot").alias("query")))
+    for most in (10_000, 1):
+        lookup.BROADCAST_KEYWORDS = most
+        assert sorted(map(str, lookup.dispatch(twice, keys).collect())) == sorted(map(str, [Row(id=1, key="graph", answer="B"), Row(id=2, key=None, answer=None), Row(id=3, key="slot", answer="A"), *[Row(id=k, key="slot", answer="A") for k in (1, 2, 3)]]))
+    lookup.BROADCAST_KEYWORDS = 10_000
     assert lookup.exact(spark.createDataFrame([(" SLOT ",)], "query string"), keys).first().answer == "A"
 
 
+def test_components_against_union_find(spark, rows):
+    draw = random.Random(3)
+    edges = [(f"n{draw.randrange(400)}", f"n{draw.randrange(400)}") for _ in range(260)] + [("hub", f"n{k}") for k in range(0, 400, 3)]
+    group = {v: v for e in edges for v in e}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        group[max(x, y)] = min(x, y)
+    want = {v: root(v) for v in group if any(v in e and e[0] != e[1] for e in edges)}
+    graph_, size = spark.createDataFrame(edges, "src string, dst string"), graph.GROUP
+    for graph.GROUP in (size, 5):
+        assert dict(graph.components(graph_).collect()) == want
+    graph.GROUP = size
+
+
 def test_rules(spark):
     base = {m: 0.0 for _, _, m, _ in rules.RULES} | {"baseline_entropy": 9.0, "most_usage": 0.0, "perplexity_0": 5.0}
     good = base | {"coverage": 0.8, "entropy": 8.0, "alpha": 1.0, "r_squared": 0.9, "n_biased": 5.0, "perplexity_1": 4.0, "perplexity_saved": 0.2, "n_significant": 2.0}
@@ -208,11 +376,33 @@ def test_command_line(spark, tmp_path, rows):
     assert cli.main(["ingest", str(tmp_path / "in"), "--output", path], spark) == 0
     assert len(json.loads((tmp_path / "corpus.json").read_text())["records"]) == 120
     assert [r.tokens for r in L.read_corpus(spark, path).orderBy("line_ord").collect()] == rows
-    assert cli.main(["markov", path, "--output", str(tmp_path / "m.json"), "--orders", "1"], spark) == 0
-    assert len(json.loads((tmp_path / "m.json").read_text())["markov"]) == 2
-    assert cli.main(["pipeline", path, "--output", str(tmp_path / "runs"), "--resamples", "20"], spark) == 0
-    assert cli.main(["report", str(tmp_path / "runs"), "--output", str(tmp_path / "r.md")]) == 0 and "## Hypotheses" in (tmp_path / "r.md").read_text()
+    folder = str(tmp_path / "corpus")
+    assert cli.main(["ingest", str(tmp_path / "in"), "--output", folder, "--version", "v1"], spark) == 0
+    assert [r.tokens for r in spark.read.parquet(folder).orderBy("line_ord").collect()] == rows
+
+    def report(command, *options):
+        assert cli.main([command, path, "--output", str(tmp_path / "r.json"), *options], spark) == 0
+        return json.loads((tmp_path / "r.json").read_text())
+
+    found = report("markov", "--orders", "1")
+    assert len(found["markov"]) == 2 and found["optimal_order_by_test"] in (0, 1) and found["split"]["honest"]
+    found = report("entropy", "--clean", "--label", "x")
+    assert found["label"] == "x" and found["baseline"]["delta_bits"] == round(found["baseline"]["entropy"] - found["entropy"]["entropy"], 4) and found["characters"]["frequencies"] and found["zipf"]["rank_frequency"]
+    found = report("positional", "--top-n", "4")
+    assert len(found["line_initial"]) == len(found["line_final"]) == 4 and found["sections"] and found["word_places"] and found["character_places"] and set(found["biased"]) == {"line_initial", "line_final"}
+    found = report("adjacency", "--top-n", "3", "--min-pmi-count", "2")
+    assert len(found["bigrams"]) == len(found["trigrams"]) == 3 and found["n_pair_types"] <= found["n_bigrams"] and {"pmi_top", "pmi_low"} <= set(found)
+    found = report("slots", "--tokens", str(tmp_path / "tokens"))
+    assert found["n_tokens"] == sum(map(len, rows)) and found["failures"] and found["invalid_top"] and found["sections"] and spark.read.csv(str(tmp_path / "tokens"), header=True).count() > 5
+    found = report("significance", "--resamples", "30", "--seed", "5")
+    assert {"entropy", "zipf_alpha"} == set(found["intervals"]) and found["sections"] and all(0 <= p["p_value"] <= 1 for p in found["permutations"])
+    found = report("falsify")
+    assert len(found["rules"]) == len(rules.RULES) and found["summary"].startswith(found["overall"]["verdict"])
+    assert cli.main(["pipeline", folder, "--output", str(tmp_path / "runs"), "--resamples", "20", "--run-id", "one"], spark) == 0
+    assert cli.main(["report", str(tmp_path / "runs"), "--output", str(tmp_path / "r.md")]) == 0 and "## Hypotheses" in (tmp_path / "r.md").read_text() and (tmp_path / "runs/run_one.json").exists()
     assert cli.main(["preregister", "--output", str(tmp_path / "p.json"), "--version", "v1"]) == 0
+    plan = json.loads((tmp_path / "p.json").read_text())
+    assert len(plan["secondary_tests"]) == len(rules.RULES) - 1 and plan["analysis_plan"] and plan["exclusions"] and plan["deviations"] == []
     assert cli.main(["report", str(tmp_path / "in"), "--output", str(tmp_path / "r.md")]) == 2
     assert analysis.markdown({}) and sinks.finite({"a": [float("inf"), 1.0]}) == {"a": [None, 1.0]}
 
