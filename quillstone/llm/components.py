@@ -1,34 +1,7 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from quillstone.operators.graph import stars as components
 
-from quillstone.llm.storage import stash
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): the smallest node it is connected with.
-
-    Each round replaces a node's neighbours by links to the smallest of them;
-    the number of rounds grows with the logarithm of a component's diameter.
-    Every round is written to the shared folder, so no plan grows with the
-    rounds. Loops and repeated edges make no difference.
-    """
-    links = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    while True:
-        both = links.union(links.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v")
-        links = stash(small.distinct(), "edges")
-        ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child")))).alias("e")).select("e.*")
-        # done when every child has one parent, and no parent is a child
-        tied = ends.groupBy("node").agg(F.sum("child").alias("c"), F.min("child").alias("p")).filter("c > 1 OR (c = 1 AND p = 0)")
-        if tied.isEmpty():
-            break
-    roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+__all__ = ["components"]

@@ -7,6 +7,7 @@ cost is per byte rather than per row, and their memory is that of the slice.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,12 +71,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
     pa.default_memory_pool().release_unused()
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and per-row offsets of the runs without ASCII white space, row by row."""
-    n = len(data)
+def _spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and per-row offsets of the runs of true elements; none goes on from one row into the next."""
+    n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~WHITE[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -87,15 +87,83 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and per-row offsets of the runs without ASCII white space, row by row."""
+    return _spans(~WHITE[data], offsets)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes, by differences of one polynomial prefix sum."""
-    up, down = powers(len(data))
+    return _hashed(BYTES[data], starts, ends)
+
+
+def _hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = powers(len(values))
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, U)
-        np.cumsum(BYTES[data] * up[:-1], out=prefix[1:])
+        prefix = np.zeros(len(values) + 1, U)
+        np.cumsum(values * up[:-1], out=prefix[1:])
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+# -- letters --------------------------------------------------------------------
+
+#: Code points whose words are looked at together.
+CHUNK = 1 << 20
+
+
+@cache
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter (``str.isalpha``), and its lower-case form where that is one code point."""
+    is_letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+    for k, c in enumerate(map(chr, range(0x110000))):
+        if c.isalpha():
+            is_letter[k] = True
+            small = c.lower()
+            if len(small) == 1:
+                lower[k] = ord(small)
+    return is_letter, lower
+
+
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a string column and its n + 1 offsets; nulls count as empty."""
+    data, offsets = text_arrays(column)
+    head = (data & 0xC0) != 0x80
+    if head.all():
+        return data.astype(np.uint32), offsets
+    places = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(head, out=places[1:])
+    return np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), places[offsets]
+
+
+def gram_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each span of code points."""
+    return _hashed(mix(points.astype(U) + U(1)), starts, ends)
+
+
+def letter_words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, keys and per-row offsets of the runs of letters of texts laid end to end.
+
+    A key depends on the lower-case letters alone. Long texts are worked
+    through in chunks that end between words, so the memory beside the code
+    points is that of a chunk and of the words found.
+    """
+    is_letter, lower = letters()
+    starts, ends, rows = _spans(is_letter[points], offsets)
+    keys, at = [], 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
+        keys.append(gram_keys(lower[points[low : ends[stop - 1]]], starts[at:stop] - low, ends[at:stop] - low))
+        at = stop
+    return starts, ends, np.concatenate(keys) if keys else np.zeros(0, U), rows
+
+
+def word_key(word: str) -> int:
+    """The key of one word, as ``letter_words`` gives it, as a signed number."""
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(gram_keys(letters()[1][points], np.array([0]), np.array([len(points)])).astype(np.int64)[0])
+
+
 def runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For groups of the given sizes laid end to end: each item's group, and its place in it."""
     group = np.repeat(np.arange(len(sizes)), sizes)

@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillstone-"))
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The result has no lineage behind it, survives lost executors and is
-    computed once, however often it is read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillstone.sources.shared import stored as stash
 
+__all__ = ["KEY", "bounded", "row_key", "stash"]
 
 #: Bytes of an Arrow batch on its way to Python. Spark's own limit of 64 MB is held
 #: several times over in the JVM and in Python, for each of an executor's tasks.
@@ -39,3 +18,12 @@ def bounded(df: DataFrame) -> DataFrame:
     """``df``, in whose session Arrow batches are kept to ``BATCH_BYTES``."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
+
+
+#: The type of ``row_key``.
+KEY = "struct<a:bigint,b:bigint>"
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits that tell rows apart by the given columns; only rows equal in them share a key."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *reversed(columns)).alias("b"))
