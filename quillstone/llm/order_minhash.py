@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
 from quillstone.llm.storage import bounded
+from quillstone.operators.order import numbered_ranges
 
 NAME = "op1_order_minhash"
 ORACLE = None
@@ -114,45 +115,20 @@ def edited(text: str, following: str) -> str:
 def ranges(docs: DataFrame, parts: int) -> DataFrame:
     """``docs`` with ``part`` and ``guest``: ranges of the key, each with the first row of the next as a guest.
 
-    After the last range comes the first again. What reaches the driver is a
-    row for each range.
+    After the last range comes the first again. Rows without a doc_id, or with
+    one doc_id, take as many ranges as they fill, in the order of ``mark``, a
+    hash of their text.
     """
-    # the bounds only decide where ranges are cut, so approximate ones lose nothing
-    bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    part = F.lit(0)
-    if bounds:
-        # how many bounds are not above the key; null keys come first
-        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col("doc_id") >= b)) if len(bounds) < 8 else _bisect(bounds)
-        part = F.coalesce(part, F.lit(0))
-    cut = docs.withColumn("part", part)
-    first = sorted((r["part"], r["doc_id"]) for r in cut.groupBy("part").agg(F.when(F.count("doc_id") < F.count("*"), None).otherwise(F.min("doc_id")).alias("doc_id")).collect())
-    used = [p for p, _ in first]
-    before = {p: used[k - 1] for k, p in enumerate(used)}
-    home = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")))
-    is_first = F.lit(False)
-    host = F.lit(None).cast("int")
-    if first:
-        lows = F.create_map(*[F.lit(x) for p, d in first if d is not None for x in (p, d)]) if any(d is not None for _, d in first) else None
-        hosts = F.create_map(*[F.lit(x) for p in used for x in (p, before[p])])
-        is_first = F.col("doc_id").isNull()
-        if lows is not None:
-            is_first = is_first | (F.col("doc_id") == F.try_element_at(lows, F.col("part")))
-        host = F.element_at(hosts, F.col("part"))
-    guest = F.array(F.struct(host.alias("part"), F.lit(1).alias("guest")))
-    both = F.explode(F.when(is_first, F.concat(home, guest)).otherwise(home))
-    return docs.withColumn("part", part).withColumn("p", both).select("doc_id", "text", "p.part", "p.guest")
-
-
-def _bisect(bounds: list[int]):
-    """Nested comparisons that find the number of bounds not above doc_id in logarithmic depth."""
-    def find(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= bounds[mid], find(mid + 1, hi)).otherwise(find(lo, mid))
-
-    return find(0, len(bounds))
+    marked = docs.withColumn("mark", F.xxhash64("text")).withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    cut = numbered_ranges(marked, "_key", parts, F.col("mark") / F.lit(2.0**64) + 0.5).drop("_key").withColumnRenamed("_part", "part")
+    heads = cut.groupBy("part").agg(F.min(F.struct("doc_id", "mark")).alias("head"))
+    # a row for each range: the range before it, which for the first is the last
+    every = Window.orderBy("part")
+    hosts = heads.select("part", "head", F.coalesce(F.lag("part").over(every), F.max("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("host"))
+    first = cut.join(F.broadcast(hosts), "part").filter(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark")))
+    guests = first.groupBy(F.col("host").alias("part")).agg(F.any_value(F.col("head.doc_id")).alias("doc_id"), F.any_value("text").alias("text"), F.any_value("mark").alias("mark"))
+    columns = ("doc_id", "text", "mark", "part")
+    return cut.select(*columns, F.lit(0).alias("guest")).union(guests.select(*columns, F.lit(1).alias("guest")))
 
 
 OUT = (
@@ -185,15 +161,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """The columns of ``OUT`` for each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Rows follow each other by ascending doc_id, nulls first, equal ids by
-    text; a null text is the empty text. The row after the last is the first,
-    so a single row follows itself.
+    Rows follow each other by ascending doc_id, nulls first, equal ids by the
+    hash of their text; a null text is the empty text. The row after the last
+    is the first, so a single row follows itself.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ranges(docs, parts).repartitionByRange(parts, "part")
-    return bounded(dealt).sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(_walk, OUT)
+    dealt = bounded(ranges(docs, parts)).repartitionById(parts, "part").sortWithinPartitions("part", "guest", "doc_id", "mark", "text")
+    return dealt.drop("mark").mapInArrow(_walk, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
