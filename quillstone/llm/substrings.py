@@ -8,14 +8,15 @@ A string of ``LENGTH`` bytes that starts at two places is looked for in three st
    anchor gram at the same place. One anchor serves about 180 windows, and
    only anchor grams that occur twice can belong to a repeated string.
 2. Shards. For each anchor the stretch of text that its windows cover is
-   compared with the stretches around equal grams. Equal stretches are counted,
-   not compared; the distinct ones are brought together, shard by shard, in a
-   suffix array built by Larsson-Sadakane refinement, and the common prefixes
-   of its neighbours, after Kasai, tell which strings repeat.
-3. Merging. A gram with more distinct stretches than a shard holds is split over
-   several. Each shard lists its strings around that gram once, as sorted
-   digests; the lists of one range of digests meet in one place, where binary
-   search tells which strings other shards hold as well.
+   compared with the stretches around equal grams. Every different stretch of
+   a repeated gram goes once, with the number of its copies, to a shard: a
+   suffix array built by Larsson-Sadakane refinement. The common prefixes of
+   its neighbours, after Kasai, and the copies tell which strings repeat.
+3. Merging. A gram with more different stretches than a shard holds is split
+   over several. Each shard cuts the sorted list of its strings around that
+   gram into ranges; the lists of one range meet in one place, where each is
+   looked up in the merged list by binary search, which tells the strings that
+   other shards hold as well.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.storage import bounded, stash
+from quillstone.llm.storage import KEY, bounded, row_key, stash
 
 NAME = "op2_suffix_array_dedup"
 ORACLE = None
@@ -83,12 +84,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def text_mark(text: bytes) -> int:
-    """Tells texts with one doc_id apart."""
-    return xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF
-
-
-ANCHORS = "key bigint, stretch binary, doc_id bigint, mark int, first bigint, starts int"
+ANCHORS = f"key bigint, stretch binary, doc_id bigint, rk {KEY}, first bigint, starts int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +95,14 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         raw = data.tobytes()
         row = np.searchsorted(offsets, first, "right") - 1
-        marks = np.array([text_mark(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int32)
         # a stretch is what the anchor's windows cover, and where in it the anchor stands
         stretch = [xxhash.xxh3_128_digest(raw[a : b + LENGTH], seed=p - a) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(key.astype(np.int64)), pa.array(stretch, pa.binary()), piece.column("doc_id").take(pa.array(row)), pa.array(marks[row]),
+                pa.array(key.astype(np.int64)), pa.array(stretch, pa.binary()), piece.column("doc_id").take(pa.array(row)), piece.column("rk").take(pa.array(row)),
                 pa.array(first - offsets[row]), pa.array((last - first + 1).astype(np.int32)),
             ],
-            ["key", "stretch", "doc_id", "mark", "first", "starts"],
+            ["key", "stretch", "doc_id", "rk", "first", "starts"],
         )
 
 
@@ -128,7 +123,7 @@ def suffix_array(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     words = np.zeros(n, np.int64)
     for k in range(7):
         words = (words << 9) | np.where(left > k, padded[k : k + n], 0)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words, kind="stable")  # ends of texts stay in the order of their places
     ranked = words[order]
     fresh = np.append(True, (ranked[1:] != ranked[:-1]) | (left[order[1:]] < 7))
     head = np.flatnonzero(fresh)
@@ -141,7 +136,7 @@ def suffix_array(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     while len(at):
         who = order[at]
         key = (rank[who] << 31) | rank[who + depth]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         who, key = who[by], key[by]
         order[at] = who
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -190,17 +185,19 @@ def common_prefixes(order: np.ndarray, words: np.ndarray, codes: np.ndarray, sta
     return out
 
 
-SHARD = "key bigint, stretch binary, hits array<int>, offsets array<int>, digests binary"
+SHARD = "key bigint, stretch binary, hits array<int>, range int, digests binary, places binary"
+_DIGEST = np.dtype([("high", ">u8"), ("low", ">u8")])
 
 
 def _search_shard(table: pa.Table) -> pa.Table:
-    """Of each stretch of a shard: the starts (as intervals) of strings that the shard holds twice.
+    """Of each stretch of a shard: the starts (as intervals) of strings that the corpus is known to hold twice.
 
     For grams that are split over shards, also one start of each different
-    string, with its digest.
+    string that no copy of its stretch repeats, with its digest, in order of
+    the digests and cut into ranges of them.
     """
     texts = table.column("text").to_pylist()
-    split = np.array(table.column("split").to_pylist())
+    copies, ranges = np.array(table.column("c").to_pylist()), np.array(table.column("ranges").to_pylist())
     sizes = np.array([len(t) for t in texts])
     begin = np.cumsum(sizes + 1) - sizes - 1
     codes = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
@@ -211,27 +208,54 @@ def _search_shard(table: pa.Table) -> pa.Table:
     order, words = suffix_array(codes, ends)
     shared = common_prefixes(order, words, codes, begin, sizes)
     same = shared[order] >= LENGTH  # with the suffix before it
-    repeated = np.zeros(len(codes), bool)
-    repeated[order] = same | np.append(same[1:], False)
+    repeated = np.repeat(copies > 1, sizes + 1)
+    group = np.cumsum(~same) - 1  # suffixes that begin with the same string
+    repeated_group = np.bincount(group, repeated[order], int(group[-1]) + 1 if len(group) else 0) > 0
+    repeated[order] |= same | np.append(same[1:], False) | repeated_group[group]
     leader = np.zeros(len(codes), bool)
     leader[order] = ~same
-    hits, offsets, digests = [], [], []
-    for a, n, text, wide in zip(begin.tolist(), (sizes - LENGTH + 1).tolist(), texts, split.tolist(), strict=True):
+    rows = []
+    for nth, (a, n, text, parts) in enumerate(zip(begin.tolist(), (sizes - LENGTH + 1).tolist(), texts, ranges.tolist(), strict=True)):
         edge = np.diff(np.concatenate([[0], repeated[a : a + n].astype(np.int8), [0]]))
-        hits.append(np.stack([np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)], axis=1).reshape(-1).astype(np.int32))
-        own = np.flatnonzero(leader[a : a + n]) if wide else np.zeros(0, np.int64)
-        offsets.append(own.astype(np.int32))
-        digests.append(b"".join(xxhash.xxh3_128_digest(text[k : k + LENGTH]) for k in own.tolist()))
-    return pa.table({"key": table.column("key"), "stretch": table.column("stretch"), "hits": pa.array(hits, pa.list_(pa.int32())), "offsets": pa.array(offsets, pa.list_(pa.int32())), "digests": pa.array(digests, pa.binary())})
+        hits = np.stack([np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)], axis=1).reshape(-1).astype(np.int32)
+        if len(hits):
+            rows.append((nth, hits, None, None, None))
+        own = np.flatnonzero(leader[a : a + n]) if parts > 1 else ()
+        if len(own):
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k : k + LENGTH]) for k in own.tolist()), _DIGEST)
+            by = np.lexsort((digests["low"], digests["high"]))
+            digests, own = digests[by], own[by].astype(np.int32)
+            cuts = np.searchsorted(digests["high"].astype(K.U), np.arange(1, parts).astype(K.U) * K.U((1 << 64) // parts))
+            for part, (d, o) in enumerate(zip(np.split(digests, cuts), np.split(own, cuts), strict=True)):
+                if len(d):
+                    rows.append((nth, None, part, d.tobytes(), o.tobytes()))
+    nth, hits, part, digests, places = zip(*rows, strict=True) if rows else ((),) * 5
+    nth = pa.array(nth, pa.int64())
+    return pa.table({
+        "key": table.column("key").take(nth), "stretch": table.column("stretch").take(nth), "hits": pa.array(hits, pa.list_(pa.int32())),
+        "range": pa.array(part, pa.int32()), "digests": pa.array(digests, pa.binary()), "places": pa.array(places, pa.binary()),
+    })
 
 
 def _merge_range(table: pa.Table) -> pa.Table:
-    """The strings of one range of digests that more than one shard lists, found by binary search in the merged lists."""
-    digest = np.array(table.column("digest").to_pylist(), "S32")  # in hex, so that no byte is zero
-    every = np.sort(digest)
-    count = np.searchsorted(every, digest, "right") - np.searchsorted(every, digest, "left")
-    keep = pa.array(count > 1)
-    return table.select(["key", "stretch", "place"]).filter(keep)
+    """The strings of one range of digests that more than one shard lists: each sorted list is looked up in all lists merged."""
+    lists = [np.frombuffer(d, _DIGEST) for d in table.column("digests").to_pylist()]
+    places = [np.frombuffer(p, np.int32) for p in table.column("places").to_pylist()]
+    # a digest as two numbers: its rank among the first halves, joined with its second half
+    high = np.unique(np.concatenate([d["high"] for d in lists]).astype(K.U))
+    ranked = [(np.searchsorted(high, d["high"].astype(K.U)), d["low"].astype(K.U)) for d in lists]
+    rank, low = (np.concatenate(c) for c in zip(*ranked, strict=True))
+    by = np.lexsort((low, rank))
+    fresh = np.append(True, (rank[by][1:] != rank[by][:-1]) | (low[by][1:] != low[by][:-1]))
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(fresh) - 1  # equal digests share a number, in their order
+    merged = np.sort(number)
+    ends = np.cumsum([len(p) for p in places])
+    hits = []
+    for own, place in zip(np.split(number, ends[:-1]), places, strict=True):
+        found = np.searchsorted(merged, own, "right") - np.searchsorted(merged, own, "left") > 1
+        hits.append(np.stack([place[found], place[found] + 1], axis=1).reshape(-1).astype(np.int32))
+    return table.select(["key", "stretch"]).append_column("hits", pa.array(hits, pa.list_(pa.int32()))).filter(pa.array([len(h) > 0 for h in hits], pa.bool_()))
 
 
 # -- the whole -------------------------------------------------------------------
@@ -242,11 +266,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, wanted in zip(piece.column("text").to_pylist(), piece.column("wanted").to_pylist(), strict=True):
             raw = (text or "").encode()
-            mark = text_mark(raw)
-            rows += [(w["key"], w["stretch"], w["d"], raw[w["first"] : w["first"] + w["starts"] + LENGTH - 1]) for w in wanted if w["mark"] == mark]
+            rows += [(w["key"], w["stretch"], w["c"], w["d"], raw[w["first"] : w["first"] + w["starts"] + LENGTH - 1]) for w in wanted]
         if rows:
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["key", "stretch", "d", "text"])
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "stretch", "c", "d", "text"])
 
 
 def removed_mask(n: int, intervals: list[tuple[int, int]]) -> np.ndarray:
@@ -267,8 +290,7 @@ def _remover(with_text: bool):
             out = []
             for doc_id, text, spans in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 raw = (text or "").encode()
-                mark = text_mark(raw) if spans else 0
-                own = [(s["a"], s["b"]) for s in spans or () if s["mark"] == mark]
+                own = [(s["a"], s["b"]) for s in spans or ()]
                 kept, gone, runs = raw, 0, 0
                 if own:
                     mask = removed_mask(len(raw), own)
@@ -290,47 +312,38 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     of such a text is removed, if it is long enough. Bytes may be cut within
     a character, so ``kept`` is binary.
     """
-    docs = bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    docs = bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).withColumn("rk", row_key("doc_id", "text"))
     found = stash(docs.mapInArrow(_anchors, ANCHORS), "anchors")
     # written, so that both sides of the join are dealt out plainly and a very common gram's rows can be split
     twice = stash(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated-grams")
     open_ = stash(found.join(twice, "key"), "repeated-anchors")
-    kinds = open_.groupBy("key", "stretch").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "mark", "first", "starts")).alias("one"))
+    kinds = open_.groupBy("key", "stretch").agg(F.count("*").alias("c"), F.min(F.struct("rk", "first", "starts")).alias("one"))
     kinds = stash(kinds.join(kinds.groupBy("key").agg(F.count("*").alias("d")), "key"), "stretches")
+    # the stretches of one text, found again by the key of a row that holds it; of equal rows, one is enough
     wanted = (
-        kinds.filter("d > 1").select("one.*", "key", "stretch", "d").withColumn("id", F.col("doc_id")).groupBy("id")
-        .agg(F.collect_list(F.struct("key", "stretch", "d", "mark", "first", "starts")).alias("wanted"))
+        kinds.select("one.*", "key", "stretch", "c", "d").groupBy(F.col("rk").alias("_rk"))
+        .agg(F.collect_list(F.struct("key", "stretch", "c", "d", "first", "starts")).alias("wanted"))
     )
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id)).select("text", "wanted")
-    cut = stash(texts.mapInArrow(_cut, "key bigint, stretch binary, d bigint, text binary").dropDuplicates(["key", "stretch"]), "cut")
+    texts = docs.join(wanted, docs.rk == F.col("_rk")).groupBy("rk").agg(F.any_value("text").alias("text"), F.any_value("wanted").alias("wanted"))
+    cut = stash(texts.select("text", "wanted").mapInArrow(_cut, "key bigint, stretch binary, c bigint, d bigint, text binary"), "cut")
     size = cut.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     # a gram's stretches share a shard, or several where there are more than one holds
-    part = F.pmod(F.xxhash64("stretch"), F.ceil(F.col("d") / F.lit(float(SHARD_STRETCHES))))
-    dealt = cut.withColumn("split", F.col("d") > SHARD_STRETCHES).withColumn("shard", F.when(F.col("split"), F.xxhash64("key", part)).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards))))
+    ranges = F.ceil(F.col("d") / F.lit(float(SHARD_STRETCHES)))
+    shard = F.when(F.col("ranges") > 1, F.xxhash64("key", F.pmod(F.xxhash64("stretch"), F.col("ranges")))).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
+    dealt = cut.withColumn("ranges", ranges).withColumn("shard", shard).select("key", "stretch", "c", "ranges", "text", "shard")
     searched = stash(dealt.groupBy("shard").applyInArrow(_search_shard, SHARD), "searched")
-    wide = kinds.filter(F.col("d") > SHARD_STRETCHES).select("key", "d").distinct()
-    listed = (
-        searched.filter(F.size("offsets") > 0).select("key", "stretch", F.hex("digests").alias("digests"), F.posexplode("offsets").alias("nth", "place"))
-        .select("key", "stretch", "place", F.lower(F.expr("substring(digests, nth * 32 + 1, 32)")).alias("digest"))
-        .join(wide, "key")
-        .withColumn("range", F.pmod(F.xxhash64("digest"), F.ceil(F.col("d") / F.lit(float(SHARD_STRETCHES)))))
-    )
-    merged = listed.select("key", "stretch", "place", "digest", "range").groupBy("key", "range").applyInArrow(_merge_range, "key bigint, stretch binary, place int")
-    more = merged.select("key", "stretch", F.array(F.col("place"), F.col("place") + 1).alias("hits"))
-    hits = searched.filter(F.size("hits") > 0).select("key", "stretch", "hits").union(more).groupBy("key", "stretch").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    marked = kinds.select("key", "stretch", "c").join(hits, ["key", "stretch"], "left").filter("c > 1 OR hits IS NOT NULL")
+    listed = searched.filter("range IS NOT NULL").select("key", "stretch", "range", "digests", "places")
+    merged = listed.groupBy("key", "range").applyInArrow(_merge_range, "key bigint, stretch binary, hits array<int>")
+    every = searched.filter("hits IS NOT NULL").select("key", "stretch", "hits").union(merged)
+    hits = stash(every.groupBy("key", "stretch").agg(F.flatten(F.collect_list("hits")).alias("hits")), "found-strings")  # written, as above
     spans = (
-        open_.join(marked, ["key", "stretch"])
-        .select(
-            F.col("doc_id").alias("id"), "mark", "first",
-            F.when(F.col("c") > 1, F.array(F.lit(0), F.col("starts"))).otherwise(F.col("hits")).alias("hits"),
-        )
-        .select("id", "mark", "first", "hits", F.explode(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2))).alias("k"))
-        .select("id", F.struct("mark", (F.col("first") + F.expr("hits[k]")).alias("a"), (F.col("first") + F.expr("hits[k + 1]")).alias("b")).alias("s"))
-        .groupBy("id").agg(F.collect_list("s").alias("spans"))
+        open_.join(hits, ["key", "stretch"]).select("rk", "first", "hits").distinct()
+        .select("rk", "first", "hits", F.explode(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2))).alias("k"))
+        .select(F.col("rk").alias("_rk"), F.struct((F.col("first") + F.expr("hits[k]")).alias("a"), (F.col("first") + F.expr("hits[k + 1]")).alias("b")).alias("s"))
+        .groupBy("_rk").agg(F.collect_list("s").alias("spans"))
     )
-    joined = docs.join(spans, docs.doc_id.eqNullSafe(spans.id), "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, docs.rk == F.col("_rk"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remover(with_text), RESULT + (", kept binary" if with_text else ""))
 
 
