@@ -22,20 +22,70 @@ from quillstone.llm.storage import stash
 NAME = "op3_license_scan"
 #: The share of a template's distinct words that a block must have.
 CONTAINMENT = 0.9
-# The base phrases, and sentences of public licences, each with its label.
+# The base phrases, and the notices of public licences, each with its label. A template of several sentences stands for a paragraph.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions",
+    ),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "the software is provided as is without warranty of any kind express or implied"),
+    (
+        "mit",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        "noninfringement. in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from "
+        "out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    (
+        "isc",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall "
+        "the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version of "
+        "the license or at your option any later version",
+    ),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version "
+        "of the license or at your option any later version",
+    ),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (
+        "bsd",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and "
+        "fitness for a particular purpose are disclaimed. in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in "
+        "contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("reserved", "all rights reserved"),
 )
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,6 +93,16 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK = r"\n|[.!?;](?=[ \t\r\n])"
 #: Sentences, which go on over line ends up to a blank line; those of several lines are blocks as well, for notices that are wrapped.
 SENTENCE = r"\n[ \t\r]*\n|[.!?;](?=[ \t\r\n])"
+#: Paragraphs; those of several sentences are blocks for the templates that have several.
+PARAGRAPH, ENDED = r"\n[ \t\r]*\n", r"[.!?;][ \t\r\n]"
+
+
+def template_words(text: str) -> list[str]:
+    return sorted(set(text.replace(".", " ").split()))
+
+
+def is_paragraph(text: str) -> bool:
+    return "." in text
 
 
 def split_words(text: Column) -> Column:
@@ -80,12 +140,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     containment of each block that has the required share of a template, but
     for a template whose words are all among those of another that has more
     in common with the block. Blocks are numbered lines first, then sentences
-    of several lines. A null
+    of several lines, then paragraphs of several sentences. A null
     or empty text has no words and no blocks; repeated rows stay apart by
     row_no; lower-casing follows Unicode, which changes none of the words
     that templates or phrases consist of.
     """
-    sets = [(k, label, sorted(set(t.split()))) for k, (label, t) in enumerate(templates)]
+    sets = [(k, label, template_words(t)) for k, (label, t) in enumerate(templates)]
+    wide = {k for k, (_, t) in enumerate(templates) if is_paragraph(t)}
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
     low = F.lower(F.coalesce("text", F.lit("")))
     base = docs.select("doc_id", low.alias("low")).withColumn("words", split_words(F.col("low")))
@@ -111,22 +172,29 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     for k, label, ws in sets:
         ws = sorted(ws, key=order.get)
         need = needed(len(ws), containment)
-        prefix += [(w, k, label, i, len(ws), need, ws) for i, w in enumerate(ws[: len(ws) - need + 1])]
+        prefix += [(w, k, label, i, len(ws), need, ws, k in wide) for i, w in enumerate(ws[: len(ws) - need + 1])]
     spark = docs.sparkSession
-    table = spark.createDataFrame(prefix, "w string, template int, label string, i int, size int, need int, ws array<string>")
+    table = spark.createDataFrame(prefix, "w string, template int, label string, i int, size int, need int, ws array<string>, wide boolean")
     ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
+    several_lines = F.filter(F.split("low", SENTENCE), lambda x: F.trim(x, F.lit(" \t\r\n")).contains("\n"))
+    several_sentences = F.filter(F.split("low", PARAGRAPH), lambda x: x.rlike(ENDED))
+
+    def of_kind(parts: Column, is_paragraph: bool) -> Column:
+        return F.transform(parts, lambda x: F.struct(x.alias("text"), F.lit(is_paragraph).alias("is_paragraph")))
+
+    kinds = [of_kind(F.split("low", BLOCK), False), of_kind(several_lines, False), of_kind(several_sentences, True)]
     blocks = (
         rows.filter("low IS NOT NULL")
-        .select("row_no", F.posexplode(F.concat(F.split("low", BLOCK), F.filter(F.split("low", SENTENCE), lambda x: F.trim(x, F.lit(" \t\r\n")).contains("\n")))).alias("block_no", "block"))
-        .select("row_no", "block_no", F.array_intersect(split_words(F.col("block")), F.array(*map(F.lit, vocabulary))).alias("b"))
+        .select("row_no", F.posexplode(F.concat(*kinds)).alias("block_no", "block"))
+        .select("row_no", "block_no", "block.is_paragraph", F.array_intersect(split_words(F.col("block.text")), F.array(*map(F.lit, vocabulary))).alias("b"))
         .filter(F.size("b") > 0)
         .withColumn("b", F.transform(F.array_sort(F.transform("b", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda s: s.w))
     )
-    tokens = blocks.select("row_no", "block_no", "b", F.size("b").alias("n"), F.posexplode("b").alias("j", "w"))
+    tokens = blocks.select("row_no", "block_no", "is_paragraph", "b", F.size("b").alias("n"), F.posexplode("b").alias("j", "w"))
     bound = F.least("i", "j") + 1 + F.least(F.col("size") - F.col("i") - 1, F.col("n") - F.col("j") - 1)
     found = (
         tokens.join(F.broadcast(table), "w")  # a row for each prefix word of the templates given
-        .filter((F.col("n") >= F.col("need")) & (bound >= F.col("need")))
+        .filter((F.col("n") >= F.col("need")) & (bound >= F.col("need")) & (F.col("wide") | ~F.col("is_paragraph")))
         .withColumn("overlap", F.size(F.array_intersect("b", "ws")))
         .filter("overlap >= need")
         .groupBy("row_no", "block_no", "template", "label")
@@ -166,25 +234,30 @@ def _oracle() -> str:
     for phrase, label in PHRASES.items():
         parts = phrase.split()
         same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
-        phrases.append(f"SELECT doc_id, i AS start, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(len(w) - {len(parts) - 1})) AS i FROM d) WHERE {same}")
-    rows = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))!r}, {needed(len(set(t.split())), CONTAINMENT)})" for k, (label, t) in enumerate(TEMPLATES))
+        phrases.append(f"SELECT row_no, i AS start, '{label}' AS label FROM (SELECT row_no, w, unnest(range(len(w) - {len(parts) - 1})) AS i FROM d) WHERE {same}")
+    sets = [(k, label, template_words(t), is_paragraph(t)) for k, (label, t) in enumerate(TEMPLATES)]
+    rows = ", ".join(f"({k}, '{label}', {ws!r}, {needed(len(ws), CONTAINMENT)}, {wide})" for k, label, ws, wide in sets)
+    within = ", ".join(f"({i}, {j})" for i, _, a, _ in sets for j, _, b, _ in sets if set(a) < set(b))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
-WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, lower(coalesce(text, '')) AS low, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
 h AS ({" UNION ALL ".join(phrases)}),
-t(template, label, ws, need) AS (VALUES {rows}),
-l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
-b AS (SELECT row_number() OVER () AS block, doc_id, list_distinct(regexp_extract_all(x, '{word}')) AS b
-      FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(line, '[.!?;]([ \t\r]|$)', chr(1) || '\1', 'g'), chr(1))) AS x FROM l)),
-m AS (SELECT doc_id, block, label, len(list_intersect(b, ws)) AS o, len(ws) AS size FROM b, t WHERE len(list_intersect(b, ws)) >= need),
-k AS (SELECT * FROM m QUALIFY o = max(o) OVER (PARTITION BY block)),
-g AS (SELECT doc_id, list(DISTINCT label) AS more, max(o / size) AS best FROM k GROUP BY doc_id),
-a AS (SELECT doc_id, count(*) AS n, min(start) AS f, max(start) AS z, list(DISTINCT label) AS labels FROM h GROUP BY doc_id)
+t(template, label, ws, need, wide) AS (VALUES {rows}),
+within(template, other) AS (VALUES {within}),
+s AS (SELECT row_no, low, regexp_replace(low, '[.!?;]([ \t\r\n])', chr(1) || '\1', 'g') AS cut FROM d),
+x AS (SELECT row_no, false AS is_paragraph, unnest(string_split_regex(cut, '[' || chr(1) || '\n]')) AS x FROM s
+      UNION ALL SELECT * FROM (SELECT row_no, false, unnest(string_split(regexp_replace(cut, '\n[ \t\r]*\n', chr(1), 'g'), chr(1))) AS x FROM s) WHERE contains(trim(x, ' ' || chr(9) || chr(13) || chr(10)), chr(10))
+      UNION ALL SELECT * FROM (SELECT row_no, true, unnest(string_split_regex(low, '\n[ \t\r]*\n')) AS x FROM s) WHERE regexp_matches(x, '[.!?;][ \t\r\n]')),
+b AS (SELECT row_number() OVER () AS block, row_no, is_paragraph, list_distinct(regexp_extract_all(x, '{word}')) AS b FROM x),
+m AS (SELECT row_no, block, template, label, len(list_intersect(b, ws)) AS o, len(ws) AS size FROM b, t WHERE len(b) >= need AND (wide OR NOT is_paragraph) AND len(list_intersect(b, ws)) >= need),
+k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM within JOIN m AS y ON y.template = within.other WHERE within.template = m.template AND y.block = m.block AND y.o > m.o)),
+g AS (SELECT row_no, list(DISTINCT label) AS more, max(o / size) AS best FROM k GROUP BY row_no),
+a AS (SELECT row_no, count(*) AS n, min(start) AS f, max(start) AS z, list(DISTINCT label) AS labels FROM h GROUP BY row_no)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f AS first_word, z AS last_word,
   array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ',') AS labels,
   CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
-FROM d LEFT JOIN a USING (doc_id) LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN a USING (row_no) LEFT JOIN g USING (row_no)
 """
 
 
