@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
 from quillstone.llm.components import components
-from quillstone.llm.storage import bounded, stash
+from quillstone.llm.storage import KEY, bounded, row_key, stash
 
 NAME = "op4_minhash_near_dedup"
 SHINGLE = 5
@@ -48,7 +48,8 @@ LARGE, BLOCK_NODES, BLOCK_SHINGLES = 48, 256, 500_000
 #: Leaders, the likeliest by their estimates, with which a node is confirmed at first.
 BEST = 2
 
-_MULTIPLIERS = (K.mix(np.arange(1, BANDS * ROWS + 1, dtype=K.U) * K.U(0x9E37)) >> K.U(32)).astype(np.uint32) | np.uint32(1)
+_DRAWN = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=K.U) * K.U(0x9E37))
+_FLIPS, _MULTIPLIERS = (_DRAWN & K.U(0xFFFFFFFF)).astype(np.uint32), (_DRAWN >> K.U(32)).astype(np.uint32) | np.uint32(1)
 _PLACE = K.mix(np.arange(101, 101 + SHINGLE, dtype=K.U)) | K.U(1)
 _ONES = 0x1111111111111111
 
@@ -75,13 +76,22 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The minima of non-empty sets under each hash function, as rows of 32-bit numbers."""
+    """The minima of non-empty sets under each hash function, as rows of 32-bit numbers.
+
+    A function flips bits, multiplies, folds the high half into the low one
+    and multiplies again, so that which shingle is smallest under one function
+    tells next to nothing about another.
+    """
     low = (np.concatenate(sets) >> K.U(32)).astype(np.uint32)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     out = np.empty((len(sets), len(_MULTIPLIERS)), np.uint32)
-    work = np.empty_like(low)
-    for k, m in enumerate(_MULTIPLIERS):
-        np.multiply(low, m, out=work)
+    work, high = np.empty_like(low), np.empty_like(low)
+    for k, (flip, m) in enumerate(zip(_FLIPS, _MULTIPLIERS, strict=True)):
+        np.bitwise_xor(low, flip, out=work)
+        work *= m
+        np.right_shift(work, np.uint32(16), out=high)
+        work ^= high
+        work *= np.uint32(0x85EBCA6B)
         out[:, k] = np.minimum.reduceat(work, starts)
     return out
 
@@ -101,7 +111,7 @@ def signatures(m: np.ndarray) -> np.ndarray:
     return (bits.reshape(len(m), -1, per) << (np.arange(per, dtype=K.U) * K.U(BITS))).sum(axis=2, dtype=K.U).astype(np.int64)
 
 
-FINGERPRINT = "doc_id bigint, digest string, n_shingles bigint, signature array<bigint>, bands array<bigint>"
+FINGERPRINT = f"doc_id bigint, rk {KEY}, digest string, n_shingles bigint, signature array<bigint>, bands array<bigint>"
 
 
 def _lists(rows: np.ndarray, width: int) -> pa.Array:
@@ -117,10 +127,10 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m[[len(s) > 0 for s in sets]] = minima(full)
         yield pa.RecordBatch.from_arrays(
             [
-                piece.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else "" for s in sets]),
+                piece.column("doc_id"), piece.column("rk"), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else "" for s in sets]),
                 pa.array([len(s) for s in sets], pa.int64()), _lists(signatures(m), SIGNED * BITS // 64), _lists(band_keys(m), BANDS),
             ],
-            ["doc_id", "digest", "n_shingles", "signature", "bands"],
+            ["doc_id", "rk", "digest", "n_shingles", "signature", "bands"],
         )
 
 
@@ -194,18 +204,44 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(node[i[one]], pa.int64()), "b": pa.array(node[j[one]], pa.int64())})
 
 
+def _hopeful_members(table: pa.Table) -> pa.Table:
+    """The members of two blocks whose signatures are near that of a member in another component."""
+    table = table.combine_chunks()
+    component, size = (table.column(c).to_numpy() for c in ("component", "n_shingles"))
+    lists = table.column("signature").combine_chunks()
+    signs = lists.flatten().to_numpy().astype(K.U).reshape(len(component), -1)
+    some = np.zeros(len(component), bool)
+    least = SIGNED * (1 - LEAST_ESTIMATE) * (1 - 1 / (1 << BITS))  # the most entries apart
+    for k in range(len(component) - 1):
+        d = signs[k + 1 :] ^ signs[k]
+        d |= d >> K.U(2)
+        d |= d >> K.U(1)
+        apart = np.bitwise_count(d & K.U(_ONES)).sum(axis=1)
+        low, high = np.minimum(size[k + 1 :], size[k]), np.maximum(size[k + 1 :], size[k])
+        near = (apart <= least) & (component[k + 1 :] != component[k]) & (100 * low >= SIMILARITY * high)
+        some[k] |= near.any()
+        some[k + 1 :] |= near
+    return table.select(["band", "p", "q", "node", "component", "n_shingles"]).filter(pa.array(some))
+
+
 def blockwise(members: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components within large buckets: ``members`` (band, node, component, n_shingles), ``large`` (band, blocks).
+    """Links between components within large buckets: ``members`` (band, node, component, n_shingles, signature), ``large`` (band, blocks).
 
-    Every two blocks of a bucket meet in one group, whose size is bounded; no
-    pair is written unless it links two components.
+    Every two blocks of a bucket meet in one group, whose size is bounded.
+    They meet with their signatures first; the full sets go only to those
+    members that have a hopeful partner there. No pair is written unless it
+    links two components.
     """
     other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: k != F.col("i"))
     met = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q")))).otherwise(
         F.transform(other, lambda k: F.struct(F.least(k, F.col("i")).alias("p"), F.greatest(k, F.col("i")).alias("q")))
     )
-    dealt = members.join(large, "band").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("band", "node", "component", "n_shingles", F.explode(met).alias("m"))
-    full = dealt.select("band", "m.p", "m.q", "node", "component", "n_shingles").join(sets, "node")
+    dealt = members.join(large, "band").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("m", F.explode(met))
+    signed = dealt.select("band", "m.p", "m.q", "node", "component", "n_shingles", "signature")
+    hopeful_ = stash(
+        signed.groupBy("band", "p", "q").applyInArrow(_hopeful_members, "band bigint, p bigint, q bigint, node bigint, component bigint, n_shingles bigint"), "hopeful"
+    )
+    full = hopeful_.join(sets, "node")
     return full.groupBy("band", "p", "q").applyInArrow(_compare, "a bigint, b bigint").distinct()
 
 
@@ -219,12 +255,13 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     were confirmed, a spanning part of all links. A null or text without
     words has an empty set, digest "" and no class.
     """
-    docs = bounded(docs.select("doc_id", "text"))
-    rows = stash(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(_fingerprint, FINGERPRINT), "shingled")
+    docs = bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    docs = docs.withColumn("rk", row_key("doc_id", "text"))  # tells rows apart, equal ones alone excepted
+    rows = stash(docs.mapInArrow(_fingerprint, FINGERPRINT), "shingled")
     value = F.any_value
     nodes = stash(
         rows.filter("n_shingles > 0").groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), value("n_shingles").alias("n_shingles"), value("signature").alias("signature"), value("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.count("*").alias("copies"), value("n_shingles").alias("n_shingles"), value("signature").alias("signature"), value("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -232,12 +269,10 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lead = F.min_by("node", F.xxhash64("node", "band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("n"), lead.alias("leader"), F.min("node").alias("lowest")).filter("n > 1").drop("n")
     members = stash(placed.join(shared, "band"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node").withColumnRenamed("doc_id", "rep")
-    texts = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    sets = stash(
-        texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep)).select("node", "digest", "text").mapInArrow(_full_sets, "node bigint, hashes array<bigint>"),
-        "sets",
-    )
+    wanted = members.select("node").distinct().join(nodes.select("node", "rk", "digest"), "node").withColumnRenamed("rk", "_rk")
+    # equal rows share a key; one of them is enough
+    texts = docs.join(wanted, docs.rk == F.col("_rk")).groupBy("rk").agg(value("node").alias("node"), value("digest").alias("digest"), value("text").alias("text"))
+    sets = stash(texts.select("node", "digest", "text").mapInArrow(_full_sets, "node bigint, hashes array<bigint>"), "sets")
     pairs = members.select(F.explode(F.array("leader", "lowest")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     # of its leaders (one or two a band) a node is confirmed with the likeliest, and with the lowest likely one
     likely = hopeful(pairs, nodes).groupBy("b").agg(
@@ -266,7 +301,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             x, y = few.toDF("band", "a", "na", "ca", "sa"), few.toDF("band", "b", "nb", "cb", "sb")
             fit = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
             near = x.join(y, (x.band == y.band) & fit & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE))
-            found = verify(near.select("a", "b", "na", "nb").distinct(), sets).union(blockwise(full.drop("signature"), large, sets))
+            found = verify(near.select("a", "b", "na", "nb").distinct(), sets).union(blockwise(full, large, sets))
         else:
             lead = open_.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("l"))
             pairs = open_.join(lead, "band").filter("l.component <> component").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
