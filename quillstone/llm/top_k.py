@@ -2,12 +2,14 @@
 
 Candidate vectors are cut into shards and queries into blocks. Within a shard
 each dimension is a list of the shard's vectors in the order of that component.
-A query reads every list from the end that its own component favours, a
-stretch at a time and all lists in step. A vector's score is bounded by the
-components read so far: what is unread counts at the value last read (above)
-and at the list's last value (below). Vectors whose upper bound is under the
-k-th largest lower bound cannot qualify; when few are left, or the lists end,
-their scores are resolved in integers. The shards' best are merged.
+A query reads every list from the end that its own component favours, all
+lists in step, to a depth that grows from the top. After each stretch a
+vector's score is bounded by what has been read of it: what is unread counts
+at the value last read in that list (above) and at the list's last value
+(below). Vectors whose upper bound is under the k-th largest lower bound are
+outsiders; a query stops reading when at most ``FEW`` vectors are not, or the
+lists end. The scores of those left are then resolved in integers, and the
+shards' best are merged.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from quillstone.llm.storage import bounded
 NAME = "op5_top_k_search"
 K_BEST, EVERY, SCALE = 5, 50, 256
 #: Vectors of a shard and queries of a block: bound a task's memory.
-SHARD_ROWS, BLOCK_ROWS = 8192, 512
-#: The parts of the lists after which bounds are compared, and the share of a shard that is resolved at once.
-STRETCHES, FEW = (0.7, 0.9), 0.01
+SHARD_ROWS, BLOCK_ROWS = 8192, 256
+#: The first depth as a share of the lists, by how much it grows, and how many vectors may be left when reading stops.
+FIRST, GROWTH, FEW = 1 / 32, 1.5, 32
 
 
 def quantised(vector: Column) -> Column:
@@ -70,40 +72,62 @@ def _pack(most: int):
     return pack
 
 
+def read_lists(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors can be among each query's k best, and the share of the lists that each query has read.
+
+    ``own`` (query, vector) leaves pairs out. Bounds are kept in floating
+    point and compared with a margin for its rounding, so that no vector that
+    qualifies is lost, however large the components are.
+    """
+    n, dim = x.shape
+    x, q = x.astype(np.float64), q.astype(np.float64)
+    order = np.argsort(x, axis=0, kind="stable")
+    ordered = np.take_along_axis(x, order, axis=0)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
+    left, read = ~own, np.ones(len(q))
+    margin = 2.0**-40 * (np.abs(q) @ np.abs(x).max(axis=0, initial=0))
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    active = np.flatnonzero(left.sum(axis=1) > FEW)
+    known, depth = np.zeros((len(q), n)), 0
+    while len(active) and depth < n:
+        before, depth = depth, min(n, max(depth + 1, int(depth * GROWTH), int(n * FIRST)))
+        # what this stretch adds: from the largest for positive components of a query, from the smallest for negative ones
+        high, low = place >= n - depth, place < depth
+        known[active] += up[active] @ np.where(high & (place < n - before), x, 0).T + down[active] @ np.where(low & (place >= before), x, 0).T
+        unread_high, unread_low = (~high).T.astype(np.float64), (~low).T.astype(np.float64)
+        last_high, last_low = ordered[n - depth], ordered[depth - 1]
+        upper = known[active] + (up[active] * last_high) @ unread_high + (down[active] * last_low) @ unread_low
+        lower = known[active] + (up[active] * ordered[0]) @ unread_high + (down[active] * ordered[-1]) @ unread_low
+        lower[own[active]] = -np.inf
+        bar = np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else np.full(len(active), -np.inf)
+        left[active] &= upper >= (bar - margin[active])[:, None]
+        read[active] = depth / n
+        active = active[left[active].sum(axis=1) > FEW]
+    return left, read
+
+
+def resolved(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Integer inner products; one that no 64-bit number holds becomes the nearest that one does."""
+    largest = [float(np.abs(v.astype(np.float64)).max(initial=0)) for v in (x, row)]
+    if largest[0] * largest[1] * x.shape[1] < 2.0**62:
+        return x @ row
+    exact = (sum(int(a) * int(b) for a, b in zip(v, row, strict=True)) for v in x)
+    return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], np.int64)
+
+
 def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of each query's k best vectors of one shard, without those of its own id."""
-    n, dim = x.shape
-    own = ids[None, :] == query_ids[:, None]
-    open_ = ~own
-    if n > 2 * k:
-        kind = np.float32 if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dim < 1 << 23 else np.float64
-        exact = kind is np.float32 or float(np.abs(x).max()) * float(np.abs(q).max()) * dim < 1 << 52
-        order = np.argsort(x, axis=0, kind="stable")
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
-        ordered = np.take_along_axis(x, order, axis=0)
-        up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-        for part in STRETCHES if exact else ():
-            depth = min(n - 1, int(part * n))
-            # read from the largest for positive components of a query, from the smallest for negative ones
-            high, low = place >= n - depth, place < depth
-            known = np.concatenate([np.where(high, x, 0), np.where(low, x, 0), ~high, ~low], axis=1).astype(kind)
-            above = np.concatenate([up, down, up * ordered[n - depth], down * ordered[depth - 1]], axis=1)
-            below = np.concatenate([up, down, up * ordered[0], down * ordered[-1]], axis=1)
-            lower = below @ known.T
-            lower[own] = -np.inf
-            bar = np.partition(lower, n - k, axis=1)[:, n - k]
-            open_ &= above @ known.T >= bar[:, None]
-            if open_.sum() <= FEW * open_.size:
-                break
+    open_, _ = read_lists(x, q, ids[None, :] == query_ids[:, None], k)
     out = []
     for k_query, (qid, row) in enumerate(zip(query_ids, q, strict=True)):
         left = np.flatnonzero(open_[k_query])
-        score = x[left] @ row
+        score = resolved(x[left], row)
         if len(left) > k:
             bar = np.partition(score, len(left) - k)[len(left) - k]
             left, score = left[score >= bar], score[score >= bar]
-        first = np.lexsort((ids[left], -score))[:k]
+        # descending scores without negating them, as the smallest number has no opposite
+        first = np.lexsort((ids[left], ~score))[:k]
         out.append((np.full(len(first), qid), ids[left][first], score[first]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -127,7 +151,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K_BEST) -> DataFrame:
     smaller vec_id. A query meets the vectors of its own length except those
     of its own id. Null ids, and vectors null, empty or holding null or
     non-finite components take no part. Repeated rows are each a candidate;
-    repeated queries count once. Other columns are ignored.
+    of several query rows with one id the smallest vector counts. A component
+    or score that no 64-bit number holds counts as the nearest one that it
+    does. Other columns are ignored.
     """
     spark = vectors.sparkSession
 
@@ -136,7 +162,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K_BEST) -> DataFrame:
 
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = clean(vectors).mapInArrow(_pack(SHARD_ROWS), BLOCKS).withColumn("slot", F.pmod(F.hash("block"), F.lit(slots)))
-    asked = clean(queries).dropDuplicates(["vec_id"])
+    asked = clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     # blocks of the stated query set visit every slot that holds shards
     blocks = asked.mapInArrow(_pack(BLOCK_ROWS), BLOCKS).select("dim", F.col("ids").alias("query_ids"), F.col("data").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     found = bounded(shards).join(blocks, ["dim", "slot"]).select("dim", "ids", "data", "query_ids", "query").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
