@@ -3,11 +3,16 @@
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.
 Each value found is a protected entity. Words that stand near an entity again
 and again, and seldom elsewhere, tell who is meant even when the value itself
-is gone: from co-occurrence over the whole corpus, a term's pointwise mutual
-information with the entity is set against the information content of the
-entity. Terms that disclose at least the share ``DISCLOSURE`` of it, in at
-least ``SUPPORT`` different contexts, are marked as well, wherever they stand
-in a document that holds the entity.
+is gone. All probabilities are shares of the corpus's documents: those that
+hold the entity, those that hold the term, and those in which the term stands
+near the entity. From these come the entity's information content
+``-log2 p(entity)``, the pointwise mutual information of both, and what the
+term leaves unknown, ``-log2 p(entity | term)``, their difference. A term
+discloses an entity where it leaves at most ``RESIDUAL`` bits unknown and
+tells at least the share ``DISCLOSURE`` of the content, in at least
+``SUPPORT`` different contexts. None of these bars moves with the size of the
+corpus. Disclosing terms are marked wherever they stand in a document that
+holds the entity.
 """
 
 from __future__ import annotations
@@ -25,15 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quillstone.llm import kernels as K
-from quillstone.llm.storage import bounded, stash
+from quillstone.llm.storage import KEY, bounded, row_key, stash
 
 NAME = "op7_private_data"
 ORACLE = None
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity, across line ends, that count as its context.
 WINDOW = 8
-#: The share of an entity's information content from which a term discloses it, and in how many different contexts.
-DISCLOSURE, SUPPORT = 0.9, 3
+#: The bits that a disclosing term leaves unknown of an entity at most, the least share of the entity's information
+#: content that it tells, and the least number of different contexts.
+RESIDUAL, DISCLOSURE, SUPPORT = 1.0, 0.5, 3
+#: Letters of a term at least.
+TERM_LETTERS = 3
 #: Bits of the table of wanted terms that spares the corpus count most other words: 128 KB, whatever the corpus.
 FILTER_BITS = 20
 
@@ -43,7 +51,6 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
 
 
 def luhn(digits: str) -> bool:
@@ -93,25 +100,41 @@ def _entity(text: str, a: int, kind: int, b: int) -> int:
     return _key(f"{kind}:{value}")
 
 
+def terms(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and keys of the text's words of letters, in code points."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts, ends, keys, _ = K.letter_words(points, np.array([0, len(points)]))
+    long_ = ends - starts >= TERM_LETTERS
+    return starts[long_], ends[long_], keys[long_].astype(np.int64)
+
+
+def outside(starts: np.ndarray, ends: np.ndarray, found: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which words do not overlap any of the base matches."""
+    free = np.ones(len(starts), bool)
+    for a, _, b in found:
+        free[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = False
+    return free
+
+
 def contexts(text: str, found: list[tuple[int, int, int]]) -> list[dict]:
-    """The words near each entity: its key, the word's key, and the key of the context's words."""
+    """The words near each entity, WINDOW on either side: its key, the word's key, and the key of the context's words."""
     out = []
-    covered = [(a, b) for a, _, b in found]
+    starts, ends, keys = terms(text)
+    free = outside(starts, ends, found)
+    starts, ends, keys = starts[free], ends[free], keys[free]
     for a, kind, b in found:
-        # WINDOW words of up to 64 characters each are looked for on either side
-        low, high = max(0, a - 64 * WINDOW), min(len(text), b + 64 * WINDOW)
-        near = [*[m for m in _TERM.finditer(text, low, a)][-WINDOW:], *[m for m in _TERM.finditer(text, b, high)][:WINDOW]]
-        near = [m for m in near if not any(m.start() < y and m.end() > x for x, y in covered)]
-        context = _key(" ".join(m.group().lower() for m in near))
+        before, after = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+        near = np.concatenate([keys[max(0, before - WINDOW) : before], keys[after : after + WINDOW]])
+        context = int.from_bytes(xxhash.xxh3_64_digest(near.tobytes()), "big", signed=True)
         entity = _entity(text, a, kind, b)
-        out += [{"entity": entity, "term": _key(m.group().lower()), "context": context} for m in near]
+        out += [{"entity": entity, "term": k, "context": context} for k in near.tolist()]
     return out
 
 
 _OCCURRENCE = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 FOUND = (
-    "doc_id bigint, text_key bigint, n_chars bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
+    f"doc_id bigint, tk {KEY}, n_chars bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
     "base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:bigint,term:bigint,context:bigint>>, "
     "entities array<bigint>, held string"  # the text only of rows with an entity
 )
@@ -128,7 +151,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter(k for _, k, _ in f) for f in found]
         yield pa.RecordBatch.from_arrays(
             [
-                piece.column("doc_id"), pa.array([_key(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+                piece.column("doc_id"), piece.column("tk"), pa.array([len(t) for t in texts], pa.int64()),
                 *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)],
                 pa.array([hashlib.sha256(written(f).encode()).hexdigest() for f in found]),
                 pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in f] for f in found], _SPANS),
@@ -136,77 +159,83 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([sorted({_entity(t, *s) for s in f}) for t, f in zip(texts, found, strict=True)], pa.list_(pa.int64())),
                 pa.array([t if f else None for t, f in zip(texts, found, strict=True)], pa.string()),
             ],
-            ["doc_id", "text_key", "n_chars", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "entities", "held"],
+            ["doc_id", "tk", "n_chars", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "entities", "held"],
         )
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The places of each row's terms in its whole text, but for those inside base matches."""
     for piece in K.slices(batches, "held"):
-        keys: dict[str, int] = {}
         out = []
-        for text, base, terms in zip(piece.column("held").to_pylist(), piece.column("base").to_pylist(), piece.column("terms").to_pylist(), strict=True):
-            wanted, own = set(terms), []
-            for m in _TERM.finditer(text):
-                word = m.group().lower()
-                key = keys.get(word)
-                if key is None:
-                    key = keys[word] = _key(word)
-                if key in wanted and not any(m.start() < s["end"] and m.end() > s["start"] for s in base):
-                    own.append({"start": m.start(), "kind": len(KINDS) - 1, "end": m.end()})
-            out.append(own)
+        for text, base, wanted in zip(piece.column("held").to_pylist(), piece.column("base").to_pylist(), piece.column("terms").to_pylist(), strict=True):
+            starts, ends, keys = terms(text)
+            here = np.isin(keys, np.array(wanted, np.int64)) & outside(starts, ends, [(s["start"], s["kind"], s["end"]) for s in base])
+            out.append([{"start": a, "kind": len(KINDS) - 1, "end": b} for a, b in zip(starts[here].tolist(), ends[here].tolist(), strict=True)])
         yield pa.RecordBatch.from_arrays([piece.column("row_no"), pa.array(out, _SPANS)], ["row_no", "extra"])
 
 
 def _counter(wanted: bytes):
-    """A function that counts, for each slice of texts, the words whose key may be wanted, and all words (as key null)."""
+    """A function that counts, for each slice of texts, the rows that hold each word whose key may be wanted."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted, np.uint8))
-        mask = (1 << FILTER_BITS) - 1
+        bits = np.unpackbits(np.frombuffer(wanted, np.uint8)).astype(bool)
+        mask = K.U((1 << FILTER_BITS) - 1)
         for piece in K.slices(batches, "text"):
-            words: Counter = Counter()
-            for t in piece.column("text").to_pylist():
-                if t:
-                    words.update(_TERM.findall(t.lower()))
-            own = [(k, n) for w, n in words.items() if bits[(k := _key(w)) & mask]]
-            keys = pa.array([None, *[k for k, _ in own]], pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([words.total(), *[n for _, n in own]], pa.int64())], ["term", "n"])
+            points, offsets = K.code_points(piece.column("text"))
+            starts, ends, keys, rows = K.letter_words(points, offsets)
+            own = np.flatnonzero(bits[(keys & mask).astype(np.int64)] & (ends - starts >= TERM_LETTERS))
+            keys, row = keys[own], (np.searchsorted(rows, own, "right") - 1)
+            order = np.lexsort((row, keys))
+            keys, row = keys[order], row[order]
+            once = np.ones(len(keys), bool)
+            once[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+            found, n = np.unique(keys[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n, pa.int64())], ["term", "n"])
 
     return count
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(rows, extra) of ``docs`` (doc_id, text; other columns are ignored).
+def telling_terms(rows: DataFrame, docs: DataFrame, residual: float = RESIDUAL, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, n_docs, n_entity, n_term, n_both, contexts, content, shared) of the terms that disclose an entity.
 
-    rows: row_no and the columns of ``FOUND`` for each row; extra: row_no and
-    the spans (start, kind, end) of disclosing terms, for rows that have any.
-    A null text is the empty text and has none; repeated rows stay apart by
-    row_no, and count as one context.
+    The counts are of documents: all, those with the entity, those with the
+    term anywhere, and those with the term near the entity. ``content`` is the
+    entity's information content in bits, ``shared`` the pointwise mutual
+    information, which never exceeds it.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = stash(bounded(docs).mapInArrow(_find, FOUND).withColumn("row_no", F.monotonically_increasing_id()), "private")
     near = rows.filter(F.size("near") > 0).select("row_no", F.explode("near").alias("o")).select("row_no", "o.*")
-    pairs = stash(
-        near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-        .filter(F.col("contexts") >= support),
-        "term-pairs",
-    )
-    slots = pairs.select(F.col("term").bitwiseAND((1 << FILTER_BITS) - 1).alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    different = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
+    both = near.select("row_no", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = stash(different.join(both, ["entity", "term"]), "term-pairs")
+    slots = pairs.select(F.col("term").bitwiseAND((1 << FILTER_BITS) - 1).alias("slot")).distinct().toArrow().column("slot").to_numpy()  # 2**FILTER_BITS at most
     table = np.zeros(1 << FILTER_BITS, np.uint8)
     table[slots] = 1
-    words = stash(docs.select("text").mapInArrow(_counter(np.packbits(table).tobytes()), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "word-counts")
-    total = words.filter("term IS NULL").agg(F.max("n")).first()[0] or 1
+    counted = bounded(docs.select("text")).mapInArrow(_counter(np.packbits(table).tobytes()), "term bigint, n bigint")
+    n_term = counted.groupBy("term").agg(F.sum("n").alias("n_term"))
+    n_entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_docs = float(rows.count())
+    joined = pairs.join(n_entity, "entity").join(n_term, "term").withColumn("n_docs", F.lit(n_docs))
+    content = -F.log2(F.col("n_entity") / F.col("n_docs"))
+    shared = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
+    told = joined.withColumn("content", content).withColumn("shared", shared)
+    # n_both / n_term is the probability of the entity where the term is; content - shared its surprisal
+    return told.filter((F.col("n_both") >= F.col("n_term") * F.lit(2.0**-residual)) & (F.col("shared") >= disclosure * F.col("content")) & (F.col("content") > 0))
+
+
+def find(docs: DataFrame, residual: float = RESIDUAL, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(rows, extra) of ``docs`` (doc_id, text; other columns are ignored).
+
+    rows: row_no and the columns of ``FOUND`` for each row; extra: row_no, tk
+    (the hash of the text) and the spans (start, kind, end) of disclosing
+    terms, for rows that have any. A null text is the empty text and has none;
+    repeated rows stay apart by row_no, and count as one context.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    marked = docs.withColumn("tk", row_key("text"))
+    rows = stash(bounded(marked).mapInArrow(_find, FOUND).withColumn("row_no", F.monotonically_increasing_id()), "private")
+    telling = telling_terms(rows, docs, residual, disclosure, support).select("entity", "term")
     holders = rows.select("row_no", F.explode("entities").alias("entity"))
-    entity = holders.groupBy("entity").agg(F.count("*").alias("ne"))
-    content = -F.log2(F.col("ne") / F.lit(float(total)))
-    shared = F.log2(F.col("n") * F.lit(float(total)) / (F.col("ne") * F.col("nt")))
-    telling = (
-        pairs.join(entity, "entity").join(words.filter("term IS NOT NULL").select("term", F.col("n").alias("nt")), "term")
-        .filter(shared >= disclosure * content).select("entity", "term")
-    )
-    terms = holders.join(telling, "entity").groupBy("row_no").agg(F.collect_set("term").alias("terms"))
-    extra = bounded(rows.select("row_no", "base", "held").join(terms, "row_no")).mapInArrow(_mark, "row_no bigint, extra array<struct<start:int,kind:int,end:int>>")
+    own = holders.join(telling, "entity").groupBy("row_no").agg(F.collect_set("term").alias("terms"))
+    extra = bounded(rows.select("row_no", "base", "held").join(own, "row_no")).mapInArrow(_mark, "row_no bigint, extra array<struct<start:int,kind:int,end:int>>")
     return rows, extra.filter(F.size("extra") > 0)
 
 
@@ -237,10 +266,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Other columns are kept; a null text stays null.
     """
     rows, extra = find(docs)
-    own = rows.join(extra, "row_no").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "extra").dropDuplicates(["_id", "_text"])
-    # the terms of a document, found again by its id; a repeated id tells texts apart by their key
-    by_id = own.groupBy("_id").agg(F.collect_list(F.struct("_text", "extra")).alias("_extra"))
-    joined = docs.join(by_id, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
+    # a text's terms depend on the text alone, so they are found again by its hash, one row for each text
+    own = rows.join(extra, "row_no").select(F.col("tk").alias("_tk"), F.col("extra").alias("_extra")).dropDuplicates(["_tk"])
+    joined = docs.join(own, row_key("text") == F.col("_tk"), "left").drop("_tk")
     kinds = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +276,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             new = []
             for t, more in zip(piece.column("text").to_pylist(), piece.column("_extra").to_pylist(), strict=True):
                 if t:
-                    f = spans(t)
-                    if more:
-                        key = _key(t)
-                        f = f + [(s["start"], s["kind"], s["end"]) for x in more if x["_text"] == key for s in x["extra"]]
+                    f = spans(t) + [(s["start"], s["kind"], s["end"]) for s in more or ()]
                     t = redacted(t, f) if f else t
                 new.append(t)
             columns = {n: piece.column(n) for n in piece.schema.names if n != "_extra"}
