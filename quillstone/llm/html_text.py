@@ -11,6 +11,7 @@ elements together in which no element with main text lies under one without.
 
 from __future__ import annotations
 
+import copy
 import html as html_
 import re
 from collections.abc import Iterator
@@ -26,15 +27,17 @@ from quillstone.llm.storage import bounded
 
 NAME = "op8_html_text"
 ORACLE = None
-#: The trees are fitted on at most so many pages, those with the smallest hash of their id.
-SAMPLE_PAGES = 240
+#: The trees are fitted on at most so many pages of at most so many characters, those with the smallest hash of their id.
+SAMPLE_PAGES, SAMPLE_CHARS = 240, 500_000
 
-# How HTML's elements are read.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# How HTML's elements are read. Elements that are not listed are inline, as browsers have it: they belong to the block around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head title button select textarea canvas object svg math datalist audio video map dialog".split())
+DROPPED = frozenset("head title button select textarea datalist".split())
 RAW = frozenset("script style noscript template iframe noframes title textarea".split())
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+BLOCK = CLOSES_PARAGRAPH | frozenset("html head body p li dt dd tr td th thead tbody tfoot caption legend summary dialog search center dir listing option optgroup frameset".split())
+#: Elements of drawings and formulas, in which a slash ends an element without an end tag.
+SELF_CLOSED = frozenset("circle ellipse line path polygon polyline rect stop use image g defs mspace mprescripts none animate".split())
 SIBLINGS_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Words that attributes of page furniture and of main text use.
 FURNITURE = frozenset(
@@ -75,7 +78,7 @@ class Page:
             nonlocal block, dropped, anchors
             while len(stack) > down_to:
                 tag, _ = stack.pop()
-                block += tag not in INLINE
+                block += tag in BLOCK
                 dropped -= tag in DROPPED
                 anchors -= tag == "a"
 
@@ -104,7 +107,7 @@ class Page:
                     if stack[k][0] == tag:
                         pop(k)
                         break
-                    if stack[k][0] not in INLINE and tag in INLINE:
+                    if stack[k][0] in BLOCK and tag not in BLOCK:
                         break  # an inline end tag closes nothing beyond its block
                 continue
             if tag in RAW:
@@ -113,34 +116,38 @@ class Page:
                 gone = _MARKUP.match(source, at)
                 at = gone.end() if gone else at
                 continue
-            if tag == "br" or (tag in VOID and tag not in INLINE):
+            if tag in ("br", "hr"):
                 add(" ")
                 block += tag == "hr"
                 continue
             if tag in VOID:
                 continue
+            if dropped and tag in BLOCK and tag not in ("html", "head"):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == "head":  # its end tag may be left out
+                        pop(k)
             if tag in CLOSES_PARAGRAPH:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         pop(k)
                         break
-                    if stack[k][0] not in INLINE:
+                    if stack[k][0] in BLOCK:
                         break
             if tag in SIBLINGS_CLOSE:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in SIBLINGS_CLOSE[tag]:
                         pop(k)
                         break
-                    if stack[k][0] not in INLINE and stack[k][0] != "p":
+                    if stack[k][0] in BLOCK and stack[k][0] != "p":
                         break
-            if rest.endswith("/") and tag not in INLINE and tag not in CLOSES_PARAGRAPH:
-                continue
-            if tag in INLINE:
+            dropped += tag in DROPPED
+            if tag not in BLOCK:
                 stack.append((tag, stack[-1][1]))
                 anchors += tag == "a"
+                if rest.endswith("/") and tag in SELF_CLOSED:
+                    pop(len(stack) - 1)
                 continue
             block += 1
-            dropped += tag in DROPPED
             self.tags.append(tag)
             self.parents.append(stack[-1][1])
             self.named.append(" ".join(_NAMED.findall(rest)) if "=" in rest else "")
@@ -262,6 +269,13 @@ _INSERTS = (
     '<div class="notice"><p>{c}</p></div>', '<aside><p>{d}</p></aside>', '<form><p>{d}</p></form>', '<header><p>{a}</p></header>', '<footer><p>{d}</p></footer>', '<nav><a href="#">{a}</a> <a href="#">{b}</a></nav>',
     '<section id="comments"><p>{d}</p><p>{e}</p></section>',
 )
+#: Furniture that its links, forms and lengths give away without any name.
+_SHAPED = (
+    '<ul><li><a href="#">{a}</a></li><li><a href="#">{b}</a></li><li><a href="#">{a}</a></li></ul>', '<div><a href="#">{a}</a> <a href="#">{b}</a> <a href="#">{c}</a></div>',
+    "<div><p>{b}</p></div>", '<div><h3>{b}</h3><ul><li><a href="#">{b}</a></li><li><a href="#">{c}</a></li></ul></div>', '<form><p>{a}</p><label>{b}</label><input type="text"></form>',
+    '<div><span>{b}</span> <a href="#">{b}</a></div>',
+)
+TELLING = frozenset("article main section nav header footer aside".split())
 _HOLDERS = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post-body">', "</div></div>"), ('<section class="story">', "</section>"), ("<main><article>", "</article></main>"))
 
 
@@ -284,7 +298,7 @@ def _weak(page: Page) -> list[bool]:
     return has
 
 
-def _varied(page: Page, keep: list[bool], number: int) -> tuple[Page, list[bool]]:
+def _varied(page: Page, keep: list[bool], number: int, inserts: tuple[str, ...] = _INSERTS) -> tuple[Page, list[bool]]:
     """Another page with the same main text in another frame, furniture around and inside it, and its labels."""
     draw = np.random.default_rng(number)
     blocks = page.text(keep).split("\n")
@@ -295,7 +309,7 @@ def _varied(page: Page, keep: list[bool], number: int) -> tuple[Page, list[bool]
         return html_.escape(" ".join(words[a : a + int(draw.integers(least, most))]))
 
     def insert() -> str:
-        return _INSERTS[int(draw.integers(len(_INSERTS)))].format(a=some(1, 6), b=some(1, 4), c=some(2, 12), d=some(5, 60), e=some(8, 90))
+        return inserts[int(draw.integers(len(inserts)))].format(a=some(1, 6), b=some(1, 4), c=some(2, 12), d=some(5, 60), e=some(8, 90))
 
     start, end = _HOLDERS[int(draw.integers(len(_HOLDERS)))]
     inner = [f"<h1>{html_.escape(blocks[0])}</h1>", *[f"<p>{html_.escape(b)}</p>" for b in blocks[1:]]]
@@ -308,17 +322,25 @@ def _varied(page: Page, keep: list[bool], number: int) -> tuple[Page, list[bool]
     return made, _weak(made)
 
 
+def _plain(page: Page) -> Page:
+    """The page without attributes, its telling elements made plain ones: what is left to learn from is the shape of the tree."""
+    out = copy.copy(page)
+    out.tags = ["div" if t in TELLING else t for t in page.tags]
+    out.named = [""] * len(page.named)
+    return out
+
+
 def train(sources: list[str]) -> dict:
-    """Trees fitted on the sampled pages as they are and in two other frames each."""
+    """Trees fitted on the sampled pages as they are, in two other frames each, and in one whose elements and attributes tell nothing."""
     pages, labels = [], []
     for k, source in enumerate(sources):
         page = Page(source)
         own = _weak(page)
         pages.append(page)
         labels += own
-        for turn in range(2):
-            made, truth = _varied(page, own, 2 * k + turn)
-            pages.append(made)
+        for turn in range(3):
+            made, truth = _varied(page, own, 3 * k + turn, _SHAPED if turn == 2 else _INSERTS)
+            pages.append(_plain(made) if turn == 2 else made)
             labels += truth
     if not labels:
         return {}
@@ -326,8 +348,8 @@ def train(sources: list[str]) -> dict:
 
 
 def sample(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
-    """The sources of at most ``most`` pages, those with the smallest hash of their id, nulls and empty ones left out."""
-    pages = pages.filter(F.length("html") > 0)
+    """The sources of at most ``most`` pages, those with the smallest hash of their id; nulls, empty ones and very long ones are left out."""
+    pages = pages.filter(F.length("html").between(1, SAMPLE_CHARS))
     order = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(8))
     last = pages.select(order.alias("o")).orderBy("o").limit(most).agg(F.max("o")).first()[0]
     if last is None:
