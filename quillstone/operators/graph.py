@@ -21,18 +21,13 @@ def metrics(edges: DataFrame) -> DataFrame:
     return both.withColumn("density", F.round(F.coalesce(density, F.lit(0.0)), 3))
 
 
-#: Neighbours of a node that are worked through together, on average; nodes with more are split.
-GROUP = 128
-#: There are at most so many nodes that are split, so that their table can be broadcast.
-HUBS = 100_000
+#: Groups that a node's neighbours are dealt into, so that a hub's links are spread over so many tasks.
+GROUPS = 256
 
 
 def _grouped(links: DataFrame) -> DataFrame:
-    """(u, s, v): the links with each node's neighbours dealt into groups, one unless the node is a hub."""
-    bar = max(GROUP, -(-links.count() // HUBS))  # at most links / bar nodes have more neighbours
-    hubs = links.groupBy("u").agg(F.count("*").alias("degree")).filter(F.col("degree") > bar).select("u", F.ceil(F.col("degree") / F.lit(float(bar))).alias("groups"))
-    dealt = links.join(F.broadcast(hubs), "u", "left")
-    return dealt.select("u", F.coalesce(F.pmod(F.xxhash64("v"), F.col("groups")), F.lit(0).cast("bigint")).alias("s"), "v")
+    """(u, s, v): the links, each node's neighbours in groups by hash; a node with few neighbours has as few groups."""
+    return links.select("u", F.pmod(F.xxhash64("v"), F.lit(GROUPS)).alias("s"), "v")
 
 
 def _smallest(grouped: DataFrame) -> DataFrame:
@@ -47,15 +42,15 @@ def stars(edges: DataFrame) -> DataFrame:
     Large and small stars in turn: each round replaces a node's neighbours by
     links to the smallest of them; the number of rounds grows with the
     logarithm of a component's diameter. A node with many neighbours is worked
-    through in groups of them, so that no task gets all the links of a hub. Every round is written to the shared
-    folder, so no plan grows with the rounds. Loops and repeated edges make no
-    difference.
+    through in groups of them, so that no task gets all the links of a hub.
+    Every round is written to the shared folder, so no plan grows with the
+    rounds. Loops and repeated edges make no difference.
     """
     links = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     while True:
-        both = stored(_grouped(links.union(links.select("v", "u"))), "edge-groups")
+        both = _grouped(links.union(links.select("v", "u")))
         large = stored(both.join(_smallest(both), ["u", "s"]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges")
-        near = stored(_grouped(large), "edge-groups")
+        near = _grouped(large)
         low = _smallest(near)
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         links = stored(near.join(low, ["u", "s"]).select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u > v").distinct(), "edges")

@@ -139,7 +139,7 @@ p{name} AS (SELECT *, CASE WHEN df > 0 THEN 1 - list_sum(list_transform(range(0,
 CHI = S + chi(30, 0.5, 5) + "SELECT section, n_tokens, n_types, chi_square, df, status FROM x"
 CHI_P = S + chi(30, 0.5, 5) + "SELECT section, n_tokens, n_types, chi_square, df, status, p < 0.05 / (SELECT count(*) FROM x) AS significant, round(greatest(p, 0), 6) AS p_value FROM px"
 #: (n_significant) of the rule engine's own test.
-_RULE_CHI = "SELECT count(*) FROM pr WHERE coalesce(round(greatest(p, 0), 6), 1) < 0.05 / greatest((SELECT count(*) FROM r), 1)"
+_RULE_CHI = "SELECT count(*) FROM pown WHERE coalesce(round(greatest(p, 0), 6), 1) < 0.05 / greatest((SELECT count(*) FROM own), 1)"
 
 #: Random tokens: (id, len), the alphabet with its cumulative counts, and the tokens.
 _MADE = f""", cs AS (SELECT sum(n)::BIGINT AS n, sum(n * length(token)) / sum(n) AS mean FROM clean_v), ch AS (SELECT c, sum(n)::BIGINT AS n FROM (SELECT n, unnest(regexp_extract_all(token, '(?s).')) AS c FROM clean_v) GROUP BY 1),
@@ -159,7 +159,7 @@ seen AS (SELECT token, i, sum(k * m)::BIGINT AS total, sum(f)::BIGINT AS observe
 cdf AS (SELECT token, k, size, sum(exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + j * ln(k / size) + (m - j) * ln(1 - k / size))) OVER (PARTITION BY token, k, size ORDER BY j) AS c
   FROM (SELECT *, unnest(range(0, m + 1)) AS j FROM g WHERE k < size)),
 u AS (SELECT token, k, size, m, rep, {_U} AS u FROM g, (SELECT unnest(range(1000)) AS rep)),
-b AS (SELECT u.token, u.k, u.size, rep, CASE WHEN u.k = u.size THEN any_value(m) ELSE count(c) END AS x FROM u LEFT JOIN cdf ON cdf.token = u.token AND cdf.k = u.k AND cdf.size = u.size AND c < u GROUP BY ALL),
+b AS (SELECT u.token, u.k, u.size, rep, CASE WHEN u.k = u.size THEN any_value(m) ELSE count(c) END AS x FROM u LEFT JOIN cdf ON cdf.token = u.token AND cdf.k = u.k AND cdf.size = u.size AND c < u GROUP BY u.token, u.k, u.size, rep),
 r AS (SELECT token, rep, sum(x) AS x FROM b GROUP BY ALL)
 SELECT token, round(observed / total, 4) AS observed_rate, total, observed, round(avg(x / total), 4) AS null_mean, round(stddev_pop(x / total), 4) AS null_std, round(avg((x >= observed)::INT), 4) AS p_value, avg((x >= observed)::INT) < 0.05 AS significant
 FROM r JOIN seen USING (token) GROUP BY token, total, observed"""
@@ -207,7 +207,7 @@ def rules_ctes() -> str:
         f"SELECT '{i}' AS rule, '{s}' AS severity, {m}::DOUBLE AS measured_value, CASE WHEN {c} THEN 'PASS' WHEN NOT ({c}) THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM m" for i, s, m, c in RULES
     )
     return (
-        markov_ctes(1) + _FOLIO + slot_ctes("clean_v") + _MADE + chi(50, 0.0, 0, "r")
+        markov_ctes(1) + _FOLIO + slot_ctes("clean_v") + _MADE + chi(50, 0.0, 0, "own")
         + f""", pp AS (SELECT token || '|' || lead(token) OVER (ORDER BY place) AS p FROM clean), pq AS (SELECT p, count(*) AS n FROM pp WHERE p IS NOT NULL GROUP BY 1), zr AS (SELECT n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM clean_v),
 m0 AS (SELECT {columns}), m AS (SELECT *, round((perplexity_0 - perplexity_1) / perplexity_0, 6) AS perplexity_saved FROM m0), verdicts AS ({rows})
 """
