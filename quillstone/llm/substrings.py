@@ -34,7 +34,6 @@ from quillstone.llm import kernels as K
 from quillstone.llm.storage import KEY, bounded, row_key, stash
 
 NAME = "op2_suffix_array_dedup"
-ORACLE = None
 LENGTH, GRAM = 400, 48
 #: Bytes of text of a shard, and distinct stretches around one gram from which it is split.
 SHARD_BYTES, SHARD_STRETCHES = 1 << 20, 1500
@@ -84,7 +83,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-ANCHORS = f"key bigint, stretch binary, doc_id bigint, rk {KEY}, first bigint, starts int"
+ANCHORS = f"key bigint, stretch binary, rk {KEY}, first bigint, starts int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +98,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretch = [xxhash.xxh3_128_digest(raw[a : b + LENGTH], seed=p - a) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(key.astype(np.int64)), pa.array(stretch, pa.binary()), piece.column("doc_id").take(pa.array(row)), piece.column("rk").take(pa.array(row)),
+                pa.array(key.astype(np.int64)), pa.array(stretch, pa.binary()), piece.column("rk").take(pa.array(row)),
                 pa.array(first - offsets[row]), pa.array((last - first + 1).astype(np.int32)),
             ],
-            ["key", "stretch", "doc_id", "rk", "first", "starts"],
+            ["key", "stretch", "rk", "first", "starts"],
         )
 
 
@@ -120,11 +119,16 @@ def suffix_array(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(codes)
     left = ends - np.arange(n)
     padded = np.concatenate([codes, np.zeros(7, np.int64)])
-    words = np.zeros(n, np.int64)
+    two = (padded[:-1] << 9) | padded[1:]
+    words = (((two[:-2] << 18) | two[2:])[:n] << 27) | ((two[:-1] << 9) | padded[2:])[4 : 4 + n]
+    at_end = np.flatnonzero(left < 7)  # nothing of the next text belongs to these
+    words[at_end] = 0
     for k in range(7):
-        words = (words << 9) | np.where(left > k, padded[k : k + n], 0)
-    order = np.argsort(words, kind="stable")  # ends of texts stay in the order of their places
+        words[at_end] = (words[at_end] << 9) | np.where(left[at_end] > k, padded[at_end + k], 0)
+    order = np.argsort(words)
     ranked = words[order]
+    short = np.flatnonzero(left[order] < 7)  # equal ones are equal to the end, so their places decide
+    order[short] = order[short][np.lexsort((order[short], ranked[short]))]
     fresh = np.append(True, (ranked[1:] != ranked[:-1]) | (left[order[1:]] < 7))
     head = np.flatnonzero(fresh)
     size = np.diff(np.append(head, n))
@@ -144,23 +148,29 @@ def suffix_array(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
         rank[who] = np.repeat(at[head], size)
         at = at[np.repeat(size > 1, size)]
         depth *= 2
-    single = left < 7
-    words[single] = -1 - np.flatnonzero(single)
+    words[at_end] = -1 - at_end
     return order, words
 
 
-def common_prefixes(order: np.ndarray, words: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """By place: the length shared with the suffix before it in the array (Kasai, all texts in step).
+def common_prefixes(order: np.ndarray, words: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int = 0) -> np.ndarray:
+    """By place: the length shared with the suffix before it in the array (Kasai, all texts in step); 0 where it is under ``least``.
 
     From one place to the next at most one symbol is lost, so each text is
     worked through with what it has kept; words of 7 symbols are compared
-    first, then single ones.
+    first, then single ones. For the same reason a place that shares ``least``
+    symbols is followed by so many places, less six, that share seven: places
+    that are not are left out.
     """
     n = len(order)
     before = np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
     before[order[0]] = -1
     out = np.zeros(n, np.int64)
+    if least > 7:
+        near = (words == words[before]) & (before >= 0)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], near, [False]]).astype(np.int8)))
+        starts, sizes = edge[0::2], edge[1::2] - edge[0::2]
+        starts, sizes = starts[sizes >= least - 6], sizes[sizes >= least - 6]
     by = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[by], sizes[by]
     kept = np.zeros(len(starts), np.int64)
@@ -182,6 +192,7 @@ def common_prefixes(order: np.ndarray, words: np.ndarray, codes: np.ndarray, sta
             live = live[symbol[i[live] + length[live]] == symbol[j[live] + length[live]]]
             length[live] += 1
         out[i] = kept[:lanes] = length
+    out[out < least] = 0
     return out
 
 
@@ -206,7 +217,7 @@ def _search_shard(table: pa.Table) -> pa.Table:
     codes[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     ends = np.repeat(begin + sizes, sizes + 1)
     order, words = suffix_array(codes, ends)
-    shared = common_prefixes(order, words, codes, begin, sizes)
+    shared = common_prefixes(order, words, codes, begin, sizes, LENGTH)
     same = shared[order] >= LENGTH  # with the suffix before it
     repeated = np.repeat(copies > 1, sizes + 1)
     group = np.cumsum(~same) - 1  # suffixes that begin with the same string
@@ -349,3 +360,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same by hashes of every string, as hexadecimal digits.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT r, unnest(hs) AS k, generate_subscripts(hs, 1) - 1 AS i
+      FROM (SELECT r, list_transform(range(0, len(h) // 2 - {LENGTH - 1}), lambda i: hash(substr(h, 2 * i + 1, {2 * LENGTH}))) AS hs FROM d WHERE len(h) >= {2 * LENGTH})),
+p AS (SELECT r, i FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+q AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 1 ELSE 0 END AS fresh FROM p),
+u AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM q) GROUP BY r, run),
+v AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM u),
+w AS (SELECT d.r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+      FROM v JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN w USING (r)
+"""

@@ -124,7 +124,7 @@ def test_components(spark):
 def test_components_of_hubs(spark, monkeypatch):
     from quillstone.operators import graph
 
-    monkeypatch.setattr(graph, "GROUP", 3)
+    monkeypatch.setattr(graph, "GROUPS", 3)
     edges = [(500, k) for k in range(0, 60)] + [(900, k) for k in range(50, 120)] + [(k, k + 1) for k in range(2000, 2040)] + [(2005, 3000), (3000, 3001)]
     found = dict(components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert found == {**{k: 0 for k in [*range(120), 500, 900]}, **{k: 2000 for k in [*range(2000, 2041), 3000, 3001]}}
@@ -186,6 +186,8 @@ def test_suffix_array_and_prefixes():
         n = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
         if codes[b]:
             assert shared[b] == n
+    for least in (8, 12, 20):
+        assert np.array_equal(substrings.common_prefixes(order, words, codes, begin, sizes, least), np.where(shared >= least, shared, 0))
 
 
 # -- fingerprints -------------------------------------------------------------------
