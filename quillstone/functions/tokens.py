@@ -23,6 +23,15 @@ MARK = "\x01"
 SECTIONS = (("herbal", 1, 66), ("astronomical", 67, 67), ("cosmological", 68, 73), ("biological", 75, 84), ("pharmaceutical", 88, 102), ("recipes", 103, 116))
 
 
+def place(line: str = "line_ord", pos: str = "pos") -> Column:
+    """Where a token stands, as one number in the order of lines and of places in them.
+
+    Its smallest value is kept by hash aggregation, which a pair of numbers
+    would not be.
+    """
+    return F.col(line).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(pos)
+
+
 def tokenise(text: Column) -> Column:
     """Full stops and hyphens separate like white space; other marks stay."""
     return plain_tokens(F.translate(text, ".-", "  "))
@@ -73,6 +82,11 @@ def units(token: Column) -> Column:
     return F.regexp_extract_all(token, F.lit(f"((?s){'|'.join(UNITS)}|.)"), 1)
 
 
+def join_units(units: Column) -> Column:
+    """The token that units were cut from."""
+    return F.array_join(units, "")
+
+
 def token_length(token: Column, in_units: bool = True) -> Column:
     plain = strip_uncertainty(token)
     return F.size(units(plain)) if in_units else F.char_length(plain)

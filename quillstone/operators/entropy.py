@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.draws import drawn
 from quillstone.operators.order import with_next
+from quillstone.sources.shared import stored
 
 #: Fewer types than this have no rank-frequency fit.
 LEAST_TYPES = 5
@@ -28,7 +29,8 @@ def flat_pairs(lines: DataFrame, tokens: Column) -> DataFrame:
     """(a, b, n) of neighbours in the flat sequence of all tokens, across lines: those within lines, and those at their ends."""
     own = lines.select("line_ord", tokens.alias("t")).filter(F.size("t") > 0)
     inner = own.filter(F.size("t") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.element_at("t", i).alias("a"), F.element_at("t", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
-    ends = own.select("line_ord", F.element_at("t", 1).alias("head"), F.element_at("t", -1).alias("a"))
+    # a row for each line, written once for the passes that order them
+    ends = stored(own.select("line_ord", F.element_at("t", 1).alias("head"), F.element_at("t", -1).alias("a")), "line-ends")
     outer = with_next(ends, "line_ord", "head").filter("following IS NOT NULL").select("a", F.col("following").alias("b"))
     return inner.union(outer).groupBy("a", "b").agg(F.count("*").alias("n"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import tokens as T
 from quillstone.operators.entropy import entropy_of
 
 
@@ -17,7 +18,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 def counted(lines: DataFrame, n: int) -> DataFrame:
     """(gram, n, first) over all lines."""
     rows = lines.select("line_ord", F.posexplode(ngrams(F.col("tokens"), n)).alias("pos", "gram"))
-    return rows.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("line_ord", "pos")).alias("first"))
+    return rows.groupBy("gram").agg(F.count("*").alias("n"), F.min(T.place()).alias("first"))
 
 
 def most_common(counts: DataFrame, k: int = 30) -> DataFrame:

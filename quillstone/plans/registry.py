@@ -139,9 +139,11 @@ def normalize_sequences(lines, spark, sf_dir):
     return lines.select("line_ord", kept.cast("bigint").alias("n_kept"), (F.size("tokens") - kept).cast("bigint").alias("n_dropped"))
 
 
-@query(sql.V + f"SELECT token, array_to_string(regexp_extract_all(token, '{sql.UNIT}'), ' ') AS units, len(regexp_extract_all(regexp_replace(token, '[{{}}]', '', 'g'), '{sql.UNIT}')) AS n_units FROM raw_v")
+@query(sql.V + f"""SELECT token, array_to_string(regexp_extract_all(token, '{sql.UNIT}'), ' ') AS units, array_to_string(regexp_extract_all(token, '{sql.UNIT}'), '') AS joined,
+  len(regexp_extract_all(regexp_replace(token, '[{{}}]', '', 'g'), '{sql.UNIT}')) AS n_units FROM raw_v""")
 def unit_segmentation(lines, spark, sf_dir):
-    return raw_vocabulary(lines).select("token", F.array_join(T.units(F.col("token")), " ").alias("units"), T.token_length(F.col("token")).cast("bigint").alias("n_units"))
+    units = T.units(F.col("token"))
+    return raw_vocabulary(lines).select("token", F.array_join(units, " ").alias("units"), T.join_units(units).alias("joined"), T.token_length(F.col("token")).cast("bigint").alias("n_units"))
 
 
 @query(sql.V + f"SELECT len(regexp_extract_all(token, '{sql.UNIT}')) AS length, sum(n)::BIGINT AS n FROM clean_v GROUP BY 1")

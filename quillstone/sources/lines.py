@@ -142,15 +142,20 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("has_uncertainty", T.line_has_uncertainty(F.col("tokens")))
 
 
-def read_csv_line(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file's cells (line_ord, raw), a row of the file to a line; an empty cell reads "nan".
+#: Rows of a CSV file that can matter to the converter, which keeps 2,000 characters of a line: a row gives one at least.
+CSV_ROWS = 2001
 
-    The cells of all lines, in order and joined by blanks, are the text that
-    the converter takes for one line.
+
+def read_csv_line(spark: SparkSession, path: str, rows: int = CSV_ROWS) -> DataFrame:
+    """A CSV file's cells as one line (line_ord, raw), row by row; an empty cell reads "nan".
+
+    The line is for ``auto_convert``, so rows that it would cut off are not read.
     """
-    table = spark.read.csv(path, header=True)
+    table = spark.read.csv(path, header=True).limit(rows)
     cells = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("nan")) for c in table.columns])
-    return table.select(F.monotonically_increasing_id().alias("line_ord"), cells.alias("raw"))
+    numbered = table.select(F.monotonically_increasing_id().alias("n"), cells.alias("c"))
+    ordered = numbered.agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("rows"))  # ``rows`` at most
+    return ordered.select(F.lit(0).cast("bigint").alias("line_ord"), F.array_join(F.transform("rows", lambda r: r.c), " ").alias("raw"))
 
 
 def token_rows(lines: DataFrame, clean: bool = False) -> DataFrame:
@@ -161,4 +166,4 @@ def token_rows(lines: DataFrame, clean: bool = False) -> DataFrame:
 
 def vocabulary(rows: DataFrame) -> DataFrame:
     """(token, n, first): counts, and the first place for breaking ties."""
-    return rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("line_ord", "pos")).alias("first"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.min(T.place()).alias("first"))
