@@ -27,8 +27,8 @@ NAME = "op5_top_k_search"
 K_BEST, EVERY, SCALE = 5, 50, 256
 #: Vectors of a shard and queries of a block: bound a task's memory.
 SHARD_ROWS, BLOCK_ROWS = 8192, 256
-#: The first depth as a share of the lists, by how much it grows, and how many vectors may be left when reading stops.
-FIRST, GROWTH, FEW = 1 / 32, 1.5, 32
+#: The depths, as shares of the lists, at which bounds are compared, and how many vectors may be left when a query stops reading.
+DEPTHS, FEW = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1.0), 128
 
 
 def quantised(vector: Column) -> Column:
@@ -75,33 +75,37 @@ def _pack(most: int):
 def read_lists(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Which vectors can be among each query's k best, and the share of the lists that each query has read.
 
-    ``own`` (query, vector) leaves pairs out. Bounds are kept in floating
-    point and compared with a margin for its rounding, so that no vector that
-    qualifies is lost, however large the components are.
+    ``own`` (query, vector) leaves pairs out. Bounds are kept in short
+    floating-point numbers, all components scaled to at most 1, and compared
+    with a margin for their rounding, so that no vector that qualifies is
+    lost, however large the components are.
     """
     n, dim = x.shape
-    x, q = x.astype(np.float64), q.astype(np.float64)
+    x, q = (v / max(1.0, float(np.abs(v.astype(np.float64)).max(initial=0))) for v in (x, q))
+    x, q = x.astype(np.float32), q.astype(np.float32)
     order = np.argsort(x, axis=0, kind="stable")
     ordered = np.take_along_axis(x, order, axis=0)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
+    place = np.empty(order.shape, np.int32)
+    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
     left, read = ~own, np.ones(len(q))
-    margin = 2.0**-40 * (np.abs(q) @ np.abs(x).max(axis=0, initial=0))
+    margin = 2.0**-24 * (4 * dim + 32) * (np.abs(q) @ np.abs(x).max(axis=0, initial=0))
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     active = np.flatnonzero(left.sum(axis=1) > FEW)
-    known, depth = np.zeros((len(q), n)), 0
-    while len(active) and depth < n:
-        before, depth = depth, min(n, max(depth + 1, int(depth * GROWTH), int(n * FIRST)))
+    known, depth = np.zeros((len(q), n), np.float32), 0
+    for share in DEPTHS:
+        before, depth = depth, max(depth, int(n * share))
+        if not len(active) or depth == before:
+            continue
         # what this stretch adds: from the largest for positive components of a query, from the smallest for negative ones
         high, low = place >= n - depth, place < depth
         known[active] += up[active] @ np.where(high & (place < n - before), x, 0).T + down[active] @ np.where(low & (place >= before), x, 0).T
-        unread_high, unread_low = (~high).T.astype(np.float64), (~low).T.astype(np.float64)
+        unread_high, unread_low = (~high).T.astype(np.float32), (~low).T.astype(np.float32)
         last_high, last_low = ordered[n - depth], ordered[depth - 1]
         upper = known[active] + (up[active] * last_high) @ unread_high + (down[active] * last_low) @ unread_low
         lower = known[active] + (up[active] * ordered[0]) @ unread_high + (down[active] * ordered[-1]) @ unread_low
         lower[own[active]] = -np.inf
         bar = np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else np.full(len(active), -np.inf)
-        left[active] &= upper >= (bar - margin[active])[:, None]
+        left[active] &= upper >= (bar - 2 * margin[active])[:, None]
         read[active] = depth / n
         active = active[left[active].sum(axis=1) > FEW]
     return left, read
