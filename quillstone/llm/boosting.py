@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-TREES, DEPTH, RATE, BINS, LEAST_WEIGHT, RIDGE = 40, 3, 0.3, 32, 2.0, 1.0
+TREES, DEPTH, RATE, BINS, LEAST_WEIGHT, RIDGE = 60, 4, 0.3, 32, 2.0, 1.0
 
 
 def _bins(x: np.ndarray) -> list[np.ndarray]:

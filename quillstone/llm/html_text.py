@@ -272,9 +272,11 @@ _INSERTS = (
 #: Furniture that its links, forms and lengths give away without any name.
 _SHAPED = (
     '<ul><li><a href="#">{a}</a></li><li><a href="#">{b}</a></li><li><a href="#">{a}</a></li></ul>', '<div><a href="#">{a}</a> <a href="#">{b}</a> <a href="#">{c}</a></div>',
-    "<div><p>{b}</p></div>", '<div><h3>{b}</h3><ul><li><a href="#">{b}</a></li><li><a href="#">{c}</a></li></ul></div>', '<form><p>{a}</p><label>{b}</label><input type="text"></form>',
+    '<div><h3>{b}</h3><ul><li><a href="#">{b}</a></li><li><a href="#">{c}</a></li></ul></div>', '<form><p>{a}</p><label>{b}</label><input type="text"></form>',
     '<div><span>{b}</span> <a href="#">{b}</a></div>',
 )
+#: Every so many pages are also learned from without any telling element or attribute.
+BARE_EVERY = 3
 TELLING = frozenset("article main section nav header footer aside".split())
 _HOLDERS = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post-body">', "</div></div>"), ('<section class="story">', "</section>"), ("<main><article>", "</article></main>"))
 
@@ -303,6 +305,8 @@ def _varied(page: Page, keep: list[bool], number: int, inserts: tuple[str, ...]
     draw = np.random.default_rng(number)
     blocks = page.text(keep).split("\n")
     words = " ".join(blocks).split() or ["-"]
+    if inserts is _INSERTS and draw.integers(0, 4) == 0:  # articles can be very short
+        blocks = [" ".join(b.split()[:3]) for b in blocks[:2]]
 
     def some(least: int, most: int) -> str:
         a = int(draw.integers(0, len(words)))
@@ -331,14 +335,14 @@ def _plain(page: Page) -> Page:
 
 
 def train(sources: list[str]) -> dict:
-    """Trees fitted on the sampled pages as they are, in two other frames each, and in one whose elements and attributes tell nothing."""
+    """Trees fitted on the sampled pages as they are, in two other frames each, and some in one whose elements and attributes tell nothing."""
     pages, labels = [], []
     for k, source in enumerate(sources):
         page = Page(source)
         own = _weak(page)
         pages.append(page)
         labels += own
-        for turn in range(3):
+        for turn in range(3 if k % BARE_EVERY == 0 else 2):
             made, truth = _varied(page, own, 3 * k + turn, _SHAPED if turn == 2 else _INSERTS)
             pages.append(_plain(made) if turn == 2 else made)
             labels += truth
