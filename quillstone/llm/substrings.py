@@ -362,11 +362,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The same by hashes of every string, as hexadecimal digits.
+#: The same by hashes of every string, as hexadecimal digits; long texts are cut into overlapping parts first.
+_STEP = 4096
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-g AS (SELECT r, unnest(hs) AS k, generate_subscripts(hs, 1) - 1 AS i
-      FROM (SELECT r, list_transform(range(0, len(h) // 2 - {LENGTH - 1}), lambda i: hash(substr(h, 2 * i + 1, {2 * LENGTH}))) AS hs FROM d WHERE len(h) >= {2 * LENGTH})),
+x AS (SELECT r, c, substr(h, {2 * _STEP} * c + 1, {2 * (_STEP + LENGTH - 1)}) AS x FROM (SELECT r, h, unnest(range(0, (len(h) // 2 - {LENGTH}) // {_STEP} + 1)) AS c FROM d WHERE len(h) >= {2 * LENGTH})),
+g AS (SELECT r, unnest(hs) AS k, c * {_STEP} + generate_subscripts(hs, 1) - 1 AS i
+      FROM (SELECT r, c, list_transform(range(0, len(x) // 2 - {LENGTH - 1}), lambda i: hash(substr(x, 2 * i + 1, {2 * LENGTH}))) AS hs FROM x)),
 p AS (SELECT r, i FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
 q AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 1 ELSE 0 END AS fresh FROM p),
 u AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM q) GROUP BY r, run),

@@ -236,6 +236,27 @@ def test_sketch_by_definition():
     assert order_minhash.sketch(text).tolist() == out
 
 
+def test_long_texts_are_sketched_in_blocks(monkeypatch):
+    text = prose(5, 9000) + "ab" * 30_000
+    whole = order_minhash.sketch(text)
+    for block in (1, 1000, 10_000_000):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
+        assert np.array_equal(order_minhash.sketch(text), whole)
+
+
+def test_slices_and_chunks_change_nothing(spark, monkeypatch):
+    """Very long rows among short ones, worked through in pieces of a few bytes or as a whole."""
+    rows = [(k, prose(k, [3, 4000, 12][k % 3]), ["en", "de"][k % 2]) for k in range(12)]
+    texts = [t for _, t, _ in rows]
+    columns = [__import__("pyarrow").array(texts[a:b]) for a, b in ((0, 12), (0, 1), (1, 12))]
+    for size in (7, 1 << 20):
+        monkeypatch.setattr(language_id.K, "CHUNK", size)
+        keys = [language_id.K.letter_words(*language_id.K.code_points(c))[2] for c in columns]
+        assert np.array_equal(keys[0], np.concatenate(keys[1:]))
+    first = language_id.K.word_key("Grüße")
+    assert first == language_id.K.word_key("grüße") != language_id.K.word_key("grüss")
+
+
 def test_order_matters_to_the_sketch():
     words = prose(8, 200).split()
     text = " ".join(words)
