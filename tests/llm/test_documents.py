@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -248,7 +249,7 @@ def test_slices_and_chunks_change_nothing(spark, monkeypatch):
     """Very long rows among short ones, worked through in pieces of a few bytes or as a whole."""
     rows = [(k, prose(k, [3, 4000, 12][k % 3]), ["en", "de"][k % 2]) for k in range(12)]
     texts = [t for _, t, _ in rows]
-    columns = [__import__("pyarrow").array(texts[a:b]) for a, b in ((0, 12), (0, 1), (1, 12))]
+    columns = [pa.array(texts[a:b]) for a, b in ((0, 12), (0, 1), (1, 12))]
     for size in (7, 1 << 20):
         monkeypatch.setattr(language_id.K, "CHUNK", size)
         keys = [language_id.K.letter_words(*language_id.K.code_points(c))[2] for c in columns]
