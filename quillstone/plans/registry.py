@@ -57,12 +57,19 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 # -- lines ----------------------------------------------------------------------
 
-@query(sql.L + "SELECT count(*) AS record_count, count(DISTINCT folio) AS folio_count, sum(len(tokens))::BIGINT AS token_count, count(*) FILTER (WHERE has_uncertainty) AS uncertainty_line_count FROM lines")
+@query(sql.L + """SELECT count(*) AS record_count, count(DISTINCT folio) AS folio_count, sum(len(tokens))::BIGINT AS token_count,
+  count(*) FILTER (WHERE has_uncertainty) AS uncertainty_line_count FROM lines""")
 def corpus_metadata(lines, spark, sf_dir):
-    return lines.agg(F.count("*").alias("record_count"), F.countDistinct("folio").alias("folio_count"), F.sum(F.size("tokens")).alias("token_count"), F.count_if("has_uncertainty").alias("uncertainty_line_count"))
+    return lines.agg(
+        F.count("*").alias("record_count"),
+        F.countDistinct("folio").alias("folio_count"),
+        F.sum(F.size("tokens")).alias("token_count"),
+        F.count_if("has_uncertainty").alias("uncertainty_line_count"),
+    )
 
 
-@query(sql.T + "SELECT count(DISTINCT token) AS unique_types, (SELECT round(100.0 * count(*) FILTER (WHERE has_uncertainty) / greatest(count(*), 1), 4) FROM lines) AS percent_uncertain FROM clean")
+@query(sql.T + """SELECT count(DISTINCT token) AS unique_types, (SELECT round(100.0 * count(*) FILTER (WHERE has_uncertainty) / greatest(count(*), 1), 4)
+  FROM lines) AS percent_uncertain FROM clean""")
 def corpus_summary(lines, spark, sf_dir):
     types = L.token_rows(lines, clean=True).agg(F.countDistinct("token").alias("unique_types"))
     share = lines.agg(F.round(100.0 * F.count_if("has_uncertainty") / F.greatest(F.count("*"), F.lit(1)), 4).alias("percent_uncertain"))
@@ -127,13 +134,23 @@ def conversation_sizes(lines, spark, sf_dir):
 
 # -- tokens -----------------------------------------------------------------------
 
-@query(sql.V + "SELECT token, n, lower(token) AS lowered, regexp_replace(token, '[{}]', '', 'g') AS stripped, regexp_replace(lower(token), '[{}!?]', '', 'g') AS normalised, regexp_matches(token, '[{}!?]') AS uncertain FROM raw_v")
+@query(sql.V + """SELECT token, n, lower(token) AS lowered, regexp_replace(token, '[{}]', '', 'g') AS stripped, regexp_replace(lower(token), '[{}!?]', '',
+  'g') AS normalised, regexp_matches(token, '[{}!?]') AS uncertain FROM raw_v""")
 def normalize_tokens(lines, spark, sf_dir):
     t = F.col("token")
-    return raw_vocabulary(lines).select("token", "n", T.normalise(t).alias("lowered"), T.strip_uncertainty(t).alias("stripped"), T.normalise(t, strip_uncertain=True).alias("normalised"), T.has_uncertainty(t).alias("uncertain"))
+    return raw_vocabulary(lines).select(
+        "token",
+        "n",
+        T.normalise(t).alias("lowered"),
+        T.strip_uncertainty(t).alias("stripped"),
+        T.normalise(t, strip_uncertain=True).alias("normalised"),
+        T.has_uncertainty(t).alias("uncertain"),
+    )
 
 
-@query(sql.L + "SELECT line_ord, len(t) AS n_kept, len(tokens) - len(t) AS n_dropped FROM (SELECT *, list_filter(list_transform(tokens, lambda x: regexp_replace(lower(x), '[{}!?]', '', 'g')), lambda x: x <> '') AS t FROM lines)")
+@query(sql.L + """SELECT line_ord, len(t) AS n_kept, len(tokens) - len(t) AS n_dropped
+  FROM (SELECT *, list_filter(list_transform(tokens, lambda x: regexp_replace(lower(x), '[{}!?]', '', 'g')), lambda x: x <> '') AS t
+  FROM lines)""")
 def normalize_sequences(lines, spark, sf_dir):
     kept = F.size(T.normalise_sequence(F.col("tokens"), strip_uncertain=True))
     return lines.select("line_ord", kept.cast("bigint").alias("n_kept"), (F.size("tokens") - kept).cast("bigint").alias("n_dropped"))
@@ -143,7 +160,8 @@ def normalize_sequences(lines, spark, sf_dir):
   len(regexp_extract_all(regexp_replace(token, '[{{}}]', '', 'g'), '{sql.UNIT}')) AS n_units FROM raw_v""")
 def unit_segmentation(lines, spark, sf_dir):
     units = T.units(F.col("token"))
-    return raw_vocabulary(lines).select("token", F.array_join(units, " ").alias("units"), T.join_units(units).alias("joined"), T.token_length(F.col("token")).cast("bigint").alias("n_units"))
+    length = T.token_length(F.col("token")).cast("bigint")
+    return raw_vocabulary(lines).select("token", F.array_join(units, " ").alias("units"), T.join_units(units).alias("joined"), length.alias("n_units"))
 
 
 @query(sql.V + f"SELECT len(regexp_extract_all(token, '{sql.UNIT}')) AS length, sum(n)::BIGINT AS n FROM clean_v GROUP BY 1")
@@ -151,7 +169,9 @@ def unit_length_hist(lines, spark, sf_dir):
     return clean_vocabulary(lines).groupBy(T.token_length(F.col("token")).cast("bigint").alias("length")).agg(F.sum("n").alias("n"))
 
 
-@query(sql.V + f", x AS (SELECT len(regexp_extract_all(token, '{sql.UNIT}')) AS l, n FROM clean_v) SELECT round(sum(l * n) / sum(n), 6) AS mean, round(sqrt(greatest(sum(l * l * n) / sum(n) - (sum(l * n) / sum(n)) ** 2, 0)), 6) AS std, min(l) AS low, max(l) AS high FROM x")
+@query(sql.V + f""", x AS (SELECT len(regexp_extract_all(token, '{sql.UNIT}')) AS l, n FROM clean_v)
+SELECT round(sum(l * n) / sum(n), 6) AS mean, round(sqrt(greatest(sum(l * l * n) / sum(n) - (sum(l * n) / sum(n)) ** 2, 0)), 6) AS std,
+  min(l) AS low, max(l) AS high FROM x""")
 def unit_length_stats(lines, spark, sf_dir):
     x = clean_vocabulary(lines).select(T.token_length(F.col("token")).cast("bigint").alias("l"), "n")
     mean = F.sum(F.col("l") * F.col("n")) / F.sum("n")
@@ -159,7 +179,8 @@ def unit_length_stats(lines, spark, sf_dir):
     return x.agg(F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), 6).alias("std"), F.min("l").alias("low"), F.max("l").alias("high"))
 
 
-@query(sql.V + f"SELECT token, n FROM raw_v WHERE len(list_intersect(regexp_extract_all(regexp_replace(lower(token), '[{{}}]', '', 'g'), '{sql.UNIT}'), ['k', 't', 'p', 'f'])) > 0")
+@query(sql.V + f"""SELECT token, n FROM raw_v
+  WHERE len(list_intersect(regexp_extract_all(regexp_replace(lower(token), '[{{}}]', '', 'g'), '{sql.UNIT}'), ['k', 't', 'p', 'f'])) > 0""")
 def gallows_tokens(lines, spark, sf_dir):
     return raw_vocabulary(lines).filter(T.is_gallows(F.col("token"))).select("token", "n")
 
@@ -187,12 +208,15 @@ def by_section(lines: DataFrame) -> DataFrame:
     return L.token_rows(lines, clean=True).groupBy("section", "token").agg(F.count("*").alias("n"))
 
 
-@query(sql.T + f", s AS (SELECT section, token, count(*) AS n FROM clean GROUP BY ALL) SELECT section, round({sql.H}, 6) AS entropy FROM s GROUP BY 1")
+@query(sql.T + f""", s AS (SELECT section, token, count(*) AS n FROM clean GROUP BY ALL)
+SELECT section, round({sql.H}, 6) AS entropy FROM s GROUP BY 1""")
 def unigram_entropy_by_section(lines, spark, sf_dir):
     return by_section(lines).groupBy("section").agg(F.round(entropy.entropy_of(), 6).alias("entropy"))
 
 
-@query(sql.T + f", s AS (SELECT section, token, count(*) AS n FROM clean GROUP BY ALL) SELECT section, sum(n)::BIGINT AS n_tokens, count(*) AS n_types, round(count(*) / sum(n), 6) AS type_token_ratio, round({sql.H}, 6) AS entropy, round({sql.H} / {sql.HMAX}, 6) AS normalised, round(1 - {sql.H} / {sql.HMAX}, 6) AS redundancy FROM s GROUP BY 1")
+@query(sql.T + f""", s AS (SELECT section, token, count(*) AS n FROM clean GROUP BY ALL)
+SELECT section, sum(n)::BIGINT AS n_tokens, count(*) AS n_types, round(count(*) / sum(n), 6) AS type_token_ratio, round({sql.H}, 6) AS entropy,
+  round({sql.H} / {sql.HMAX}, 6) AS normalised, round(1 - {sql.H} / {sql.HMAX}, 6) AS redundancy FROM s GROUP BY 1""")
 def analyse_tokens(lines, spark, sf_dir):
     return entropy.analyse(by_section(lines), ["section"])
 
@@ -262,22 +286,30 @@ def high_bias_tokens(lines, spark, sf_dir):
     return positional.biased(positional.edge_rates(L.token_rows(lines)))
 
 
-@query(sql.S + ", g AS (SELECT section, token, count(*) AS n, min(place) AS first FROM folio_tokens GROUP BY 1, 2) SELECT section, rank, token, n FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, first)::INTEGER AS rank FROM g) WHERE rank <= 20")
+@query(sql.S + """, g AS (SELECT section, token, count(*) AS n, min(place) AS first FROM folio_tokens GROUP BY 1, 2)
+SELECT section, rank, token, n FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, first)::INTEGER AS rank FROM g)
+  WHERE rank <= 20""")
 def section_profiles(lines, spark, sf_dir):
     return positional.section_profiles(L.token_rows(folio_lines(lines)))
 
 
-@query(sql.T + ", g AS (SELECT pos, token, count(*) AS n, min(place) AS first FROM raw WHERE pos < 5 GROUP BY 1, 2) SELECT (pos + 1)::INTEGER AS place, rank, token, n FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, first)::INTEGER AS rank FROM g) WHERE rank <= 10")
+@query(sql.T + """, g AS (SELECT pos, token, count(*) AS n, min(place) AS first FROM raw WHERE pos < 5 GROUP BY 1, 2)
+SELECT (pos + 1)::INTEGER AS place, rank, token, n FROM (SELECT *, row_number() OVER (PARTITION BY pos
+  ORDER BY n DESC, first)::INTEGER AS rank FROM g) WHERE rank <= 10""")
 def word_position_profiles(lines, spark, sf_dir):
     return positional.word_position_profiles(L.token_rows(lines))
 
 
-@query(sql.V + "SELECT p::INTEGER AS place, c AS character, sum(n)::BIGINT AS n FROM (SELECT n, unnest(regexp_extract_all(token, '(?s).')) AS c, generate_subscripts(regexp_extract_all(token, '(?s).'), 1) AS p FROM raw_v) WHERE p <= 8 GROUP BY ALL")
+@query(sql.V + """SELECT p::INTEGER AS place, c AS character, sum(n)::BIGINT AS n
+  FROM (SELECT n, unnest(regexp_extract_all(token, '(?s).')) AS c, generate_subscripts(regexp_extract_all(token, '(?s).'), 1) AS p
+  FROM raw_v) WHERE p <= 8 GROUP BY ALL""")
 def char_position_profiles(lines, spark, sf_dir):
     return positional.character_position_profiles(raw_vocabulary(lines))
 
 
-@query(sql.T + f", a AS ({sql.edge('pos = 0', 20)}), b AS ({sql.edge('pos = size - 1', 20)}) SELECT round(count(*) FILTER (WHERE k = 2) / greatest(count(*), 1), 6) AS jaccard FROM (SELECT token, count(*) AS k FROM (SELECT token FROM a UNION ALL SELECT token FROM b) GROUP BY 1)")
+@query(sql.T + f""", a AS ({sql.edge('pos = 0', 20)}), b AS ({sql.edge('pos = size - 1', 20)})
+SELECT round(count(*) FILTER (WHERE k = 2) / greatest(count(*), 1), 6) AS jaccard FROM (SELECT token, count(*) AS k FROM (SELECT token
+  FROM a UNION ALL SELECT token FROM b) GROUP BY 1)""")
 def jaccard_initial_final(lines, spark, sf_dir):
     return positional.jaccard_of_edges(L.token_rows(lines))
 
@@ -312,7 +344,9 @@ def pmi_low(lines, spark, sf_dir):
     return ngrams.strongest(ngrams.mutual_information(ngrams.counted(own, 2), words), low=True)
 
 
-@query(sql.T + "SELECT (SELECT count(*) FROM raw) AS n_tokens, (SELECT sum(greatest(len(tokens) - 1, 0)) FROM lines)::BIGINT AS n_bigrams, (SELECT sum(greatest(len(tokens) - 2, 0)) FROM lines)::BIGINT AS n_trigrams, (SELECT count(DISTINCT token) FROM raw) AS n_types")
+@query(sql.T + """SELECT (SELECT count(*) FROM raw) AS n_tokens, (SELECT sum(greatest(len(tokens) - 1, 0))
+  FROM lines)::BIGINT AS n_bigrams, (SELECT sum(greatest(len(tokens) - 2, 0))
+  FROM lines)::BIGINT AS n_trigrams, (SELECT count(DISTINCT token) FROM raw) AS n_types""")
 def adjacency_totals(lines, spark, sf_dir):
     return ngrams.totals(lines, raw_vocabulary(lines))
 
@@ -333,13 +367,15 @@ def markov_oov(lines, spark, sf_dir):
     return markov.analysis(lines).select("order", "n_tokens", "n_unknown")
 
 
-@query(sql.markov("""SELECT "order", train_perplexity, n_train_tokens, vocab_size, round((lag(train_perplexity) OVER (ORDER BY "order") - train_perplexity) / lag(train_perplexity) OVER (ORDER BY "order"), 6) AS train_reduction,
+@query(sql.markov("""SELECT "order", train_perplexity, n_train_tokens, vocab_size,
+  round((lag(train_perplexity) OVER (ORDER BY "order") - train_perplexity) / lag(train_perplexity) OVER (ORDER BY "order"), 6) AS train_reduction,
 true AS honest FROM trained"""))
 def markov_training(lines, spark, sf_dir):
     return markov.analysis(lines).select("order", "train_perplexity", "n_train_tokens", "vocab_size", "train_reduction", "honest")
 
 
-@query(sql.markov("""SELECT (SELECT arg_min("order", (train_perplexity, "order")) FROM trained) AS by_train, (SELECT arg_min("order", (perplexity, "order")) FROM result) AS by_test"""))
+@query(sql.markov("""SELECT (SELECT arg_min("order", (train_perplexity, "order")) FROM trained) AS by_train,
+  (SELECT arg_min("order", (perplexity, "order")) FROM result) AS by_test"""))
 def markov_optimal_order(lines, spark, sf_dir):
     return markov.optimal(markov.analysis(lines))
 
@@ -361,12 +397,15 @@ def slot_validation(lines, spark, sf_dir):
     return checked(lines).select("token", "n", "is_valid", F.array_join("matched_slots", ",").alias("matched_slots"), "failure_category", "confidence")
 
 
-@query(sql.CLEAN_SLOTS + "SELECT sum(n)::BIGINT AS n_tokens, sum(n * is_valid::INT)::BIGINT AS n_valid, round(sum(n * is_valid::INT) / sum(n), 6) AS coverage, sum(n * is_valid::INT) / sum(n) >= 0.7 AS supported, sum(n * (marks OR token = '')::INT)::BIGINT AS n_uncertain FROM checked")
+@query(sql.CLEAN_SLOTS + """SELECT sum(n)::BIGINT AS n_tokens, sum(n * is_valid::INT)::BIGINT AS n_valid, round(sum(n * is_valid::INT) / sum(n), 6) AS coverage,
+  sum(n * is_valid::INT) / sum(n) >= 0.7 AS supported, sum(n * (marks OR token = '')::INT)::BIGINT AS n_uncertain FROM checked""")
 def slot_coverage(lines, spark, sf_dir):
     return slots.coverage(slots.validated(clean_vocabulary(lines)))
 
 
-@query(sql.CLEAN_SLOTS + ", s AS (SELECT section, regexp_replace(token, '[{}]', '', 'g') AS token, count(*) AS n FROM folio_tokens GROUP BY ALL) SELECT section, sum(s.n)::BIGINT AS n_tokens, round(sum(s.n * is_valid::INT) / sum(s.n), 6) AS coverage FROM s JOIN checked USING (token) GROUP BY 1")
+@query(sql.CLEAN_SLOTS + """, s AS (SELECT section, regexp_replace(token, '[{}]', '', 'g') AS token, count(*) AS n FROM folio_tokens GROUP BY ALL)
+SELECT section, sum(s.n)::BIGINT AS n_tokens, round(sum(s.n * is_valid::INT) / sum(s.n), 6) AS coverage FROM s JOIN checked USING (token)
+  GROUP BY 1""")
 def slot_coverage_by_section(lines, spark, sf_dir):
     v = L.token_rows(folio_lines(lines), clean=True).groupBy("section", "token").agg(F.count("*").alias("n"))
     return slots.coverage(slots.validated(v), ["section"]).select("section", "n_tokens", "coverage")
@@ -377,7 +416,8 @@ def slot_usage(lines, spark, sf_dir):
     return slots.usage(slots.validated(clean_vocabulary(lines)))
 
 
-@query(sql.CLEAN_SLOTS + "SELECT category AS failure_category, sum(n)::BIGINT AS n, round(sum(n) / (SELECT sum(n) FROM checked WHERE NOT is_valid), 6) AS share FROM checked WHERE NOT is_valid GROUP BY 1")
+@query(sql.CLEAN_SLOTS + """SELECT category AS failure_category, sum(n)::BIGINT AS n, round(sum(n) / (SELECT sum(n) FROM checked WHERE NOT is_valid), 6) AS share
+  FROM checked WHERE NOT is_valid GROUP BY 1""")
 def slot_failures(lines, spark, sf_dir):
     return slots.failures(slots.validated(clean_vocabulary(lines)))
 
@@ -436,14 +476,18 @@ def connected_components(lines, spark, sf_dir):
     return graph.components(neighbours(lines))
 
 
-@query(sql.grams(2) + ", t AS (SELECT * FROM grams ORDER BY n DESC, first LIMIT 30) SELECT gram[1] AS src, gram[2] AS dst, t.n AS weight, round(t.n / 100.0, 4)::DOUBLE AS width, (c.n * 0.5)::DOUBLE AS node_size FROM t JOIN clean_v c ON c.token = gram[1]")
+@query(sql.grams(2) + """, t AS (SELECT * FROM grams ORDER BY n DESC, first LIMIT 30)
+SELECT gram[1] AS src, gram[2] AS dst, t.n AS weight, round(t.n / 100.0, 4)::DOUBLE AS width, (c.n * 0.5)::DOUBLE AS node_size FROM t
+  JOIN clean_v c ON c.token = gram[1]""")
 def transition_graph(lines, spark, sf_dir):
     best = ngrams.counted(lines, 2).orderBy(F.desc("n"), "first").limit(30).select(F.col("gram")[0].alias("src"), F.col("gram")[1].alias("dst"), F.col("n").alias("weight"))
     sizes = clean_vocabulary(lines).select(F.col("token").alias("src"), (F.col("n") * 0.5).cast("double").alias("node_size"))
     return best.join(sizes, "src").select("src", "dst", "weight", F.round(F.col("weight") / 100.0, 4).alias("width"), "node_size")
 
 
-@query("""SELECT c_custkey, lower(trim(q)) AS key, n_regionkey AS meaning FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN ' no such key' ELSE '  ' || upper(n_name) || ' ' END AS q FROM customer JOIN nation ON c_nationkey = n_nationkey)
+@query("""SELECT c_custkey, lower(trim(q)) AS key, n_regionkey AS meaning
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN ' no such key' ELSE '  ' || upper(n_name) || ' ' END AS q
+      FROM customer JOIN nation ON c_nationkey = n_nationkey)
 JOIN nation ON lower(n_name) = lower(trim(q))""")
 def lookup_join(lines, spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
@@ -453,7 +497,9 @@ def lookup_join(lines, spark, sf_dir):
     return lookup.exact(asked, entries).select("c_custkey", "key", "meaning")
 
 
-@query("""WITH k(key_order, key, answer) AS (SELECT n_nationkey, lower(n_name), 'nation ' || n_nationkey FROM nation), q AS (SELECT o_orderkey AS id, lower(o_orderpriority || ' ' || n_name) AS low FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+@query("""WITH k(key_order, key, answer) AS (SELECT n_nationkey, lower(n_name), 'nation ' || n_nationkey FROM nation),
+q AS (SELECT o_orderkey AS id, lower(o_orderpriority || ' ' || n_name) AS low
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT id, arg_min(key, key_order) AS key, arg_min(answer, key_order) AS answer FROM q LEFT JOIN k ON contains(low, key) GROUP BY id""")
 def keyword_dispatch(lines, spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
