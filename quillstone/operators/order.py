@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _below(bounds: Column, steps: int, key: Column, inclusive: bool) -> Column:
+def below(bounds: Column, steps: int, key: Column, inclusive: bool) -> Column:
     """How many of the sorted ``bounds`` are below ``key`` (or not above it), by binary search."""
     def step(s, _):
         mid = F.floor((s.lo + s.hi) / 2).cast("int")
@@ -34,9 +34,9 @@ def numbered_ranges(df: DataFrame, key: str, parts: int, tie: Column | None = No
     table = df.sparkSession.createDataFrame([(bounds,)], "_bounds array<bigint>")
     with_bounds = df.crossJoin(F.broadcast(table))  # one row
     steps = len(bounds).bit_length()
-    part = _below(F.col("_bounds"), steps, F.col(key), True)
+    part = below(F.col("_bounds"), steps, F.col(key), True)
     if tie is not None:
-        low = _below(F.col("_bounds"), steps, F.col(key), False)
+        low = below(F.col("_bounds"), steps, F.col(key), False)
         part = F.least(part, low + F.floor(tie * (part - low + 1)).cast("int"))
     return with_bounds.withColumn("_part", part).drop("_bounds")
 
