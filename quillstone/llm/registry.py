@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import filter_audit, html_text, language_id, license_scan, mixing, near_dedup, order_minhash, pieces, private_data, substrings, top_k, url_rules
+from quillstone.llm import conversations, filter_audit, html_text, language_id, license_scan, mixing, near_dedup, order_minhash, pieces, private_data, substrings, top_k, url_rules
 
-MODULES = (order_minhash, license_scan, near_dedup, mixing, language_id, private_data, top_k, html_text, pieces, substrings, url_rules, filter_audit)
+MODULES = (order_minhash, license_scan, near_dedup, mixing, language_id, private_data, top_k, html_text, pieces, substrings, url_rules, filter_audit, conversations)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     m.NAME: m.query for m in MODULES
 }
