@@ -45,6 +45,9 @@ FURNITURE = frozenset(
     "hero legal login logo masthead menu message meta modal nav navbar navigation newsletter notice notification pager pagination popup privacy promo promotion reader recommend recommended related remark replies reply respond "
     "response responses search share sharing side sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar tracking warning widget".split()
 )
+#: Of these, words that main text uses of its parts as well; they label nothing.
+AMBIGUOUS = frozenset("alert author bar byline head header hero legal message meta reader response responses share tags title warning".split())
+SURE = FURNITURE - AMBIGUOUS
 MAIN = frozenset("article articlebody body content entry main page post story text".split())
 TAGS = ("article", "main", "section", "div", "p", "h", "list", "li", "nav", "header", "footer", "aside", "form", "table", "quote", "other")
 _TAG_OF = {"ul": "list", "ol": "list", "menu": "nav", "dl": "list", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "pre": "quote", "fieldset": "form", "body": "other", "html": "other"} | {f"h{k}": "h" for k in range(1, 7)}
@@ -71,14 +74,32 @@ class Page:
             self._read(source)
 
     def _read(self, source: str) -> None:
+        """Reads in time in proportion to the source, however it is malformed.
+
+        No search goes back over what was read: markup that nothing closes is
+        known from the place of the last closing bracket, and for each tag
+        ``opened`` has the places of its open elements.
+        """
         stack: list[tuple[str, int]] = [("", 0)]  # open elements: tag, and block-level element that holds their text
-        block = at = dropped = anchors = 0
+        blocks: list[int] = [0]  # the places of those that are block-level
+        opened: dict[str, list[int]] = {}
+        block = at = begin = dropped = anchors = 0
+        last = source.rfind(">")
+
+        def push(tag: str, owner: int) -> None:
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, owner))
 
         def pop(down_to: int) -> None:
             nonlocal block, dropped, anchors
             while len(stack) > down_to:
                 tag, _ = stack.pop()
-                block += tag in BLOCK
+                opened[tag].pop()
+                if tag in BLOCK:
+                    blocks.pop()
+                    block += 1
                 dropped -= tag in DROPPED
                 anchors -= tag == "a"
 
@@ -91,11 +112,17 @@ class Page:
                 self.links[owner] += len(text)
 
         while True:
-            m = _MARKUP.search(source, at)
-            add(source[at : m.start() if m else len(source)])
+            at = source.find("<", at)
+            m = None
+            if at >= 0 and (at < last or source.startswith(("<!", "<?"), at)):
+                m = _MARKUP.match(source, at)
+                if not m:
+                    at += 1
+                    continue
+            add(source[begin : at if m else len(source)])
             if not m:
                 break
-            at = m.end()
+            at = begin = m.end()
             end, tag, rest = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
             if not tag:
                 if m.group().startswith("<![CDATA["):
@@ -103,18 +130,16 @@ class Page:
                 continue
             tag = tag.lower()
             if end:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        pop(k)
-                        break
-                    if stack[k][0] in BLOCK and tag not in BLOCK:
-                        break  # an inline end tag closes nothing beyond its block
+                places = opened.get(tag)
+                # an inline end tag closes nothing beyond its block
+                if places and (tag in BLOCK or places[-1] > blocks[-1]):
+                    pop(places[-1])
                 continue
             if tag in RAW:
                 close = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
                 at = close.start() if close else len(source)
-                gone = _MARKUP.match(source, at)
-                at = gone.end() if gone else at
+                gone = _MARKUP.match(source, at) if at < last else None
+                at = begin = gone.end() if gone else at
                 continue
             if tag in ("br", "hr"):
                 add(" ")
@@ -123,26 +148,20 @@ class Page:
             if tag in VOID:
                 continue
             if dropped and tag in BLOCK and tag not in ("html", "head"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "head":  # its end tag may be left out
-                        pop(k)
-            if tag in CLOSES_PARAGRAPH:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+                while opened.get("head"):  # its end tag may be left out
+                    pop(opened["head"][-1])
+            if tag in CLOSES_PARAGRAPH and stack[blocks[-1]][0] == "p":
+                pop(blocks[-1])
             if tag in SIBLINGS_CLOSE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in SIBLINGS_CLOSE[tag]:
-                        pop(k)
+                for place in blocks[: -3 if len(blocks) > 2 else None : -1]:  # a paragraph may be open within
+                    if stack[place][0] in SIBLINGS_CLOSE[tag]:
+                        pop(place)
                         break
-                    if stack[k][0] in BLOCK and stack[k][0] != "p":
+                    if stack[place][0] != "p":
                         break
             dropped += tag in DROPPED
             if tag not in BLOCK:
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
                 anchors += tag == "a"
                 if rest.endswith("/") and tag in SELF_CLOSED:
                     pop(len(stack) - 1)
@@ -152,7 +171,7 @@ class Page:
             self.parents.append(stack[-1][1])
             self.named.append(" ".join(_NAMED.findall(rest)) if "=" in rest else "")
             self.links.append(0)
-            stack.append((tag, len(self.tags) - 1))
+            push(tag, len(self.tags) - 1)
 
     def text(self, keep: np.ndarray | list[bool]) -> str:
         """The blocks of the elements to keep, white space made single, a line each."""
@@ -169,8 +188,9 @@ class Page:
 
 
 FEATURES = (
-    *(f"is_{t}" for t in TAGS), *(f"under_{t}" for t in TAGS), "furniture", "main", "furniture_above", "main_above", "furniture_below", "depth", "siblings", "place", "from_end",
+    *(f"is_{t}" for t in TAGS), *(f"under_{t}" for t in TAGS), "furniture", "main", "ambiguous", "furniture_above", "main_above", "furniture_below", "depth", "siblings", "place", "from_end",
     "chars", "own_chars", "links", "marks", "elements", "density", "page_share", "parent_share", "sibling_chars", "sibling_links", "before_links", "after_chars",
+    "in_core", "around_core", "up_links", "up_marks",
 )
 
 
@@ -199,13 +219,13 @@ def describe(pages: list[Page], parents: np.ndarray, depth: np.ndarray, first: n
     tags = np.array([_NUMBER.get(_TAG_OF.get(t, t), len(TAGS) - 1) for p in pages for t in p.tags])
     is_tag = np.zeros((n, len(TAGS)))
     is_tag[np.arange(n), tags] = 1
-    furniture, main = np.zeros(n), np.zeros(n)
+    furniture, main, unsure = np.zeros(n), np.zeros(n), np.zeros(n)
     k = 0
     for p in pages:
         for named in p.named:
             if named:
                 words = {w.lower() for w in _TOKEN.findall(named)}
-                furniture[k], main[k] = len(words & FURNITURE), len(words & MAIN)
+                furniture[k], main[k], unsure[k] = len(words & SURE), len(words & MAIN), len(words & AMBIGUOUS)
             k += 1
     chars, marks, links = np.zeros(n), np.zeros(n), np.zeros(n)
     for p, f in zip(pages, first.tolist(), strict=True):
@@ -239,9 +259,19 @@ def describe(pages: list[Page], parents: np.ndarray, depth: np.ndarray, first: n
     before[order[1:][same]] = link_share[order[:-1][same]]
     after[order[:-1][same]] = chars[order[1:][same]]
     page = np.repeat(chars[first], sizes)
+    # the core of a page is its deepest element with at least half of its marks
+    most = (2 * marks >= np.repeat(marks[first], sizes)) & (np.repeat(marks[first], sizes) > 0)
+    core = np.zeros(n, bool)
+    for f, size in zip(first.tolist(), sizes.tolist(), strict=True):
+        own_most = np.flatnonzero(most[f : f + size])
+        if len(own_most):
+            core[f + own_most[np.argmax(depth[f + own_most])]] = True
+    for level in levels[1:]:
+        core[level] |= core[parents[level]]
     columns = [
-        is_tag, above[:, :-2], furniture, main, above[:, -2], above[:, -1], below - furniture, depth, siblings, nth, siblings - nth, chars, own, link_share,
+        is_tag, above[:, :-2], furniture, main, unsure, above[:, -2], above[:, -1], below - furniture, depth, siblings, nth, siblings - nth, chars, own, link_share,
         marks / np.maximum(chars, 1), count, chars / count, chars / np.maximum(page, 1), chars / np.maximum(chars[up], 1), chars / np.maximum(mean_chars, 1), mean_links, before, after,
+        core.astype(float), (most & ~core).astype(float), link_share[up], (marks / np.maximum(chars, 1))[up],
     ]
     return np.concatenate([c.reshape(n, -1) for c in columns], axis=1)
 
@@ -261,13 +291,20 @@ def decode(odds: np.ndarray, parents: np.ndarray, depth: np.ndarray) -> np.ndarr
 
 # -- training ---------------------------------------------------------------
 
+#: Furniture by its names or elements, outside the article or within.
 _INSERTS = (
     '<aside class="sidebar"><h3>{a}</h3><ul><li><a href="#">{b}</a></li><li><a href="#">{c}</a></li></ul></aside>', '<div class="cookie-notice"><p>{d}</p><button>OK</button></div>',
     '<section class="comments"><h2>{a}</h2><div class="comment"><p>{d}</p></div><div class="comment"><p>{e}</p></div></section>', '<form class="newsletter"><p>{a}</p><label>{b}</label><input type="text"></form>',
-    '<div class="related"><h3>{a}</h3><a href="#">{b}</a> <a href="#">{c}</a></div>', '<header class="site-header"><h1>{a}</h1><p>{b}</p></header>', '<div id="sidebar"><p>{d}</p></div>',
-    '<div class="sponsored"><p>{e}</p></div>', '<ol id="comments"><li>{d}</li><li>{e}</li></ol>', '<div role="navigation"><ul class="menu"><li><a href="#">{a}</a></li><li><a href="#">{b}</a></li></ul></div>',
-    '<div class="notice"><p>{c}</p></div>', '<aside><p>{d}</p></aside>', '<form><p>{d}</p></form>', '<header><p>{a}</p></header>', '<footer><p>{d}</p></footer>', '<nav><a href="#">{a}</a> <a href="#">{b}</a></nav>',
-    '<section id="comments"><p>{d}</p><p>{e}</p></section>',
+    '<div class="related-posts"><h3>{a}</h3><a href="#">{b}</a> <a href="#">{c}</a></div>', '<div id="sidebar"><p>{d}</p></div>', '<div class="sponsored"><p>{e}</p></div>', '<ol id="comments"><li>{d}</li><li>{e}</li></ol>',
+    '<div role="navigation"><ul class="menu"><li><a href="#">{a}</a></li><li><a href="#">{b}</a></li></ul></div>', '<div class="notice"><p>{c}</p></div>', '<aside><p>{d}</p></aside>', '<form><p>{d}</p></form>',
+    '<nav><a href="#">{a}</a> <a href="#">{b}</a></nav>', '<section id="comments"><p>{d}</p><p>{e}</p></section>', '<div class="ad">{c}</div>', '<div class="advertisement"><a href="#">{c}</a></div>',
+    '<ul class="share-buttons"><li><a href="#">{b}</a></li><li><a href="#">{b}</a></li></ul>', '<div class="reader-comments"><div><b>{b}</b><p>{e}</p></div><div><b>{b}</b><p>{d}</p></div></div>', '<div id="cookie-banner">{c} <button>OK</button></div>',
+    '<div class="comment-list"><table><tr><td>{b}</td><td>{d}</td></tr><tr><td>{b}</td><td>{e}</td></tr></table></div>', '<nav class="breadcrumb"><ol><li><a href="#">{b}</a></li><li>{b}</li></ol></nav>',
+)
+#: Furniture that stands around an article only.
+_AROUND = (
+    *_INSERTS, '<header class="site-header"><h1>{a}</h1><p>{b}</p></header>', '<header><p>{a}</p></header>', '<footer><p>{d}</p></footer>', '<footer class="footer">{c}<ul><li><a href="#">{b}</a></li><li><a href="#">{b}</a></li></ul></footer>',
+    '<header><h2>{b}</h2><nav><ul><li><a href="#">{b}</a></li><li><a href="#">{b}</a></li><li><a href="#">{b}</a></li></ul></nav></header>', '<div id="footer"><p>{c}</p></div>',
 )
 #: Furniture that its links, forms and lengths give away without any name.
 _SHAPED = (
@@ -275,55 +312,102 @@ _SHAPED = (
     '<div><h3>{b}</h3><ul><li><a href="#">{b}</a></li><li><a href="#">{c}</a></li></ul></div>', '<form><p>{a}</p><label>{b}</label><input type="text"></form>',
     '<div><span>{b}</span> <a href="#">{b}</a></div>',
 )
+#: What articles hold besides paragraphs; {n} is a name.
+_PARTS = (
+    "<h2>{a}</h2><p>{e}</p>", "<h3>{b}</h3><p>{d}</p>", "<ul><li>{c}</li><li>{a}</li><li>{c}</li></ul>", "<ol><li>{d}</li><li>{a}</li></ol>", "<ul><li><p>{d}</p></li><li><p>{c}</p></li></ul>", "<ul><li>{b}<ul><li>{b}</li><li>{a}</li></ul></li></ul>",
+    '<ul><li><a href="#">{a}</a></li><li><a href="#">{c}</a></li><li><a href="#">{a}</a></li></ul>', '<h2>{b}</h2><ul><li><a href="#">{a}</a>, {b}</li><li><a href="#">{c}</a> {b}</li></ul>', '<p><a href="#">{c}</a></p>', '<p>{c} <a href="#">{a}</a> {d} <a href="#">{b}</a></p>',
+    "<table><tr><td>{b}</td><td>{b}</td></tr><tr><td>{b}</td><td>{b}</td></tr></table>", "<table><caption>{a}</caption><thead><tr><th>{b}</th><th>{b}</th></tr></thead><tbody><tr><td>{b}</td><td>{a}</td></tr><tr><td>{b}</td><td>{c}</td></tr></tbody></table>",
+    '<div class="{n}"><table><tr><th>{b}</th><td>{a}</td></tr><tr><th>{b}</th><td>{a}</td></tr></table></div>', "<dl><dt>{b}</dt><dd>{c}</dd><dt>{b}</dt><dd>{d}</dd></dl>", "<pre>{c}</pre>", "<pre><code>{a}\n{c}</code></pre>",
+    '<figure><img src="x.png"><figcaption>{c}</figcaption></figure>', '<figure class="{n}"><img src="x.png"><figcaption>{a}</figcaption></figure>', "<blockquote>{c}</blockquote>", "<blockquote><p>{d}</p></blockquote>",
+    '<section id="{n}"><h2>{a}</h2><p>{e}</p><p>{d}</p></section>', '<section class="{n}"><p>{d}</p></section>', '<div class="{n}"><p>{d}</p></div>', '<div class="{n}">{d}</div>', '<div id="{n}"><h3>{b}</h3><p>{e}</p></div>', "<div>{d}</div>", "<div><p>{a}</p></div>",
+    "<details><summary>{b}</summary><p>{d}</p></details>", "<p>{a}</p>", "<p>{b}</p><p>{e}</p>", '<div class="{n}"><h2>{b}</h2></div>', "<hr><p>{d}</p>", "<p>{b}<br>{a}<br>{b}</p>", "<center>{c}</center>",
+)
+_HEADS = ("<h1>{t}</h1>", "<h1>{t}</h1>", "<h2>{t}</h2>", "<header><h1>{t}</h1></header>", "<header><h2>{t}</h2></header>", "<header><h1>{a}</h1><p>{a}</p></header>", '<header class="{n}"><h1>{t}</h1><p>{c}</p></header>', '<div class="{n}"><h1>{t}</h1></div>')
+#: Names of parts of articles: those that label nothing, and some that say nothing.
+_NAMES = (*sorted(AMBIGUOUS), "box", "x1", "intro", "lead", "wide", "row", "column", "wrapper", "data", "figure", "chapter", "sources", "references", "history", "summary", "k-7", "block", "inner", "example", "code", "quote")
 #: Every so many pages are also learned from without any telling element or attribute.
-BARE_EVERY = 3
+BARE_EVERY = 2
 TELLING = frozenset("article main section nav header footer aside".split())
-_HOLDERS = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post-body">', "</div></div>"), ('<section class="story">', "</section>"), ("<main><article>", "</article></main>"))
+_HOLDERS = (
+    ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post-body">', "</div></div>"), ('<section class="story">', "</section>"), ("<main><article>", "</article></main>"),
+    ("<div>", "</div>"), ('<div class="k7"><div>', "</div></div>"), ("<div id='wrap'><article class='entry'>", "</article></div>"),
+)
+#: Stands before all furniture of a made page while its elements are labelled.
+_SIGN = "\ue000"
 
 
 def _weak(page: Page) -> list[bool]:
     """Labels of a real page's elements: below an article or main element, or else one named as content, and not below furniture."""
     state, has = [], []
     semantic = any(t in ("article", "main") for t in page.tags)
+    held = [False] * len(page.tags)
+    for owner, _, text in page.pieces:
+        held[owner] |= not text.isspace()
     for k, (tag, named) in enumerate(zip(page.tags, page.named, strict=True)):
         up = state[page.parents[k]] if k else 0
         words = {w.lower() for w in _TOKEN.findall(named)}
-        if up < 0 or tag in ("nav", "header", "footer", "aside", "form") or words & FURNITURE:
+        if up < 0 or tag in ("nav", "aside", "form") or (up == 0 and tag in ("header", "footer")) or words & SURE:
             state.append(-1)
         elif up > 0 or tag in ("article", "main") or (not semantic and words & MAIN and tag != "body"):
             state.append(1)
         else:
             state.append(0)
-        has.append(state[-1] > 0)
+        has.append(state[-1] > 0 and held[k])
     for k in range(len(has) - 1, 0, -1):
         has[page.parents[k]] |= has[k]
     return has
 
 
-def _varied(page: Page, keep: list[bool], number: int, inserts: tuple[str, ...] = _INSERTS) -> tuple[Page, list[bool]]:
-    """Another page with the same main text in another frame, furniture around and inside it, and its labels."""
+def _truth(page: Page) -> list[bool]:
+    """Labels of a made page's elements, by where their text was put; the signs are taken out."""
+    has = [False] * len(page.tags)
+    for k, (owner, block, text) in enumerate(page.pieces):
+        has[owner] |= _SIGN not in text and not text.isspace()
+        if _SIGN in text:
+            page.pieces[k] = (owner, block, text.replace(_SIGN, ""))
+    for k in range(len(has) - 1, 0, -1):
+        has[page.parents[k]] |= has[k]
+    return has
+
+
+def _varied(page: Page, keep: list[bool], number: int, shaped: bool = False) -> tuple[Page, list[bool]]:
+    """Another page with the same main text and parts of all kinds in another frame, furniture around and inside it, and its labels."""
     draw = np.random.default_rng(number)
-    blocks = page.text(keep).split("\n")
+    blocks = page.text(keep).replace(_SIGN, "").split("\n")
     words = " ".join(blocks).split() or ["-"]
-    if inserts is _INSERTS and draw.integers(0, 4) == 0:  # articles can be very short
+    if not shaped and draw.integers(0, 5) == 0:  # articles can be very short
         blocks = [" ".join(b.split()[:3]) for b in blocks[:2]]
 
     def some(least: int, most: int) -> str:
         a = int(draw.integers(0, len(words)))
         return html_.escape(" ".join(words[a : a + int(draw.integers(least, most))]))
 
-    def insert() -> str:
-        return inserts[int(draw.integers(len(inserts)))].format(a=some(1, 6), b=some(1, 4), c=some(2, 12), d=some(5, 60), e=some(8, 90))
+    def one(kinds: tuple[str, ...], sign: str = "") -> str:
+        class Fields(dict):  # every field of its own text
+            def __missing__(self, key):
+                if key == "n":
+                    return _NAMES[int(draw.integers(len(_NAMES)))]
+                return html_.escape(blocks[0]) if key == "t" else sign + some(*{"a": (1, 6), "b": (1, 4), "c": (2, 12), "d": (5, 60), "e": (8, 90)}[key])
+
+        made = kinds[int(draw.integers(len(kinds)))]
+        return re.sub(r"\{(.)\}", lambda m: Fields()[m.group(1)], made)
 
     start, end = _HOLDERS[int(draw.integers(len(_HOLDERS)))]
-    inner = [f"<h1>{html_.escape(blocks[0])}</h1>", *[f"<p>{html_.escape(b)}</p>" for b in blocks[1:]]]
-    for _ in range(int(draw.integers(0, 3))):
-        inner.insert(int(draw.integers(1, len(inner) + 1)), insert())
-    around = [insert() for _ in range(int(draw.integers(1, 5)))]
+    inner = [f"<p>{html_.escape(b)}</p>" for b in blocks[1:]]
+    if draw.integers(0, 2):  # articles of any length
+        inner = [f"<p>{some(5, 120)}</p>" for _ in range(int(draw.integers(1, 14)))]
+    for _ in range(int(draw.integers(0, 5))):
+        inner.insert(int(draw.integers(0, len(inner) + 1)), one(_PARTS))
+    inner.insert(0, one(_HEADS))
+    for _ in range(0 if shaped else int(draw.integers(0, 3))):
+        inner.insert(int(draw.integers(1, len(inner) + 1)), one(_INSERTS, _SIGN))
+    around = [one(_SHAPED if shaped else _AROUND, _SIGN) for _ in range(int(draw.integers(1, 5)))]
     cut = int(draw.integers(0, len(around) + 1))
     body = "".join(around[:cut]) + start + "".join(inner) + end + "".join(around[cut:])
+    for _ in range(int(draw.integers(0, 3)) if draw.integers(0, 3) == 0 else 0):
+        body = f"<div>{body}</div>"
     made = Page(f"<html><body>{body}</body></html>")
-    return made, _weak(made)
+    return made, _truth(made)
 
 
 def _plain(page: Page) -> Page:
@@ -335,16 +419,16 @@ def _plain(page: Page) -> Page:
 
 
 def train(sources: list[str]) -> dict:
-    """Trees fitted on the sampled pages as they are, in two other frames each, and some in one whose elements and attributes tell nothing."""
+    """Trees fitted on the sampled pages as they are, each with other parts in three other frames, and some in one whose elements and attributes tell nothing."""
     pages, labels = [], []
     for k, source in enumerate(sources):
         page = Page(source)
         own = _weak(page)
         pages.append(page)
         labels += own
-        for turn in range(3 if k % BARE_EVERY == 0 else 2):
-            made, truth = _varied(page, own, 3 * k + turn, _SHAPED if turn == 2 else _INSERTS)
-            pages.append(_plain(made) if turn == 2 else made)
+        for turn in range(4 if k % BARE_EVERY == 0 else 3):
+            made, truth = _varied(page, own, 4 * k + turn, turn == 3)
+            pages.append(_plain(made) if turn == 3 else made)
             labels += truth
     if not labels:
         return {}
