@@ -22,7 +22,7 @@ from quillstone.llm.storage import stash
 NAME = "op3_license_scan"
 #: The share of a template's distinct words that a block must have.
 CONTAINMENT = 0.9
-# The base phrases, and the notices of public licences, each with its label. A template of several sentences stands for a paragraph.
+# The base phrases, and the notices of public licences, each with its label. A template of several sentences stands for a paragraph; two words joined by _ are one element, which a block has where they follow each other.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = (
     ("mit", "released under the mit license"),
@@ -82,9 +82,9 @@ TEMPLATES = (
     ("zlib", "this software is provided as is without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "licensed under cc by_4 0"),
+    ("cc-by-nc", "licensed under cc by_nc 4 0"),
+    ("cc-by-sa", "licensed under cc by_sa 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("reserved", "all rights reserved"),
 )
@@ -110,6 +110,15 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATOR), lambda w: w != "")
 
 
+def elements(words: Column, pairs: list[str]) -> Column:
+    """The words, and those of the given pairs of words that follow each other among them."""
+    def there(pair: str) -> Column:
+        both = pair.split("_")
+        return F.array_contains(words, both[0]) & F.array_contains(words, both[1]) & (F.size(phrase_starts(words, " ".join(both))) > 0)
+
+    return F.concat(words, F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in pairs]).cast("array<string>"))) if pairs else words
+
+
 def phrase_starts(words: Column, phrase: str) -> Column:
     """The places (from 0) where the phrase's words stand consecutively."""
     parts = phrase.split()
@@ -137,9 +146,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
 
     rows: row_no, doc_id, n_words, hits (array of start and label of each
     place of a base phrase). matches: row_no, block_no, template, label,
-    containment of each block that has the required share of a template, but
-    for a template whose words are all among those of another that has more
-    in common with the block. Blocks are numbered lines first, then sentences
+    containment of each template and each block that has the required share
+    of its elements. Blocks are numbered lines first, then sentences
     of several lines, then paragraphs of several sentences. A null
     or empty text has no words and no blocks; repeated rows stay apart by
     row_no; lower-casing follows Unicode, which changes none of the words
@@ -148,11 +156,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     sets = [(k, label, template_words(t)) for k, (label, t) in enumerate(templates)]
     wide = {k for k, (_, t) in enumerate(templates) if is_paragraph(t)}
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
+    pairs = [w for w in vocabulary if "_" in w]
     low = F.lower(F.coalesce("text", F.lit("")))
     base = docs.select("doc_id", low.alias("low")).withColumn("words", split_words(F.col("low")))
     hits = F.array_sort(F.concat(*[labelled(phrase_starts(F.col("words"), p), label) for p, label in PHRASES.items()]))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
-    own = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
+    own = F.array_intersect(elements(F.col("words"), pairs), F.array(*map(F.lit, vocabulary)))
     could = F.lit(False)
     for _, _, ws in sets:
         could = could | (F.size(F.array_intersect("own", F.array(*map(F.lit, ws)))) >= needed(len(ws), containment))
@@ -186,7 +195,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     blocks = (
         rows.filter("low IS NOT NULL")
         .select("row_no", F.posexplode(F.concat(*kinds)).alias("block_no", "block"))
-        .select("row_no", "block_no", "block.is_paragraph", F.array_intersect(split_words(F.col("block.text")), F.array(*map(F.lit, vocabulary))).alias("b"))
+        .select("row_no", "block_no", "block.is_paragraph", split_words(F.col("block.text")).alias("b"))
+        .withColumn("b", F.array_intersect(elements(F.col("b"), pairs), F.array(*map(F.lit, vocabulary))))
         .filter(F.size("b") > 0)
         .withColumn("b", F.transform(F.array_sort(F.transform("b", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda s: s.w))
     )
@@ -200,14 +210,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
         .groupBy("row_no", "block_no", "template", "label")
         .agg(F.max("overlap").alias("overlap"), F.max("size").alias("size"))
     )
-    # at most one row for each two templates given: the first's words are among the second's
-    within = [(i, j) for i, _, a in sets for j, _, b in sets if set(a) < set(b)]
-    wider = spark.createDataFrame(within, "template int, other int")
-    better = found.select("row_no", "block_no", F.col("template").alias("other"), F.col("overlap").alias("more")).join(F.broadcast(wider), "other")
-    matches = (
-        found.join(better, (found.row_no == better.row_no) & (found.block_no == better.block_no) & (found.template == better.template) & (found.overlap < better.more), "left_anti")
-        .select("row_no", "block_no", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
-    )
+    matches = found.select("row_no", "block_no", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
     return rows.select("row_no", "doc_id", "n_words", "hits"), matches
 
 
@@ -237,21 +240,22 @@ def _oracle() -> str:
         phrases.append(f"SELECT row_no, i AS start, '{label}' AS label FROM (SELECT row_no, w, unnest(range(len(w) - {len(parts) - 1})) AS i FROM d) WHERE {same}")
     sets = [(k, label, template_words(t), is_paragraph(t)) for k, (label, t) in enumerate(TEMPLATES)]
     rows = ", ".join(f"({k}, '{label}', {ws!r}, {needed(len(ws), CONTAINMENT)}, {wide})" for k, label, ws, wide in sets)
-    within = ", ".join(f"({i}, {j})" for i, _, a, _ in sets for j, _, b, _ in sets if set(a) < set(b))
+    pairs = sorted({w for _, _, ws, _ in sets for w in ws if "_" in w})
+    firsts, seconds = (sorted({p.split("_")[k] for p in pairs}) for k in (0, 1))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, lower(coalesce(text, '')) AS low, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
 h AS ({" UNION ALL ".join(phrases)}),
 t(template, label, ws, need, wide) AS (VALUES {rows}),
-within(template, other) AS (VALUES {within}),
 s AS (SELECT row_no, low, regexp_replace(low, '[.!?;]([ \t\r\n])', chr(1) || '\1', 'g') AS cut FROM d),
 x AS (SELECT row_no, false AS is_paragraph, unnest(string_split_regex(cut, '[' || chr(1) || '\n]')) AS x FROM s
       UNION ALL SELECT * FROM (SELECT row_no, false, unnest(string_split(regexp_replace(cut, '\n[ \t\r]*\n', chr(1), 'g'), chr(1))) AS x FROM s) WHERE contains(trim(x, ' ' || chr(9) || chr(13) || chr(10)), chr(10))
       UNION ALL SELECT * FROM (SELECT row_no, true, unnest(string_split_regex(low, '\n[ \t\r]*\n')) AS x FROM s) WHERE regexp_matches(x, '[.!?;][ \t\r\n]')),
-b AS (SELECT row_number() OVER () AS block, row_no, is_paragraph, list_distinct(regexp_extract_all(x, '{word}')) AS b FROM x),
+r AS (SELECT row_number() OVER () AS block, row_no, is_paragraph, regexp_extract_all(x, '{word}') AS w FROM x),
+b AS (SELECT block, row_no, is_paragraph, list_distinct(CASE WHEN list_has_any(w, {firsts!r}) AND list_has_any(w, {seconds!r})
+    THEN list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) ELSE w END) AS b FROM r),
 m AS (SELECT row_no, block, template, label, len(list_intersect(b, ws)) AS o, len(ws) AS size FROM b, t WHERE len(b) >= need AND (wide OR NOT is_paragraph) AND len(list_intersect(b, ws)) >= need),
-k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM within JOIN m AS y ON y.template = within.other WHERE within.template = m.template AND y.block = m.block AND y.o > m.o)),
-g AS (SELECT row_no, list(DISTINCT label) AS more, max(o / size) AS best FROM k GROUP BY row_no),
+g AS (SELECT row_no, list(DISTINCT label) AS more, max(o / size) AS best FROM m GROUP BY row_no),
 a AS (SELECT row_no, count(*) AS n, min(start) AS f, max(start) AS z, list(DISTINCT label) AS labels FROM h GROUP BY row_no)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f AS first_word, z AS last_word,
   array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,

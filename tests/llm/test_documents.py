@@ -661,6 +661,40 @@ def test_license_scan_of_wrapped_and_joint_notices(spark):
     assert {r.doc_id: r.labels for r in found} == {1: "mit", 2: "", 3: "cc-by,reserved", 4: "cc-by-nc", 5: "cc-by,cc-by-nc"}
 
 
+def plain_matches(text, templates=license_scan.TEMPLATES, share=license_scan.CONTAINMENT):
+    """Templates that some line, sentence or paragraph of a text holds to the share, by plain sets."""
+    import re
+
+    low = text.lower()
+    wrapped = [x for x in re.split(license_scan.SENTENCE, low) if "\n" in x.strip(" \t\r\n")]
+    wide = [x for x in re.split(license_scan.PARAGRAPH, low) if re.search(license_scan.ENDED, x)]
+    out = {}
+    for paragraph, parts in ((False, re.split(license_scan.BLOCK, low) + wrapped), (True, wide)):
+        for part in parts:
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part)
+            own = set(words) | {f"{a}_{b}" for a, b in zip(words, words[1:])}
+            for k, (_, t) in enumerate(templates):
+                ws = license_scan.template_words(t)
+                if len(own & set(ws)) >= license_scan.needed(len(ws), share) and ("." in t or not paragraph):
+                    out[k] = max(out.get(k, 0), len(own & set(ws)) / len(ws))
+    return out
+
+
+def test_license_scan_reports_every_template(spark):
+    """Templates within templates, several of a block, and a very long text: all that meet the share."""
+    texts = [
+        "Licensed under CC BY 4.0 and also, elsewhere, under CC BY-NC 4.0", license_scan.TEMPLATES[2][1], license_scan.TEMPLATES[5][1], license_scan.TEMPLATES[14][1] + ". " + license_scan.TEMPLATES[13][1],
+        "Under CC BY-SA 4.0 licensed; by 4", "licensed under 4 0 cc by", prose(31, 60_000) + "\n" + license_scan.TEMPLATES[19][1] + "\n" + prose(32, 60_000), license_scan.TEMPLATES[10][1].replace("apache", ""), None, "",
+    ]
+    rows, matches = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    found = {}
+    for r in matches.join(rows, "row_no").collect():
+        found.setdefault(r.doc_id, {})[r.template] = max(r.containment, found.get(r.doc_id, {}).get(r.template, 0))
+    assert found == {k: m for k, t in enumerate(texts) if (m := plain_matches(t or ""))}
+    by = {k: {license_scan.TEMPLATES[t][0] for t in m} for k, m in found.items()}
+    assert by[0] == {"cc-by", "cc-by-nc"} and {1, 2} <= found[1].keys() and {13, 14} <= found[3].keys() and "bsd" not in by.get(7, set())
+
+
 # -- every operator on an empty table, and the pipeline --------------------------------------------
 
 def test_empty_tables(none):
