@@ -218,8 +218,9 @@ def failures(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), text.alias("text")).withColumn("_n", F.char_length("text"))
-    read = bounded(rows).select("doc_id", "part", "text", row_key("text", "_n").alias("text_key")).mapInArrow(_fails, FAILS)
-    first = read.filter("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    keyed = bounded(rows).select("doc_id", "part", "text", row_key("text", "_n").alias("text_key"))
+    read = keyed.mapInArrow(_fails, FAILS)
+    first = keyed.filter("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
     several = first.filter("_first < _last").select("text_key", "_first")
     again = read.join(several, "text_key", "left")
     e = 1 << FILTERS.index("E")
