@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space of any kind, as a class that Java's and RE2's patterns both read.
+#: White space of any kind, and the same as a class that Java's and RE2's patterns both read.
+WHITES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WHITE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Symbol groups that count as one unit, for segmenting in general and for the slot grammar; the slots; the sections.
 UNITS = ("aiiin", "aiin", "ain", "cth", "ckh", "cph", "cfh", "eee", "iii", "ch", "sh", "ee", "ii", "ol", "or", "al", "ar")
@@ -32,18 +33,24 @@ def place(line: str = "line_ord", pos: str = "pos") -> Column:
     return F.col(line).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(pos)
 
 
+def place_in(df: DataFrame) -> Column:
+    """``place`` of a table's rows, from ``line_start`` where it has that: a whole number by which all places are told apart."""
+    return F.col("line_start") + F.col("pos") if "line_start" in df.columns else place()
+
+
 def tokenise(text: Column) -> Column:
     """Full stops and hyphens separate like white space; other marks stay."""
     return plain_tokens(F.translate(text, ".-", "  "))
 
 
 def plain_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"{WHITE}+"), lambda t: t != "")
+    """The runs without white space: all of it is made blanks first, as splitting on one character needs no pattern."""
+    return F.filter(F.split(F.translate(text, WHITES, " " * len(WHITES)), " "), lambda t: t != "")
 
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.trim(text, F.lit(WHITES))
 
 
 def strip_uncertainty(token: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,41 @@ def entropy_of(count: str = "n") -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c), F.lit(0.0)))
 
 
+def _across(lines: DataFrame, head: Column, tail: Column) -> DataFrame:
+    """(a, b): what each line but the last ends with, and what the next begins with."""
+    # a row for each line, written once for the passes that order them
+    ends = stored(lines.select("line_ord", head.alias("head"), tail.alias("a")), "line-ends")
+    return with_next(ends, "line_ord", "head").filter("following IS NOT NULL").select("a", F.col("following").alias("b"))
+
+
 def flat_pairs(lines: DataFrame, tokens: Column) -> DataFrame:
     """(a, b, n) of neighbours in the flat sequence of all tokens, across lines: those within lines, and those at their ends."""
     own = lines.select("line_ord", tokens.alias("t")).filter(F.size("t") > 0)
-    inner = own.filter(F.size("t") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.element_at("t", i).alias("a"), F.element_at("t", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
-    # a row for each line, written once for the passes that order them
-    ends = stored(own.select("line_ord", F.element_at("t", 1).alias("head"), F.element_at("t", -1).alias("a")), "line-ends")
-    outer = with_next(ends, "line_ord", "head").filter("following IS NOT NULL").select("a", F.col("following").alias("b"))
+    places = own.filter(F.size("t") > 1).select("t", F.explode(F.sequence(F.lit(0), F.size("t") - 2)).alias("i"))
+    inner = places.select(F.get("t", F.col("i")).alias("a"), F.get("t", F.col("i") + 1).alias("b"))
+    return inner.union(_across(own, F.element_at("t", 1), F.element_at("t", -1))).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def flat_character_pairs(lines: DataFrame, tokens: Column) -> DataFrame:
+    """(a, b, n): the last and the first characters of neighbours in the flat sequence of all tokens that are not empty, across lines."""
+    own = lines.select("line_ord", F.filter(tokens, lambda t: t != "").alias("t")).filter(F.size("t") > 0)
+    ends = F.arrays_zip(F.transform("t", lambda t: F.right(t, F.lit(1))).alias("a"), F.transform(F.slice("t", 2, F.size("t")), lambda t: F.left(t, F.lit(1))).alias("b"))
+    inner = own.filter(F.size("t") > 1).select(F.explode(ends).alias("p")).select("p.a", "p.b").filter("b IS NOT NULL")
+    outer = _across(own, F.left(F.element_at("t", 1), F.lit(1)), F.right(F.element_at("t", -1), F.lit(1)))
     return inner.union(outer).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def joined_pairs(pairs: DataFrame, barred: Column, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(n) of pairs of codes, for ``conditional_entropy``: only pairs with a bar in a token have to be written out to see which are alike."""
+    plain = pairs.filter(~barred).select("n")
+    alike = named(pairs.filter(barred)).groupBy(F.concat_ws("|", "a", "b")).agg(F.sum("n").alias("n")).select("n")
+    return plain.union(alike)
+
+
 def conditional_entropy(pairs: DataFrame, vocabulary: DataFrame, by: list[str] = ()) -> DataFrame:
-    """max(0, H(pairs) - H(tokens)); pairs are keyed by their joined text, so a bar within tokens can make two alike."""
-    joined = pairs.groupBy(*by, F.concat_ws("|", "a", "b").alias("p")).agg(F.sum("n").alias("n")).groupBy(*by).agg(entropy_of().alias("h2"))
+    """max(0, H(pairs) - H(tokens)); pairs (a, b, n) are keyed by their joined text, so a bar within tokens can make two alike; (n) alone is taken as it is."""
+    keyed = pairs.groupBy(*by, F.concat_ws("|", "a", "b").alias("p")).agg(F.sum("n").alias("n")) if "a" in pairs.columns else pairs
+    joined = keyed.groupBy(*by).agg(entropy_of().alias("h2"))
     single = vocabulary.groupBy(*by).agg(entropy_of().alias("h1"))
     both = joined.join(single, list(by)) if by else joined.crossJoin(single)  # one row each
     return both.select(*by, F.greatest(F.lit(0.0), F.col("h2") - F.col("h1")).alias("conditional_entropy"))
@@ -58,11 +81,10 @@ def character_counts(vocabulary: DataFrame) -> DataFrame:
 
 
 def character_pairs(vocabulary: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Neighbouring characters, also across tokens: those within types, and the ends of neighbouring tokens."""
+    """Neighbouring characters: those within types, and those of ``flat_character_pairs``, where tokens meet."""
     t = vocabulary.select("n", F.split("token", "").alias("t")).filter(F.size("t") > 1)
     inner = t.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.element_at("t", i).alias("a"), F.element_at("t", i + 1).alias("b")))).alias("p")).select("p.a", "p.b", "n")
-    outer = pairs.select(F.right("a", F.lit(1)).alias("a"), F.left("b", F.lit(1)).alias("b"), "n")
-    return inner.union(outer).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return inner.union(pairs.select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def ranked(vocabulary: DataFrame) -> DataFrame:

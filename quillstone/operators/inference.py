@@ -25,6 +25,8 @@ RULE_TOKENS, RULE_EXPECTED = 50, 0.0
 
 #: Occurrences of a token in one batch from which they are summed before they are dealt out.
 HEAVY = 256
+#: Frequencies below this are counted in a table.
+SMALL = 256
 #: Rows times resamples that are weighted at once.
 CELLS = 4_000_000
 
@@ -95,9 +97,20 @@ def _entropies(parts: DataFrame) -> DataFrame:
 
 def _frequencies(counts: np.ndarray) -> pa.RecordBatch:
     """How many tokens have each frequency, resample by resample."""
-    rep = np.broadcast_to(np.arange(counts.shape[1]), counts.shape)[counts > 0]
-    pairs, types = np.unique(np.stack([rep, counts[counts > 0]], axis=1), axis=0, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(types)], ["rep", "n", "types"])
+    some = counts > 0
+    rep = np.broadcast_to(np.arange(counts.shape[1]), counts.shape)[some]
+    n = counts[some]
+    low = int(n.max(initial=1)) < SMALL
+    if low:  # a table of all frequencies of all resamples
+        table = np.bincount(rep * SMALL + n, minlength=counts.shape[1] * SMALL)
+        keys = np.flatnonzero(table)
+        rep, n, types = keys // SMALL, keys % SMALL, table[keys]
+    else:
+        order = np.lexsort((n, rep))
+        rep, n = rep[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (rep[1:] != rep[:-1]) | (n[1:] != n[:-1])]))
+        rep, n, types = rep[first], n[first], np.diff(np.append(first, len(rep)))
+    return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n), pa.array(types)], ["rep", "n", "types"])
 
 
 @cache
@@ -159,6 +172,12 @@ def interval(values: DataFrame, confidence: float = 0.95) -> DataFrame:
     return values.agg(q.alias("q"), F.count("value").alias("resamples")).select(F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"), "resamples")
 
 
+def _own_tokens(lines: DataFrame) -> DataFrame:
+    """(line_ord, t) of lines with tokens: words without braces, or codes as they are."""
+    coded = dict(lines.dtypes)["tokens"] == "array<bigint>"
+    return lines.select("line_ord", (F.col("tokens") if coded else T.clean_tokens(F.col("tokens"))).alias("t")).filter(F.size("t") > 0)
+
+
 def bootstrap(lines: DataFrame, statistic: Statistic, resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """(point, low, high, resamples) of a statistic of the tokens of ``lines`` (line_ord, tokens), lines being resampled.
 
@@ -166,8 +185,9 @@ def bootstrap(lines: DataFrame, statistic: Statistic, resamples: int = 500, conf
     resamples are sums of its lines' weights; only what a statistic needs of
     them leaves the task.
     """
-    clean = lines.select("line_ord", T.clean_tokens(F.col("tokens")).alias("t")).filter(F.size("t") > 0)
-    rows = clean.mapInArrow(_weighted(seed, resamples), "token string, key bigint, sums binary")
+    clean = _own_tokens(lines)
+    kind = dict(clean.dtypes)["t"].removeprefix("array<").removesuffix(">")
+    rows = clean.mapInArrow(_weighted(seed, resamples), f"token {kind}, key bigint, sums binary")
     parts = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_gathered(seed, resamples, statistic.parts), statistic.schema)
     vocabulary = clean.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return statistic.point(vocabulary).select(F.round("point", 6).alias("point")).crossJoin(interval(statistic.values(parts), confidence))  # one row each
@@ -237,7 +257,8 @@ def permutation_tests(rows: DataFrame, tokens: list[str], permutations: int = 10
         rates, p = x / total, float(np.mean(x >= observed))
         return pd.DataFrame([(token, round(observed / total, 4), total, observed, round(rates.mean(), 4), round(rates.std(), 4), round(p, 4), p < alpha)], columns=[c.split()[0] for c in TESTED.split(", ")])
 
-    return alike.groupBy("token").applyInPandas(test, TESTED)
+    kind = dict(rows.dtypes)["token"]  # words or codes
+    return alike.groupBy("token").applyInPandas(test, TESTED.replace("token string", f"token {kind}"))
 
 
 def permutation_test(rows: DataFrame, token: str, permutations: int = 1000, seed: int = 42) -> DataFrame:

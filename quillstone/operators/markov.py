@@ -1,16 +1,32 @@
-"""Markov models of several orders, trained and tested on counts from one pass over the lines."""
+"""Markov models of several orders, trained and tested on counts from one pass over the lines.
+
+A place of a line gives one row: its token and up to as many tokens before it
+as the highest order. Only these rows are dealt out, by the last three tokens,
+and sorted; counts of shorter contexts are sums over neighbouring rows, and the
+short heads of lines are rows with fewer tokens. Smoothed probabilities depend
+on counts alone, so what leaves a task are histograms: how many transitions
+and contexts were seen how often. Pairs of tokens, which several tasks can
+hold, are summed up once more.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.tokens import MARK
 from quillstone.operators.order import smallest_by_hash
+from quillstone.sources.encoded import code_of
 from quillstone.sources.shared import stored
 
 #: Fewer lines than this are tested on the lines they were trained on.
 LEAST_LINES = 10
+#: The tokens, counted from the last, that windows are dealt out by.
+DEALT_BY = 3
+SEEDS = 8
 
 
 def split_lines(lines: DataFrame, share: float = 0.2, seed: int = 42) -> Column:
@@ -18,55 +34,207 @@ def split_lines(lines: DataFrame, share: float = 0.2, seed: int = 42) -> Column:
     return smallest_by_hash(lines, "line_ord", share, seed)
 
 
-def occurrences(orders: int) -> Column:
-    """(order, context, token) of every place of a line, for contexts of 0 to ``orders`` tokens."""
-    def of(k: int) -> Column:
-        made = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("tokens") - k, F.lit(1))),
-            lambda i: F.struct(F.lit(k).alias("order"), F.array_join(F.slice("tokens", i, k), MARK).alias("context"), F.element_at("tokens", i + k).alias("token")),
-        )
-        return F.when(F.size("tokens") > k, made).otherwise(F.array().cast("array<struct<order:int,context:string,token:string>>"))
+def transitions(lines: DataFrame, order: int) -> DataFrame:
+    """(context, token, n): what follows each context of ``order`` tokens (at least one), joined by blanks, within lines."""
+    places = lines.filter(F.size("tokens") > order).select("tokens", F.explode(F.sequence(F.lit(order), F.size("tokens") - 1)).alias("i"))
+    rows = places.select(*(F.get("tokens", F.col("i") - k).alias(f"t{k}") for k in range(order, -1, -1)))
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    return counts.select(F.concat_ws(" ", *rows.columns[:-1]).alias("context"), F.col("t0").alias("token"), "n")
+
+
+def coded(lines: DataFrame) -> DataFrame:
+    """``lines`` with codes for tokens, no two tokens sharing one; lines of codes stay."""
+    if dict(lines.dtypes)["tokens"] == "array<bigint>":
+        return lines
+    words = lines.select(F.explode("tokens").alias("t")).distinct()
+    for seed in range(SEEDS):
+        if words.groupBy(code_of(F.col("t"), seed)).agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+            return lines.withColumn("tokens", F.transform("tokens", lambda t: code_of(t, seed)))  # noqa: B023
+    raise ValueError("no seed tells the lines' tokens apart")
+
+
+SUMS = ("c", "n", "cf", "nf")
+
+
+def _windows(orders: int):
+    """Rows (w0, w1, ..., size, c, n, cf, nf) for the different windows of a batch of lines.
+
+    w0 is a token, w1 the one before it, null beyond the line's start; size is
+    the number of tokens. c and n count training and held-out places, cf and
+    nf those that another token follows.
+    """
+    names = [f"w{k}" for k in range(orders + 1)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(codes):
+                continue
+            held = np.repeat(batch.column("held").to_numpy(zero_copy_only=False).astype(bool), sizes)
+            ends = np.cumsum(sizes)
+            place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+            followed = place + 1 < np.repeat(sizes, sizes)
+            size = np.minimum(place, orders) + 1
+            columns = [np.where(size > k, np.concatenate([np.zeros(k, np.int64), codes[: len(codes) - k]]), 0) for k in range(orders + 1)]
+            table = np.stack([*columns, size], axis=1)
+            order = np.lexsort(table.T[::-1])
+            table = table[order]
+            first = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)]))
+            sums = [np.add.reduceat((x[order]).astype(np.int64), first) for x in (~held, held, ~held & followed, held & followed)]
+            table = table[first]
+            arrays = [pa.array(table[:, k], mask=table[:, -1] <= k) for k in range(orders + 1)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(table[:, -1]), *map(pa.array, sums)], [*names, "size", *SUMS])
+
+    return cut, ", ".join([*(f"{c} bigint" for c in names), "size bigint", *(f"{c} bigint" for c in SUMS)])
+
+
+PARTS = "level int, kind int, k bigint, a bigint, b bigint, rows bigint, w0 bigint, w1 bigint, cf bigint, nf bigint, sizes array<bigint>"
+#: What a row of ``PARTS`` stands for: transitions or contexts with k training occurrences, or one pair's counts.
+TRANSITIONS, CONTEXTS, PAIRS = range(3)
+
 
-    return F.concat(*map(of, range(orders + 1)))
+def _histogram(level: int, kind: int, k: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """Groups of equal ``k`` with the sums of k and b."""
+    values, inverse = np.unique(k, return_inverse=True)
+    rows = np.bincount(inverse)
+    return {"level": np.full(len(values), level), "kind": np.full(len(values), kind), "k": values, "a": values * rows, "b": np.bincount(inverse, b).round().astype(np.int64), "rows": rows}
 
 
-def transitions(lines: DataFrame, orders: int) -> DataFrame:
-    """(order, context, token, n): what follows each context of 0 to ``orders`` tokens, within lines."""
-    return lines.select(F.explode(occurrences(orders)).alias("t")).groupBy("t.order", "t.context", "t.token").agg(F.count("*").alias("n"))
+def _part(columns: dict[str, np.ndarray], sizes: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(columns["level"])
+    kinds = {"level": pa.int32(), "kind": pa.int32()}
+    arrays = {c.split()[0]: pa.nulls(n, kinds.get(c.split()[0], pa.int64())) for c in PARTS.split(", ")[:-1]} | {c: v if isinstance(v, pa.Array) else pa.array(v, kinds.get(c, pa.int64())) for c, v in columns.items()}
+    arrays["sizes"] = pa.nulls(n, pa.list_(pa.int64())) if sizes is None else pa.array(list(sizes), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_pydict(arrays)
+
+
+def _levels(orders: int):
+    """From windows sorted by w0, w1, ...: histograms of all levels from ``DEALT_BY`` tokens on, and the counts of pairs.
+
+    A level's groups are runs of rows that agree in its first columns; the run
+    that a batch ends in is held until the next one.
+    """
+    names = [f"w{k}" for k in range(orders + 1)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+
+        def close(level: int, keys: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """``keys`` and ``sums`` of groups that are whole."""
+            if level == 2:
+                short = sizes.astype(np.int64)
+                only = keys[:, 2] < 2
+                yield _part({
+                    "level": np.full(len(keys), 2), "kind": np.full(len(keys), PAIRS), "w0": keys[:, 0], "w1": pa.array(keys[:, 1], mask=only), "a": sums[:, 0], "b": sums[:, 1], "cf": sums[:, 2], "nf": sums[:, 3],
+                }, short)
+            else:
+                yield _part(_histogram(level, TRANSITIONS, sums[:, 0], sums[:, 1]))
+                if level <= orders:
+                    some = sums[:, 2:].any(axis=1)
+                    yield _part(_histogram(level + 1, CONTEXTS, sums[some, 2], sums[some, 3]))
+
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            table = np.stack([batch.column(c).fill_null(0).to_numpy() for c in names], axis=1)
+            sums = np.stack([batch.column(c).to_numpy() for c in SUMS], axis=1)
+            for level in (2, *range(DEALT_BY, orders + 2)):
+                # a pair is counted with the windows that are too short to have one
+                own = np.ones(len(size), bool) if level == 2 else size >= level
+                keys = np.concatenate([table[own, : min(level, orders + 1)], np.minimum(size[own], level)[:, None]], axis=1)
+                if level == 2 and orders < 1:
+                    keys = np.stack([table[own, 0], np.zeros(own.sum(), np.int64), np.ones(own.sum(), np.int64)], axis=1)
+                if not len(keys):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+                total = np.add.reduceat(sums[own], first, axis=0)
+                sizes = np.zeros((len(keys) if level == 2 else 0, orders + 1), np.int64)
+                if level == 2:
+                    sizes[np.arange(len(keys)), size[own] - 1] = sums[own, 1]
+                    sizes = np.add.reduceat(sizes, first, axis=0)
+                keys = keys[first]
+                if level in held:
+                    last, before, lens = held[level]
+                    if (last == keys[0]).all():
+                        total[0] += before
+                        if level == 2:
+                            sizes[0] += lens
+                    else:
+                        yield from close(level, last[None, :], before[None, :], lens[None, :])
+                held[level] = (keys[-1], total[-1], sizes[-1] if level == 2 else np.zeros(orders + 1, np.int64))
+                if len(keys) > 1:
+                    yield from close(level, keys[:-1], total[:-1], sizes[:-1])
+        for level, (last, before, lens) in held.items():
+            yield from close(level, last[None, :], before[None, :], lens[None, :])
+
+    return count
 
 
 def counted(lines: DataFrame, held: Column, orders: int) -> DataFrame:
-    """(order, context, token, c, n): how often each transition is in training lines (c) and in held-out lines (n), in one pass."""
-    rows = lines.select(held.alias("held"), F.explode(occurrences(orders)).alias("t"))
-    return rows.groupBy("t.order", "t.context", "t.token").agg(F.count_if(~F.col("held")).alias("c"), F.count_if("held").alias("n"))
+    """(order, kind, k, a, b, rows): of each order's transitions, or contexts, that training lines have k times, how often these and held-out lines have them, and how many there are.
+
+    A third kind, ``PAIRS``, has the held-out places (b) whose token no
+    training line has. ``lines`` has codes for tokens.
+    """
+    spark = lines.sparkSession
+    cut, schema = _windows(orders)
+    names = [f"w{k}" for k in range(orders + 1)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    windows = lines.select("tokens", held.alias("held")).mapInArrow(cut, schema)
+    dealt = windows.repartition(parts, *names[:DEALT_BY]).sortWithinPartitions(*names, "size")
+    made = stored(dealt.mapInArrow(_levels(orders), PARTS), "transitions")
+    far = made.filter(F.col("kind") != PAIRS).select((F.col("level") - 1).alias("order"), "kind", "k", "a", "b", "rows")
+    pairs = made.filter(F.col("kind") == PAIRS).groupBy("w0", "w1").agg(*(F.sum(c).alias(c) for c in ("a", "b", "cf", "nf")), *(F.sum(F.get("sizes", F.lit(k))).alias(f"s{k}") for k in range(orders + 1)))
+    pairs = stored(pairs, "transitions")
+    # how many held-out places of each order a token has: those with as many tokens before them
+    places = [sum((F.col(f"s{j}") for j in range(k + 1, orders + 1)), F.col(f"s{k}")) for k in range(orders + 1)]
+    tokens = stored(pairs.groupBy("w0").agg(*(F.sum(c).alias(c) for c in ("a", "b", "cf", "nf", *(f"s{k}" for k in range(orders + 1))))), "transitions")
+
+    def of(df: DataFrame, order: int, kind: int, k: str, b: str) -> DataFrame:
+        return df.groupBy(F.col(k).alias("k")).agg(F.sum(k).alias("a"), F.sum(b).alias("b"), F.count("*").alias("rows")).select(F.lit(order).alias("order"), F.lit(kind).alias("kind"), "k", "a", "b", "rows")
+
+    out = [far.groupBy("order", "kind", "k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("rows").alias("rows")), of(tokens, 0, TRANSITIONS, "a", "b")]
+    if orders >= 1:
+        real = pairs.filter("w1 IS NOT NULL")
+        out += [of(real, 1, TRANSITIONS, "a", "b"), of(tokens.filter("cf + nf > 0"), 1, CONTEXTS, "cf", "nf")]
+    if orders >= 2:
+        out.append(of(real.filter("cf + nf > 0"), 2, CONTEXTS, "cf", "nf"))
+    unknown = tokens.filter("a = 0").agg(*(F.coalesce(F.sum(p), F.lit(0)).alias(f"u{k}") for k, p in enumerate(places)))
+    rows = F.array(*(F.struct(F.lit(k).alias("order"), F.col(f"u{k}").alias("b")) for k in range(orders + 1)))
+    zero = F.lit(0).cast("bigint")
+    out.append(unknown.select(F.explode(rows).alias("r")).select("r.order", F.lit(PAIRS).alias("kind"), zero.alias("k"), zero.alias("a"), "r.b", zero.alias("rows")))
+    whole = out[0]
+    for o in out[1:]:
+        whole = whole.union(o)
+    return whole
 
 
 def evaluate(counts: DataFrame, smoothing: float = 1.0, in_sample: bool = False) -> DataFrame:
     """A row for each order of ``counted``: perplexities of training and held-out lines, and the sizes behind them.
 
-    Additive smoothing over the training vocabulary. ``in_sample`` takes the
-    training counts for those of the held-out lines.
+    Additive smoothing over the training vocabulary: a transition seen k times
+    after a context seen m times has the probability (k + s) / (m + s V).
+    ``in_sample`` takes the training counts for those of the held-out lines.
     """
-    asked = F.col("c") if in_sample else F.col("n")
-    counts = counts.withColumn("n", asked)
-    context = counts.groupBy("order", "context").agg(F.sum("c").alias("total"))
-    vocabulary = counts.filter("order = 0 AND c > 0").select("token", F.lit(1).alias("known"))
-    size = vocabulary.agg(F.greatest(F.count("*"), F.lit(1)).alias("v"))
-    # order 0 has one context, whose total is a number and not a join's hot key
-    whole = context.filter("order = 0").agg(F.max("total").alias("whole"))
-    joined = (
-        counts.join(context.filter("order > 0"), ["order", "context"], "left").join(vocabulary, "token", "left").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(whole))  # one row each
-        .withColumn("total", F.when(F.col("order") == 0, F.col("whole")).otherwise(F.col("total")))
-    )
+    asked = F.col("a" if in_sample else "b")
+    is_kind = lambda kind: F.col("kind") == kind
+    vocabulary = counts.filter(is_kind(TRANSITIONS) & (F.col("order") == 0) & (F.col("k") > 0)).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("seen"))
+    whole = counts.filter(is_kind(TRANSITIONS) & (F.col("order") == 0)).agg(F.coalesce(F.sum("a"), F.lit(0)).alias("m0"), F.coalesce(F.sum(asked), F.lit(0)).alias("n0"))
     s = F.lit(float(smoothing))
-    p = F.log2((F.col("c") + s) / (F.coalesce("total", F.lit(0)) + s * F.col("v")))
-    perplexity = lambda n: F.round(F.pow(F.lit(2.0), -F.try_divide(F.sum(F.col(n) * p), F.sum(n))), 4)
-    sums = joined.groupBy("order").agg(
-        perplexity("c").alias("train_perplexity"), perplexity("n").alias("perplexity"), F.sum("c").alias("n_train_tokens"), F.sum("n").alias("n_tokens"),
-        F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("n_unknown"), F.max("v").alias("vocab_size"),
-    )
-    contexts = context.filter("total > 0").groupBy("order").agg(F.count("*").alias("n_contexts"))
-    return sums.join(F.broadcast(contexts), "order", "left").withColumn("n_contexts", F.coalesce("n_contexts", F.lit(0).cast("bigint")))  # a row for each order
+    v = F.greatest(F.col("seen"), F.lit(1))
+    joined = counts.crossJoin(F.broadcast(vocabulary.crossJoin(whole)))  # one row each
+    up, down = F.log2(F.col("k") + s), F.log2(F.col("k") + s * v)
+    gain = lambda n: F.sum(F.when(is_kind(TRANSITIONS), n * up).when(is_kind(CONTEXTS), -n * down))
+    # the one context of order 0 is the whole
+    first = lambda n: F.when(F.col("order") == 0, F.max(n) * F.log2(F.max("m0") + s * F.max(v))).otherwise(0.0)
+    total = lambda n: F.sum(F.when(is_kind(TRANSITIONS), n).otherwise(0))
+    perplexity = lambda n, n0: F.round(F.pow(F.lit(2.0), -F.try_divide(gain(n) - first(n0), total(n))), 4)
+    return joined.groupBy("order").agg(
+        perplexity(F.col("a"), "m0").alias("train_perplexity"), perplexity(asked, "n0").alias("perplexity"), total(F.col("a")).alias("n_train_tokens"), total(asked).alias("n_tokens"),
+        (F.sum(F.when(is_kind(PAIRS), F.col("b")).otherwise(0)) if not in_sample else F.lit(0).cast("bigint")).alias("n_unknown"), F.max(v).alias("vocab_size"),
+        F.when((F.col("order") == 0) & (F.max("m0") > 0), F.lit(1).cast("bigint")).otherwise(F.sum(F.when(is_kind(CONTEXTS) & (F.col("k") > 0), F.col("rows")).otherwise(0))).alias("n_contexts"),
+    ).filter("n_tokens > 0 OR n_train_tokens > 0")
 
 
 def analysis(lines: DataFrame, orders: int = 4, smoothing: float = 1.0, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -75,11 +243,12 @@ def analysis(lines: DataFrame, orders: int = 4, smoothing: float = 1.0, share: f
     ``honest`` is false where there are too few lines to hold some out, or
     none are to be: then the held-out perplexity is one of the training lines.
     """
+    lines = coded(lines)
     honest = share > 0 and lines.count() >= LEAST_LINES
     held = split_lines(lines, share, seed) if honest else F.lit(False)
     by_order = Window.orderBy("order")  # a row for each order
     saved = lambda c: F.round(F.coalesce(F.try_divide(F.lag(c).over(by_order) - F.col(c), F.lag(c).over(by_order)), F.when(F.col("order") > 0, 0.0)), 6)
-    out = evaluate(stored(counted(lines, held, orders), "transitions"), smoothing, not honest)
+    out = evaluate(counted(lines, held, orders), smoothing, not honest)
     return out.select(
         "order", "train_perplexity", "perplexity", "n_train_tokens", "n_tokens", "n_unknown", "vocab_size", "n_contexts", saved("train_perplexity").alias("train_reduction"),
         saved("perplexity").alias("reduction"), F.lit(honest).alias("honest"),

@@ -12,13 +12,18 @@ from quillstone.operators.entropy import entropy_of
 def ngrams(tokens: Column, n: int) -> Column:
     """The n-grams of a line; a shorter line has none."""
     made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.slice(tokens, i, n))
-    return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(F.size(tokens) >= n, made).otherwise(F.slice(made, 1, 0))
 
 
 def counted(lines: DataFrame, n: int) -> DataFrame:
-    """(gram, n, first) over all lines."""
-    rows = lines.select("line_ord", F.posexplode(ngrams(F.col("tokens"), n)).alias("pos", "gram"))
-    return rows.groupBy("gram").agg(F.count("*").alias("n"), F.min(T.place()).alias("first"))
+    """(gram, n, first) over all lines; tokens may be words or their codes."""
+    kept = [c for c in ("line_ord", "line_start") if c in lines.columns]
+    # columns of their own are grouped by without an array for each occurrence
+    names = [f"g{k}" for k in range(n)]
+    places = lines.filter(F.size("tokens") >= n).select(*kept, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)).alias("pos"))
+    rows = places.select(*kept, "pos", *(F.get("tokens", F.col("pos") + k).alias(c) for k, c in enumerate(names)))
+    counts = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min(T.place_in(rows)).alias("first"))
+    return counts.select(F.array(*names).alias("gram"), "n", "first")
 
 
 def most_common(counts: DataFrame, k: int = 30) -> DataFrame:

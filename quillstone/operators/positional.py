@@ -17,7 +17,7 @@ def top(df: DataFrame, k: int, by: list[str], count: str = "n", first: str = "fi
 def edge_rates(rows: DataFrame, final: bool = False, k: int = 30) -> DataFrame:
     """The k tokens most often first (or last) on a line, and the share of their occurrences that are."""
     here = F.col("pos") == (F.col("size") - 1 if final else 0)
-    place = T.place()
+    place = T.place_in(rows)
     counts = rows.groupBy("token").agg(F.count_if(here).alias("at_edge"), F.count("*").alias("total"), F.min(F.when(here, place)).alias("first"))
     best = counts.filter("at_edge > 0").orderBy(F.desc("at_edge"), "first").limit(k)
     return best.select("token", "at_edge", "total", F.round(F.col("at_edge") / F.col("total"), 4).alias("rate"))
@@ -29,12 +29,12 @@ def biased(rates: DataFrame, least_rate: float = 0.4, least_count: int = 10) ->
 
 
 def section_profiles(rows: DataFrame, k: int = 20) -> DataFrame:
-    counts = rows.groupBy("section", "token").agg(F.count("*").alias("n"), F.min(T.place()).alias("first"))
+    counts = rows.groupBy("section", "token").agg(F.count("*").alias("n"), F.min(T.place_in(rows)).alias("first"))
     return top(counts, k, ["section"]).select("section", "rank", "token", "n")
 
 
 def word_position_profiles(rows: DataFrame, places: int = 5, k: int = 10) -> DataFrame:
-    counts = rows.filter(F.col("pos") < places).groupBy("pos", "token").agg(F.count("*").alias("n"), F.min(T.place()).alias("first"))
+    counts = rows.filter(F.col("pos") < places).groupBy("pos", "token").agg(F.count("*").alias("n"), F.min(T.place_in(rows)).alias("first"))
     return top(counts, k, ["pos"]).select((F.col("pos") + 1).alias("place"), "rank", "token", "n")
 
 

@@ -14,8 +14,8 @@ from quillstone.operators import entropy, inference, markov, ngrams, positional,
 from quillstone.sources import lines as L
 
 KNOWN = [name for name, _, _ in T.SECTIONS]
-#: Frequencies that a report shows of the rank-frequency fit, and characters of the alphabet.
-RANKS_SHOWN, CHARACTERS_SHOWN = 50, 200
+#: Frequencies that a report shows of the rank-frequency fit. An alphabet is shown whole.
+RANKS_SHOWN = 50
 
 
 def rows_of(df: DataFrame) -> list[dict]:
@@ -46,7 +46,7 @@ def entropy_report(lines: DataFrame, label: str = "corpus", clean: bool = True,
     measured = one_of(entropy.analyse(vocabulary))
     conditional = entropy.conditional_entropy(entropy.flat_pairs(lines, tokens), vocabulary).first()[0]
     alphabet = entropy.character_counts(vocabulary)
-    pairs = entropy.flat_pairs(lines, F.filter(tokens, lambda t: t != ""))
+    pairs = entropy.flat_character_pairs(lines, tokens)
     joint = entropy.conditional_entropy(entropy.character_pairs(vocabulary, pairs), alphabet).first()[0]
     characters = one_of(alphabet.agg(F.round(entropy.entropy_of(), 6).alias("entropy"), F.sum("n").alias("n_characters"), F.count("*").alias("n_unique")))
     sums = vocabulary.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.char_length("token")).alias("c")).first()
@@ -55,7 +55,7 @@ def entropy_report(lines: DataFrame, label: str = "corpus", clean: bool = True,
     return {
         "label": label, "clean": clean,
         "entropy": {**measured, "conditional_entropy": round(conditional, 6), "top_tokens": rows_of(vocabulary.orderBy(F.desc("n"), "first").limit(20).select("token", "n"))},
-        "characters": {**characters, "conditional_entropy": round(joint, 6), "frequencies": rows_of(alphabet.orderBy(F.desc("n"), "token").limit(CHARACTERS_SHOWN).select(F.col("token").alias("character"), "n"))},
+        "characters": {**characters, "conditional_entropy": round(joint, 6), "frequencies": rows_of(alphabet.orderBy(F.desc("n"), "token").select(F.col("token").alias("character"), "n"))},
         "zipf": {**one_of(entropy.zipf_fit(vocabulary)), "rank_frequency": rows_of(entropy.ranked(vocabulary).filter(F.col("rank") <= RANKS_SHOWN).orderBy("rank"))},
         "baseline": {"entropy": baseline, "seed": seed, "delta_bits": round(baseline - measured["entropy"], 4)},
     }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import tokens as T
 
-#: Lines of one document are numbered below this; beyond it, and for keys above 9.2e12, callers number lines themselves.
+#: The numbers of a document's lines are this far from those of the next, or as far as the longest document needs (``stride_of``).
 LINES_PER_DOCUMENT = 1_000_000
 OPEN, CLOSE, AUTHOR = "<", ">", ";"
 
@@ -40,22 +40,41 @@ def canonical(df: DataFrame, tokens: Column) -> DataFrame:
     return df.withColumn("tokens", tokens).filter(F.size("tokens") > 0).withColumn("has_uncertainty", T.line_has_uncertainty(F.col("tokens")))
 
 
-def document_lines(docs: DataFrame, marked: bool = False) -> DataFrame:
-    """The lines of ``documents``; with ``marked``, every seventh document's lines begin with a doubtful character."""
+def stride_for(most: int | None) -> int:
+    """How far the numbers of documents' lines lie apart where the longest has ``most`` lines: a power of ten."""
+    return max(LINES_PER_DOCUMENT, 10 ** len(str(max((most or 1) - 1, 0))))
+
+
+def stride_of(docs: DataFrame) -> int:
+    """``stride_for`` the documents of a table."""
+    return stride_for(docs.agg(F.max(F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1)).first()[0])
+
+
+def document_rows(docs: DataFrame, marked: bool = False) -> DataFrame:
+    """The lines of ``documents`` with doc_id and their number ``n``; with ``marked``, every seventh document's lines begin with a doubtful character."""
     rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("n", "raw_line"))
     if marked:
         doubt = F.concat(F.lit("{"), F.substring("raw_line", 1, 1), F.lit("}"), F.expr("substring(raw_line, 2)"))
         rows = rows.withColumn("raw_line", F.when((F.col("doc_id") % 7 == 0) & (F.col("raw_line") != ""), doubt).otherwise(F.col("raw_line")))
     rows = rows.select(
-        (F.col("doc_id") * LINES_PER_DOCUMENT + F.col("n")).alias("line_ord"), F.col("doc_id").cast("string").alias("folio"), F.col("lang").alias("section"),
-        F.col("n").cast("string").alias("line"), F.col("source").alias("transcriber"), "raw_line",
+        "doc_id", "n", F.col("doc_id").cast("string").alias("folio"), F.col("lang").alias("section"), F.col("n").cast("string").alias("line"), F.col("source").alias("transcriber"), "raw_line",
     )
     return canonical(rows, T.plain_tokens(F.col("raw_line")))
 
 
+def line_number(stride: int) -> Column:
+    """``line_ord`` of a document's line; a doc_id too large for it is an error, never a wrong number."""
+    return (F.col("doc_id") * F.lit(stride) + F.col("n")).alias("line_ord")
+
+
+def document_lines(docs: DataFrame, marked: bool = False) -> DataFrame:
+    """``document_rows`` with ``line_ord``, in the order of documents and lines, however long documents are."""
+    return document_rows(docs, marked).withColumn("line_ord", line_number(stride_of(docs))).drop("doc_id", "n")
+
+
 def conversation_lines(turns: DataFrame) -> DataFrame:
     rows = turns.select(
-        (F.col("conv_id") * LINES_PER_DOCUMENT + F.col("turn")).alias("line_ord"), F.col("conv_id").cast("string").alias("folio"), F.col("role").alias("section"),
+        (F.col("conv_id") * stride_for(turns.agg(F.max("turn") + 1).first()[0]) + F.col("turn")).alias("line_ord"), F.col("conv_id").cast("string").alias("folio"), F.col("role").alias("section"),
         F.col("turn").cast("string").alias("line"), F.lit("unknown").alias("transcriber"), F.col("text").alias("raw_line"),
     )
     return canonical(rows, T.plain_tokens(F.col("raw_line")))
@@ -159,11 +178,12 @@ def read_csv_line(spark: SparkSession, path: str, rows: int = CSV_ROWS) -> DataF
 
 
 def token_rows(lines: DataFrame, clean: bool = False) -> DataFrame:
-    """The long table (line_ord, folio, section, pos, token, size)."""
+    """The long table (line_ord, folio, section, pos, token, size), and ``line_start`` where the lines have it."""
     tokens = T.clean_tokens(F.col("tokens")) if clean else F.col("tokens")
-    return lines.select("line_ord", "folio", "section", F.posexplode(tokens).alias("pos", "token"), F.size("tokens").alias("size"))
+    kept = [c for c in ("line_ord", "line_start", "folio", "section") if c in lines.columns]
+    return lines.select(*kept, F.posexplode(tokens).alias("pos", "token"), F.size("tokens").alias("size"))
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
     """(token, n, first): counts, and the first place for breaking ties."""
-    return rows.groupBy("token").agg(F.count("*").alias("n"), F.min(T.place()).alias("first"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.min(T.place_in(rows)).alias("first"))
