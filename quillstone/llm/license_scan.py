@@ -112,11 +112,15 @@ def split_words(text: Column) -> Column:
 
 def elements(words: Column, pairs: list[str]) -> Column:
     """The words, and those of the given pairs of words that follow each other among them."""
-    def there(pair: str) -> Column:
-        both = pair.split("_")
-        return F.array_contains(words, both[0]) & F.array_contains(words, both[1]) & (F.size(phrase_starts(words, " ".join(both))) > 0)
+    def with_pairs(own: Column) -> Column:
+        def there(pair: str) -> Column:
+            a, b = pair.split("_")
+            return F.array_contains(own, a) & F.array_contains(own, b) & F.contains(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")), F.lit(f" {a} {b} "))
 
-    return F.concat(words, F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in pairs]).cast("array<string>"))) if pairs else words
+        return F.concat(own, F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in pairs])))
+
+    # the lambda's argument keeps the words from being computed anew at each place they are used
+    return F.get(F.transform(F.array(words), with_pairs), F.lit(0)) if pairs else words
 
 
 def phrase_starts(words: Column, phrase: str) -> Column:
