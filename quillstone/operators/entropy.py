@@ -52,6 +52,7 @@ def flat_character_pairs(lines: DataFrame, tokens: Column) -> DataFrame:
 
 def joined_pairs(pairs: DataFrame, barred: Column, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(n) of pairs of codes, for ``conditional_entropy``: only pairs with a bar in a token have to be written out to see which are alike."""
+    pairs = stored(pairs, "pairs")
     plain = pairs.filter(~barred).select("n")
     alike = named(pairs.filter(barred)).groupBy(F.concat_ws("|", "a", "b")).agg(F.sum("n").alias("n")).select("n")
     return plain.union(alike)
@@ -77,13 +78,18 @@ def analyse(vocabulary: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def character_counts(vocabulary: DataFrame) -> DataFrame:
     """(token, n): here characters, counted over types and weighted by their tokens."""
-    return vocabulary.select("n", F.explode(F.split("token", "")).alias("token")).filter("token <> ''").groupBy("token").agg(F.sum("n").alias("n"))
+    return character_runs(vocabulary).groupBy(F.left("run", F.lit(1)).alias("token")).agg(F.sum("n").alias("n"))
+
+
+def character_runs(vocabulary: DataFrame) -> DataFrame:
+    """(run, n): each character of each type with the one after it, alone at the end; weighted by the types' tokens."""
+    places = vocabulary.filter("token <> ''").select("token", "n", F.explode(F.sequence(F.lit(1), F.char_length("token"))).alias("i"))
+    return places.groupBy(F.substring("token", F.col("i"), F.lit(2)).alias("run")).agg(F.sum("n").alias("n"))
 
 
 def character_pairs(vocabulary: DataFrame, pairs: DataFrame) -> DataFrame:
     """Neighbouring characters: those within types, and those of ``flat_character_pairs``, where tokens meet."""
-    t = vocabulary.select("n", F.split("token", "").alias("t")).filter(F.size("t") > 1)
-    inner = t.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.element_at("t", i).alias("a"), F.element_at("t", i + 1).alias("b")))).alias("p")).select("p.a", "p.b", "n")
+    inner = character_runs(vocabulary).filter(F.char_length("run") == 2).select(F.left("run", F.lit(1)).alias("a"), F.right("run", F.lit(1)).alias("b"), "n")
     return inner.union(pairs.select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import tokens as T
 from quillstone.operators.draws import drawn, poisson_weights
 from quillstone.operators.entropy import LEAST_TYPES, entropy_of, zipf_fit
+from quillstone.sources.shared import stored
 
 LEAST_TOKENS, LEAST_SHARED, LEAST_EXPECTED = 30, 5, 0.5
 #: The rule engine's own test: tokens of a section at least, and the expectation that a cell must exceed.
@@ -272,7 +273,8 @@ def permutation_test(rows: DataFrame, token: str, permutations: int = 1000, seed
 
 def chi_square(rows: DataFrame, known: list[str], least_tokens: int = LEAST_TOKENS, least_expected: float = LEAST_EXPECTED, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(section, n_tokens, n_types, chi_square, df, status) of each known section against the whole corpus."""
-    own = rows.groupBy("section", "token").agg(F.count("*").alias("n"))
+    # counts by section, written once for the four places that need them
+    own = stored(rows.groupBy("section", "token").agg(F.count("*").alias("n")), "section-counts")
     whole = own.groupBy("token").agg(F.sum("n").alias("c"))
     total = own.agg(F.sum("n").alias("t"))
     tested = own.filter(F.col("section").isin(known))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.draws import scramble
 from quillstone.operators.order import smallest_by_hash
 from quillstone.sources.encoded import code_of
 from quillstone.sources.shared import stored
@@ -79,7 +80,11 @@ def _windows(orders: int):
             size = np.minimum(place, orders) + 1
             columns = [np.where(size > k, np.concatenate([np.zeros(k, np.int64), codes[: len(codes) - k]]), 0) for k in range(orders + 1)]
             table = np.stack([*columns, size], axis=1)
-            order = np.lexsort(table.T[::-1])
+            # by a hash of the window, which only brings equal ones together; those are told by all columns
+            mark = scramble(size.astype(np.uint64))
+            for c in columns:
+                mark = scramble(mark + c.view(np.uint64))
+            order = np.argsort(mark)
             table = table[order]
             first = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)]))
             sums = [np.add.reduceat((x[order]).astype(np.int64), first) for x in (~held, held, ~held & followed, held & followed)]
@@ -90,8 +95,12 @@ def _windows(orders: int):
     return cut, ", ".join([*(f"{c} bigint" for c in names), "size bigint", *(f"{c} bigint" for c in SUMS)])
 
 
-PARTS = "level int, kind int, k bigint, a bigint, b bigint, rows bigint, w0 bigint, w1 bigint, cf bigint, nf bigint, sizes array<bigint>"
-#: What a row of ``PARTS`` stands for: transitions or contexts with k training occurrences, or one pair's counts.
+def parts_of(orders: int) -> str:
+    """The columns of ``_levels``; s0, s1, ... are a pair's held-out places with 0, 1, ... tokens before them."""
+    return "level int, kind int, k bigint, a bigint, b bigint, rows bigint, w0 bigint, w1 bigint, cf bigint, nf bigint, " + ", ".join(f"s{k} bigint" for k in range(orders + 1))
+
+
+#: What a row of ``parts_of`` stands for: transitions or contexts with k training occurrences, or one pair's counts.
 TRANSITIONS, CONTEXTS, PAIRS = range(3)
 
 
@@ -102,12 +111,11 @@ def _histogram(level: int, kind: int, k: np.ndarray, b: np.ndarray) -> dict[str,
     return {"level": np.full(len(values), level), "kind": np.full(len(values), kind), "k": values, "a": values * rows, "b": np.bincount(inverse, b).round().astype(np.int64), "rows": rows}
 
 
-def _part(columns: dict[str, np.ndarray], sizes: np.ndarray | None = None) -> pa.RecordBatch:
+def _part(columns: dict[str, np.ndarray], orders: int) -> pa.RecordBatch:
     n = len(columns["level"])
-    kinds = {"level": pa.int32(), "kind": pa.int32()}
-    arrays = {c.split()[0]: pa.nulls(n, kinds.get(c.split()[0], pa.int64())) for c in PARTS.split(", ")[:-1]} | {c: v if isinstance(v, pa.Array) else pa.array(v, kinds.get(c, pa.int64())) for c, v in columns.items()}
-    arrays["sizes"] = pa.nulls(n, pa.list_(pa.int64())) if sizes is None else pa.array(list(sizes), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_pydict(arrays)
+    fields = [f.split() for f in parts_of(orders).split(", ")]
+    kinds = {c: pa.int32() if t == "int" else pa.int64() for c, t in fields}
+    return pa.RecordBatch.from_pydict({c: pa.nulls(n, kinds[c]) if c not in columns else v if isinstance(v := columns[c], pa.Array) else pa.array(v, kinds[c]) for c, _ in fields})
 
 
 def _levels(orders: int):
@@ -124,16 +132,16 @@ def _levels(orders: int):
         def close(level: int, keys: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
             """``keys`` and ``sums`` of groups that are whole."""
             if level == 2:
-                short = sizes.astype(np.int64)
                 only = keys[:, 2] < 2
                 yield _part({
                     "level": np.full(len(keys), 2), "kind": np.full(len(keys), PAIRS), "w0": keys[:, 0], "w1": pa.array(keys[:, 1], mask=only), "a": sums[:, 0], "b": sums[:, 1], "cf": sums[:, 2], "nf": sums[:, 3],
-                }, short)
+                    **{f"s{k}": sizes[:, k] for k in range(orders + 1)},
+                }, orders)
             else:
-                yield _part(_histogram(level, TRANSITIONS, sums[:, 0], sums[:, 1]))
+                yield _part(_histogram(level, TRANSITIONS, sums[:, 0], sums[:, 1]), orders)
                 if level <= orders:
                     some = sums[:, 2:].any(axis=1)
-                    yield _part(_histogram(level + 1, CONTEXTS, sums[some, 2], sums[some, 3]))
+                    yield _part(_histogram(level + 1, CONTEXTS, sums[some, 2], sums[some, 3]), orders)
 
         for batch in batches:
             size = batch.column("size").to_numpy()
@@ -183,9 +191,9 @@ def counted(lines: DataFrame, held: Column, orders: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     windows = lines.select("tokens", held.alias("held")).mapInArrow(cut, schema)
     dealt = windows.repartition(parts, *names[:DEALT_BY]).sortWithinPartitions(*names, "size")
-    made = stored(dealt.mapInArrow(_levels(orders), PARTS), "transitions")
+    made = stored(dealt.mapInArrow(_levels(orders), parts_of(orders)), "transitions")
     far = made.filter(F.col("kind") != PAIRS).select((F.col("level") - 1).alias("order"), "kind", "k", "a", "b", "rows")
-    pairs = made.filter(F.col("kind") == PAIRS).groupBy("w0", "w1").agg(*(F.sum(c).alias(c) for c in ("a", "b", "cf", "nf")), *(F.sum(F.get("sizes", F.lit(k))).alias(f"s{k}") for k in range(orders + 1)))
+    pairs = made.filter(F.col("kind") == PAIRS).groupBy("w0", "w1").agg(*(F.sum(c).alias(c) for c in ("a", "b", "cf", "nf")), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(orders + 1)))
     pairs = stored(pairs, "transitions")
     # how many held-out places of each order a token has: those with as many tokens before them
     places = [sum((F.col(f"s{j}") for j in range(k + 1, orders + 1)), F.col(f"s{k}")) for k in range(orders + 1)]

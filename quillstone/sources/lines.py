@@ -117,17 +117,39 @@ def parse_tagged(raw: DataFrame) -> DataFrame:
     return canonical(rows, T.tokenise(F.col("body"))).drop("body")
 
 
-def decoded(content: Column) -> Column:
-    """A whole file as UTF-8, or else as Latin-1."""
-    return F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
+def decoded(text: Column, is_utf8: Column) -> Column:
+    """Bytes that were read as UTF-8: as they are, or else as Latin-1."""
+    return F.when(is_utf8, text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
+
+
+def numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(file, n, raw) of every line of the text files at ``path``, numbered from 0 in each file.
+
+    Files are cut at byte ranges, and every range is read by a task of its
+    own, which takes the lines that begin in it; CR, LF and CRLF end lines. A
+    light first pass counts the lines of each range and looks whether a file
+    is UTF-8 throughout; a file that is not is Latin-1. A line's number is its
+    place in its range and the lines of the ranges before.
+    """
+    reader = spark.read
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    # rows of a range follow each other in its task, so their ids do
+    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_id"))
+    ranges = rows.groupBy("file", "_range").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"), F.bool_and(F.is_valid_utf8("value")).alias("_valid"))
+    # a row for each range
+    own = Window.partitionBy("file")
+    before = F.coalesce(F.sum("_lines").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.select("file", "_range", "_first", before.alias("_before"), F.bool_and("_valid").over(own).alias("_utf8"))
+    return rows.join(placed, ["file", "_range"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("n"), decoded(F.col("value"), F.col("_utf8")).alias("raw"))
 
 
 def read_files(spark: SparkSession, directory: str) -> DataFrame:
-    """(file, n, raw) of every .vtt file below a directory, or of every .txt file where there is none."""
+    """``numbered_lines`` of every .vtt file below a directory, or of every .txt file where there is none."""
     for pattern in ("*.vtt", "*.txt"):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(directory)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(directory).select("path")
         if not files.isEmpty():
-            return files.select(F.col("path").alias("file"), F.posexplode(F.split(decoded(F.col("content")), "\r\n|\n|\r")).alias("n", "raw"))
+            return numbered_lines(spark, directory, recursiveFileLookup=True, pathGlobFilter=pattern)
     raise FileNotFoundError(f"no .vtt or .txt file below {directory}")
 
 

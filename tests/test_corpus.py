@@ -105,6 +105,39 @@ def test_tagged_files(spark, tmp_path):
         L.read_files(spark, str(tmp_path / "d"))
 
 
+def test_files_are_cut_anywhere(spark, tmp_path, monkeypatch):
+    """Line numbers, tags carried on and encodings are those of a plain reader, wherever files are cut."""
+    monkeypatch.setattr(L, "STRETCH", 4)
+    body = "# head\r\n<f1r.P.1;H> aa b\u00fcb\rcc\n\n\nmore {x} \U0001f600\r\r\n<f2v.L.3> last\none.two"
+    (tmp_path / "a.vtt").write_bytes(body.encode())
+    (tmp_path / "b.vtt").write_bytes(("\n" * 5 + "<f9r.Z.1> caf\xe9 " + "word " * 20 + "\r\ntail\r").encode("latin-1"))
+    (tmp_path / "c.vtt").write_bytes(b"")
+    import re
+
+    want = {}
+    for name in "abc":
+        data = (tmp_path / f"{name}.vtt").read_bytes()
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = data.decode("latin-1")
+        lines_of = re.split("\r\n|\n|\r", text)
+        want |= {(name, n): line for n, line in enumerate(lines_of) if line or n < len(lines_of) - 1}
+    parsed = None
+    for size in (1, 2, 3, 5, 8, 13, 17, 64, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = L.read_files(spark, str(tmp_path))
+        assert {(r.file[-5], r.n): r.raw for r in found.collect()} == want, size
+        if size in (3, 17, 1 << 20):
+            got = sorted((r.file[-5], r.n, r.folio, r.line, r.tokens) for r in L.parse_tagged(found).collect())
+            assert parsed in (None, got)
+            parsed = got
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r[2:4] for r in parsed] == [("f1r", "1")] * 3 + [("f2v", "3")] * 2 + [("f9r", "1")] * 2
+
+
 def test_tags_reach_over_stretches(spark, monkeypatch):
     monkeypatch.setattr(L, "STRETCH", 3)
     raw = [("a", n, f"<f{n}r.P.1> t{n}" if n in (2, 10) else f"t{n}") for n in range(20)] + [("b", n, "x") for n in range(7)]
@@ -339,7 +372,7 @@ def test_graph_and_lookups(spark):
     assert lookup.exact(spark.createDataFrame([(" SLOT ",)], "query string"), keys).first().answer == "A"
 
 
-def test_components_against_union_find(spark, rows):
+def test_components_against_union_find(spark, rows, monkeypatch):
     draw = random.Random(3)
     edges = [(f"n{draw.randrange(400)}", f"n{draw.randrange(400)}") for _ in range(260)] + [("hub", f"n{k}") for k in range(0, 400, 3)]
     group = {v: v for e in edges for v in e}
@@ -353,7 +386,28 @@ def test_components_against_union_find(spark, rows):
         x, y = root(a), root(b)
         group[max(x, y)] = min(x, y)
     want = {v: root(v) for v in group if any(v in e and e[0] != e[1] for e in edges)}
-    assert dict(graph.components(spark.createDataFrame(edges, "src string, dst string")).collect()) == want
+    for parts in (1, 7):
+        assert dict(graph.components(spark.createDataFrame(edges, "src string, dst string").repartition(parts)).collect()) == want
+    # a long path whose numbers jump about, small blocks, so that contraction alone does not do it
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    names = list(range(3000))
+    draw.shuffle(names)
+    path = spark.createDataFrame([(a, b) for a, b in zip(names, names[1:], strict=False)], "src bigint, dst bigint").repartition(9)
+    assert {tuple(r) for r in graph.components(path).collect()} == {(k, 0) for k in names}
+    assert graph.components(path.limit(0)).collect() == []
+
+
+def test_roots():
+    draw = np.random.default_rng(8)
+    for n in (1, 2, 50):
+        for _ in range(30):
+            m = int(draw.integers(0, 2 * n))
+            a, b = draw.integers(0, n, m), draw.integers(0, n, m)
+            parent = list(range(n))
+            for _ in range(n):
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    parent[x] = parent[y] = min(parent[x], parent[y])
+            assert graph.roots(n, a, b).tolist() == parent
 
 
 def test_rules(spark):
