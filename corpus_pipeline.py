@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import language_id, mixing, near_dedup, pieces, private_data
-from quillstone.llm.storage import stash
+from quillstone.llm.storage import row_key, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose best language is less likely than this is rejected.
@@ -29,12 +29,13 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates; of repeated rows, one.
 
-    Rows without a doc_id cannot be told apart: they stay together where one of them does.
+    Rows are told apart by doc_id and text, so one stays also where ids are
+    repeated or missing.
     """
-    docs = docs.select(*COLUMNS)
-    kept = near_dedup.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(kept, docs.doc_id.eqNullSafe(kept["_id"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"])
+    docs = docs.select(*COLUMNS).withColumn("_key", row_key("doc_id", "text"))
+    kept = near_dedup.near_dedup(docs.select("doc_id", "text")).filter("chosen").select(F.col("rk").alias("_rk"))
+    left = docs.join(kept, docs["_key"] == kept["_rk"], "left_semi")
+    return left.dropDuplicates(["_key"]).drop("_key")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,13 +245,20 @@ def blockwise(members: DataFrame, large: DataFrame, sets: DataFrame) -> DataFram
     return full.groupBy("band", "p", "q").applyInArrow(_compare, "a bigint, b bigint").distinct()
 
 
+def first_row() -> Column:
+    """What rows of a component are ordered by: doc_id, nulls last, then the row's key."""
+    return F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "rk")
+
+
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links) of ``docs`` (doc_id, text; other columns are ignored).
 
-    rows: doc_id, digest, n_shingles for every row, repeated rows included.
-    classes: digest, component_id, size for every distinct non-empty set; the
-    component's id is its smallest doc_id (null only where all its rows have
-    none). links: pairs (a, b) of the smallest doc_ids of two linked sets that
+    rows: doc_id, rk, digest, n_shingles for every row, repeated rows
+    included; rk is a key that only rows equal in doc_id and text share.
+    classes: digest, component_id, first, size for every distinct non-empty
+    set; the component's id is its smallest doc_id (null only where all its
+    rows have none), ``first`` the key of its first row by doc_id, nulls last,
+    and key. links: pairs (a, b) of the smallest doc_ids of two linked sets that
     were confirmed, a spanning part of all links. A null or text without
     words has an empty set, digest "" and no class.
     """
@@ -261,7 +268,8 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     value = F.any_value
     nodes = stash(
         rows.filter("n_shingles > 0").groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.count("*").alias("copies"), value("n_shingles").alias("n_shingles"), value("signature").alias("signature"), value("bands").alias("bands"))
+        .agg(F.min(first_row()).alias("head"), F.count("*").alias("copies"), value("n_shingles").alias("n_shingles"), value("signature").alias("signature"), value("bands").alias("bands"))
+        .select("digest", "head", "head.doc_id", "head.rk", "copies", "n_shingles", "signature", "bands")
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -312,28 +320,34 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             parts = stash(components(links), "components")
         if last:
             break
-    placed = nodes.select("node", "digest", "doc_id", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size"))
-    classes = placed.join(ids, "component").select("digest", "component_id", "size")
+    placed = nodes.select("node", "digest", "head", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = placed.groupBy("component").agg(F.min("head").alias("_head"), F.sum("copies").alias("size"))
+    classes = placed.join(ids, "component").select("digest", F.col("_head.doc_id").alias("component_id"), F.col("_head.rk").alias("first"), "size")
     name = nodes.select("node", "doc_id")
     named = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return rows.select("doc_id", "digest", "n_shingles"), classes, named
+    return rows.select("doc_id", "rk", "digest", "n_shingles"), classes, named
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``; see ``near_groups``.
+    """doc_id, n_shingles, component_id, kept, rk, chosen for each row of ``docs``; see ``near_groups``.
 
-    A document without words is a component of its own and kept. A row whose
-    doc_id is null is kept only where its component has no other id.
+    ``kept`` says whether the row's doc_id is the component's. ``chosen`` says
+    so of rows and not of ids: it holds for one row of each component and the
+    rows equal to it, also where ids are repeated; a row without a doc_id is
+    kept where it is chosen, which takes a component without any id. A
+    document without words is a component of its own.
     """
     rows, classes, _ = near_groups(docs)
     joined = rows.join(classes, "digest", "left")
-    component = F.when(F.col("digest") == "", F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    alone = F.col("digest") == ""
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    chosen = alone | (F.col("rk") == F.col("first"))
+    kept = F.when(F.col("doc_id").isNull(), chosen).otherwise(F.col("doc_id").eqNullSafe(component))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "rk", chosen.alias("chosen"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rk", "chosen")
 
 
 ORACLE = """

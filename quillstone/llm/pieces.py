@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from quillstone.llm import kernels as K
 from quillstone.llm.storage import bounded
@@ -35,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 7
 #: Segments of more symbols than this have an agenda of their own.
 LONG = 48
+#: Rows that the decoder spells at once.
+DECODED = 256
 NO_RANK = np.int64(1) << 40
 SPACE = "▁"
 
@@ -328,6 +330,33 @@ def decode(ids, model: dict) -> str:
     return b"".join([model["bytes"][k] for k in ids])[1:].decode()
 
 
+def decode_table(encoded: DataFrame, path: str = MODEL, ids: str = "ids") -> DataFrame:
+    """``encoded`` with ``text`` in place of the column ``ids`` (arrays of pieces); other columns are kept, one named ``text`` is replaced.
+
+    No pieces, or a null, give the empty text. Pieces that the vocabulary
+    lacks are an error, as are pieces that spell no UTF-8. Works on a slice of
+    a batch at a time, so memory is that of a slice's texts.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(load(path))  # as large as the vocabulary
+    kept = [f for f in encoded.schema.fields if f.name not in (ids, "text")]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.array([*shared.value["bytes"], None], object)[:-1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, DECODED):
+                piece = batch.slice(at, DECODED)
+                lists = piece.column(ids)
+                codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(codes) and not 0 <= codes.min() <= codes.max() < len(table):
+                    raise ValueError("pieces that are not in the vocabulary")
+                spelled = table[codes]
+                ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+                texts = [b"".join(spelled[a:b])[1:].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[piece.column(f.name) for f in kept], pa.array(texts, pa.string())], [*[f.name for f in kept], "text"])
+
+    return bounded(encoded).mapInArrow(apply, StructType([*kept, StructField("text", StringType())]))
+
+
 def row_key(seed: int, key: object) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "big")
 
