@@ -10,11 +10,12 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import tokens as T
-from quillstone.operators.draws import drawn, poisson_weights
+from quillstone.operators.draws import drawn, poisson_weights, scramble
 from quillstone.operators.entropy import LEAST_TYPES, entropy_of, zipf_fit
 from quillstone.sources.shared import stored
 
@@ -24,8 +25,8 @@ RULE_TOKENS, RULE_EXPECTED = 50, 0.0
 
 # -- bootstrap -------------------------------------------------------------------------
 
-#: Occurrences of a token in one batch from which they are summed before they are dealt out.
-HEAVY = 256
+#: Occurrences of a token in one batch from which a task sums its weights before it is dealt out, and tokens that a task holds sums of.
+HEAVY, HELD = 256, 4096
 #: Frequencies below this are counted in a table.
 SMALL = 256
 #: Rows times resamples that are weighted at once.
@@ -34,18 +35,37 @@ CELLS = 4_000_000
 
 def _weighted(seed: int, resamples: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens with their line's key; for tokens that a batch has many of, the sums of their weights instead."""
+        """Tokens with their line's key; for a token that a batch has many of, the sums of its weights in the task from then on.
+
+        So however common a token, a task deals it out a few hundred times at most.
+        """
+        held: dict = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if held:
+                kind = pa.int64() if isinstance(next(iter(held)), int) else pa.string()
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.nulls(len(held), pa.int64()), pa.array([s.tobytes() for s in held.values()], pa.binary())], ["token", "key", "sums"])
+                held.clear()
+
         for batch in batches:
             lists = batch.column("t")
             keys = np.repeat(batch.column("line_ord").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             words = lists.flatten().dictionary_encode()
             codes, names = words.indices.to_numpy(), words.dictionary
-            heavy = np.flatnonzero(np.bincount(codes, minlength=len(names)) >= HEAVY)
-            rest = ~np.isin(codes, heavy)
+            common = np.bincount(codes, minlength=len(names)) >= HEAVY
+            if held:
+                common |= pc.is_in(names, value_set=pa.array(list(held), names.type)).to_numpy(zero_copy_only=False)
+            rest = ~common[codes]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(codes[rest])), pa.array(keys[rest]), pa.nulls(int(rest.sum()), pa.binary())], ["token", "key", "sums"])
-            for code in heavy.tolist():
-                sums = _summed(seed, resamples, keys[codes == code])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array([code])), pa.array([None], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["token", "key", "sums"])
+            order = np.argsort(codes[~rest], kind="stable")
+            own, their = codes[~rest][order], keys[~rest][order]
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            for code, some in zip(own[np.append(0, cuts)].tolist() if len(own) else (), np.split(their, cuts), strict=False):
+                name = names[code].as_py()
+                held[name] = held.get(name, 0) + _summed(seed, resamples, some)
+            if len(held) > HELD:
+                yield from flushed()
+        yield from flushed()
 
     return split
 
@@ -194,27 +214,88 @@ def bootstrap(lines: DataFrame, statistic: Statistic, resamples: int = 500, conf
     return statistic.point(vocabulary).select(F.round("point", 6).alias("point")).crossJoin(interval(statistic.values(parts), confidence))  # one row each
 
 
-def bootstrap_initial_rate(lines: DataFrame, token: str, resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """(point, low, high, resamples) of the share of a token's occurrences that open a line; 0 in a resample without it."""
-    has = F.size(F.filter("t", lambda t: t == token))
-    own = lines.select("line_ord", T.clean_tokens(F.col("tokens")).alias("t")).select("line_ord", has.alias("k"), (F.get("t", F.lit(0)) == token).cast("int").alias("first")).filter("k > 0")
+@dataclass(frozen=True)
+class Mergeable:
+    """A statistic of the caller's own, for all resamples beside each other.
+
+    ``columns`` are what it needs of a line. ``add`` gets a batch of them and
+    the weights of its lines (a row for each line, a column for each resample)
+    and gives a state: numbers, a row for each resample, whose sums over
+    batches are the state of all lines. ``finish`` turns a state into a value
+    for each resample (not a number where there is none).
+    """
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns: dict[str, Column]
+    add: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], np.ndarray]
+
+
+#: States that are merged at once.
+FAN = 32
+
+
+def bootstrap_of(lines: DataFrame, statistic: Mergeable, resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(point, low, high, resamples) of a mergeable statistic of ``lines`` (line_ord and what it needs), lines being resampled.
+
+    A task adds up its lines; the tasks' states are merged ``FAN`` at a time,
+    level by level, so nothing holds all lines or all states. The point is the
+    statistic with a weight of one for each line.
+    """
+    own = lines.select("line_ord", *(c.alias(k) for k, c in statistic.columns.items()))
+    added, finished = statistic.add, statistic.finish  # columns stay with the driver
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
         for batch in batches:
-            key, k, first = (batch.column(c).to_numpy() for c in ("line_ord", "k", "first"))
-            total, initial = np.zeros(resamples, np.int64), np.zeros(resamples, np.int64)
             step = max(1, CELLS // resamples)
-            for a in range(0, len(key), step):
-                w = poisson_weights(seed, key[a : a + step], resamples).astype(np.int64)
-                total += k[a : a + step] @ w
-                initial += first[a : a + step] @ w
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total), pa.array(initial)], ["rep", "total", "initial"])
+            for a in range(0, batch.num_rows, step):
+                piece = batch.slice(a, step)
+                w = np.concatenate([np.ones((piece.num_rows, 1), np.int64), poisson_weights(seed, piece.column("line_ord").to_numpy(), resamples).astype(np.int64)], axis=1)
+                more = np.asarray(added(piece, w), float).reshape(resamples + 1, -1)
+                state = more if state is None else state + more
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([state.tobytes()], pa.binary())], ["state"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            for s in batch.column("state").to_pylist():
+                more = np.frombuffer(s, float)
+                state = more.copy() if state is None else state + more
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([state.tobytes()], pa.binary())], ["state"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column("state").to_pylist():
+                values = np.asarray(finished(np.frombuffer(s, float).reshape(resamples + 1, -1)), float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, resamples)), pa.array(values, mask=np.isnan(values))], ["rep", "value"])
+
+    states = stored(own.mapInArrow(add, "state binary"), "states")
+    left = states.count()
+    while left > 1:
+        left = -(-left // FAN)
+        states = stored(states.repartition(left).mapInArrow(merge, "state binary"), "states")
+    values = stored(states.mapInArrow(finish, "rep bigint, value double"), "states")
+    point = values.filter("rep = -1").agg(F.round(F.max("value"), 6).alias("point"))
+    return point.crossJoin(interval(values.filter("rep >= 0"), confidence))  # one row each
+
+
+def initial_rate(tokens: Column, token: str | int) -> Mergeable:
+    """The share of a token's occurrences that open a line; 0 without it."""
+    own = F.coalesce(F.size(F.filter(tokens, lambda t: t == token)), F.lit(0)).cast("bigint")
+    first = F.coalesce((F.get(tokens, F.lit(0)) == token).cast("bigint"), F.lit(0).cast("bigint"))
 
-    parts = own.mapInArrow(sums, "rep bigint, total bigint, initial bigint")
-    every = lines.sparkSession.range(resamples).withColumnRenamed("id", "rep").join(parts.groupBy("rep").agg(F.sum("total").alias("total"), F.sum("initial").alias("initial")), "rep", "left")
-    values = every.select("rep", F.coalesce(F.try_divide("initial", "total"), F.lit(0.0)).alias("value"))
-    point = own.agg(F.round(F.coalesce(F.try_divide(F.sum("first"), F.sum("k")), F.lit(0.0)), 6).alias("point"))
-    return point.crossJoin(interval(values, confidence))  # one row each
+    def add(batch: pa.RecordBatch, w: np.ndarray) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy() @ w for c in ("k", "first")], axis=1)
+
+    return Mergeable({"k": own, "first": first}, add, lambda s: np.where(s[:, 0] > 0, s[:, 1] / np.maximum(s[:, 0], 1), 0.0))
+
+
+def bootstrap_initial_rate(lines: DataFrame, token: str, resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(point, low, high, resamples) of ``initial_rate``; 0 in a resample without the token."""
+    own = _own_tokens(lines)
+    return bootstrap_of(own, initial_rate(F.col("t"), token), resamples, confidence, seed)
 
 
 # -- permutations ----------------------------------------------------------------------------
@@ -269,6 +350,89 @@ def permutation_test(rows: DataFrame, token: str, permutations: int = 1000, seed
     return permutation_tests(rows, [token], permutations, seed)
 
 
+# -- permutations of places ----------------------------------------------------------------------
+
+#: Rounds of the network that permutes places.
+ROUNDS = 6
+
+
+def permuted(seed: int, lines: np.ndarray, sizes: np.ndarray, places: np.ndarray, reps: int) -> np.ndarray:
+    """Where each place of a line goes in each permutation: a row for each place given, a column for each permutation.
+
+    A place is computed and not shuffled: a keyed Feistel network is a
+    bijection of the numbers below a power of four; a number at or beyond the
+    line's size is sent through it again until it is a place, which makes it a
+    bijection of the line's places. Places of one line in one permutation
+    never meet.
+    """
+    half = np.maximum(1, (np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64) + 1) // 2)[:, None].astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    line = scramble(lines.astype(np.int64).view(np.uint64) + np.uint64(seed % (1 << 32)))[:, None]
+    key = scramble(line + scramble(np.arange(reps, dtype=np.uint64))[None, :])
+    out = np.broadcast_to(places.astype(np.uint64)[:, None], key.shape).copy()
+    half, mask = np.broadcast_to(half, key.shape), np.broadcast_to(mask, key.shape)
+    todo = np.ones(key.shape, bool)
+    while todo.any():
+        x, k, h, m = out[todo], key[todo], half[todo], mask[todo]
+        left, right = x >> h, x & m
+        for r in range(ROUNDS):
+            with np.errstate(over="ignore"):
+                left, right = right, left ^ (scramble(right + scramble(k + np.uint64(r + 1))) & m)
+        out[todo] = left << h | right
+        todo &= out >= sizes.astype(np.uint64)[:, None]
+    return out.astype(np.int64)
+
+
+#: Scores of a place (0, 1, ...) in a line of some size, for ``place_tests``.
+PLACES = {
+    "first": lambda place, size: place == 0, "last": lambda place, size: place == size - 1, "mean": lambda place, size: place / np.maximum(size - 1, 1),
+}
+
+
+def place_tests(rows: DataFrame, tokens: list, score: Callable[[np.ndarray, np.ndarray], np.ndarray], permutations: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Whether the mean score of each token's places is higher than by chance, when the tokens of every line are shuffled.
+
+    ``score`` is given places and sizes of lines, as arrays, so any positional
+    statistic of a token can be tested. ``rows`` has line_ord, pos, size and
+    token. A task sums scores for its own rows; a token that the corpus lacks
+    has no row in the result, which is that of ``permutation_tests`` with the
+    means of scores for rates and the sum of scores for ``observed``.
+    """
+    kind = dict(rows.dtypes)["token"]
+    own = rows.filter(F.col("token").isin(tokens)).select("token", "line_ord", "pos", "size")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            names = np.array(batch.column("token").to_pylist(), object)
+            line, place, size = (batch.column(c).to_numpy().astype(np.int64) for c in ("line_ord", "pos", "size"))
+            step = max(1, CELLS // permutations)
+            for a in range(0, len(line), step):
+                part = slice(a, a + step)
+                moved = np.concatenate([place[part, None], permuted(seed, line[part], size[part], place[part], permutations)], axis=1)
+                scores = np.asarray(score(moved, size[part, None]), float)
+                for t in set(names[part].tolist()):
+                    mine = names[part] == t
+                    n, total = found.get(t, (0, 0.0))
+                    found[t] = (n + int(mine.sum()), total + scores[mine].sum(axis=0))
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.int64() if kind == "bigint" else pa.string()), pa.array([n for n, _ in found.values()]), pa.array([s.tobytes() for _, s in found.values()], pa.binary())], ["token", "n", "sums"]
+            )
+
+    def test(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.sum([np.frombuffer(s, float) for s in g["sums"]], axis=0)  # a row for each task
+        n = int(g["n"].sum())
+        means = np.round(x / n, 12)
+        observed, means = means[0], means[1:]
+        p = float(np.mean(means >= observed))
+        return pd.DataFrame([(g["token"].iloc[0], round(observed, 4), n, round(float(x[0]), 6), round(means.mean(), 4), round(means.std(), 4), round(p, 4), p < alpha)], columns=[c.split()[0] for c in PLACED.split(", ")])
+
+    return own.mapInArrow(sums, f"token {kind}, n bigint, sums binary").groupBy("token").applyInPandas(test, PLACED.replace("token string", f"token {kind}"))
+
+
+PLACED = TESTED.replace("observed bigint", "observed double")
+
 # -- chi-square ------------------------------------------------------------------------------
 
 def chi_square(rows: DataFrame, known: list[str], least_tokens: int = LEAST_TOKENS, least_expected: float = LEAST_EXPECTED, least_shared: int = LEAST_SHARED) -> DataFrame:

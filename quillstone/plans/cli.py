@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from quillstone.plans import analysis, reports
 from quillstone.sources import lines as L
-from quillstone.sources import sinks
+from quillstone.sources import exchange, sinks
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """An ingested corpus: a folder of Parquet files, or one JSON document."""
-    return L.read_corpus(spark, path) if path.endswith(".json") else spark.read.parquet(path)
+    return exchange.read_corpus(spark, path) if path.endswith(".json") else spark.read.parquet(path)
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -25,13 +25,12 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
     if Path(a.input).is_dir():
         rows = L.parse_tagged(L.read_files(spark, a.input))
     else:
-        raw = spark.read.format("binaryFile").load(a.input)
-        rows = L.parse_plain(raw.select(F.col("path").alias("file"), F.posexplode(F.split(L.decoded(F.col("content")), "\r\n|\n|\r")).alias("n", "raw")))
+        rows = L.parse_plain(L.numbered_lines(spark, a.input))
     if a.skip_uncertain:
         rows = rows.filter("NOT has_uncertainty")
     if a.output.endswith(".json"):
         # one number for file and line, in order of both
-        sinks.write_corpus(rows.withColumn("line_ord", F.struct("file", "n")), a.output, {"transcription_version": a.version})
+        exchange.write_corpus(rows.withColumn("line_ord", F.struct("file", "n")), a.output, {"transcription_version": a.version})
     else:
         sinks.write_lines(rows, a.output, a.version)
 
@@ -71,7 +70,10 @@ def run_falsify(spark, a):
     entropy, covered = reports.entropy_report(lines), reports.slots_report(lines)
     models = reports.markov_report(lines, 2)["markov"]
     measured = analysis.rule_measurements(lines, entropy, models, covered)
-    sinks.write_report({"measurements": measured, **analysis.judged(spark, measured)}, a.output)
+    found = analysis.judged(spark, measured)
+    sinks.write_report({"measurements": measured, **found}, a.output)
+    if a.rules:
+        sinks.write_table(spark.createDataFrame([tuple(r.values()) for r in found["rules"]], "rule string, severity string, measured_value double, verdict string"), a.rules)
     lines.unpersist()
 
 
@@ -118,7 +120,7 @@ def parser() -> argparse.ArgumentParser:
     command("slots", run_slots, "corpus", clean=(bool, False), tokens=(str, None))
     command("significance", run_significance, "corpus", resamples=resamples, seed=seed)
     command("markov", run_markov, "corpus", orders=(int, 4), smoothing=(float, 1.0), test_fraction=share, seed=seed)
-    command("falsify", run_falsify, "corpus")
+    command("falsify", run_falsify, "corpus", rules=(str, None))
     command("pipeline", run_pipeline, "corpus", version=(str, "unknown"), seed=seed, resamples=resamples, test_fraction=share, run_id=(str, None), skip_significance=(bool, False))
     command("report", run_report, "run")
     command("preregister", run_preregister, version=(str, "unknown"))

@@ -252,7 +252,8 @@ def conditional_entropy(c, spark, sf_dir):
 @query(sql.CHARACTERS)
 def char_entropy(c, spark, sf_dir):
     v = clean_vocabulary(c)
-    pairs = entropy.flat_character_pairs(c.text, T.clean_tokens(F.col("tokens")))
+    bare = F.when(F.col("has_uncertainty"), T.clean_tokens(F.col("tokens"))).otherwise(F.col("tokens"))
+    pairs = entropy.flat_character_pairs(c.text, bare)
     chars = entropy.character_counts(v)
     joint = entropy.conditional_entropy(entropy.character_pairs(v, pairs), chars)
     own = chars.agg(F.round(entropy.entropy_of(), 6).alias("entropy"), F.sum("n").alias("n_characters"), F.count("*").alias("n_unique"))

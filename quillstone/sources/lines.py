@@ -175,27 +175,38 @@ def auto_convert(lines: DataFrame, records: int = 5001, tokens: int = 200, chars
     )
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a corpus file written by ``sources.sinks.write_corpus``; a file of another shape is an error."""
-    record = "STRUCT<folio:STRING,section:STRING,line:STRING,transcriber:STRING,raw_line:STRING,tokens:ARRAY<STRING>>"
-    whole = spark.read.schema(f"metadata MAP<STRING,STRING>, records ARRAY<{record}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = whole.select(F.posexplode("records").alias("line_ord", "r")).select(F.col("line_ord").cast("bigint").alias("line_ord"), "r.*")
-    return rows.withColumn("has_uncertainty", T.line_has_uncertainty(F.col("tokens")))
+def read_csv_line(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file's cells as one line (line_ord, raw), row by row; an empty cell reads "nan". The whole file is one string; see ``auto_convert_csv``."""
+    return _csv_line(_csv_rows(spark, path))
 
 
-#: Rows of a CSV file that can matter to the converter, which keeps 2,000 characters of a line: a row gives one at least.
-CSV_ROWS = 2001
+def auto_convert_csv(spark: SparkSession, path: str, tokens: int = 200, chars: int = 2000) -> DataFrame:
+    """``auto_convert`` of a CSV file's line, of which no more rows are put together than the converter's limits leave anything of.
 
-
-def read_csv_line(spark: SparkSession, path: str, rows: int = CSV_ROWS) -> DataFrame:
-    """A CSV file's cells as one line (line_ord, raw), row by row; an empty cell reads "nan".
-
-    The line is for ``auto_convert``, so rows that it would cut off are not read.
+    The converter shows the first ``chars`` characters of the trimmed line
+    and takes its first ``tokens`` tokens. So it needs the rows that have a
+    token, as many as there can be of both, and no row of white space before
+    the first of them or after the last; those between, it needs where they
+    are, as each is a blank of the text at least.
     """
-    table = spark.read.csv(path, header=True).limit(rows)
+    rows = _csv_rows(spark, path).withColumn("_told", F.trim("c", F.lit(T.WHITES)) != "")
+    most = max(tokens, chars) + 1
+    ends = rows.filter("_told").orderBy("n").limit(most).agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
+    between = rows.crossJoin(F.broadcast(ends)).filter("n BETWEEN _low AND _high")  # one row
+    # a run of more rows of white space than characters are shown pushes all that follows out of sight: a token's place in the text no longer matters there
+    run = between.filter("NOT _told").orderBy("n").limit(most).select("n", "c")
+    return auto_convert(_csv_line(between.filter("_told").select("n", "c").union(run)), tokens=tokens, chars=chars)
+
+
+def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(n, c): the cells of each row, joined by blanks, numbered in the file's order."""
+    table = spark.read.csv(path, header=True)
     cells = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("nan")) for c in table.columns])
-    numbered = table.select(F.monotonically_increasing_id().alias("n"), cells.alias("c"))
-    ordered = numbered.agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("rows"))  # ``rows`` at most
+    return table.select(F.monotonically_increasing_id().alias("n"), cells.alias("c"))
+
+
+def _csv_line(rows: DataFrame) -> DataFrame:
+    ordered = rows.agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("rows"))
     return ordered.select(F.lit(0).cast("bigint").alias("line_ord"), F.array_join(F.transform("rows", lambda r: r.c), " ").alias("raw"))
 
 

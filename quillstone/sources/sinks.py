@@ -10,20 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def write_corpus(lines: DataFrame, path: str, metadata: dict[str, str]) -> None:
-    """A corpus as one JSON document, for exchange; large corpora are kept as Parquet.
-
-    The records are streamed through the driver a partition at a time.
-    """
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    fields = ("folio", "section", "line", "transcriber", "raw_line", "tokens")
-    with open(path, "w", encoding="utf-8") as out:
-        out.write('{"metadata": ' + json.dumps(metadata, ensure_ascii=False) + ', "records": [')
-        for k, row in enumerate(lines.orderBy("line_ord").select(*fields).toLocalIterator()):
-            out.write((",\n" if k else "\n") + json.dumps(row.asDict(), ensure_ascii=False))
-        out.write("\n]}\n")
-
-
 def write_lines(rows: DataFrame, path: str, version: str = "unknown") -> None:
     """Parsed lines (file, n and the canonical columns) as Parquet, written by the executors, with ``line_ord`` in order of file and line.
 

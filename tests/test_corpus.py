@@ -14,7 +14,7 @@ from quillstone.functions import tokens as T
 from quillstone.operators import draws, entropy, graph, inference, lookup, markov, ngrams, order, positional, rules, slots
 from quillstone.plans import analysis, cli, reports
 from quillstone.sources import lines as L
-from quillstone.sources import sinks
+from quillstone.sources import exchange, sinks
 from quillstone.streaming import counts
 
 LETTERS = ["o", "a", "e", "i", "c", "h", "s", "d", "y", "k", "t", "l", "r", "n", "q", "m", "{", "}", "!", "?", "O", "ü"]
@@ -105,6 +105,42 @@ def test_tagged_files(spark, tmp_path):
         L.read_files(spark, str(tmp_path / "d"))
 
 
+def test_corpus_documents(spark, tmp_path):
+    """Corpora as one document: written and read again, read from other writers' documents, however these are cut."""
+    draw = random.Random(12)
+    odd = ['"', "\\", "\\\"", "}", "{", "]", "[", ",", "\n", "\t", "\U0001f600", "\u00e9", "records", '"records": [', "\u2028", "x", " "]
+    word = lambda: "".join(draw.choice(odd) for _ in range(draw.randrange(1, 6)))
+    records = [(k * 3, word(), word(), str(k), None if k % 5 == 0 else word(), word() + " " + word(), [word() for _ in range(draw.randrange(0, 4))]) for k in range(70)]
+    schema = "line_ord bigint, folio string, section string, line string, transcriber string, raw_line string, tokens array<string>"
+    names = ["folio", "section", "line", "transcriber", "raw_line", "tokens"]
+    metadata = {"note": 'a "records": [ } { \\', "version": "\U0001f600"}
+    exchange.write_corpus(spark.createDataFrame(records, schema).repartition(5), str(tmp_path / "own/corpus.json"), metadata)
+    whole = json.loads((tmp_path / "own/corpus.json").read_text(encoding="utf-8"))
+    assert whole == {"metadata": metadata, "records": [dict(zip(names, r[1:], strict=True)) for r in records]}
+    others = {
+        "indented.json": json.dumps(whole, indent=2, ensure_ascii=False), "line.json": json.dumps(whole), "last.json": json.dumps({"records": whole["records"], "metadata": {"x": "}{"}}, indent=1),
+        "extra.json": json.dumps({"metadata": {}, "records": [{**r, "has_uncertainty": False} for r in whole["records"]]}),
+    }
+    for name, text in others.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    for size in (37, 500, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for name in ("own/corpus.json", *others) if size > 40 else ("indented.json",):
+            got = exchange.read_corpus(spark, str(tmp_path / name)).orderBy("line_ord").collect()
+            assert [(r.line_ord, *(r[n] for n in names)) for r in got] == [(k, *r[1:]) for k, r in enumerate(records)], (name, size)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    exchange.write_corpus(spark.createDataFrame([], schema), str(tmp_path / "none.json"), {})
+    assert json.loads((tmp_path / "none.json").read_text()) == {"metadata": {}, "records": []} and exchange.read_corpus(spark, str(tmp_path / "none.json")).collect() == []
+    (tmp_path / "bad.json").write_text('{"metadata": {"a": [1]}, "rows": [{"folio": "x"}]}')
+    with pytest.raises(ValueError, match="no list of records"):
+        exchange.read_corpus(spark, str(tmp_path / "bad.json"))
+    (tmp_path / "worse.json").write_text('{"records": [{"folio": 1 2}]}')
+    with pytest.raises(Exception, match="(?i)malformed|parse|json"):
+        exchange.read_corpus(spark, str(tmp_path / "worse.json")).collect()
+
+
 def test_files_are_cut_anywhere(spark, tmp_path, monkeypatch):
     """Line numbers, tags carried on and encodings are those of a plain reader, wherever files are cut."""
     monkeypatch.setattr(L, "STRETCH", 4)
@@ -147,8 +183,13 @@ def test_tags_reach_over_stretches(spark, monkeypatch):
 
 def test_other_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\nx y,1\n,2\n")
-    lines = L.auto_convert(L.read_csv_line(spark, str(tmp_path / "t.csv")))
-    assert [(r.line, r.tokens) for r in lines.orderBy("line_ord").collect()] == [("1", ["x", "y", "1", "nan", "2"])]
+    for lines in (L.auto_convert(L.read_csv_line(spark, str(tmp_path / "t.csv"))), L.auto_convert_csv(spark, str(tmp_path / "t.csv"))):
+        assert [(r.line, r.tokens) for r in lines.orderBy("line_ord").collect()] == [("1", ["x", "y", "1", "nan", "2"])]
+    # more rows than were once read, some of white space alone
+    (tmp_path / "long.csv").write_text("a\n" + '" "\n' * 30 + "".join(f'r{k}\n" "\n' for k in range(3000)) + '" "\n' * 5000 + "end\n")
+    whole = L.read_csv_line(spark, str(tmp_path / "long.csv")).first().raw
+    assert whole.split()[-1] == "end" and len(whole.split()) == 3001
+    assert L.auto_convert_csv(spark, str(tmp_path / "long.csv")).collect() == L.auto_convert(L.read_csv_line(spark, str(tmp_path / "long.csv"))).collect()
     plain = spark.createDataFrame([("f", 0, "\t# no"), ("f", 1, "  a-b\u00a0c "), ("f", 2, "\u2003")], "file string, n int, raw string")
     assert [(r.n, r.line, r.tokens) for r in L.parse_plain(plain).collect()] == [(1, "1", ["a-b", "c"])]
     sinks.write_table(plain.limit(1), str(tmp_path / "out"))
@@ -285,6 +326,53 @@ def test_bootstrap_by_definition(spark, rows, lines, monkeypatch):
     assert tuple(inference.bootstrap(lines, inference.ENTROPY, 40).first()) == tuple(inference.bootstrap(lines.repartition(7), inference.ENTROPY, 40).first())
 
 
+def test_bootstrap_of_a_statistic_of_ones_own(spark, rows, lines, monkeypatch):
+    """The mean length of lines and the share of repeated neighbours, merged in several levels, against weighted sums."""
+    monkeypatch.setattr(inference, "FAN", 2)
+    monkeypatch.setattr(inference, "CELLS", 400)
+    weights = draws.poisson_weights(3, np.arange(len(rows)), 40).astype(int)
+    sizes, same = np.array([len(r) for r in rows]), np.array([sum(a == b for a, b in zip(r, r[1:], strict=False)) for r in rows])
+    mean = inference.Mergeable({"size": F.size("tokens").cast("double")}, lambda b, w: np.stack([b.column("size").to_numpy() @ w, w.sum(axis=0)], axis=1), lambda s: s[:, 0] / np.where(s[:, 1] > 0, s[:, 1], np.nan))
+    repeated = inference.Mergeable(
+        {"tokens": F.col("tokens")},
+        lambda b, w: np.stack([np.array([sum(x == y for x, y in zip(t, t[1:], strict=False)) for t in b.column("tokens").to_pylist()]) @ w, np.array([len(t) for t in b.column("tokens").to_pylist()]) @ w], axis=1),
+        lambda s: s[:, 0] / s[:, 1],
+    )
+    for statistic, values, point in ((mean, sizes @ weights / weights.sum(axis=0), sizes.mean()), (repeated, same @ weights / (sizes @ weights), same.sum() / sizes.sum())):
+        for parts in (1, 9):
+            one = inference.bootstrap_of(lines.repartition(parts), statistic, 40, seed=3).first()
+            assert (one.low, one.high, one.point) == pytest.approx((*np.percentile(values, [2.5, 97.5]), point), abs=2e-6) and one.resamples == 40
+    none = inference.bootstrap_of(lines.limit(0), mean, 40).first()
+    assert none.point is None and none.low is None and none.resamples == 0
+
+
+def test_permutations_of_places(spark, rows, lines):
+    sizes = np.repeat(np.arange(1, 40), np.arange(1, 40))
+    places = np.concatenate([np.arange(n) for n in range(1, 40)])
+    moved = inference.permuted(7, sizes, sizes, places, 200)
+    for n in range(1, 40):  # each permutation is a bijection
+        assert (np.sort(moved[sizes == n], axis=0) == np.arange(n)[:, None]).all()
+    many = inference.permuted(7, np.arange(4000), np.full(4000, 5), np.full(4000, 2), 20)
+    assert np.abs(np.bincount(many.ravel(), minlength=5) / many.size - 0.2).max() < 0.01
+    own = L.token_rows(lines, clean=True)
+    binomial = inference.permutation_test(own, "ol", 2000).first()
+    placed = inference.place_tests(own, ["ol", "absent"], inference.PLACES["first"], 2000).collect()
+    assert len(placed) == 1 and placed[0].observed_rate == binomial.observed_rate and placed[0].total == binomial.total
+    assert placed[0].null_mean == pytest.approx(binomial.null_mean, abs=0.01) and placed[0].null_std == pytest.approx(binomial.null_std, abs=0.006) and placed[0].p_value == pytest.approx(binomial.p_value, abs=0.05)
+    clean = [[t.replace("{", "").replace("}", "") for t in r] for r in rows]
+    draw = random.Random(5)
+    for name in ("last", "mean"):
+        score = inference.PLACES[name]
+        total = sum(r.count("ol") for r in clean)
+        null = []
+        for _ in range(600):
+            null.append(sum(float(score(p, len(r))) for r in clean for p in draw.sample(range(len(r)), r.count("ol"))) / total)
+        one = inference.place_tests(own.repartition(5), ["ol"], score, 600, 9).first()
+        observed = sum(float(score(p, len(r))) for r in clean for p, t in enumerate(r) if t == "ol") / total
+        assert one.observed_rate == round(observed, 4) and one.null_mean == pytest.approx(np.mean(null), abs=0.01) and one.null_std == pytest.approx(np.std(null), abs=0.006)
+        assert one.p_value == pytest.approx(np.mean(np.array(null) >= observed), abs=0.08)
+
+
 def test_sums_of_logarithms(monkeypatch):
     n = np.array([0, 1, 5, 999, 1000, 1001, 50_000])
     tables = inference._log_tables(1000)
@@ -426,7 +514,7 @@ def test_command_line(spark, tmp_path, rows):
     path = str(tmp_path / "corpus.json")
     assert cli.main(["ingest", str(tmp_path / "in"), "--output", path], spark) == 0
     assert len(json.loads((tmp_path / "corpus.json").read_text())["records"]) == 120
-    assert [r.tokens for r in L.read_corpus(spark, path).orderBy("line_ord").collect()] == rows
+    assert [r.tokens for r in exchange.read_corpus(spark, path).orderBy("line_ord").collect()] == rows
     folder = str(tmp_path / "corpus")
     assert cli.main(["ingest", str(tmp_path / "in"), "--output", folder, "--version", "v1"], spark) == 0
     assert [r.tokens for r in spark.read.parquet(folder).orderBy("line_ord").collect()] == rows
@@ -447,7 +535,8 @@ def test_command_line(spark, tmp_path, rows):
     assert found["n_tokens"] == sum(map(len, rows)) and found["failures"] and found["invalid_top"] and found["sections"] and spark.read.csv(str(tmp_path / "tokens"), header=True).count() > 5
     found = report("significance", "--resamples", "30", "--seed", "5")
     assert {"entropy", "zipf_alpha"} == set(found["intervals"]) and found["sections"] and all(0 <= p["p_value"] <= 1 for p in found["permutations"])
-    found = report("falsify")
+    found = report("falsify", "--rules", str(tmp_path / "rules"))
+    assert sorted(r.rule for r in spark.read.csv(str(tmp_path / "rules"), header=True).collect()) == sorted(r[0] for r in rules.RULES)
     assert len(found["rules"]) == len(rules.RULES) and found["summary"].startswith(found["overall"]["verdict"])
     assert cli.main(["pipeline", folder, "--output", str(tmp_path / "runs"), "--resamples", "20", "--run-id", "one"], spark) == 0
     assert cli.main(["report", str(tmp_path / "runs"), "--output", str(tmp_path / "r.md")]) == 0 and "## Hypotheses" in (tmp_path / "r.md").read_text() and (tmp_path / "runs/run_one.json").exists()
