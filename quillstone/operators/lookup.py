@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: A table of keywords with at most so many rows is sent to every task.
-BROADCAST_KEYWORDS = 10_000
+from quillstone.operators.keywords import first_keywords
 
 
 def exact(queries: DataFrame, table: DataFrame, key: str = "key") -> DataFrame:
@@ -59,20 +58,5 @@ def fuzzy(queries: DataFrame, words: DataFrame, k: int = 5, cutoff: float = 0.3)
 
 
 def dispatch(queries: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``queries`` (id, query) with the key and answer of the first keyword (by key_order) that each contains, or null.
-
-    Repeated ids stay apart. A small table of keywords is one array that every
-    query is searched with; a larger one is joined, each query being numbered.
-    """
-    low = F.lower("query")
-    entry = F.struct("key_order", "key", "answer")
-    if keywords.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS:
-        table = keywords.filter("key IS NOT NULL").agg(F.array_sort(F.collect_list(entry)).alias("_keys"))
-        hit = F.get(F.filter("_keys", lambda k: low.contains(k.key)), F.lit(0))
-        found = queries.crossJoin(F.broadcast(table)).withColumn("_hit", hit)  # one row
-    else:
-        numbered = queries.withColumn("_row", F.monotonically_increasing_id()).withColumn("_low", low)
-        hits = numbered.join(keywords, F.col("_low").contains(F.col("key")), "left")
-        best = F.min(F.when(F.col("key").isNotNull(), entry))
-        found = hits.groupBy("_row").agg(F.any_value("id").alias("id"), best.alias("_hit"))
-    return found.select("id", F.col("_hit.key").alias("key"), F.col("_hit.answer").alias("answer"))
+    """``queries`` (id, query) with the key and answer of the first keyword (by key_order) that each contains, or null; repeated ids stay apart."""
+    return first_keywords(queries.select("id", "query"), keywords).select("id", "key", "answer")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import tokens as T
-from quillstone.operators import entropy, graph, inference, lookup, markov, ngrams, positional, rules, slots
+from quillstone.operators import entropy, graph, inference, keywords, lookup, markov, ngrams, positional, rules, slots
 from quillstone.plans import sql
 from quillstone.sources import encoded
 from quillstone.sources import lines as L
@@ -543,6 +543,23 @@ def keyword_dispatch(c, spark, sf_dir):
     return lookup.dispatch(asked, key)
 
 
+@query("""WITH k AS (SELECT row_number() OVER (ORDER BY key) AS key_order, key FROM (SELECT DISTINCT lower(w) AS key FROM (SELECT unnest(string_split(p_name, ' ')) AS w
+  FROM part) WHERE length(w) >= 3)), d AS (SELECT row_number() OVER () AS row, doc_id, lower(text) AS low FROM documents)
+SELECT doc_id, arg_min(key, key_order) AS key, min(key_order) AS key_order FROM d LEFT JOIN k ON contains(low, key) GROUP BY row, doc_id""")
+def keyword_scan(c, spark, sf_dir):
+    """The first word of any part's name, by alphabet, that each document holds."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).filter(F.char_length("w") >= 3).select(F.lower("w").alias("key")).distinct()
+    order = F.row_number().over(Window.orderBy("key"))  # a row for each different word of names
+    numbered = words.withColumn("key_order", order).withColumn("answer", F.col("key_order").cast("bigint"))
+    found = keywords.first_keywords(table(spark, sf_dir, "documents").select("doc_id", "text"), numbered, "text")
+    return found.select("doc_id", "key", F.col("answer").alias("key_order"))
+
+
+@query(sql.L + "SELECT line_ord, folio, section, len(tokens) AS n_tokens FROM lines WHERE folio = '7'")
+def lines_of_folio(c, spark, sf_dir):
+    return c.lines().filter(F.col("folio") == "7").select("line_ord", "folio", "section", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
 @query()
 def fuzzy_match(c, spark, sf_dir):
     words = raw_vocabulary(c).select(F.col("token").alias("word"))

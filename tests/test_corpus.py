@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillstone.functions import tokens as T
-from quillstone.operators import draws, entropy, graph, inference, lookup, markov, ngrams, order, positional, rules, slots
+from quillstone.operators import draws, entropy, graph, inference, keywords, lookup, markov, ngrams, order, positional, rules, slots
 from quillstone.plans import analysis, cli, reports
 from quillstone.sources import lines as L
 from quillstone.sources import exchange, sinks
@@ -431,7 +431,28 @@ def test_chi_square(spark):
     assert inference.rule_significance(frame, known).first().n_significant == n >= 1
 
 
-def test_graph_and_lookups(spark):
+def test_keywords(spark, monkeypatch):
+    """Automaton and gram join against looking for every keyword in every text."""
+    draw = random.Random(14)
+    letters = "aab\u00e9\U0001f600 "
+    word = lambda least, most: "".join(draw.choice(letters) for _ in range(draw.randint(least, most)))
+    texts = [(k % 90, word(0, 60).upper() if k % 3 else word(0, 60)) for k in range(120)] + [(1, None), (1, None), (2, word(3000, 3000)), (3, "")]
+    for empty in (False, True):
+        keys = [(k, word(1, 7), f"a{k}") for k in range(300)] + [(None, "a", "x"), (5, None, "x"), (7, "zzz", "twice")] + ([(250, "", "all")] if empty else [])
+        asked = spark.createDataFrame(texts, "id bigint, query string").withColumn("key", F.lit("clash")).repartition(3)
+        table = spark.createDataFrame(keys, "key_order int, key string, answer string")
+        own = {}
+        for o, k, a in sorted((r for r in keys if r[0] is not None and r[1] is not None), key=lambda r: (r[0], r[1].encode(), r[2])):
+            own.setdefault(o, (k, a))
+        want = sorted(str((i, t, *next(((k, a) for _, (k, a) in sorted(own.items()) if t is not None and k in t.lower()), (None, None)))) for i, t in texts)
+        for most in (10_000, 0):
+            monkeypatch.setattr(keywords, "MOST_KEYWORDS", most)
+            found = keywords.first_keywords(asked, table).select("id", "query", "key", "answer").collect()
+            assert sorted(str(tuple(r)) for r in found) == want
+    assert [r.key for r in keywords.first_keywords(asked.limit(2), table.limit(0)).collect()] == [None, None] and keywords.first_keywords(asked.limit(0), table).collect() == []
+
+
+def test_graph_and_lookups(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "y"), ("b", "a")], "src string, dst string")
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     assert tuple(graph.metrics(edges).first()) == (5, 4, 0.4)
@@ -454,9 +475,8 @@ def test_graph_and_lookups(spark):
     assert {r.id: r.answer for r in lookup.dispatch(asked, keys).collect()} == {1: "B", 2: None, 3: "A"}
     twice = asked.union(asked.select("id", F.lit("slot").alias("query")))
     for most in (10_000, 1):
-        lookup.BROADCAST_KEYWORDS = most
+        monkeypatch.setattr(keywords, "MOST_KEYWORDS", most)
         assert sorted(map(str, lookup.dispatch(twice, keys).collect())) == sorted(map(str, [Row(id=1, key="graph", answer="B"), Row(id=2, key=None, answer=None), Row(id=3, key="slot", answer="A"), *[Row(id=k, key="slot", answer="A") for k in (1, 2, 3)]]))
-    lookup.BROADCAST_KEYWORDS = 10_000
     assert lookup.exact(spark.createDataFrame([(" SLOT ",)], "query string"), keys).first().answer == "A"
 
 
