@@ -14,8 +14,8 @@ from quillstone.functions import tokens as T
 from quillstone.operators import draws, entropy, graph, inference, keywords, lookup, markov, ngrams, order, positional, rules, slots
 from quillstone.plans import analysis, cli, reports
 from quillstone.sources import lines as L
-from quillstone.sources import exchange, sinks
-from quillstone.streaming import counts
+from quillstone.sources import exchange, images, sinks
+from quillstone.streaming import counts, statistics
 
 LETTERS = ["o", "a", "e", "i", "c", "h", "s", "d", "y", "k", "t", "l", "r", "n", "q", "m", "{", "}", "!", "?", "O", "ü"]
 
@@ -574,3 +574,62 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r.start), r.token, r.n) for r in spark.table("counted").collect()) == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 00:00:00", "b", 1), ("2024-01-01 00:05:00", "a", 1)]
+
+
+def test_running_statistics(spark, tmp_path, monkeypatch):
+    """What a stream keeps equals the batch after every file, however rows are split, also when it is started again."""
+    monkeypatch.setattr(statistics, "BUCKETS", 5)
+    before = spark.conf.get(statistics.STORE[0])
+    statistics.prepared(spark)
+    draw = random.Random(21)
+    texts = [" ".join(f"w{min(draw.randrange(60), draw.randrange(60))}" for _ in range(draw.randrange(0, 12))) for _ in range(90)] + [None, "", "  "]
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    seen: list = []
+    try:
+        for k, size in enumerate((1, 40, 0, 52)):
+            part, texts = texts[:size], texts[size:]
+            seen += part
+            if part:
+                spark.createDataFrame([(t,) for t in part], "text string").coalesce(1).write.mode("append").parquet(source)
+            # each round starts the stream anew from its checkpoint
+            stream = statistics.running_counts(spark.readStream.schema("text string").parquet(source))
+            q = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(sink)).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            rows = spark.read.schema(statistics.ROW).parquet(sink)
+            count = Counter(t for x in seen if x for t in x.split())
+            total = sum(count.values())
+            h = -sum(n / total * math.log2(n / total) for n in count.values()) if total else 0
+            one = statistics.statistics(rows).first()
+            assert (one.n_tokens, one.n_types) == (total, len(count)) and one.entropy == pytest.approx(h, abs=1e-5)
+            assert [tuple(r) for r in statistics.top_tokens(rows).collect()] == sorted(count.items(), key=lambda e: (-e[1], e[0]))[: statistics.TOP]
+    finally:
+        spark.conf.set(statistics.STORE[0], before)
+    assert tuple(statistics.statistics(rows.limit(0)).first()) == (0, 0, 0.0)
+
+
+def test_image_headers(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(w, h, depth, kind):
+        chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0)) + chunk(b"IEND", b"")
+
+    def jpeg(w, h, parts, marker=0xC0, segments=(), fill=0):
+        out = b"\xff\xd8" + b"".join(b"\xff" + bytes([m]) + struct.pack(">H", len(b) + 2) + b for m, b in segments)
+        return out + b"\xff" * fill + b"\xff" + bytes([marker]) + struct.pack(">HBHHB", 8 + 3 * parts, 8, h, w, parts) + b"\x00" * 3 * parts + b"\xff\xd9"
+
+    files = {
+        "a.png": (png(640, 480, 8, 2), (640, 480, "RGB", 1.33)), "b.png": (png(3, 70000, 1, 0), (3, 70000, "1", 0.0)), "c.png": (png(5, 5, 16, 0), (5, 5, "I;16", 1.0)), "d.png": (png(9, 2, 8, 6), (9, 2, "RGBA", 4.5)),
+        "e.jpg": (jpeg(800, 600, 3, segments=[(0xE0, b"JFIF"), (0xFE, b"\xff\xc0" * 40)]), (800, 600, "RGB", 1.33)), "f.jpeg": (jpeg(7, 9, 1, 0xC2, fill=3), (7, 9, "L", 0.78)),
+        "g.JPG": (jpeg(10, 20, 4, segments=[(0xE1, bytes(60000))] * 3 + [(0xC4, b"table")] * 200), (10, 20, "CMYK", 0.5)),
+        "h.png": (png(1, 1, 8, 2)[:20], None), "i.jpg": (b"\xff\xd8\xff\xe0\x00\x10", None), "j.jpg": (b"\xff", None), "k.png": (b"GIF89a" + bytes(40), None), "l.jpg": (b"\xff\xd8\xff\xda\x00\x04ab" + jpeg(1, 1, 3), None), "m.png": (png(0, 4, 8, 2), None),
+    }
+    for name, (body, _) in files.items():
+        (tmp_path / name).write_bytes(body)
+    found = {r.path.rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path), 50).collect()}
+    assert found.keys() == files.keys()
+    for name, (_, want) in files.items():
+        r = found[name]
+        assert (want and (r.width, r.height, r.mode, r.aspect)) == want if want else r.width is None and r.aspect is None, name
+        assert r.zoom_width == (want[0] // 2 if want else None)
