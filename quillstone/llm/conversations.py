@@ -479,5 +479,51 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: DuckDB has no CRC-32, and no SQL for the least audit; the query is tested against a search over all edits.
-ORACLE = None
+def _oracle() -> str:
+    """The same by a recursion from each conversation's last row to its first.
+
+    For each state it keeps the least cost, edits and lines of what is left.
+    DuckDB has no CRC-32, so its table is made first.
+    """
+    ops = []
+    for p in STATES:
+        own = [f"{{'c': s[{p + 1}].c + {DELETE}, 'a': 'D' || s[{p + 1}].a, 'l': s[{p + 1}].l}}"]
+        for k, letter in enumerate(INITIALS):
+            if p in FOLLOWS[k]:
+                t = FOLLOWS[k][p] + 1
+                own.append(f"{{'c': CASE WHEN gone OR initial <> '{letter}' THEN 1000000 ELSE s[{t}].c + more END, 'a': 'K' || s[{t}].a, 'l': chr(10) || role || ':' || text || s[{t}].l}}")
+        t = NEXT[p]
+        own.append(f"{{'c': CASE WHEN gone THEN 1000000 ELSE s[{t + 1}].c + {REROLE} + more END, 'a': 'R' || s[{t + 1}].a, 'l': chr(10) || '{NAMES[t]}:' || text || s[{t + 1}].l}}")
+        ops.append(f"list_sort([{', '.join(own)}])[1]")
+    led = []
+    for p in STATES:
+        own, at, lines = [f"z[{p + 1}]"], p, ""
+        for n in (1, 2):
+            at = NEXT[at]
+            lines += f" || chr(10) || '{NAMES[at]}:'"
+            own.append(f"{{'c': z[{at + 1}].c + {n * INSERT}, 'a': '{'I' * n}' || z[{at + 1}].a, 'l': ''{lines} || z[{at + 1}].l}}")
+        led.append(f"list_sort([{', '.join(own)}])[1]")
+    last = ", ".join(f"{{'c': {c}, 'a': '{e}', 'l': {' || '.join([repr('')] + [f'chr(10) || {n!r}' for n in names])}}}" for c, e, names in zip(AT_END, CLOSING, ([], ["user:", "assistant:"], ["assistant:"], []), strict=True))
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i))),
+k AS (SELECT *, list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)) AS b FROM conversations),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(b, lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 20 AS k FROM k, t),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '{ENDS}', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS c
+  FROM src WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) AS nth,
+  rtrim(text, {white}) AS said, left(role, 1) AS initial FROM dam),
+f AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+g AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, coalesce(fault = 'truncated', false)::INT AS more FROM f),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1),
+r AS (SELECT conv_id, n + 1 AS i, [{last}] AS s FROM n
+  UNION ALL SELECT conv_id, i, [{', '.join(led)}] FROM (SELECT g.conv_id, g.i, [{', '.join(ops)}] AS z FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i - 1)),
+d AS (SELECT conv_id, s[1] AS s FROM r WHERE i = 1)
+SELECT a.conv_id, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in COUNTS[:-1])}, coalesce(d.s.c, 0)::BIGINT AS cost, coalesce(d.s.a, '') AS audit, sha256(substr(coalesce(d.s.l, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+ORACLE = _oracle()

@@ -107,6 +107,15 @@ def test_repair(spark):
     assert found.keys() == wanted.keys()
     for c in wanted:
         assert found[c] == wanted[c], (c, own.get(c))
+    import duckdb
+
+    short = frame.filter("conv_id IS NULL OR conv_id <> 77").select("conv_id", "turn", "role", "text").toPandas()
+    con = duckdb.connect()
+    con.register("conversations", short.astype({"conv_id": "Int64", "turn": "Int64"}))
+    rows_of = con.execute(C.ORACLE)
+    names = [d[0] for d in rows_of.description]
+    told = {r[names.index("conv_id")]: tuple(r[names.index(c)] for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")) for r in rows_of.fetchall()}
+    assert told == {c: w for c, w in wanted.items() if c != 77}
 
 
 def test_repaired_rows_are_right(spark):
