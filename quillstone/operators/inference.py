@@ -19,6 +19,7 @@ from quillstone.operators.draws import drawn, poisson_weights, scramble
 from quillstone.operators.entropy import LEAST_TYPES, entropy_of, zipf_fit
 from quillstone.sources.shared import stored
 
+# The least tokens, types and expectations of the tests.
 LEAST_TOKENS, LEAST_SHARED, LEAST_EXPECTED = 30, 5, 0.5
 #: The rule engine's own test: tokens of a section at least, and the expectation that a cell must exceed.
 RULE_TOKENS, RULE_EXPECTED = 50, 0.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: id, severity, measurement, and the condition on it (SQL over the measurements' columns).
+# Id, severity, measurement, and the condition on it (SQL over the measurements' columns).
 RULES = (
     ("F1.1", "CRITICAL", "coverage", "coverage >= 0.70"),
     ("F1.2", "MAJOR", "worst_failure", "worst_failure <= 0.90"),
