@@ -17,8 +17,8 @@ NAME = "op6_poisson_mixing"
 SEED = "mix-1"
 #: Weight of a source: its rows to this power. 1 keeps the shares, 0 makes them equal.
 TEMPERATURE = 0.5
-#: The largest number of copies that one inversion tells apart; at a mean of 64
-#: the probability beyond it is below 1e-20, and larger means are drawn in parts.
+#: The probabilities that the SQL sums up for a mean; and the largest mean that one
+#: inversion draws, larger ones being drawn in parts.
 MOST_COPIES, MOST_MEAN = 160, 64.0
 #: A table of sources with at most so many rows (a name and a rate each) is broadcast.
 BROADCAST_SOURCES = 20_000
