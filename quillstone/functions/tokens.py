@@ -84,9 +84,15 @@ def normalise_sequence(tokens: Column, strip_uncertain: bool = False, lowercase:
     return F.filter(F.transform(tokens, lambda t: normalise(t, strip_uncertain, lowercase)), lambda t: t != "")
 
 
-def units(token: Column) -> Column:
-    """Greedy, longest group first; equal to a scan from the left, as every other character is a unit."""
-    return F.regexp_extract_all(token, F.lit(f"((?s){'|'.join(UNITS)}|.)"), 1)
+def units(token: Column, groups: tuple[str, ...] = UNITS) -> Column:
+    """Greedy, longest group first; equal to a scan from the left, as every other character is a unit. ``groups`` may be a caller's own."""
+    longest = sorted((g for g in groups if g), key=lambda g: (-len(g), g))
+    return F.regexp_extract_all(token, F.lit("((?s)" + "|".join([*map(_quoted, longest), "."]) + ")"), 1)
+
+
+def _quoted(text: str) -> str:
+    """``text`` as a pattern that matches it and nothing else."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
 
 
 def join_units(units: Column) -> Column:

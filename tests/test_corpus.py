@@ -14,7 +14,7 @@ from quillstone.functions import tokens as T
 from quillstone.operators import draws, entropy, graph, inference, keywords, lookup, markov, ngrams, order, positional, rules, slots
 from quillstone.plans import analysis, cli, reports
 from quillstone.sources import lines as L
-from quillstone.sources import exchange, images, sinks
+from quillstone.sources import encoded, exchange, images, sinks
 from quillstone.streaming import counts, statistics
 
 LETTERS = ["o", "a", "e", "i", "c", "h", "s", "d", "y", "k", "t", "l", "r", "n", "q", "m", "{", "}", "!", "?", "O", "ü"]
@@ -69,6 +69,9 @@ def test_segmenting_and_slots(spark):
     for r in frame.select("token", T.units(F.col("token")).alias("u"), T.validate(F.col("token")).alias("v")).collect():
         assert r.u == plain_units(r.token, T.UNITS)
         assert (r.v.is_valid, r.v.matched_slots, r.v.failure_category) == plain_slots(r.token), r.token
+    own = ("ab", "abc", "{}", "o!", ".", "")
+    for r in frame.select("token", T.units(F.col("token"), own).alias("u")).collect():
+        assert r.u == plain_units(r.token, [g for g in own if g])
     truth = {"o": False, "d": False, "ol": True, "oo": True, "qo": True, "daiin": True, "shol": True, "chedy": False, "qokaiin": False, "cthy": False, "{}": False}
     got = spark.createDataFrame([(t,) for t in truth], "token string").select("token", T.validate(F.col("token")).is_valid.alias("v")).collect()
     assert {r.token: r.v for r in got} == truth
@@ -215,6 +218,46 @@ def test_entropy_and_fit(spark, rows, lines):
     assert entropy.analyse(even.limit(0)).first().entropy == 0
 
 
+def test_corpora_of_codes(spark, tmp_path, monkeypatch):
+    """Built once for the same files and anew for others; documents beyond a million lines; codes that collide; bars within tokens; places that need decimals."""
+    path = str(tmp_path / "documents.parquet")
+    docs = [(7, "a|b c|d\na b {c} x", "en", "s"), (8, "\n" * 1_000_005 + "tail a", "de", "s"), (9, "c|d a\u2003b a|b c d", None, None), (None, "no id", "en", "s"), (10, None, "en", "s")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(path)
+    one = encoded.of_documents(spark, path)
+    assert encoded.of_documents(spark, path) is one and encoded.of_documents(spark, path, marked=True) is not one
+    own = {r.line_ord: r.tokens for r in one.text.filter("folio IS NOT NULL").collect()}
+    assert own == {70_000_000: ["a|b", "c|d"], 70_000_001: ["a", "b", "{c}", "x"], 81_000_005: ["tail", "a"], 90_000_000: ["c|d", "a", "b", "a|b", "c", "d"]}
+    flat = [t.strip("{}") for k in sorted(own) for t in own[k]]
+    pairs = Counter(f"{a}|{b}" for a, b in zip(flat, flat[1:], strict=False))
+    coded = entropy.flat_pairs(one.lines(clean=True).filter("folio IS NOT NULL"), F.col("tokens"))
+    barred = encoded.has_bar(F.col("a")) | encoded.has_bar(F.col("b"))
+    joined = entropy.joined_pairs(coded, barred, lambda p: one.named(p, "a", "b", clean=True))
+    assert sorted(r.n for r in joined.collect()) == sorted(pairs.values())
+    words = {r.token: (r.n, r.first) for r in one.words.collect()}
+    assert words["a"][0] == 3 and words["a|b"][1] < words["c|d"][1] < words["a"][1] < words["tail"][1] < words["d"][1]
+    assert {r.token: r.n for r in one.clean_words.collect()} == Counter(t.strip("{}") for t in [*flat, "no", "id"])
+    spark.createDataFrame(docs[:1], "doc_id bigint, text string, lang string, source string").write.mode("append").parquet(path)
+    assert encoded.of_documents(spark, path).words.agg(F.sum("n")).first()[0] == len(flat) + 2 + 6
+    # every token of one length gets one code until the second seed
+    true = encoded.code_of
+    monkeypatch.setattr(encoded, "code_of", lambda t, seed=0: true(F.when(F.lit(seed == 0), F.char_length(t).cast("string")).otherwise(t), seed))
+    again = encoded.build(L.document_rows(spark.read.parquet(path)))
+    assert again.seed == 1 and {r.token: r.n for r in again.words.collect()}["a"] == 4
+    monkeypatch.setattr(encoded, "SEEDS", 1)
+    with pytest.raises(ValueError, match="seed"):
+        encoded.build(L.document_rows(spark.read.parquet(path)))
+    far = spark.createDataFrame([(2**61, "f", "s", ["b", "a"], False), (-(2**61), "f", "s", ["a"], False)], "line_ord bigint, folio string, section string, tokens array<string>, has_uncertainty boolean")
+    monkeypatch.undo()
+    wide = encoded.build(far)
+    assert "line_start" not in wide.text.columns and {r.token: r.n for r in wide.words.orderBy("first").collect()} == {"a": 2, "b": 1} and wide.words.orderBy("first").first().token == "a"
+
+
+def test_reports_show_whole_alphabets(spark):
+    letters = [chr(0x4E00 + k) for k in range(450)]
+    found = reports.entropy_report(corpus(spark, [letters[k : k + 30] for k in range(0, 450, 30)]))
+    assert sorted(r["character"] for r in found["characters"]["frequencies"]) == letters
+
+
 def test_places_and_neighbours(rows, lines):
     first = Counter(r[0] for r in rows)
     total = Counter(t for r in rows for t in r)
