@@ -315,9 +315,8 @@ def plans(segments: DataFrame) -> dict[tuple, Plan]:
 AUDIT = "conv_id bigint, _part int, audit string, cost bigint, illegal bigint"
 
 
-def audits(segments: DataFrame) -> DataFrame:
-    """``AUDIT`` for each segment: its edits, and what they cost."""
-    known = plans(segments)
+def audits(segments: DataFrame, known: dict[tuple, Plan]) -> DataFrame:
+    """``AUDIT`` for each segment: its edits, and what they cost; ``known`` are the plans of those that share a conversation."""
     schema = pa.schema([("conv_id", pa.int64()), ("_part", pa.int32()), ("audit", pa.string()), ("cost", pa.int64()), ("illegal", pa.int64())])
 
     def make(batches):
@@ -411,8 +410,9 @@ def repair(turns: DataFrame) -> Repair:
     rows = stash(in_order(stash(faults(turns), "turns"), parts), "turns-in-order")
     short = bounded(rows).select("_part", "_at", "conv_id", "initial", "fault", "copies")
     segments = stash(dealt(short, parts, "_at").mapInArrow(_collapse, SEGMENT), "segments")
-    made = stash(audits(segments), "audits")
-    starts = {k: p.state for k, p in plans(segments).items()}
+    known = plans(segments)
+    made = stash(audits(segments, known), "audits")
+    starts = {k: p.state for k, p in known.items()}
     columns = ("_part", "conv_id", "_at", "role", "text", "initial", "copies", "audit")
     head = made.select("_part", "conv_id", F.lit(-1).cast("bigint").alias("_at"), *(F.lit(None).cast(t).alias(c) for c, t in (("role", "string"), ("text", "string"), ("initial", "int"), ("copies", "bigint"))), "audit")
     both = head.union(rows.withColumn("audit", F.lit(None).cast("string")).select(*columns))
