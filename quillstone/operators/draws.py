@@ -47,7 +47,7 @@ def draw_sql(seed: int | str, *parts: str) -> str:
 # -- Poisson weights of bootstrap resamples -----------------------------------------
 
 U = np.uint64
-_C1, _C2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
+_C1, _C2 = FACTORS = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

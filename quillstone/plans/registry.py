@@ -473,12 +473,12 @@ def chi_square_p(c, spark, sf_dir):
     return inference.significance(inference.chi_square(L.token_rows(folio_lines(c.lines(clean=True))), KNOWN))
 
 
-@query()
+@query(sql.BOOTSTRAP_ENTROPY)
 def bootstrap_entropy_ci(c, spark, sf_dir):
     return inference.bootstrap(c.lines(clean=True), inference.ENTROPY)
 
 
-@query()
+@query(sql.BOOTSTRAP_ZIPF)
 def bootstrap_zipf_ci(c, spark, sf_dir):
     return inference.bootstrap(c.lines(clean=True), inference.ZIPF, seed=43)
 

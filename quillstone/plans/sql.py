@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillstone.functions.tokens import SECTIONS, SLOT_UNITS, SLOTS, UNITS, WHITE
-from quillstone.operators.draws import PRIME, draw_sql
+from quillstone.operators.draws import CUTS, FACTORS, PRIME, draw_sql
 from quillstone.operators.rules import RULES
 
 #: The tokens of an expression, and an expression without white space at its ends.
@@ -200,6 +200,45 @@ SELECT token, round(observed / total, 4) AS observed_rate, total, observed, roun
 FROM r JOIN seen USING (token) GROUP BY token, total, observed"""
 
 
+# -- bootstrap: the weights of ``draws.poisson_weights`` in arithmetic modulo 2**64 --------------
+
+_WORD = 1 << 64
+
+
+def _scrambled(x: str) -> str:
+    mixed = f"list_reduce([({x})::UBIGINT, {int(FACTORS[0])}::UBIGINT, {int(FACTORS[1])}::UBIGINT], lambda x, c: (xor(x, x >> 33)::UHUGEINT * c::UHUGEINT % {_WORD}::UHUGEINT)::UBIGINT)"
+    return f"list_transform([{mixed}], lambda x: xor(x, x >> 33))[1]"
+
+
+def resampled(seed: int, resamples: int = 500) -> str:
+    """CTEs up to f (rep, c, types): how many types each resample has c times. Types that occur in the same lines are counted together."""
+    times = lambda x, c: f"(({x})::UHUGEINT * {int(c)}::UHUGEINT % {_WORD}::UHUGEINT)::UBIGINT"
+    weight = " + ".join(f"(x > {int(c)}::UBIGINT)::INTEGER" for c in CUTS)
+    return V + f""", lw AS (SELECT line_ord, {_scrambled("line_ord")} AS h FROM lines),
+rw AS (SELECT rep, {_scrambled(f"rep::UBIGINT + {seed << 32}::UBIGINT")} AS h FROM (SELECT unnest(range({resamples})) AS rep)),
+yw AS (SELECT line_ord, rep, {times("xor(lw.h, rw.h)", FACTORS[0])} AS y FROM lw, rw), xw AS (SELECT line_ord, rep, {times("xor(y, y >> 32)", FACTORS[1])} AS x FROM yw),
+w AS MATERIALIZED (SELECT line_ord, rep::SMALLINT AS rep, {weight} AS w FROM xw WHERE x > {int(CUTS[0])}::UBIGINT),
+tl AS (SELECT token, line_ord, count(*) AS k FROM clean GROUP BY ALL),
+sg AS (SELECT row_number() OVER () AS sig, count(*) AS m, ls, ks FROM (SELECT list(line_ord ORDER BY line_ord) AS ls, list(k ORDER BY line_ord) AS ks FROM tl GROUP BY token) GROUP BY ls, ks),
+sl AS (SELECT sig::INTEGER AS sig, unnest(ls) AS line_ord, unnest(ks)::INTEGER AS k FROM sg),
+c AS (SELECT sig, rep, sum(k * w)::BIGINT AS c FROM sl JOIN w USING (line_ord) GROUP BY 1, 2),
+f AS (SELECT rep, c, sum(m)::BIGINT AS types FROM c JOIN sg USING (sig) GROUP BY 1, 2)
+"""
+
+
+_INTERVAL = "round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS resamples"
+BOOTSTRAP_ENTROPY = resampled(42) + f""", e AS (SELECT greatest(0, log2(sum(c * types)) - sum(types * c * log2(c)) / sum(c * types)) AS v FROM f GROUP BY rep)
+SELECT (SELECT round({H}, 6) FROM clean_v) AS point, {_INTERVAL} FROM e"""
+#: Types of one frequency have neighbouring ranks, so their logarithms are differences of sums up to a rank.
+BOOTSTRAP_ZIPF = resampled(43) + f""", lr AS (SELECT k, sum(ln(k)) OVER (ORDER BY k) AS s, sum(ln(k) ** 2) OVER (ORDER BY k) AS ss FROM (SELECT unnest(range(1, (SELECT count(*) FROM clean_v) + 1)) AS k)),
+up AS (SELECT * FROM lr UNION ALL SELECT 0, 0, 0),
+pl AS (SELECT *, coalesce(sum(types) OVER (PARTITION BY rep ORDER BY c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM f),
+sx AS (SELECT rep, types, ln(c) AS y, b.s - a.s AS x, b.ss - a.ss AS xx FROM pl JOIN up a ON a.k = start JOIN up b ON b.k = start + types),
+e AS (SELECT CASE WHEN sum(types) >= 5 THEN -(sum(types) * sum(x * y) - sum(x) * sum(types * y)) / (sum(types) * sum(xx) - sum(x) ** 2) END AS v FROM sx GROUP BY rep),
+r AS (SELECT n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM clean_v)
+SELECT (SELECT round(-regr_slope(ln(n), ln(rank)), 6) FROM r) AS point, {_INTERVAL} FROM e"""
+
+
 EDGES = grams(2) + """, u AS (SELECT DISTINCT least(gram[1], gram[2]) AS a, greatest(gram[1], gram[2]) AS b FROM grams WHERE gram[1] <> gram[2])
 """
 
