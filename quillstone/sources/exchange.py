@@ -86,7 +86,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     # a record's pieces share the number of records that ended before them
     done = here.withColumn("_done", (F.col("_ends") & (F.col("after") == WITHIN)).cast("bigint"))
     numbered = _running(done.withColumn("_text", text), "_done", "number")
-    whole = numbered.groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("_range", "_id", "_text"))).alias("_parts"), F.max("_done").alias("_whole")).filter("_whole = 1")
+    grouped = numbered.groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("_range", "_id", "_text"))).alias("_parts"), F.max("_done").alias("_whole")).filter("_whole = 1")
+    # written, as what follows the last record is none, and must not be parsed wherever filters are moved to
+    whole = stored(grouped, "records")
     joined = F.concat(F.array_join(F.transform("_parts", lambda p: p._text), END), F.lit(END))
     record = F.from_json(F.regexp_replace(joined, r"\A[\s,]+", ""), RECORD, {"mode": "FAILFAST"})
     rows = whole.select(F.col("number").alias("line_ord"), record.alias("r")).select("line_ord", "r.*")
