@@ -7,7 +7,12 @@ written for Spark, numpy and SQL, so that draws can be checked.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +49,7 @@ def draw_sql(seed: int | str, *parts: str) -> str:
     return f"(list_reduce([({seed} % {p})::BIGINT, {keys}], lambda x, v: {power}) / {float(p)})"
 
 
-# -- Poisson weights of bootstrap resamples -----------------------------------------
+# -- drawing n of n with replacement ---------------------------------------------------
 
 U = np.uint64
 _C1, _C2 = FACTORS = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
@@ -58,37 +63,82 @@ def scramble(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(33))
 
 
-def _poisson_cuts() -> np.ndarray:
-    """The cumulative probabilities of a Poisson variate of mean 1, as 64-bit numbers."""
-    out, p, run = [], np.exp(-1.0), 0.0
-    for k in range(18):
-        run += p
-        out.append(min(int(run * 2.0**64), 2**64 - 1))
-        p /= k + 1
-    return np.array(out, U)
+#: A Poisson variate of mean 1 at most is above this once in 10^17 times.
+MOST = 17
+#: How many standard deviations the mean of a resample's weights is below the number of its draws.
+MARGIN = 3.0
 
 
-CUTS = _poisson_cuts()
-#: The weight for each 16 leading bits; 255 where a cut lies within.
-_TABLE = np.where(
-    np.searchsorted(CUTS, np.arange(1 << 16, dtype=U) << U(48), "left") == np.searchsorted(CUTS, (np.arange(1 << 16, dtype=U) << U(48)) | U((1 << 48) - 1), "left"),
-    np.searchsorted(CUTS, np.arange(1 << 16, dtype=U) << U(48), "left"), 255,
-).astype(np.uint8)
+def mean_weight(n: int) -> float:
+    """The mean of the Poisson weights of n lines: so far below 1 that they seldom add up to more than n."""
+    return max(0.0, 1.0 - MARGIN / np.sqrt(n)) if n else 0.0
 
 
-def poisson_weights(seed: int, keys: np.ndarray, reps: int) -> np.ndarray:
-    """How often each of ``reps`` resamples has the line of each key: Poisson variates of mean 1.
+@lru_cache(maxsize=8)
+def _cuts(mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cumulative probabilities of a Poisson variate as 64-bit numbers, and its value for each 16 leading bits (255 where a cut lies within)."""
+    out, p, run = [], np.exp(-mean), 0.0
+    for k in range(MOST + 1):
+        run += p
+        out.append(min(int(run * 2.0**64), 2**64 - 1))
+        p *= mean / (k + 1)
+    cuts = np.array(out, U)
+    low = np.arange(1 << 16, dtype=U) << U(48)
+    first, last = (np.searchsorted(cuts, x, "left") for x in (low, low | U((1 << 48) - 1)))
+    return cuts, np.where(first == last, first, 255).astype(np.uint8)
 
-    This is the limit of drawing n of n lines with replacement; lines need no
-    numbers for it and nothing is joined.
-    """
-    rep = scramble(np.arange(reps, dtype=U) + U(seed % (1 << 32)) * U(1 << 32))
+
+def _mixed(seed: int, streams: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """64-bit numbers, a row for each key and a column for each stream."""
+    rep = scramble(streams.astype(U) + U(seed % (1 << 32)) * U(1 << 32))
     line = scramble(keys.astype(np.int64).view(U))
     with np.errstate(over="ignore"):
         x = (line[:, None] ^ rep[None, :]) * _C1
         x ^= x >> U(32)
         x *= _C2
-    out = _TABLE[(x >> U(48)).astype(np.int64)]
+    return x
+
+
+def poisson_weights(seed: int, keys: np.ndarray, streams: np.ndarray, mean: float = 1.0) -> np.ndarray:
+    """Poisson variates of ``mean`` (1 at most), a row for each key and a column for each stream; nothing but the keys is needed."""
+    cuts, table = _cuts(float(mean))
+    x = _mixed(seed, streams, keys)
+    out = table[(x >> U(48)).astype(np.int64)]
     odd = np.nonzero(out == 255)
-    out[odd] = np.searchsorted(CUTS, x[odd], "left")
+    out[odd] = np.searchsorted(cuts, x[odd], "left")
     return out
+
+
+#: Streams from here on choose the lines of additional draws.
+ADDED = 1 << 31
+
+
+def added_places(seed: int, stream: int, start: int, end: int, n: int) -> np.ndarray:
+    """Which of n lines, from 0, the additional draws ``start`` to below ``end`` of a stream take."""
+    x = _mixed(seed, np.array([stream + ADDED]), np.arange(start, end))[:, 0]
+    return np.minimum(((x >> U(11)).astype(float) * 2.0**-53 * n).astype(np.int64), n - 1)
+
+
+@dataclass(frozen=True)
+class Draws:
+    """Resamples of n of n lines with replacement, as weights of lines.
+
+    A stream gives each line a Poisson weight, from its key alone. Given what
+    they add up to, such weights are as many draws with replacement; streams
+    where that is more than n are passed over, and in the others draws of
+    lines by their number are added until there are n. So each resample has
+    exactly n draws, all lines are equally likely in each of them, and few
+    draws have to be sent to lines: about three times the square root of n.
+    """
+
+    seed: int
+    mean: float
+    streams: np.ndarray
+
+    def weights(self, keys: np.ndarray, added: pa.ListArray) -> np.ndarray:
+        """A row for each line, a column for each resample; ``added`` are the resamples of a line's additional draws."""
+        out = poisson_weights(self.seed, keys, self.streams, self.mean).astype(np.int64)
+        sizes = pc.fill_null(pc.list_value_length(added), 0).to_numpy(zero_copy_only=False)
+        if sizes.any():
+            np.add.at(out, (np.repeat(np.arange(len(keys)), sizes), added.flatten().to_numpy(zero_copy_only=False)), 1)
+        return out

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import tokens as T
-from quillstone.operators.draws import drawn, poisson_weights, scramble
+from quillstone.operators.draws import Draws, added_places, drawn, mean_weight, poisson_weights, scramble
 from quillstone.operators.entropy import LEAST_TYPES, entropy_of, zipf_fit
+from quillstone.operators.order import numbered_ranges
 from quillstone.sources.shared import stored
 
 # The least tokens, types and expectations of the tests.
@@ -34,9 +35,73 @@ SMALL = 256
 CELLS = 4_000_000
 
 
-def _weighted(seed: int, resamples: int):
+#: Additional draws that are made at once.
+CHUNK = 1 << 16
+
+
+def drawn_lines(lines: DataFrame, resamples: int, seed: int) -> tuple[Draws, DataFrame]:
+    """``resamples`` times n of n lines with replacement: the draws, and ``lines`` with ``added`` (``Draws.weights``).
+
+    ``line_ord`` is a line's number; rows of one number are drawn together.
+    Lines are numbered from 0 in ranges, what streams add up to is summed in
+    tasks, and additional draws meet the lines that they take by number. The
+    driver sees a row for each range and for each stream.
+    """
+    spark = lines.sparkSession
+    cut = numbered_ranges(lines.select("line_ord"), "line_ord", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.dense_rank().over(Window.partitionBy("_part").orderBy("line_ord")) - 1
+    placed = stored(cut.withColumn("place", place).dropDuplicates(["_part", "line_ord"]), "places")
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each range
+    n = sum(sizes.values())
+    mean = mean_weight(n)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, step = np.zeros(len(tried), np.int64), max(1, CELLS // len(tried))
+        for batch in batches:
+            keys = batch.column("line_ord").to_numpy()
+            for a in range(0, len(keys), step):
+                sums += poisson_weights(seed, keys[a : a + step], tried, mean).sum(axis=0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(tried), pa.array(sums)], ["stream", "total"])
+
+    chosen: list[tuple[int, int]] = []  # streams, and how many draws each lacks
+    first, more = 0, resamples + 64
+    while n and len(chosen) < resamples:
+        tried = np.arange(first, first + more)
+        rows = placed.select("line_ord").mapInArrow(totals, "stream bigint, total bigint").groupBy("stream").agg(F.sum("total").alias("total")).collect()
+        chosen += sorted((r["stream"], n - r["total"]) for r in rows if r["total"] <= n)
+        first += more
+    chosen = chosen[:resamples] or [(k, 0) for k in range(resamples)]
+
+    starts, before = {}, 0
+    for part in sorted(sizes):
+        starts[part], before = before, before + sizes[part]
+    offsets = spark.createDataFrame(list(starts.items()), "_part int, start bigint")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, stream, start, end in zip(*(batch.column(c).to_pylist() for c in ("rep", "stream", "start", "end")), strict=True):
+                places = added_places(seed, stream, start, end, n)
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.full(len(places), rep, np.int32))], ["place", "rep"])
+
+    lacking = spark.createDataFrame([(k, stream, d) for k, (stream, d) in enumerate(chosen) if d], "rep int, stream bigint, lacks bigint")
+    chunks = lacking.select("rep", "stream", "lacks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lacks") - 1, F.lit(CHUNK).cast("bigint"))).alias("start"))
+    chunks = chunks.select("rep", "stream", "start", F.least(F.col("start") + CHUNK, F.col("lacks")).alias("end")).repartition("rep", "start")
+    added = chunks.mapInArrow(take, "place bigint, rep int")
+    numbered = placed.join(F.broadcast(offsets), "_part").select("line_ord", (F.col("place") + F.col("start")).alias("place"))
+    met = numbered.join(added, "place").groupBy("line_ord").agg(F.collect_list("rep").alias("added"))
+    return Draws(seed, mean, np.array([s for s, _ in chosen])), lines.join(met, "line_ord", "left")
+
+
+#: Tokens of lines that are sent on at once.
+SENT = 1 << 16
+SPLIT = ["token", "key", "added", "sums"]
+
+
+def _weighted(draws: Draws):
+    least, most = HEAVY, HELD
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens with their line's key; for a token that a batch has many of, the sums of its weights in the task from then on.
+        """Tokens with their line's key and additional draws; for a token that a batch has many of, the sums of its weights in the task from then on.
 
         So however common a token, a task deals it out a few hundred times at most.
         """
@@ -44,42 +109,48 @@ def _weighted(seed: int, resamples: int):
 
         def flushed() -> Iterator[pa.RecordBatch]:
             if held:
-                kind = pa.int64() if isinstance(next(iter(held)), int) else pa.string()
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.nulls(len(held), pa.int64()), pa.array([s.tobytes() for s in held.values()], pa.binary())], ["token", "key", "sums"])
+                kind, k = pa.int64() if isinstance(next(iter(held)), int) else pa.string(), len(held)
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.nulls(k, pa.int64()), pa.nulls(k, added.type), pa.array([s.tobytes() for s in held.values()], pa.binary())], SPLIT)
                 held.clear()
 
         for batch in batches:
-            lists = batch.column("t")
-            keys = np.repeat(batch.column("line_ord").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            lists, keys, added = (batch.column(c) for c in ("t", "line_ord", "added"))
+            keys = keys.to_numpy()
+            rows = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             words = lists.flatten().dictionary_encode()
             codes, names = words.indices.to_numpy(), words.dictionary
-            common = np.bincount(codes, minlength=len(names)) >= HEAVY
+            common = np.bincount(codes, minlength=len(names)) >= least
             if held:
                 common |= pc.is_in(names, value_set=pa.array(list(held), names.type)).to_numpy(zero_copy_only=False)
-            rest = ~common[codes]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(codes[rest])), pa.array(keys[rest]), pa.nulls(int(rest.sum()), pa.binary())], ["token", "key", "sums"])
-            order = np.argsort(codes[~rest], kind="stable")
-            own, their = codes[~rest][order], keys[~rest][order]
+            rest = np.flatnonzero(~common[codes])
+            for a in range(0, len(rest), SENT):
+                some = rest[a : a + SENT]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(codes[some])), pa.array(keys[rows[some]]), added.take(pa.array(rows[some])), pa.nulls(len(some), pa.binary())], SPLIT)
+            heavy = np.flatnonzero(common[codes])
+            heavy = heavy[np.argsort(codes[heavy], kind="stable")]
+            own, their = codes[heavy], rows[heavy]
             cuts = np.flatnonzero(np.diff(own)) + 1
             for code, some in zip(own[np.append(0, cuts)].tolist() if len(own) else (), np.split(their, cuts), strict=False):
                 name = names[code].as_py()
-                held[name] = held.get(name, 0) + _summed(seed, resamples, some)
-            if len(held) > HELD:
+                held[name] = held.get(name, 0) + _summed(draws, keys[some], added.take(pa.array(some)))
+            if len(held) > most:
                 yield from flushed()
         yield from flushed()
 
     return split
 
 
-def _summed(seed: int, resamples: int, keys: np.ndarray) -> np.ndarray:
+def _summed(draws: Draws, keys: np.ndarray, added: pa.ListArray) -> np.ndarray:
+    resamples = len(draws.streams)
     out, step = np.zeros(resamples, np.int64), max(1, CELLS // resamples)
     for a in range(0, len(keys), step):
-        out += poisson_weights(seed, keys[a : a + step], resamples).sum(axis=0, dtype=np.int64)
+        out += draws.weights(keys[a : a + step], added[a : a + step]).sum(axis=0)
     return out
 
 
-def _gathered(seed: int, resamples: int, reduce: Callable[[np.ndarray], pa.RecordBatch]):
+def _gathered(draws: Draws, reduce: Callable[[np.ndarray], pa.RecordBatch]):
     """A function over rows sorted by token that hands ``reduce`` blocks of counts, a row for each token."""
+    resamples = len(draws.streams)
     step = max(1, CELLS // resamples)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +159,7 @@ def _gathered(seed: int, resamples: int, reduce: Callable[[np.ndarray], pa.Recor
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
                 token, key = piece.column("token"), piece.column("key")
-                weights = poisson_weights(seed, key.fill_null(0).to_numpy(), resamples).astype(np.int64)
+                weights = draws.weights(key.fill_null(0).to_numpy(), piece.column("added"))
                 for k in np.flatnonzero(key.is_null().to_numpy(zero_copy_only=False)).tolist():
                     weights[k] = np.frombuffer(piece.column("sums")[k].as_py(), np.int64)
                 names = token.to_pylist()
@@ -201,16 +272,18 @@ def _own_tokens(lines: DataFrame) -> DataFrame:
 
 
 def bootstrap(lines: DataFrame, statistic: Statistic, resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """(point, low, high, resamples) of a statistic of the tokens of ``lines`` (line_ord, tokens), lines being resampled.
+    """(point, low, high, resamples) of a statistic of the tokens of ``lines`` (line_ord, tokens), lines being drawn with replacement.
 
-    Tokens are dealt out once. Where they arrive, a token's counts in all
+    Each resample has as many draws as there are lines with tokens
+    (``drawn_lines``). Tokens are dealt out once. Where they arrive, a token's counts in all
     resamples are sums of its lines' weights; only what a statistic needs of
     them leaves the task.
     """
     clean = _own_tokens(lines)
     kind = dict(clean.dtypes)["t"].removeprefix("array<").removesuffix(">")
-    rows = clean.mapInArrow(_weighted(seed, resamples), f"token {kind}, key bigint, sums binary")
-    parts = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_gathered(seed, resamples, statistic.parts), statistic.schema)
+    draws, own = drawn_lines(clean, resamples, seed)
+    rows = own.mapInArrow(_weighted(draws), f"token {kind}, key bigint, added array<int>, sums binary")
+    parts = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_gathered(draws, statistic.parts), statistic.schema)
     vocabulary = clean.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return statistic.point(vocabulary).select(F.round("point", 6).alias("point")).crossJoin(interval(statistic.values(parts), confidence))  # one row each
 
@@ -236,13 +309,13 @@ FAN = 32
 
 
 def bootstrap_of(lines: DataFrame, statistic: Mergeable, resamples: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """(point, low, high, resamples) of a mergeable statistic of ``lines`` (line_ord and what it needs), lines being resampled.
+    """(point, low, high, resamples) of a mergeable statistic of ``lines`` (line_ord and what it needs), lines being drawn with replacement (``drawn_lines``).
 
     A task adds up its lines; the tasks' states are merged ``FAN`` at a time,
     level by level, so nothing holds all lines or all states. The point is the
     statistic with a weight of one for each line.
     """
-    own = lines.select("line_ord", *(c.alias(k) for k, c in statistic.columns.items()))
+    draws, own = drawn_lines(lines.select("line_ord", *(c.alias(k) for k, c in statistic.columns.items())), resamples, seed)
     added, finished = statistic.add, statistic.finish  # columns stay with the driver
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +324,7 @@ def bootstrap_of(lines: DataFrame, statistic: Mergeable, resamples: int = 500, c
             step = max(1, CELLS // resamples)
             for a in range(0, batch.num_rows, step):
                 piece = batch.slice(a, step)
-                w = np.concatenate([np.ones((piece.num_rows, 1), np.int64), poisson_weights(seed, piece.column("line_ord").to_numpy(), resamples).astype(np.int64)], axis=1)
+                w = np.concatenate([np.ones((piece.num_rows, 1), np.int64), draws.weights(piece.column("line_ord").to_numpy(), piece.column("added"))], axis=1)
                 more = np.asarray(added(piece, w), float).reshape(resamples + 1, -1)
                 state = more if state is None else state + more
         if state is not None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillstone.functions.tokens import SECTIONS, SLOT_UNITS, SLOTS, UNITS, WHITE
-from quillstone.operators.draws import CUTS, FACTORS, PRIME, draw_sql
+from quillstone.operators.draws import ADDED, FACTORS, MARGIN, MOST, PRIME, draw_sql
 from quillstone.operators.rules import RULES
 
 #: The tokens of an expression, and an expression without white space at its ends.
@@ -200,7 +200,7 @@ SELECT token, round(observed / total, 4) AS observed_rate, total, observed, roun
 FROM r JOIN seen USING (token) GROUP BY token, total, observed"""
 
 
-# -- bootstrap: the weights of ``draws.poisson_weights`` in arithmetic modulo 2**64 --------------
+# -- bootstrap: the draws of ``draws.Draws`` in arithmetic modulo 2**64 --------------
 
 _WORD = 1 << 64
 
@@ -213,11 +213,21 @@ def _scrambled(x: str) -> str:
 def resampled(seed: int, resamples: int = 500) -> str:
     """CTEs up to f (rep, c, types): how many types each resample has c times. Types that occur in the same lines are counted together."""
     times = lambda x, c: f"(({x})::UHUGEINT * {int(c)}::UHUGEINT % {_WORD}::UHUGEINT)::UBIGINT"
-    weight = " + ".join(f"(x > {int(c)}::UBIGINT)::INTEGER" for c in CUTS)
-    return V + f""", lw AS (SELECT line_ord, {_scrambled("line_ord")} AS h FROM lines),
-rw AS (SELECT rep, {_scrambled(f"rep::UBIGINT + {seed << 32}::UBIGINT")} AS h FROM (SELECT unnest(range({resamples})) AS rep)),
-yw AS (SELECT line_ord, rep, {times("xor(lw.h, rw.h)", FACTORS[0])} AS y FROM lw, rw), xw AS (SELECT line_ord, rep, {times("xor(y, y >> 32)", FACTORS[1])} AS x FROM yw),
-w AS MATERIALIZED (SELECT line_ord, rep::SMALLINT AS rep, {weight} AS w FROM xw WHERE x > {int(CUTS[0])}::UBIGINT),
+    stream = lambda s: _scrambled(f"({s})::UBIGINT + {seed << 32}::UBIGINT")
+    weight = " + ".join(f"(x > c{k})::INTEGER" for k in range(MOST + 1))
+    cuts = ", ".join(f"max(c) FILTER (k = {k}) AS c{k}" for k in range(MOST + 1))
+    return V + f""", ln AS MATERIALIZED (SELECT line_ord, row_number() OVER (ORDER BY line_ord) - 1 AS place FROM (SELECT DISTINCT line_ord FROM clean)),
+nn AS MATERIALIZED (SELECT count(*) AS n, greatest(0, 1 - {MARGIN} / sqrt(count(*))) AS mean FROM ln),
+cs AS (SELECT {cuts} FROM (SELECT k, sum(exp(-mean) * mean ** k / gamma(k + 1)) OVER (ORDER BY k) * {float(_WORD)} AS c FROM nn, (SELECT unnest(range({MOST + 1})) AS k))),
+lw AS (SELECT line_ord, {_scrambled("line_ord")} AS h FROM ln),
+rw AS (SELECT stream, {stream("stream")} AS h FROM (SELECT unnest(range({resamples + 64})) AS stream)),
+yw AS (SELECT line_ord, stream, {times("xor(lw.h, rw.h)", FACTORS[0])} AS y FROM lw, rw), xw AS (SELECT line_ord, stream, {times("xor(y, y >> 32)", FACTORS[1])}::DOUBLE AS x FROM yw),
+w0 AS MATERIALIZED (SELECT line_ord, stream, {weight} AS w FROM xw, cs WHERE x > c0),
+ok AS MATERIALIZED (SELECT stream, row_number() OVER (ORDER BY stream) - 1 AS rep, n - s AS lacks FROM (SELECT stream, coalesce(sum(w), 0)::BIGINT AS s FROM rw LEFT JOIN w0 USING (stream) GROUP BY stream), nn WHERE s <= n QUALIFY rep < {resamples}),
+ad AS (SELECT rep, {stream(f"stream + {ADDED}")} AS h, {_scrambled("j")} AS g FROM (SELECT rep, stream, unnest(range(lacks)) AS j FROM ok)),
+ay AS (SELECT rep, {times("xor(g, h)", FACTORS[0])} AS y FROM ad), ax AS (SELECT rep, {times("xor(y, y >> 32)", FACTORS[1])} AS x FROM ay),
+w AS MATERIALIZED (SELECT line_ord, rep::SMALLINT AS rep, sum(w)::INTEGER AS w FROM (SELECT line_ord, rep, w FROM w0 JOIN ok USING (stream)
+  UNION ALL SELECT line_ord, rep, 1 FROM (SELECT rep, least(floor((x >> 11)::DOUBLE * {2.0**-53!r}::DOUBLE * n)::BIGINT, n - 1) AS place FROM ax, nn) JOIN ln USING (place)) GROUP BY 1, 2),
 tl AS (SELECT token, line_ord, count(*) AS k FROM clean GROUP BY ALL),
 sg AS (SELECT row_number() OVER () AS sig, count(*) AS m, ls, ks FROM (SELECT list(line_ord ORDER BY line_ord) AS ls, list(k ORDER BY line_ord) AS ks FROM tl GROUP BY token) GROUP BY ls, ks),
 sl AS (SELECT sig::INTEGER AS sig, unnest(ls) AS line_ord, unnest(ks)::INTEGER AS k FROM sg),

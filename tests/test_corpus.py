@@ -330,7 +330,7 @@ def test_draws_agree(spark):
     assert mine.tolist() == sparks == sqls and abs(mine.mean() - 0.5) < 0.06
     many = draws.drawn(1, np.repeat(np.arange(200), 200), np.tile(np.arange(200), 200))
     assert np.abs(np.histogram(many, 20)[0] - 2000).max() < 250
-    weights = draws.poisson_weights(42, np.arange(4000), 200)
+    weights = draws.poisson_weights(42, np.arange(4000), np.arange(200))
     share = np.bincount(weights.ravel(), minlength=6)[:6] / weights.size
     assert np.abs(share - [math.exp(-1) / math.factorial(k) for k in range(6)]).max() < 0.003
     assert np.abs(np.corrcoef(weights[:, :40].T) - np.eye(40)).max() < 0.08 and np.abs(np.corrcoef(weights[:40]) - np.eye(40)).max() < 0.3
@@ -346,13 +346,55 @@ def test_slots_over_a_corpus(spark, rows, lines):
     assert slots.coverage(checked.limit(0)).first().coverage == 0
 
 
+def plain_draws(keys, resamples, seed):
+    """Weights of lines (a row for each, by its key) by the definition: whole streams, and draws added one by one."""
+    n, out, stream = len(keys), [], 0
+    by_number = np.argsort(keys)
+    while len(out) < resamples:
+        w = draws.poisson_weights(seed, np.array(keys), np.array([stream]), draws.mean_weight(n))[:, 0].astype(int)
+        if w.sum() <= n:
+            for place in draws.added_places(seed, stream, 0, n - w.sum(), n).tolist():
+                w[by_number[place]] += 1
+            out.append(w)
+        stream += 1
+    return np.array(out).T
+
+
+def test_draws_with_replacement(spark, lines, monkeypatch):
+    """Exactly n draws in every resample, however lines are partitioned and numbered; all lines as likely as each other."""
+    def found(df, resamples, seed):
+        d, own = inference.drawn_lines(df, resamples, seed)
+        table = own.select("line_ord", "added").toArrow().combine_chunks()
+        keys = table.column("line_ord").to_numpy()
+        order = np.argsort(keys)
+        added = table.column("added").combine_chunks()
+        return keys[order], d.weights(keys, added)[order]
+
+    monkeypatch.setattr(inference, "CHUNK", 7)
+    for n in (1, 2, 9, 10, 57, 400):
+        some = spark.range(n).select((F.col("id") * 37 % 1009 - 500).alias("line_ord"))
+        keys, weights = found(some.repartition(5), 300, 4)
+        assert len(keys) == n and weights.shape == (n, 300) and (weights.sum(axis=0) == n).all()
+        assert (weights == plain_draws(np.sort(keys), 300, 4)).all()
+    assert (found(some.coalesce(1), 300, 4)[1] == weights).all()
+    share = np.bincount(weights.ravel(), minlength=6)[:5] / weights.size  # binomial of 400 draws with a chance of 1 in 400
+    assert np.abs(share - [math.comb(400, k) * (1 / 400) ** k * (399 / 400) ** (400 - k) for k in range(5)]).max() < 0.006
+    assert np.abs(weights.mean(axis=1) - 1).max() < 5 / math.sqrt(300)
+    a, b = weights[:200].sum(axis=0), weights[200:].sum(axis=0)  # halves share n draws: each has a variance of n / 4
+    assert (a + b == 400).all() and 60 < a.var() < 145
+    twice = found(some.union(some), 300, 4)  # rows of one number are drawn together
+    assert (twice[1][::2] == weights).all() and (twice[1][1::2] == weights).all()
+    assert len(found(some.limit(0), 30, 4)[0]) == 0
+
+
 def test_bootstrap_by_definition(spark, rows, lines, monkeypatch):
     """Every resample's vocabulary, from the same weights, in plain counters."""
     clean = [[t.replace("{", "").replace("}", "") for t in r] for r in rows]
-    for heavy, cells in ((256, 4_000_000), (3, 100)):
+    for heavy, cells in ((256, 4_000_000), (3, 1000)):
         monkeypatch.setattr(inference, "HEAVY", heavy)
+        monkeypatch.setattr(inference, "HELD", heavy // 3)
         monkeypatch.setattr(inference, "CELLS", cells)
-        weights = draws.poisson_weights(9, np.arange(len(rows)), 50).astype(int)
+        weights = plain_draws(np.arange(len(rows)), 50, 9)
         entropies, slopes, rates = [], [], []
         for rep in range(50):
             c = Counter()
@@ -375,7 +417,7 @@ def test_bootstrap_of_a_statistic_of_ones_own(spark, rows, lines, monkeypatch):
     """The mean length of lines and the share of repeated neighbours, merged in several levels, against weighted sums."""
     monkeypatch.setattr(inference, "FAN", 2)
     monkeypatch.setattr(inference, "CELLS", 400)
-    weights = draws.poisson_weights(3, np.arange(len(rows)), 40).astype(int)
+    weights = plain_draws(np.arange(len(rows)), 40, 3)
     sizes, same = np.array([len(r) for r in rows]), np.array([sum(a == b for a, b in zip(r, r[1:], strict=False)) for r in rows])
     mean = inference.Mergeable({"size": F.size("tokens").cast("double")}, lambda b, w: np.stack([b.column("size").to_numpy() @ w, w.sum(axis=0)], axis=1), lambda s: s[:, 0] / np.where(s[:, 1] > 0, s[:, 1], np.nan))
     repeated = inference.Mergeable(
