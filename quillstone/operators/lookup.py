@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from quillstone.operators.keywords import first_keywords
 
@@ -17,23 +15,47 @@ def exact(queries: DataFrame, table: DataFrame, key: str = "key") -> DataFrame:
     return queries.withColumn(key, F.lower(F.trim("query"))).join(table, key)
 
 
-def letters_of(word: Column) -> Column:
-    """The characters of a word with the number of each."""
-    chars = F.filter(F.split(word, ""), lambda c: c != "")
-    return F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda d: d == c)).alias("n")))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, computing the value once within a function of array elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def at_most(a: Column, b: Column) -> Column:
-    """An upper bound of the similarity by matching blocks: twice the characters in common, whatever their order, over all characters."""
-    in_b = lambda x: F.coalesce(F.get(F.filter(b.letters, lambda y: y.c == x.c), F.lit(0)).n, F.lit(0))
-    shared = F.aggregate(a.letters, F.lit(0), lambda s, x: s + F.least(x.n, in_b(x)))
-    return F.try_divide(2.0 * shared, a.size + b.size)
+def longest_block(pair: Column) -> Column:
+    """(k, i, j) of the longest block that ``pair`` (a, b) has in common: its length and its first places, from 1, in a and then in b."""
+    def block(i: Column) -> Column:
+        lengths = F.sequence(F.lit(1), F.char_length(pair.a) - i + 1)
+        k = F.size(F.filter(lengths, lambda n: F.contains(pair.b, F.substring(pair.a, i, n))))  # what has a longer block has the shorter ones
+        return F.struct(k.alias("k"), (-i).alias("i"))
 
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.char_length(pair.a)), block))
+    return once(best, lambda m: F.struct(m.k.alias("k"), (-m.i).alias("i"), F.position(F.substring(pair.a, -m.i, m.k), pair.b).alias("j")))
 
-@F.pandas_udf(DoubleType())
-def similarity(first: pd.Series, second: pd.Series) -> pd.Series:
-    """The ratio of matching blocks of two words, which depends on their order."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(first, second, strict=True)])
+
+def similarity(first: Column, second: Column) -> Column:
+    """The ratio of matching blocks of two words, which depends on their order: twice the characters in blocks over all characters.
+
+    The longest block in common is taken, then those of what is left of it in
+    both words, and of what is right of it, and so on. All open pairs are
+    worked on at once, so there are at most as many steps as characters.
+    """
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    whole = lambda pairs: F.filter(pairs, lambda p: (p.a != "") & (p.b != ""))
+
+    def sides(p: Column, m: Column) -> Column:
+        return F.array(
+            pair(F.substring(p.a, F.lit(1), m.i - 1), F.substring(p.b, F.lit(1), m.j - 1)),
+            pair(F.substring(p.a, m.i + m.k, F.char_length(p.a)), F.substring(p.b, m.j + m.k, F.char_length(p.b))),
+        )
+
+    def step(s: Column, _: Column) -> Column:
+        blocks = F.filter(F.transform(s.open, lambda p: F.struct(p.alias("p"), longest_block(p).alias("m"))), lambda x: x.m.k > 0)
+        return once(blocks, lambda found: F.struct(
+            whole(F.flatten(F.transform(found, lambda x: sides(x.p, x.m)))).alias("open"), F.aggregate(found, s.same, lambda n, x: n + x.m.k).alias("same"),
+        ))
+
+    start = F.struct(whole(F.array(pair(first, second))).alias("open"), F.lit(0).alias("same"))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.char_length(first), F.char_length(second))))
+    return F.aggregate(steps, start, step, lambda s: F.try_divide(2.0 * s.same, F.char_length(first) + F.char_length(second)))
 
 
 def fuzzy(queries: DataFrame, words: DataFrame, k: int = 5, cutoff: float = 0.3) -> DataFrame:
@@ -41,20 +63,21 @@ def fuzzy(queries: DataFrame, words: DataFrame, k: int = 5, cutoff: float = 0.3)
 
     Words are ranked with the query as second sequence; the similarity given
     has it first. Ties go to the larger word. Every word is set against the
-    queries of a caller, first by an upper bound from lengths and characters,
-    which Spark computes; matching blocks are looked for only in pairs whose
-    bound reaches ``cutoff``. Spark sends the queries to the words' partitions
-    where they are few enough, and else pairs partitions.
+    queries of a caller; matching blocks, which Spark's own functions find,
+    are looked for only where the lengths allow a similarity of ``cutoff``.
+    Words are compared whole, however long; the work for a pair grows with the
+    cube of its words' lengths. Spark sends the queries to the words'
+    partitions where they are few enough, and else pairs partitions.
     """
-    described = lambda c: F.struct(F.char_length(c).alias("size"), letters_of(F.col(c)).alias("letters"))
-    asked = queries.select(F.lower(F.trim("query")).alias("query")).distinct().withColumn("q", described("query"))
-    own = words.select("word").filter("word IS NOT NULL").distinct().withColumn("w", described("word"))
-    least = F.try_divide(2.0 * F.least(F.col("w.size"), F.col("q.size")), F.col("w.size") + F.col("q.size")) >= cutoff
-    pairs = own.crossJoin(asked).filter(least).filter(at_most(F.col("w"), F.col("q")) >= cutoff).select("query", "word")
-    scored = pairs.withColumn("score", similarity("word", "query")).filter(F.col("score") >= cutoff)
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is kept: the work is in pairs, not in bytes
+    asked = queries.select(F.lower(F.trim("query")).alias("query")).distinct()
+    own = words.select("word").filter("word IS NOT NULL").repartition(tasks, "word").distinct()
+    one, two = F.char_length("word"), F.char_length("query")
+    pairs = own.crossJoin(asked).filter(F.try_divide(2.0 * F.least(one, two), one + two) >= cutoff)
+    scored = pairs.withColumn("score", similarity(F.col("word"), F.col("query")))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word")))
-    best = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return best.select("query", "rank", "word", F.round(similarity("query", "word"), 3).alias("similarity"))
+    best = scored.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("score") >= cutoff))  # after the ranks, so that no score is computed twice
+    return best.select("query", "rank", "word", F.round(similarity(F.col("query"), F.col("word")), 3).alias("similarity"))
 
 
 def dispatch(queries: DataFrame, keywords: DataFrame) -> DataFrame:

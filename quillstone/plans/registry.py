@@ -560,7 +560,7 @@ def lines_of_folio(c, spark, sf_dir):
     return c.lines().filter(F.col("folio") == "7").select("line_ord", "folio", "section", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
-@query()
+@query(sql.FUZZY)
 def fuzzy_match(c, spark, sf_dir):
     words = raw_vocabulary(c).select(F.col("token").alias("word"))
     asked = table(spark, sf_dir, "region").select(F.col("r_name").alias("query"))

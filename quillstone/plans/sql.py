@@ -298,3 +298,24 @@ def rules_ctes() -> str:
 m0 AS (SELECT {columns}), m AS (SELECT *, round((perplexity_0 - perplexity_1) / perplexity_0, 6) AS perplexity_saved FROM m0), verdicts AS ({rows})
 """
     )
+
+
+# -- matching blocks: of every pair the longest block, then what is left and right of it ----------
+
+_BLOCK = """list_max(list_transform(range(1, length(a) + 1), lambda i: {'k': len(list_filter(range(1, length(a) - i + 2), lambda k: contains(b, substring(a, i, k)))), 'i': -i}))"""
+
+
+def _blocks(name: str, first: str, second: str, pairs: str) -> str:
+    """Recursive CTE: the blocks of every pair; ``name``_r has the ratio."""
+    cut = "SELECT query, word, a, b, m.k AS k, -m.i AS i, strpos(b, substring(a, -m.i, m.k)) AS j FROM (SELECT *, " + _BLOCK + " AS m FROM OPEN_PAIRS WHERE a <> '' AND b <> '') WHERE m.k > 0"
+    return f"""{name}(query, word, a, b, k) AS (SELECT query, word, {first}, {second}, 0 FROM {pairs}
+  UNION ALL SELECT query, word, CASE side WHEN 0 THEN substring(a, 1, i - 1) ELSE substring(a, i + k) END, CASE side WHEN 0 THEN substring(b, 1, j - 1) ELSE substring(b, j + k) END,
+    CASE side WHEN 0 THEN k ELSE 0 END FROM ({cut.replace("OPEN_PAIRS", name)}), (SELECT unnest([0, 1]) AS side)),
+{name}_r AS (SELECT query, word, 2.0 * sum(k) / (length(query) + length(word)) AS ratio FROM {name} GROUP BY query, word)"""
+
+
+FUZZY = V + f""", asked AS (SELECT DISTINCT lower(trim(r_name)) AS query FROM region),
+pairs AS (SELECT query, token AS word FROM raw_v, asked), {_blocks("s", "word", "query", "pairs")},
+best AS (SELECT query, word, row_number() OVER (PARTITION BY query ORDER BY ratio DESC, word DESC) AS rank FROM s_r WHERE ratio >= 0.3 QUALIFY rank <= 5),
+{_blocks("t", "query", "word", "best")}
+SELECT query, rank::INTEGER AS rank, word, round(ratio::DOUBLE, 3) AS similarity FROM best JOIN t_r USING (query, word)"""

@@ -557,6 +557,13 @@ def test_graph_and_lookups(spark, monkeypatch):
         frame = spark.createDataFrame([(w,) for w in some], "word string")
         found = lookup.fuzzy(spark.createDataFrame([(q,)], "query string"), frame).orderBy("rank").collect()
         assert [(r.word, r.similarity) for r in found] == want
+    words = ["", "a", "ab", "aab", "\U0001F600é", "éa\U0001F600", "abab" * 9, "ba" * 20, *some[:40]]
+    both = spark.createDataFrame([(a, b) for a in words for b in words] + [(None, "a"), ("a", None)], "a string, b string")
+    for r in both.withColumn("s", lookup.similarity(F.col("a"), F.col("b"))).collect():
+        if r.a is None or r.b is None or r.a == r.b == "":
+            assert r.s is None
+        else:
+            assert r.s == pytest.approx(SequenceMatcher(None, r.a, r.b).ratio(), abs=1e-12), (r.a, r.b)
     keys = spark.createDataFrame([(1, "slot", "A"), (0, "graph", "B")], "key_order int, key string, answer string")
     asked = spark.createDataFrame([(1, "The GRAPH of slots"), (2, "nothing"), (3, "slot")], "id int, query string")
     assert {r.id: r.answer for r in lookup.dispatch(asked, keys).collect()} == {1: "B", 2: None, 3: "A"}
