@@ -88,24 +88,44 @@ def _cuts(mean: float) -> tuple[np.ndarray, np.ndarray]:
     return cuts, np.where(first == last, first, 255).astype(np.uint8)
 
 
+def _hashes(seed: int, streams: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return scramble(streams.astype(U) + U(seed % (1 << 32)) * U(1 << 32)), scramble(keys.astype(np.int64).view(U))
+
+
+def _mix(line: np.ndarray, rep: np.ndarray, x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """``_mixed`` of hashes, in ``x``."""
+    np.bitwise_xor(line[:, None], rep[None, :], out=x)
+    np.multiply(x, _C1, out=x)
+    np.right_shift(x, U(32), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+    return np.multiply(x, _C2, out=x)
+
+
 def _mixed(seed: int, streams: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """64-bit numbers, a row for each key and a column for each stream."""
-    rep = scramble(streams.astype(U) + U(seed % (1 << 32)) * U(1 << 32))
-    line = scramble(keys.astype(np.int64).view(U))
-    with np.errstate(over="ignore"):
-        x = (line[:, None] ^ rep[None, :]) * _C1
-        x ^= x >> U(32)
-        x *= _C2
-    return x
+    rep, line = _hashes(seed, streams, keys)
+    x = np.empty((len(keys), len(streams)), U)
+    return _mix(line, rep, x, np.empty_like(x))
+
+
+#: Cells whose numbers are made at once, so that they stay in a processor's cache.
+CACHED = 1 << 15
 
 
 def poisson_weights(seed: int, keys: np.ndarray, streams: np.ndarray, mean: float = 1.0) -> np.ndarray:
     """Poisson variates of ``mean`` (1 at most), a row for each key and a column for each stream; nothing but the keys is needed."""
     cuts, table = _cuts(float(mean))
-    x = _mixed(seed, streams, keys)
-    out = table[(x >> U(48)).astype(np.int64)]
-    odd = np.nonzero(out == 255)
-    out[odd] = np.searchsorted(cuts, x[odd], "left")
+    rep, line = _hashes(seed, streams, keys)
+    out, step = np.empty((len(keys), len(streams)), np.uint8), max(1, CACHED // max(1, len(streams)))
+    x = np.empty((min(step, len(keys)), len(streams)), U)
+    lead = np.empty_like(x)
+    for a in range(0, len(keys), step):
+        some = out[a : a + step]
+        n = _mix(line[a : a + step], rep, x[: len(some)], lead[: len(some)])
+        np.right_shift(n, U(48), out=lead[: len(some)])
+        np.take(table, lead[: len(some)].view(np.int64), out=some, mode="clip")
+        odd = np.nonzero(some == 255)
+        some[odd] = np.searchsorted(cuts, n[odd], "left")
     return out
 
 
@@ -137,7 +157,11 @@ class Draws:
 
     def weights(self, keys: np.ndarray, added: pa.ListArray) -> np.ndarray:
         """A row for each line, a column for each resample; ``added`` are the resamples of a line's additional draws."""
-        out = poisson_weights(self.seed, keys, self.streams, self.mean).astype(np.int64)
+        return self.narrow(keys, added).astype(np.int64)
+
+    def narrow(self, keys: np.ndarray, added: pa.ListArray) -> np.ndarray:
+        """``weights`` as 16-bit numbers, which no line's weight exceeds."""
+        out = poisson_weights(self.seed, keys, self.streams, self.mean).astype(np.uint16)
         sizes = pc.fill_null(pc.list_value_length(added), 0).to_numpy(zero_copy_only=False)
         if sizes.any():
             np.add.at(out, (np.repeat(np.arange(len(keys)), sizes), added.flatten().to_numpy(zero_copy_only=False)), 1)

@@ -28,9 +28,11 @@ RULE_TOKENS, RULE_EXPECTED = 50, 0.0
 # -- bootstrap -------------------------------------------------------------------------
 
 #: Occurrences of a token in one batch from which a task sums its weights before it is dealt out, and tokens that a task holds sums of.
-HEAVY, HELD = 256, 4096
-#: Frequencies below this are counted in a table.
-SMALL = 256
+HEAVY, HELD = 32, 16384
+#: Frequencies below this are counted in a task's table.
+SMALL = 1024
+#: Rows that are added up before sums are widened.
+NARROW = 64
 #: Rows times resamples that are weighted at once.
 CELLS = 4_000_000
 
@@ -110,7 +112,7 @@ def _weighted(draws: Draws):
         def flushed() -> Iterator[pa.RecordBatch]:
             if held:
                 kind, k = pa.int64() if isinstance(next(iter(held)), int) else pa.string(), len(held)
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.nulls(k, pa.int64()), pa.nulls(k, added.type), pa.array([s.tobytes() for s in held.values()], pa.binary())], SPLIT)
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.nulls(k, pa.int64()), pa.nulls(k, added.type), pa.array([_packed(s) for s in held.values()], pa.binary())], SPLIT)
                 held.clear()
 
         for batch in batches:
@@ -128,11 +130,8 @@ def _weighted(draws: Draws):
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(codes[some])), pa.array(keys[rows[some]]), added.take(pa.array(rows[some])), pa.nulls(len(some), pa.binary())], SPLIT)
             heavy = np.flatnonzero(common[codes])
             heavy = heavy[np.argsort(codes[heavy], kind="stable")]
-            own, their = codes[heavy], rows[heavy]
-            cuts = np.flatnonzero(np.diff(own)) + 1
-            for code, some in zip(own[np.append(0, cuts)].tolist() if len(own) else (), np.split(their, cuts), strict=False):
-                name = names[code].as_py()
-                held[name] = held.get(name, 0) + _summed(draws, keys[some], added.take(pa.array(some)))
+            for name, sums in zip(*_sums_by_token(draws, keys, added, codes[heavy], rows[heavy], names), strict=True):
+                held[name] = held.get(name, 0) + sums
             if len(held) > most:
                 yield from flushed()
         yield from flushed()
@@ -140,47 +139,130 @@ def _weighted(draws: Draws):
     return split
 
 
-def _summed(draws: Draws, keys: np.ndarray, added: pa.ListArray) -> np.ndarray:
-    resamples = len(draws.streams)
-    out, step = np.zeros(resamples, np.int64), max(1, CELLS // resamples)
-    for a in range(0, len(keys), step):
-        out += draws.weights(keys[a : a + step], added[a : a + step]).sum(axis=0)
-    return out
+def _packed(sums: np.ndarray) -> bytes:
+    """Sums in half the bytes where they fit."""
+    return (sums.astype(np.uint32) if sums.max(initial=0) < 1 << 32 else sums).tobytes()
+
+
+def _unpacked(sums: bytes, resamples: int) -> np.ndarray:
+    return np.frombuffer(sums, np.uint32 if len(sums) == 4 * resamples else np.int64)
 
 
-def _gathered(draws: Draws, reduce: Callable[[np.ndarray], pa.RecordBatch]):
-    """A function over rows sorted by token that hands ``reduce`` blocks of counts, a row for each token."""
+def sums_of_groups(weights: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sums of ``weights[rows]`` (16-bit) over groups that follow each other, a row for each of ``sizes``.
+
+    Groups are cut into pieces whose sums stay below 16 bits; the longest
+    pieces go first, so the j-th rows of all pieces that have so many are
+    added to a block of neighbours at once, four numbers in a 64-bit word.
+    """
+    width = weights.shape[1]
+    words = np.zeros((len(weights), -(-width // 4) * 4), np.uint16)
+    words[:, :width] = weights
+    words = words.view(np.uint64)
+    limit = max(1, min(NARROW, 65535 // max(1, int(weights.max(initial=1)))))
+    pieces = -(-sizes // limit)
+    first = np.cumsum(pieces) - pieces
+    start = np.repeat(np.cumsum(sizes) - sizes, pieces) + (np.arange(int(pieces.sum())) - np.repeat(first, pieces)) * limit
+    lengths = np.minimum(np.repeat(np.cumsum(sizes), pieces) - start, limit)
+    order = np.argsort(-lengths, kind="stable")
+    start, longest = start[order], lengths[order]
+    total = words[rows[start]]
+    for j in range(1, int(longest.max(initial=0))):
+        m = int(np.searchsorted(-longest, -j, "left"))  # pieces of more than j rows
+        total[:m] += words[rows[start[:m] + j]]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    narrow = total.view(np.uint16)[back, :width]
+    if (pieces == 1).all():
+        return narrow.astype(np.int64)
+    return np.add.reduceat(narrow.astype(np.int64), first, axis=0)
+
+
+def _sums_by_token(draws: Draws, keys: np.ndarray, added: pa.ListArray, codes: np.ndarray, rows: np.ndarray, names: pa.Array) -> tuple[list, list[np.ndarray]]:
+    """Tokens of a batch's occurrences (sorted by code) and their sums of weights, which are made once for each line."""
+    if not len(codes):
+        return [], []
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    sizes = np.diff(np.append(first, len(codes)))
+    sums, step = 0, max(1, CELLS // len(draws.streams))
+    if len(keys) <= step:
+        sums = sums_of_groups(draws.narrow(keys, added), rows, sizes)
+    else:
+        group = np.repeat(np.arange(len(first)), sizes)
+        sums = np.zeros((len(first), len(draws.streams)), np.int64)
+        for a in range(0, len(keys), step):
+            own = np.flatnonzero((rows >= a) & (rows < a + step))
+            if len(own):
+                found, k = np.unique(group[own], return_counts=True)
+                sums[found] += sums_of_groups(draws.narrow(keys[a : a + step], added[a : a + step]), rows[own] - a, k)
+    return names.take(pa.array(codes[first])).to_pylist(), list(sums)
+
+
+def _gathered(draws: Draws, parts: Callable[[int], Parts]):
+    """A function over rows sorted by token that adds blocks of counts, a row for each token, to ``parts``."""
     resamples = len(draws.streams)
     step = max(1, CELLS // resamples)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = parts(resamples)
         last, held = None, np.zeros((1, resamples), np.int64)  # the token at the end of what has been read
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
                 token, key = piece.column("token"), piece.column("key")
-                weights = draws.weights(key.fill_null(0).to_numpy(), piece.column("added"))
-                for k in np.flatnonzero(key.is_null().to_numpy(zero_copy_only=False)).tolist():
-                    weights[k] = np.frombuffer(piece.column("sums")[k].as_py(), np.int64)
-                names = token.to_pylist()
-                first = np.flatnonzero([a != b for a, b in zip(names, [None, *names[:-1]], strict=True)])
-                counts = np.add.reduceat(weights, first, axis=0)
-                if names[0] == last:
+                summed = key.is_null().to_numpy(zero_copy_only=False)
+                other = pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False)
+                first = np.flatnonzero(np.concatenate([[True], other]))
+                group = np.cumsum(np.concatenate([[False], other]).astype(np.int64))
+                counts = np.zeros((len(first), resamples), np.int64)
+                plain = np.flatnonzero(~summed)
+                if len(plain):
+                    found, k = np.unique(group[plain], return_counts=True)
+                    some = pa.array(plain)
+                    counts[found] = sums_of_groups(draws.narrow(key.take(some).to_numpy(), piece.column("added").take(some)), np.arange(len(plain)), k)
+                for k in np.flatnonzero(summed).tolist():
+                    counts[group[k]] += _unpacked(piece.column("sums")[k].as_py(), resamples)
+                if token[0].as_py() == last:
                     counts[0] += held[0]
                 elif last is not None:
                     counts = np.concatenate([held, counts])
-                last, held = names[-1], counts[-1:]
+                last, held = token[-1].as_py(), counts[-1:]
                 if len(counts) > 1:
-                    yield reduce(counts[:-1])
+                    yield from own.add(counts[:-1])
         if last is not None:
-            yield reduce(held)
+            yield from own.add(held)
+        yield from own.close()
 
     return gather
 
 
-def _entropy_parts(counts: np.ndarray) -> pa.RecordBatch:
-    logs = np.log2(np.maximum(counts, 1)) * counts
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(counts.shape[1])), pa.array(counts.sum(axis=0)), pa.array(logs.sum(axis=0))], ["rep", "n", "nlogn"])
+class Parts:
+    """What a task keeps of the counts of its tokens: ``add`` may give rows at once, ``close`` gives the rest."""
+
+    def __init__(self, resamples: int):
+        self.resamples = resamples
+
+    def add(self, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+
+class _Entropies(Parts):
+    """Sums of n and of n log n, a row for each resample and task."""
+
+    def __init__(self, resamples: int):
+        super().__init__(resamples)
+        self.n, self.logs = np.zeros(resamples, np.int64), np.zeros(resamples)
+
+    def add(self, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.n += counts.sum(axis=0)
+        self.logs += (np.log2(np.maximum(counts, 1)) * counts).sum(axis=0)
+        yield from ()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(self.resamples)), pa.array(self.n), pa.array(self.logs)], ["rep", "n", "nlogn"])
 
 
 def _entropies(parts: DataFrame) -> DataFrame:
@@ -188,22 +270,26 @@ def _entropies(parts: DataFrame) -> DataFrame:
     return sums.select("rep", F.greatest(F.lit(0.0), F.log2("n") - F.col("s") / F.col("n")).alias("value"))
 
 
-def _frequencies(counts: np.ndarray) -> pa.RecordBatch:
-    """How many tokens have each frequency, resample by resample."""
-    some = counts > 0
-    rep = np.broadcast_to(np.arange(counts.shape[1]), counts.shape)[some]
-    n = counts[some]
-    low = int(n.max(initial=1)) < SMALL
-    if low:  # a table of all frequencies of all resamples
-        table = np.bincount(rep * SMALL + n, minlength=counts.shape[1] * SMALL)
-        keys = np.flatnonzero(table)
-        rep, n, types = keys // SMALL, keys % SMALL, table[keys]
-    else:
-        order = np.lexsort((n, rep))
-        rep, n = rep[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (rep[1:] != rep[:-1]) | (n[1:] != n[:-1])]))
-        rep, n, types = rep[first], n[first], np.diff(np.append(first, len(rep)))
-    return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n), pa.array(types)], ["rep", "n", "types"])
+class _Frequencies(Parts):
+    """How many tokens have each frequency, resample by resample: a task's table of those below ``SMALL``, and larger ones as they are met."""
+
+    def __init__(self, resamples: int):
+        super().__init__(resamples)
+        self.small = SMALL
+        self.table = np.zeros(resamples * self.small, np.int64)
+
+    def add(self, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        low = counts < self.small
+        base = np.arange(self.resamples) * self.small
+        self.table += np.bincount((counts + base)[low], minlength=len(self.table))
+        if not low.all():
+            token, rep = np.nonzero(~low)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(counts[token, rep]), pa.array(np.ones(len(rep), np.int64))], ["rep", "n", "types"])
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        keys = np.flatnonzero(self.table)
+        keys = keys[keys % self.small > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys // self.small), pa.array(keys % self.small), pa.array(self.table[keys])], ["rep", "n", "types"])
 
 
 @cache
@@ -246,16 +332,16 @@ def _slopes(parts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Statistic:
-    """What is resampled: its value for a vocabulary, the parts that a block of counts gives, and the values they add up to."""
+    """What is resampled: its value for a vocabulary, the parts that a task keeps of its counts, and the values they add up to."""
 
     point: Callable[[DataFrame], DataFrame]
-    parts: Callable[[np.ndarray], pa.RecordBatch]
+    parts: Callable[[int], Parts]
     schema: str
     values: Callable[[DataFrame], DataFrame]
 
 
-ENTROPY = Statistic(lambda v: v.agg(entropy_of().alias("point")), _entropy_parts, "rep bigint, n bigint, nlogn double", _entropies)
-ZIPF = Statistic(lambda v: zipf_fit(v).select(F.col("alpha").alias("point")), _frequencies, "rep bigint, n bigint, types bigint", _slopes)
+ENTROPY = Statistic(lambda v: v.agg(entropy_of().alias("point")), _Entropies, "rep bigint, n bigint, nlogn double", _entropies)
+ZIPF = Statistic(lambda v: zipf_fit(v).select(F.col("alpha").alias("point")), _Frequencies, "rep bigint, n bigint, types bigint", _slopes)
 
 
 def interval(values: DataFrame, confidence: float = 0.95) -> DataFrame:

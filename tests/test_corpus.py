@@ -413,6 +413,31 @@ def test_bootstrap_by_definition(spark, rows, lines, monkeypatch):
     assert tuple(inference.bootstrap(lines, inference.ENTROPY, 40).first()) == tuple(inference.bootstrap(lines.repartition(7), inference.ENTROPY, 40).first())
 
 
+def test_sums_of_a_bootstrap_stay_small(monkeypatch):
+    """Sums over groups of any size, beyond 16 bits too; a task gives a row for each resample and frequency, however many blocks of counts it sees."""
+    draw = np.random.default_rng(3)
+    weights = draw.integers(0, 4, (50, 7)).astype(np.uint16)
+    for most in (3, 60_000):
+        weights[5, 2] = most
+        sizes = np.array([1, 700, 2, 64, 65, 1])
+        rows = draw.integers(0, 50, sizes.sum())
+        plain = np.add.reduceat(weights[rows].astype(np.int64), np.cumsum(sizes) - sizes, axis=0)
+        assert (inference.sums_of_groups(weights, rows, sizes) == plain).all()
+    big = np.array([1, 1 << 33])
+    assert (inference._unpacked(inference._packed(big), 2) == big).all() and len(inference._packed(big[:1])) == 4
+    monkeypatch.setattr(inference, "SMALL", 5)
+    parts, counts = inference.ZIPF.parts(3), draw.integers(0, 9, (40, 3))
+    found = Counter()
+    given = [b for _ in range(20) for b in parts.add(counts)] + list(parts.close())
+    assert given[-1].num_rows == len({(r, n) for row in counts.tolist() for r, n in enumerate(row) if 0 < n < 5})
+    for b in given:
+        for rep, n, types in zip(*(b.column(c).to_pylist() for c in ("rep", "n", "types")), strict=True):
+            found[rep, n] += types
+    assert found == Counter((r, n) for row in counts.tolist() * 20 for r, n in enumerate(row) if n)
+    parts = inference.ENTROPY.parts(3)
+    assert not [b for _ in range(20) for b in parts.add(counts)] and [b.num_rows for b in parts.close()] == [3]
+
+
 def test_bootstrap_of_a_statistic_of_ones_own(spark, rows, lines, monkeypatch):
     """The mean length of lines and the share of repeated neighbours, merged in several levels, against weighted sums."""
     monkeypatch.setattr(inference, "FAN", 2)
