@@ -77,7 +77,8 @@ def build(lines: DataFrame) -> Corpus:
         clean = F.transform(T.clean_tokens(F.col("tokens")), lambda t: code_of(t, seed))  # noqa: B023
         key = ("doc_id", "n") if "doc_id" in lines.columns else ("line_ord",)
         coded = lines.select(*key, "folio", "section", "tokens", "has_uncertainty", own.alias("codes"))
-        text = stored(coded.withColumn("clean_codes", F.when(F.col("has_uncertainty"), clean).otherwise(F.col("codes"))), "corpus-lines")
+        # written only where they differ, and read as the codes elsewhere
+        text = stored(coded.withColumn("clean_codes", F.when(F.col("has_uncertainty"), clean)), "corpus-lines").withColumn("clean_codes", F.coalesce("clean_codes", "codes"))
         if "doc_id" in text.columns:
             most, high, low, size = text.agg(F.max("n") + 1, F.max("doc_id"), F.min("doc_id"), F.max(F.size("codes"))).first()
             stride = L.stride_for(most)
@@ -93,7 +94,9 @@ def build(lines: DataFrame) -> Corpus:
         words = stored(L.vocabulary(rows).withColumn("code", code_of(F.col("token"), seed)), "corpus-words")
         bare = words.groupBy(T.strip_uncertainty(F.col("token")).alias("token")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
         clean_words = stored(bare.withColumn("code", code_of(F.col("token"), seed)), "corpus-clean-words")
-        names = words.select("code", "token").union(clean_words.select("code", "token")).distinct()
+        # tokens without braces are in both; all tokens of one code are dealt out together, once
+        other = words.filter(F.col("token").rlike("[{}]")).select(T.strip_uncertainty(F.col("token")).alias("token")).distinct()
+        names = words.select("code", "token").union(other.select(code_of(F.col("token"), seed), "token")).repartition("code").groupBy("code", "token").agg(F.count("*"))
         if names.groupBy("code").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
             return Corpus(text, words, clean_words, seed)
     raise ValueError("no seed tells the corpus's tokens apart")

@@ -287,6 +287,23 @@ def plain_markov(train, test, k):
     return 2 ** -np.mean(logs), len(logs), unknown, len(context)
 
 
+def test_corpora_write_codes_once(spark, lines, monkeypatch):
+    """Codes without braces are written for doubtful lines alone and read for all; intermediate tables are packed."""
+    written, true = {}, encoded.stored
+
+    def kept(df, name):
+        written[name] = true(df, name)
+        return written[name]
+
+    monkeypatch.setattr(encoded, "stored", kept)
+    built = encoded.build(lines)
+    doubtful = lines.filter("has_uncertainty").count()
+    assert 0 < doubtful < lines.count() == built.text.filter("size(clean_codes) = size(codes)").count()
+    assert written["corpus-lines"].filter("clean_codes IS NOT NULL").count() == doubtful
+    assert all(".zstd." in f for f in written["corpus-lines"].inputFiles())
+    assert built.text.filter("has_uncertainty <> (codes <> clean_codes)").isEmpty()
+
+
 def test_markov(lines, rows):
     held = markov.split_lines(lines)
     test = {r.line_ord for r in lines.filter(held).collect()}
