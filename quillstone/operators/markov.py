@@ -28,6 +28,8 @@ LEAST_LINES = 10
 #: The tokens, counted from the last, that windows are dealt out by.
 DEALT_BY = 3
 SEEDS = 8
+#: Frequent tokens that get small numbers for codes, and the lines (one in so many, by hash) that they are looked for in.
+SHORT, LOOKED_AT = 1 << 16, 64
 
 
 def split_lines(lines: DataFrame, share: float = 0.2, seed: int = 42) -> Column:
@@ -54,10 +56,33 @@ def coded(lines: DataFrame) -> DataFrame:
     raise ValueError("no seed tells the lines' tokens apart")
 
 
+def frequent(lines: DataFrame) -> np.ndarray:
+    """Codes of up to ``SHORT`` tokens that are frequent in some of the lines; which ones changes no result."""
+    some = lines.filter(F.pmod(F.xxhash64("line_ord"), F.lit(LOOKED_AT)) == 0) if "line_ord" in lines.columns else lines.limit(0)
+    best = some.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(SHORT)
+    return np.array([r["t"] for r in best.collect()], np.int64)  # a bounded number
+
+
+def shortened(codes: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """``codes`` under a permutation of all 64-bit numbers, which keeps different codes apart: the k-th of ``top`` changes places with k.
+
+    Small numbers are packed well where rows are dealt out. ``top`` holds no
+    code below its own length.
+    """
+    if not len(top):
+        return codes
+    order = np.argsort(top)
+    at = np.minimum(np.searchsorted(top[order], codes), len(top) - 1)
+    out = np.where(top[order][at] == codes, order[at], codes)
+    small = (codes >= 0) & (codes < len(top))
+    out[small] = top[codes[small]]
+    return out
+
+
 SUMS = ("c", "n", "cf", "nf")
 
 
-def _windows(orders: int):
+def _windows(orders: int, top: np.ndarray):
     """Rows (w0, w1, ..., size, c, n, cf, nf) for the different windows of a batch of lines.
 
     w0 is a token, w1 the one before it, null beyond the line's start; size is
@@ -73,6 +98,7 @@ def _windows(orders: int):
             codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(codes):
                 continue
+            codes = shortened(codes, top)
             held = np.repeat(batch.column("held").to_numpy(zero_copy_only=False).astype(bool), sizes)
             ends = np.cumsum(sizes)
             place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
@@ -183,10 +209,12 @@ def counted(lines: DataFrame, held: Column, orders: int) -> DataFrame:
     """(order, kind, k, a, b, rows): of each order's transitions, or contexts, that training lines have k times, how often these and held-out lines have them, and how many there are.
 
     A third kind, ``PAIRS``, has the held-out places (b) whose token no
-    training line has. ``lines`` has codes for tokens.
+    training line has. ``lines`` has codes for tokens; frequent ones are dealt
+    out as small numbers (``shortened``).
     """
     spark = lines.sparkSession
-    cut, schema = _windows(orders)
+    top = frequent(lines)
+    cut, schema = _windows(orders, top[(top < 0) | (top >= len(top))])
     names = [f"w{k}" for k in range(orders + 1)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     windows = lines.select("tokens", held.alias("held")).mapInArrow(cut, schema)

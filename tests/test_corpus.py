@@ -304,6 +304,27 @@ def test_corpora_write_codes_once(spark, lines, monkeypatch):
     assert built.text.filter("has_uncertainty <> (codes <> clean_codes)").isEmpty()
 
 
+def test_markov_deals_out_small_numbers(spark, lines, monkeypatch):
+    """Frequent codes become small numbers, no two codes become one, and results stay, whichever tokens are taken as frequent."""
+    top = np.array([1 << 40, -5, 77])
+    codes = np.array([0, 1, 2, 3, 77, -5, 1 << 40, -1, 1 << 41])
+    out = markov.shortened(codes, top)
+    assert out.tolist() == [1 << 40, -5, 77, 3, 2, 1, 0, -1, 1 << 41] and (markov.shortened(out, top) == codes).all()
+    assert (markov.shortened(codes, top[:0]) == codes).all()
+    found = []
+    for short, looked_at in ((1 << 16, 1), (3, 1), (1 << 16, 1 << 40)):
+        monkeypatch.setattr(markov, "SHORT", short)
+        monkeypatch.setattr(markov, "LOOKED_AT", looked_at)
+        found.append(sorted(map(tuple, markov.analysis(lines).collect())))
+    assert found[0] == found[1] == found[2]
+    own = markov.coded(lines)
+    monkeypatch.setattr(markov, "LOOKED_AT", 1)
+    monkeypatch.setattr(markov, "SHORT", 1 << 16)
+    cut, schema = markov._windows(4, markov.frequent(own))
+    windows = own.select("tokens", F.lit(False).alias("held")).mapInArrow(cut, schema)
+    assert windows.agg(F.max("w0"), F.max("w4")).first()[0] < own.select(F.explode("tokens").alias("t")).distinct().count()
+
+
 def test_markov(lines, rows):
     held = markov.split_lines(lines)
     test = {r.line_ord for r in lines.filter(held).collect()}
