@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -662,6 +663,15 @@ def test_components_against_union_find(spark, rows, monkeypatch):
     assert graph.components(path.limit(0)).collect() == []
 
 
+def test_contraction_holds_few_links(monkeypatch):
+    """However many links a task gets, what it holds at once is bounded; no link is lost."""
+    held, true = [], graph.roots
+    monkeypatch.setattr(graph, "roots", lambda n, a, b: (held.append(len(a)), true(n, a, b))[1])
+    batch = lambda k: pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + 10_000) * 2 + 1), pa.array(np.arange(k, k + 10_000) * 2)], ["u", "v"])
+    out = list(graph._contract(batch(k * 10_000) for k in range(60)))
+    assert sum(held) == sum(b.num_rows for b in out) == 600_000 and max(held) < 280_000
+
+
 def test_roots():
     draw = np.random.default_rng(8)
     for n in (1, 2, 50):
