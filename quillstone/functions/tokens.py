@@ -45,7 +45,7 @@ def tokenise(text: Column) -> Column:
 
 def plain_tokens(text: Column) -> Column:
     """The runs without white space: all of it is made blanks first, as splitting on one character needs no pattern."""
-    return F.filter(F.split(F.translate(text, WHITES, " " * len(WHITES)), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.translate(text, WHITES, " " * len(WHITES)), " "), "")
 
 
 def trimmed(text: Column) -> Column:
@@ -123,25 +123,34 @@ def classify_folio(folio: Column) -> Column:
     return out
 
 
+def segmented(token: Column) -> Column:
+    """The token before the first slot: its units, each ended by ``MARK``."""
+    return F.regexp_replace(F.regexp_replace(token, "[{}!?]", ""), f"((?s){'|'.join(SLOT_UNITS)}|.)", f"$1{MARK}")
+
+
+def after_slot(state: Column, k: int) -> Column:
+    """The segmented token after slot ``k``, which takes what it can from the front and gives nothing back."""
+    _, permitted, _, most = SLOTS[k]
+    return F.regexp_replace(state, f"^(?:(?:{'|'.join(permitted)}){MARK}){{1,{most}}}", "")
+
+
 def slot_states(token: Column) -> list[Column]:
-    """The segmented token before the first slot and after each: a slot takes what it can from the front and gives nothing back."""
-    state = F.regexp_replace(F.regexp_replace(token, "[{}!?]", ""), f"((?s){'|'.join(SLOT_UNITS)}|.)", f"$1{MARK}")
-    out = [state]
-    for _, permitted, _, most in SLOTS:
-        state = F.regexp_replace(state, f"^(?:(?:{'|'.join(permitted)}){MARK}){{1,{most}}}", "")
-        out.append(state)
+    """The segmented token before the first slot and after each."""
+    out = [segmented(token)]
+    for k in range(len(SLOTS)):
+        out.append(after_slot(out[-1], k))
     return out
 
 
-def validate(token: Column) -> Column:
-    """STRUCT<is_valid, matched_slots, failure_category, confidence> of a token under the slot grammar."""
-    s = slot_states(token)
+def validate(token: Column, states: list[Column] | None = None) -> Column:
+    """STRUCT<is_valid, matched_slots, failure_category, confidence> of a token under the slot grammar; ``states``: its ``slot_states``, where these are columns already."""
+    s = states or slot_states(token)
     marks = has_uncertainty(token)
     empty, core = s[0] == "", s[3] != s[2]
     valid = core & (s[4] == "")
-    before = [F.when(s[k] != s[k - 1], F.lit(SLOTS[k - 1][0])) for k in (1, 2, 3)]
-    after = F.when(core & (s[4] != s[3]), F.lit("suffix"))
-    matched = F.array_compact(F.array(*before, after))
+    before = [F.when(s[k] != s[k - 1], F.lit(SLOTS[k - 1][0])).otherwise("") for k in (1, 2, 3)]
+    after = F.when(core & (s[4] != s[3]), F.lit("suffix")).otherwise("")
+    matched = F.array_remove(F.array(*before, after), "")
     return F.struct(
         valid.alias("is_valid"), F.when(empty, F.array().cast("array<string>")).otherwise(matched).alias("matched_slots"),
         F.when(empty, "empty_token").when(~core, "missing_required_slot").when(~valid, "unconsumed_units").alias("failure_category"),

@@ -30,14 +30,26 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.aggregate(keys, F.lit(seed % PRIME).cast("bigint"), step) / F.lit(float(PRIME))
 
 
+def _residue(x: np.ndarray) -> np.ndarray:
+    """``x`` (not negative, below 2**62) modulo ``PRIME``, which is 2**31 - 1: high digits are added to low ones."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def folded(x: np.ndarray | int, *parts: np.ndarray | int) -> np.ndarray:
+    """The number that a draw has reached after ``x`` (the seed, or such a number) and more parts."""
+    x = np.mod(np.asarray(x, np.int64), PRIME)
+    for part in parts:
+        y = _residue(x * FACTOR + np.mod(np.asarray(part, np.int64), PRIME) + 1)
+        square = _residue(y * y)  # y to the power of 5, which is a permutation modulo this prime
+        x = _residue(_residue(square * square) * y)
+    return x
+
+
 def drawn(seed: int, *parts: np.ndarray | int) -> np.ndarray:
     """``draw`` of arrays of whole numbers."""
-    x = np.int64(seed % PRIME)
-    for part in parts:
-        y = (x * FACTOR + np.mod(np.asarray(part, np.int64), PRIME) + 1) % PRIME
-        square = y * y % PRIME
-        x = square * square % PRIME * y % PRIME
-    return x / float(PRIME)
+    return folded(seed % PRIME, *parts) / float(PRIME)
 
 
 def draw_sql(seed: int | str, *parts: str) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.draws import drawn
+from quillstone.operators.draws import PRIME, folded
 from quillstone.operators.order import with_next
 from quillstone.sources.shared import stored
 
@@ -130,17 +130,29 @@ def random_tokens(spark, characters: DataFrame, length: float, n: int, seed: int
     """
     rows = characters.orderBy(F.desc("n"), "token").collect()
     ends = np.cumsum([r["n"] for r in rows])
-    points = np.array([ord(r["token"]) for r in rows], np.uint32)
+    spelled = [r["token"].encode() for r in rows]
+    width, least = np.array([len(s) for s in spelled], np.int64), min(map(len, spelled), default=1)
+    table = np.frombuffer(b"".join(s.ljust(4, b"\0") for s in spelled), np.uint8).reshape(-1, 4)
 
     def make(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            radius = np.sqrt(-2 * np.log(np.maximum(drawn(seed, ids, 1), 1e-300)))
-            sizes = np.maximum(1, np.trunc(length + SPREAD * (radius * np.cos(2 * math.pi * drawn(seed, ids, 2)))).astype(np.int64))
+            if not len(ids):
+                continue
+            at = folded(seed, ids)  # a draw's parts are folded in one after another, so this one is shared
+            radius = np.sqrt(-2 * np.log(np.maximum(folded(at, 1) / float(PRIME), 1e-300)))
+            sizes = np.maximum(1, np.trunc(length + SPREAD * (radius * np.cos(2 * math.pi * (folded(at, 2) / float(PRIME))))).astype(np.int64))
             stops = np.cumsum(sizes)
-            place = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - sizes, sizes)
-            x = np.floor(drawn(seed, np.repeat(ids, sizes), place + 11) * int(ends[-1])).astype(np.int64)
-            text = points[np.searchsorted(ends, x, "right")].tobytes().decode("utf-32-le")
-            yield pa.RecordBatch.from_arrays([pa.array([text[b - k : b] for b, k in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.string())], ["token"])
+            place = np.arange(int(stops[-1])) - np.repeat(stops - sizes, sizes)
+            x = np.floor(folded(np.repeat(at, sizes), place + 11) / float(PRIME) * int(ends[-1])).astype(np.int64)
+            char = np.searchsorted(ends, x, "right")
+            if width.max() == least:
+                text, cuts = table[char, :least], stops * least
+            else:
+                own = width[char]
+                text, cuts = table[char][np.arange(4) < own[:, None]], np.cumsum(own)[stops - 1]
+            offsets = np.append(0, cuts).astype(np.int32)
+            tokens = pa.StringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text)))
+            yield pa.RecordBatch.from_arrays([tokens], ["token"])
 
     return spark.range(n if rows else 0).mapInArrow(make, "token string").groupBy("token").agg(F.count("*").alias("n"))

@@ -205,6 +205,37 @@ def _levels(orders: int):
     return count
 
 
+def _counts_of(df: DataFrame, order: int, kind: int, k: str, b: str) -> DataFrame:
+    """Rows of ``counted`` from a table of transitions or contexts."""
+    return df.groupBy(F.col(k).alias("k")).agg(F.sum(k).alias("a"), F.sum(b).alias("b"), F.count("*").alias("rows")).select(F.lit(order).alias("order"), F.lit(kind).alias("kind"), "k", "a", "b", "rows")
+
+
+def _unknown(tokens: DataFrame, places: list[Column]) -> DataFrame:
+    """Rows of ``counted`` for tokens that no training line has; ``places``: the held-out places of each order."""
+    unknown = tokens.filter("a = 0").agg(*(F.coalesce(F.sum(p), F.lit(0)).alias(f"u{k}") for k, p in enumerate(places)))
+    rows = F.array(*(F.struct(F.lit(k).alias("order"), F.col(f"u{k}").alias("b")) for k in range(len(places))))
+    zero = F.lit(0).cast("bigint")
+    return unknown.select(F.explode(rows).alias("r")).select("r.order", F.lit(PAIRS).alias("kind"), zero.alias("k"), zero.alias("a"), "r.b", zero.alias("rows"))
+
+
+def _counted_pairs(lines: DataFrame, held: Column, orders: int) -> DataFrame:
+    """``counted`` for orders up to 1, which need no windows: pairs are counted where they lie and dealt out once."""
+    own = lines.select("tokens", held.alias("held")).filter(F.size("tokens") > 0)
+    # at a line's start there is no token before; order 0 asks for none
+    before = F.get("tokens", F.col("i") - 1) if orders else F.lit(None).cast("bigint")
+    places = own.select("tokens", "held", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("i"))
+    pairs = places.select(F.get("tokens", F.col("i")).alias("w0"), before.alias("w1"), "held")
+    pairs = stored(pairs.groupBy("w0", "w1").agg(F.count_if(~F.col("held")).alias("a"), F.count_if("held").alias("b")), "transitions")
+    second = F.sum(F.when(F.col("w1").isNotNull(), F.col("b")).otherwise(0)).alias("s1")
+    tokens = stored(pairs.groupBy("w0").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), second), "transitions")
+    out = _counts_of(tokens, 0, TRANSITIONS, "a", "b").union(_unknown(tokens, [F.col("b"), F.col("s1")][: orders + 1]))
+    if orders:
+        real = pairs.filter("w1 IS NOT NULL")
+        contexts = real.groupBy("w1").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        out = out.union(_counts_of(real, 1, TRANSITIONS, "a", "b")).union(_counts_of(contexts, 1, CONTEXTS, "a", "b"))
+    return out
+
+
 def counted(lines: DataFrame, held: Column, orders: int) -> DataFrame:
     """(order, kind, k, a, b, rows): of each order's transitions, or contexts, that training lines have k times, how often these and held-out lines have them, and how many there are.
 
@@ -212,6 +243,8 @@ def counted(lines: DataFrame, held: Column, orders: int) -> DataFrame:
     training line has. ``lines`` has codes for tokens; frequent ones are dealt
     out as small numbers (``shortened``).
     """
+    if orders < 2:
+        return _counted_pairs(lines, held, orders)
     spark = lines.sparkSession
     top = frequent(lines)
     cut, schema = _windows(orders, top[(top < 0) | (top >= len(top))])
@@ -227,19 +260,10 @@ def counted(lines: DataFrame, held: Column, orders: int) -> DataFrame:
     places = [sum((F.col(f"s{j}") for j in range(k + 1, orders + 1)), F.col(f"s{k}")) for k in range(orders + 1)]
     tokens = stored(pairs.groupBy("w0").agg(*(F.sum(c).alias(c) for c in ("a", "b", "cf", "nf", *(f"s{k}" for k in range(orders + 1))))), "transitions")
 
-    def of(df: DataFrame, order: int, kind: int, k: str, b: str) -> DataFrame:
-        return df.groupBy(F.col(k).alias("k")).agg(F.sum(k).alias("a"), F.sum(b).alias("b"), F.count("*").alias("rows")).select(F.lit(order).alias("order"), F.lit(kind).alias("kind"), "k", "a", "b", "rows")
-
+    of, real = _counts_of, pairs.filter("w1 IS NOT NULL")
     out = [far.groupBy("order", "kind", "k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("rows").alias("rows")), of(tokens, 0, TRANSITIONS, "a", "b")]
-    if orders >= 1:
-        real = pairs.filter("w1 IS NOT NULL")
-        out += [of(real, 1, TRANSITIONS, "a", "b"), of(tokens.filter("cf + nf > 0"), 1, CONTEXTS, "cf", "nf")]
-    if orders >= 2:
-        out.append(of(real.filter("cf + nf > 0"), 2, CONTEXTS, "cf", "nf"))
-    unknown = tokens.filter("a = 0").agg(*(F.coalesce(F.sum(p), F.lit(0)).alias(f"u{k}") for k, p in enumerate(places)))
-    rows = F.array(*(F.struct(F.lit(k).alias("order"), F.col(f"u{k}").alias("b")) for k in range(orders + 1)))
-    zero = F.lit(0).cast("bigint")
-    out.append(unknown.select(F.explode(rows).alias("r")).select("r.order", F.lit(PAIRS).alias("kind"), zero.alias("k"), zero.alias("a"), "r.b", zero.alias("rows")))
+    out += [of(real, 1, TRANSITIONS, "a", "b"), of(tokens.filter("cf + nf > 0"), 1, CONTEXTS, "cf", "nf"), of(real.filter("cf + nf > 0"), 2, CONTEXTS, "cf", "nf")]
+    out.append(_unknown(tokens, places))
     whole = out[0]
     for o in out[1:]:
         whole = whole.union(o)

@@ -13,7 +13,12 @@ SUPPORTED = 0.70
 
 def validated(vocabulary: DataFrame) -> DataFrame:
     """The vocabulary with the fields of ``validate``; other columns are kept."""
-    return vocabulary.withColumn("v", T.validate(F.col("token"))).select(*vocabulary.columns, "v.*")
+    # a column for each state, so that each pattern is tried once for a type
+    out = vocabulary.withColumn("_s0", T.segmented(F.col("token")))
+    for k in range(len(T.SLOTS)):
+        out = out.withColumn(f"_s{k + 1}", T.after_slot(F.col(f"_s{k}"), k))
+    states = [F.col(f"_s{k}") for k in range(len(T.SLOTS) + 1)]
+    return out.withColumn("v", T.validate(F.col("token"), states)).select(*vocabulary.columns, "v.*")
 
 
 def coverage(checked: DataFrame, by: list[str] = (), threshold: float = SUPPORTED) -> DataFrame:

@@ -35,9 +35,10 @@ def tag_of(line: Column) -> tuple[Column, Column]:
     return F.when(found, tag), F.when(found, F.substring(rest, F.char_length(last) + 2, F.lit(1 << 30))).otherwise(line)
 
 
-def canonical(df: DataFrame, tokens: Column) -> DataFrame:
-    """Adds tokens and their flag; lines without a token are left out."""
-    return df.withColumn("tokens", tokens).filter(F.size("tokens") > 0).withColumn("has_uncertainty", T.line_has_uncertainty(F.col("tokens")))
+def canonical(df: DataFrame, tokens: Column, doubtful: Column | None = None) -> DataFrame:
+    """Adds tokens and their flag, which ``doubtful`` gives if it is told by the line itself; lines without a token are left out."""
+    flag = T.line_has_uncertainty(F.col("tokens")) if doubtful is None else doubtful
+    return df.withColumn("tokens", tokens).filter(F.size("tokens") > 0).withColumn("has_uncertainty", flag)
 
 
 def stride_for(most: int | None) -> int:
@@ -59,7 +60,7 @@ def document_rows(docs: DataFrame, marked: bool = False) -> DataFrame:
     rows = rows.select(
         "doc_id", "n", F.col("doc_id").cast("string").alias("folio"), F.col("lang").alias("section"), F.col("n").cast("string").alias("line"), F.col("source").alias("transcriber"), "raw_line",
     )
-    return canonical(rows, T.plain_tokens(F.col("raw_line")))
+    return canonical(rows, T.plain_tokens(F.col("raw_line")), F.contains("raw_line", F.lit("{")) | F.contains("raw_line", F.lit("}")))
 
 
 def line_number(stride: int) -> Column:

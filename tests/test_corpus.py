@@ -305,6 +305,41 @@ def test_corpora_write_codes_once(spark, lines, monkeypatch):
     assert built.text.filter("has_uncertainty <> (codes <> clean_codes)").isEmpty()
 
 
+def test_rules_read_what_they_need_once(spark, rows, lines, monkeypatch):
+    """First-order models take no windows, edges count a row a line, and results are those of the long way."""
+    long_way = {r.order: r for r in markov.analysis(lines, 2).collect()}
+    monkeypatch.setattr(markov, "_windows", None)
+    for orders in (0, 1):
+        got = markov.analysis(lines, orders).collect()
+        assert len(got) == orders + 1 and all(r == long_way[r.order] for r in got)
+    for final in (False, True):
+        edge = positional.edge_rows(lines, final)
+        assert edge.count() == len(rows)
+        totals = L.token_rows(lines).groupBy("token").agg(F.count("*").alias("total"))
+        assert positional.edge_rates(edge, final, 7, totals).collect() == positional.edge_rates(L.token_rows(lines), final, 7).collect()
+    # one pattern in each step, instead of one in every step that follows it
+    plan = slots.validated(L.vocabulary(L.token_rows(lines)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 10
+
+
+def test_random_tokens_of_any_alphabet(spark):
+    """Draws with shared parts are the draws themselves; letters of one to four bytes keep their shares."""
+    ids = np.array([0, 1, 5, 1 << 40])
+    assert (draws.folded(draws.folded(7, ids), 3) / float(draws.PRIME) == draws.drawn(7, ids, 3)).all()
+    x = [7]
+    for part in (1 << 40, 3):
+        x.append(pow(x[-1] * draws.FACTOR + part % draws.PRIME + 1, 5, draws.PRIME))
+    assert int(draws.folded(7, ids, 3)[3]) == x[-1]
+    letters = spark.createDataFrame([("a", 50), ("ü", 30), ("語", 15), ("😀", 5)], "token string, n bigint")
+    made = {r.token: r.n for r in entropy.random_tokens(spark, letters, 3.0, 4000).collect()}
+    share = Counter()
+    for token, n in made.items():
+        for c in token:
+            share[c] += n
+    assert sum(made.values()) == 4000 and set(share) == set("aü語😀") and abs(share["ü"] / sum(share.values()) - 0.3) < 0.02
+    assert entropy.random_tokens(spark, letters.limit(0), 3.0, 5).count() == 0
+
+
 def test_markov_deals_out_small_numbers(spark, lines, monkeypatch):
     """Frequent codes become small numbers, no two codes become one, and results stay, whichever tokens are taken as frequent."""
     top = np.array([1 << 40, -5, 77])
