@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators.keywords import first_keywords
+from quillstone.sources.shared import stored
+
+#: Words of each query that are compared before all others.
+FIRST = 64
 
 
 def exact(queries: DataFrame, table: DataFrame, key: str = "key") -> DataFrame:
@@ -58,13 +62,26 @@ def similarity(first: Column, second: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: F.try_divide(2.0 * s.same, F.char_length(first) + F.char_length(second)))
 
 
+def common_letters(first: Column, second: Column) -> Column:
+    """How many characters of ``first`` occur in ``second`` at all."""
+    return F.char_length(first) - F.char_length(F.call_function("translate", first, second, F.lit("")))
+
+
+def most_similar(first: Column, second: Column) -> Column:
+    """What ``similarity`` of two words cannot exceed: no block has a character that the other word lacks."""
+    same = F.least(common_letters(first, second), common_letters(second, first))
+    return F.try_divide(2.0 * same, F.char_length(first) + F.char_length(second))
+
+
 def fuzzy(queries: DataFrame, words: DataFrame, k: int = 5, cutoff: float = 0.3) -> DataFrame:
     """(query, rank, word, similarity): the k words most like each query by matching blocks.
 
     Words are ranked with the query as second sequence; the similarity given
     has it first. Ties go to the larger word. Every word is set against the
-    queries of a caller; matching blocks, which Spark's own functions find,
-    are looked for only where the lengths allow a similarity of ``cutoff``.
+    queries of a caller. The similarity of the ``FIRST`` words of each query
+    whose letters allow the most tells what the k best reach at least; then
+    matching blocks, which Spark's own functions find, are looked for in every
+    word whose letters allow as much, and ``cutoff``: no other can be listed.
     Words are compared whole, however long; the work for a pair grows with the
     cube of its words' lengths. Spark sends the queries to the words'
     partitions where they are few enough, and else pairs partitions.
@@ -73,8 +90,15 @@ def fuzzy(queries: DataFrame, words: DataFrame, k: int = 5, cutoff: float = 0.3)
     asked = queries.select(F.lower(F.trim("query")).alias("query")).distinct()
     own = words.select("word").filter("word IS NOT NULL").repartition(tasks, "word").distinct()
     one, two = F.char_length("word"), F.char_length("query")
-    pairs = own.crossJoin(asked).filter(F.try_divide(2.0 * F.least(one, two), one + two) >= cutoff)
-    scored = pairs.withColumn("score", similarity(F.col("word"), F.col("query")))
+    long_enough = F.try_divide(2.0 * F.least(one, two), one + two) >= cutoff
+    pairs = lambda asked: own.crossJoin(asked).filter(long_enough).withColumn("most", most_similar(F.col("word"), F.col("query")))
+    score = similarity(F.col("word"), F.col("query"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("most"), "word"))
+    first = pairs(asked).withColumn("nth", nth).filter(F.col("nth") <= max(k, FIRST)).withColumn("score", score)
+    reached = first.groupBy("query").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(max(k, 1) - 1)).alias("reached"))
+    # a row for each query, written so that its size is known
+    known = stored(asked.join(reached, "query", "left").select("query", F.greatest(F.lit(cutoff), "reached").alias("reached")), "reached")
+    scored = pairs(known).filter("most >= reached").withColumn("score", score)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word")))
     best = scored.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("score") >= cutoff))  # after the ranks, so that no score is computed twice
     return best.select("query", "rank", "word", F.round(similarity(F.col("query"), F.col("word")), 3).alias("similarity"))

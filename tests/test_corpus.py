@@ -322,6 +322,22 @@ def test_rules_read_what_they_need_once(spark, rows, lines, monkeypatch):
     assert plan.count("regexp_replace") < 10
 
 
+def test_fuzzy_compares_only_words_that_can_be_listed(spark, monkeypatch):
+    """The words listed are those of comparing all; few are compared by blocks."""
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choice("aeimrstü") for _ in range(draw.randrange(1, 9))) for _ in range(600)} | {"", "asia", "saia", "aaaa"})
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    asked = spark.createDataFrame([("ASIA",), ("mütter",), ("zzz",), ("",)], "query string")
+    pairs = table.crossJoin(asked.select(F.lower("query").alias("query")))
+    scored = pairs.select("*", lookup.similarity(F.col("word"), F.col("query")).alias("s"), lookup.most_similar(F.col("word"), F.col("query")).alias("m")).collect()
+    assert all(r.s is None or r.s <= r.m for r in scored) and sum((r.m or 0) >= 0.7 for r in scored) < len(scored) / 2
+    want = {q: sorted(((r.s, r.word) for r in scored if r["query"] == q and r.s is not None and r.s >= 0.3), reverse=True)[:5] for q in ("asia", "mütter", "zzz", "")}
+    for first in (64, 1):
+        monkeypatch.setattr(lookup, "FIRST", first)
+        got = lookup.fuzzy(asked, table)
+        assert {(r["query"], r["rank"], r.word) for r in got.collect()} == {(q, k + 1, w) for q, found in want.items() for k, (_, w) in enumerate(found)}
+
+
 def test_random_tokens_of_any_alphabet(spark):
     """Draws with shared parts are the draws themselves; letters of one to four bytes keep their shares."""
     ids = np.array([0, 1, 5, 1 << 40])
