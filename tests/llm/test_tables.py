@@ -57,6 +57,19 @@ def test_lists_are_read_only_as_far_as_needed():
         assert left[k][np.argsort(-score)[:5]].all()
 
 
+def test_top_k_broadcasts_no_queries(spark):
+    rows = [(k, [float((k * j) % 7) for j in range(4)]) for k in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = top_k.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+    assert len(found._jdf.collectAsList()) == 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    for x in ([[1, -(2**15)]], [[2**15, 0]], [[-(2**63), 2**63 - 1], [0, 1]]):
+        x = np.array(x, np.int64)
+        assert (top_k._unpacked(top_k._packed(x), *x.shape) == x).all()
+    assert len(top_k._packed(np.array([[2**15 - 1]]))) == 2
+
+
 def test_top_k_of_repeated_and_extreme_rows(spark):
     rows = [(50, [0.5, 0.5]), (50, [0.25, 0.5]), (1, [1e300, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0]), (4, [2.0**40, 2.0**40]), (2, [1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
