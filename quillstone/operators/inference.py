@@ -90,7 +90,8 @@ def drawn_lines(lines: DataFrame, resamples: int, seed: int) -> tuple[Draws, Dat
     chunks = chunks.select("rep", "stream", "start", F.least(F.col("start") + CHUNK, F.col("lacks")).alias("end")).repartition("rep", "start")
     added = chunks.mapInArrow(take, "place bigint, rep int")
     numbered = placed.join(F.broadcast(offsets), "_part").select("line_ord", (F.col("place") + F.col("start")).alias("place"))
-    met = numbered.join(added, "place").groupBy("line_ord").agg(F.collect_list("rep").alias("added"))
+    # never broadcast: a size estimated before the draws are made says nothing of what the driver would hold
+    met = numbered.join(added.hint("merge"), "place").groupBy("line_ord").agg(F.collect_list("rep").alias("added"))
     return Draws(seed, mean, np.array([s for s, _ in chosen])), lines.join(met, "line_ord", "left")
 
 

@@ -503,6 +503,14 @@ def test_bootstrap_by_definition(spark, rows, lines, monkeypatch):
     assert tuple(inference.bootstrap(lines, inference.ENTROPY, 40).first()) == tuple(inference.bootstrap(lines.repartition(7), inference.ENTROPY, 40).first())
 
 
+def test_additional_draws_are_never_broadcast(spark, lines):
+    """They grow with the square root of the lines times the resamples, which no estimate made before they are drawn says."""
+    _, own = inference.drawn_lines(lines.select("line_ord"), 40, 3)
+    assert len(own._jdf.collectAsList()) == lines.count()
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [place#" in plan and "BroadcastHashJoin [place#" not in plan
+
+
 def test_sums_of_a_bootstrap_stay_small(monkeypatch):
     """Sums over groups of any size, beyond 16 bits too; a task gives a row for each resample and frequency, however many blocks of counts it sees."""
     draw = np.random.default_rng(3)
