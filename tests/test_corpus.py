@@ -1,8 +1,10 @@
 """Sources, token functions and statistics against plain Python on small corpora."""
 
+import itertools
 import json
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -15,7 +17,7 @@ from quillstone.functions import tokens as T
 from quillstone.operators import draws, entropy, graph, inference, keywords, lookup, markov, ngrams, order, positional, rules, slots
 from quillstone.plans import analysis, cli, reports
 from quillstone.sources import lines as L
-from quillstone.sources import encoded, exchange, images, sinks
+from quillstone.sources import encoded, exchange, images, shared, sinks
 from quillstone.streaming import counts, statistics
 
 LETTERS = ["o", "a", "e", "i", "c", "h", "s", "d", "y", "k", "t", "l", "r", "n", "q", "m", "{", "}", "!", "?", "O", "ü"]
@@ -377,6 +379,50 @@ def test_markov_deals_out_small_numbers(spark, lines, monkeypatch):
     assert windows.agg(F.max("w0"), F.max("w4")).first()[0] < own.select(F.explode("tokens").alias("t")).distinct().count()
 
 
+def test_markov_windows_are_packed_and_counted_in_passes(spark, lines, monkeypatch):
+    """Keys keep windows apart and those that begin alike together; results stay in several passes, and pairs are summed up where they lie."""
+    draw = np.random.default_rng(1)
+    odd = [0, 1, 0x7F, 0x80, 0x607F, 0x6080, 0xFFFF, 0x10000, 0x1F607F, 0x1F6080, 1 << 40, -1, -5, -(2**63), 2**63 - 1]
+    size = draw.integers(1, 6, 3000)
+    table = np.where(size[:, None] > np.arange(5), draw.choice(odd, (3000, 5)), 0)
+    keys = markov.keys_of(table, size)
+    got = markov.tokens_of(keys.slice(70), 5)
+    assert (got[0] == table[70:]).all() and (got[1] == size[70:]).all()
+    ordered = sorted(zip(keys.to_pylist(), size.tolist(), map(tuple, table.tolist()), strict=True))
+    for level in range(1, 6):
+        first = [w[:level] for _, n, w in ordered if n >= level]
+        assert len(set(first)) == 1 + sum(a != b for a, b in itertools.pairwise(first))
+    assert len(markov.keys_of(np.zeros((1, 5), np.int64), np.array([5]))[0].as_py()) == 5
+    true, found = markov.stored, []
+    for least, often in ((1 << 30, 0), (200, 0), (200, 10**6)):
+        written = []
+        monkeypatch.setattr(markov, "stored", lambda df, name, written=written: written.append(true(df, name)) or written[-1])
+        monkeypatch.setattr(markov, "PASS_TOKENS", least)
+        monkeypatch.setattr(markov, "OFTEN", often)
+        monkeypatch.setattr(markov, "LOOKED_AT", 1)
+        found.append(sorted(map(tuple, markov.analysis(lines).collect())))
+        assert (len(written) > 3) == (least == 200)
+        pairs = sum(w.filter(F.col("kind") == markov.PAIRS).count() for w in written if "kind" in w.columns)
+        assert (pairs > 0) == (often > 0)
+    assert found[0] == found[1] == found[2]
+
+
+def test_shuffle_files_go_with_the_write_that_needed_them(spark):
+    def files():
+        return {f for f in spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in f}
+
+    setting = spark.conf.get(shared.CLEANED, None)
+    seen = files()
+    few = shared.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "few")
+    for _ in range(50):  # they are removed in the background
+        if not files() - seen:
+            break
+        time.sleep(0.2)
+    assert not files() - seen and spark.conf.get(shared.CLEANED, None) == setting
+    own = few.groupBy("n").agg(F.count("*").alias("k"))
+    assert own.count() == 2 and len(own.collect()) == len(own.collect()) == 2
+
+
 def test_markov(lines, rows):
     held = markov.split_lines(lines)
     test = {r.line_ord for r in lines.filter(held).collect()}
