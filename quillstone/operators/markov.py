@@ -32,7 +32,7 @@ SEEDS = 8
 #: Numbers below these take one, two and three bytes of a window's key, others nine; and what the first byte is at least.
 BELOW, LEADS = (0x80, 0x6080, 0x1F6080), (0x80, 0xE0, 0xFF)
 #: Windows whose keys are made at once, and tokens of lines that one pass counts.
-SENT, PASS_TOKENS = 1 << 17, 1 << 30
+SENT, PASS_TOKENS = 1 << 17, 1 << 29
 #: A pair is dealt out by three tokens if it has this share of a task's rows, as a divisor.
 OFTEN = 4
 #: Frequent tokens that get small numbers for codes, and the lines (one in so many, by hash) that they are looked for in.
